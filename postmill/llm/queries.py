@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from postmill.llm.common import table
 from postmill.llm.decontaminate import contamination
 from postmill.llm.licenses import license_report
+from postmill.llm.quality_rules import quality_verdicts
+from postmill.llm.sharding import shard_table
 from postmill.llm.simhash import near_duplicates
 
 
@@ -24,10 +26,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_table(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
     "op4_simhash": op4_simhash,
+    "op5_quality_rules": op5_quality_rules,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
