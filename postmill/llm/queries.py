@@ -12,6 +12,7 @@ from postmill.llm.licenses import license_report
 from postmill.llm.quality_rules import quality_verdicts
 from postmill.llm.sharding import shard_table
 from postmill.llm.simhash import near_duplicates
+from postmill.llm.substrings import removal_report
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op8_substrings": op8_substrings,
     "op10_sharding": op10_sharding,
 }
 
