@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm.common import table
 from postmill.llm.decontaminate import contamination
+from postmill.llm.languages import languages
 from postmill.llm.licenses import license_report
+from postmill.llm.quality_classifier import quality_scores
 from postmill.llm.quality_rules import quality_verdicts
 from postmill.llm.sharding import shard_table
 from postmill.llm.simhash import near_duplicates
@@ -31,6 +33,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +54,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_languages": op6_languages,
+    "op7_quality": op7_quality,
     "op8_substrings": op8_substrings,
     "op10_sharding": op10_sharding,
 }
