@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm.common import table
 from postmill.llm.decontaminate import contamination
+from postmill.llm.fixity import PAGE_AUDIT_SQL, page_audit
 from postmill.llm.languages import languages
 from postmill.llm.licenses import license_report
+from postmill.llm.mixing import domain_column, mixing_rates
 from postmill.llm.quality_classifier import quality_scores
 from postmill.llm.quality_rules import quality_verdicts
 from postmill.llm.sharding import shard_table
@@ -25,6 +27,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_report(table(spark, sf_dir, "documents"))
 
 
+def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_audit(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,11 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").select("doc_id", domain_column().alias("domain"))
+    return mixing_rates(table(spark, sf_dir, "documents"), labelled)[0]
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(table(spark, sf_dir, "documents"))
 
@@ -52,12 +63,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
+    "op3_fixity": op3_fixity,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_languages": op6_languages,
     "op7_quality": op7_quality,
     "op8_substrings": op8_substrings,
+    "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_fixity": PAGE_AUDIT_SQL,
+}
