@@ -16,8 +16,9 @@ from postmill.llm.common import checkpoint
 
 #: Bits of an offset that a leaf covers (64 KB), and that each level above adds (16 children).
 LEAF_BITS, LEVEL_BITS = 16, 4
-#: Pages of a WARC file, by ranges of their ids, and the bytes that a file's page may take at most.
-FILE_PAGES = 4096
+#: Pages of a WARC file, by ranges of their ids, and files that pages without id are dealt to.
+FILE_PAGES = 64
+LOOSE_FILES = 1 << 16
 
 
 def warc_record(url: Column, html: Column) -> Column:
@@ -33,11 +34,13 @@ def warc_record(url: Column, html: Column) -> Column:
 def warc_index(pages: DataFrame, id_col: str = "page_id", file_pages: int = FILE_PAGES) -> DataFrame:
     """`file`, `offset`, `length`, `record` (SHA-256) and `id_col` of each page, laid out by id in WARC files.
 
-    A file holds a range of `file_pages` ids; pages without id go to the file -1, and rows of one id
-    lie in the order of their records' hashes. A null URL or text counts as empty.
+    A file holds a range of `file_pages` ids; pages without id are dealt to files with negative numbers
+    by their URL and text, and rows of one id lie in the order of their records' hashes. A null URL or
+    text counts as empty.
     """
     record = warc_record(F.col("url"), F.col("html"))
-    file = F.coalesce(F.floor(F.col(id_col) / file_pages), F.lit(-1)).cast("long")
+    loose = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(LOOSE_FILES))
+    file = F.coalesce(F.floor(F.col(id_col) / file_pages), loose).cast("long")
     # The texts are hashed where they are read; only numbers and hashes move.
     rows = pages.select(id_col, file.alias("file"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("record"))
     before = Window.partitionBy("file").orderBy(F.col(id_col).asc_nulls_first(), "record").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,7 +129,7 @@ def page_audit(pages: DataFrame) -> DataFrame:
     return audit(index, damaged_copy(index))
 
 
-#: The same rows by plain comparison of the two indexes, without trees.
+#: The same rows by plain comparison of the two indexes, without trees, for pages that have ids.
 PAGE_AUDIT_SQL = f"""
 WITH parts AS (
   SELECT page_id, coalesce(floor(page_id / {FILE_PAGES}), -1)::BIGINT AS file,
