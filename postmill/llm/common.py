@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -116,3 +117,14 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
             runs = mix(runs[:-size], runs[size:])
             size *= 2
     return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet below the cluster's shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
+    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

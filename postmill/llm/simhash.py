@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import checkpoint, lower_words, over_texts
@@ -175,3 +175,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(firsts, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One document of each group of near duplicates: the one of the smallest id; the same columns.
+
+    Rows without id come after all others; of rows with equal id and text one stays. Texts move once,
+    to meet the keys that stay.
+    """
+    key, content = (f"_{x}" + "_" * max(map(len, docs.columns), default=0) for x in ("key", "content"))
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))
+    named = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("content")).alias("key"), "text")
+    kept = near_duplicates(named, "key").where("key = component_id").select(F.xxhash64("key.id").alias(key), F.col("key.content").alias(content)).distinct()
+    found = docs.withColumn(key, F.xxhash64(id_col)).withColumn(content, text).join(kept, [key, content], "left_semi")
+    once = Window.partitionBy(key, content).orderBy(content)
+    nth = key + "_"
+    return found.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).select(*docs.columns)
