@@ -1,0 +1,67 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from postmill.functions.text import title_tokens
+from postmill.operators.fuzzy import alike_pairs, dedup_fuzzy
+
+
+def literal_pass(rows, least=10):
+    """The sequential pass itself, on (place, tokens, url)."""
+    rows = sorted(rows)
+    gone = set()
+    for a, (i, ti, ui) in enumerate(rows):
+        if i in gone or not ti:
+            continue
+        for j, tj, uj in rows[a + 1 :]:
+            if j in gone or not tj or sum(len(t) for t in ti if t in set(tj)) < least:
+                continue
+            if not ui and uj:
+                gone.add(i)
+                break
+            gone.add(j)
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_the_pass(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = [c * n for c in "abcdefgh" for n in (2, 4, 6)] + ["정규직원", "박물관학예", "ab"]
+    rows = []
+    for k in range(60):
+        title = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 5)))
+        rows.append((f"s{k // 9}", k // 9, k, title or None, "o", "", None if rng.random() < 0.5 else "u"))
+    df = spark.createDataFrame(rows, "site_id string, site_ord int, post_ord long, title string, organization string, reg_date string, url string")
+    tokens = {(r["site_ord"] << 40) + r["post_ord"]: (r["t"], bool(r["url"])) for r in df.withColumn("t", title_tokens("title")).collect()}
+    gone = literal_pass([(p, t, u) for p, (t, u) in tokens.items()])
+    kept = {(r["site_ord"] << 40) + r["post_ord"] for r in dedup_fuzzy(df).collect()}
+    assert kept == tokens.keys() - gone
+    assert gone
+
+
+def test_overlap_counts_repeats_of_the_earlier_title(spark):
+    df = spark.createDataFrame([(1, ["abcdef", "abcdef"]), (2, ["abcdef"]), (3, ["abcdef", "abcdef"])], "place long, tokens array<string>")
+    got = {(r["i"], r["j"]): r["overlap"] for r in alike_pairs(df, 10).collect()}
+    assert got == {(1, 2): 12, (1, 3): 12}
+    got = {(r["i"], r["j"]): r["overlap"] for r in alike_pairs(df, 6).collect()}
+    assert got == {(1, 2): 12, (1, 3): 12, (2, 3): 6}
+
+
+def test_pairs_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = [c * rng.randrange(1, 9) for c in "abcdefghijklmnop"]
+    lists = {k: [rng.choice(words[: 4 + k % 12]) for _ in range(rng.randrange(0, 7))] for k in range(80)}
+    df = spark.createDataFrame(list(lists.items()), "place long, tokens array<string>")
+    want = {}
+    for i, a in lists.items():
+        for j, b in lists.items():
+            if i < j and (n := sum(len(t) for t in a if t in set(b))) >= 10:
+                want[i, j] = n
+    assert {(r["i"], r["j"]): r["overlap"] for r in alike_pairs(df).collect()} == want
+
+
+def test_empty(spark):
+    df = spark.createDataFrame([], "site_id string, site_ord int, post_ord long, title string, organization string, reg_date string, url string")
+    assert dedup_fuzzy(df).count() == 0
+    assert dedup_fuzzy(df.union(spark.range(1).select(F.lit("s"), F.lit(1), F.lit(1), F.lit("x"), F.lit("o"), F.lit(""), F.lit(None)))).count() == 1
