@@ -36,9 +36,9 @@ ROWS = 2
 #: Bits of a block: its cells are numbered by 16 bits.
 _BLOCK = 16
 #: Text of one step; what it has seen twice it settles itself.
-STEP_BYTES = 16 << 20
+STEP_BYTES = 4 << 20
 #: Anchors that a partition gathers for one sketch.
-STEP_ANCHORS = 4_000_000
+STEP_ANCHORS = 2_000_000
 
 
 class _Codes(dict):
@@ -51,7 +51,7 @@ class _Codes(dict):
 
 def _words_of(batch: pa.RecordBatch, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a batch, text after text, and where each text begins."""
-    if len(codes) > 1_000_000:
+    if len(codes) > 200_000:
         codes.clear()
     parts = [np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)) for words in map(plain_words, texts(batch))]
     starts = np.cumsum([0, *map(len, parts)])
@@ -126,7 +126,7 @@ def merged_sketch(docs: DataFrame, window: int, bits: int) -> list[np.ndarray]:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held = _Codes(), []
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=STEP_BYTES):
             held.append(_Windows(*_words_of(batch, codes), window).anchor_places())
             if sum(map(len, held)) > STEP_ANCHORS:
                 yield from lines(held)
