@@ -13,7 +13,6 @@ posterior and the steps' few numbers g alone, so it can be recomputed anywhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +29,11 @@ SAMPLE, VOCABULARY = 20_000, 96
 PREFIX = 5
 #: Documents of the sample that hold a word at least.
 LEAST_DOCS = 5
-STEPS = 60
+STEPS = 40
 LEAST_SHARE = 1e-3
-TOLERANCE = 1e-7
+#: A step that closes less than this part of the gap is the last one.
+LEAST_GAIN = 5e-3
+TOLERANCE = 1e-5
 #: A rate this close to one, or to a whole number above, is taken for it when documents are drawn.
 SNAP = 0.1
 
@@ -143,28 +144,38 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: int, id_col: str = "doc_i
     return Classifier(plain.words, centre, scale, weights)
 
 
-def membership(classifier: Classifier) -> Column:
-    """`n_tokens` and `p` (the posterior of each domain) of `text`."""
+def rates_of(p: np.ndarray, steps: list[list[float]]) -> np.ndarray:
+    """The rates of documents with these posteriors (rows) after the steps."""
+    r = np.ones(len(p))
+    for g in steps:
+        r = np.maximum(0.0, r - p @ np.array(g))
+    return r
+
+
+def membership(classifier: Classifier, steps: list[list[float]] | None = None) -> Column:
+    """`n_tokens`, `p` (the posterior of each domain) and `rate` (after the steps) of `text`.
+
+    Marked as not repeatable so that the planner asks for it once for each row.
+    """
 
-    @F.arrow_udf("n_tokens long, p array<double>")
-    def of(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("n_tokens", pa.int64()), ("p", pa.list_(pa.float64()))])
-        for array in column:
-            raw = [classifier.raw(t) for t in array.cast(pa.large_binary()).to_pylist()]
-            x = np.array([r[1] for r in raw], np.float32).reshape(len(raw), -1)
-            p = classifier.posteriors(x) if raw else x
-            yield pa.array([{"n_tokens": r[0], "p": row} for r, row in zip(raw, p.tolist(), strict=True)], kind)
+    @F.arrow_udf("n_tokens long, p array<double>, rate double")
+    def of(column: pa.Array) -> pa.Array:
+        raw = [classifier.raw(t) for t in column.cast(pa.large_binary()).to_pylist()]
+        p = classifier.posteriors(np.array([r[1] for r in raw], np.float32).reshape(len(raw), -1)) if raw else np.zeros((0, 1))
+        fields = [pa.array([r[0] for r in raw], pa.int64()), pa.array(list(p), pa.list_(pa.float64())), pa.array(rates_of(p, steps or []))]
+        return pa.StructArray.from_arrays(fields, ["n_tokens", "p", "rate"])
 
-    return of("text")
+    return of.asNondeterministic()("text")
 
 
 def rate(p: str, steps: list[list[float]]) -> Column:
     """The rate of a document with posterior `p` after these steps."""
-    r = F.lit(1.0)
-    for g in steps:
-        move = sum((F.col(p)[d] * F.lit(float(v)) for d, v in enumerate(g)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+
+    @F.arrow_udf("double")
+    def of(column: pa.Array) -> pa.Array:
+        return pa.array(rates_of(np.array(column.to_pylist(), float).reshape(len(column), -1), steps))
+
+    return of.asNondeterministic()(p)
 
 
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
@@ -193,7 +204,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tole
         size = max(0.0, float(gap @ inverse @ gap) / max(1.0, sum(targets))) ** 0.5
         if size > before:
             found.pop()
-        if size <= tolerance or size > before * (1 - 1e-4):
+        if size <= tolerance or size > before * (1 - LEAST_GAIN):
             break
         before = size
         found.append((inverse @ gap).tolist())
@@ -264,6 +275,6 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARG
     """
     _, mix = mixing_rates(docs, labelled, targets, anchor, id_col)
     m, r, n = (f"_{c}" + "_" * max(map(len, docs.columns), default=0) for c in "mrn")
-    drawn = docs.withColumn(m, membership(mix.classifier)).withColumn(r, rate(f"{m}.p", mix.steps))
+    drawn = docs.withColumn(m, membership(mix.classifier, mix.steps)).withColumn(r, F.col(f"{m}.rate"))
     drawn = drawn.withColumn(n, copies(r, _draw(id_col)))
     return drawn.where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), n))).drop(m, r, n)
