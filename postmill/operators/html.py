@@ -83,9 +83,13 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    """The page's tree; of a page that breaks off in broken markup, what stands before."""
     builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    try:
+        builder.feed(html)
+        builder.close()
+    except AssertionError:
+        pass
     return builder.root
 
 
