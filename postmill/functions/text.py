@@ -41,8 +41,13 @@ def squeeze(c: Column | str) -> Column:
 
 
 def truncate(c: Column | str, length: int = TITLE_LENGTH) -> Column:
-    """The squeezed text, cut with three dots if it is longer than `length` characters."""
-    text = squeeze(c)
+    """The squeezed text, cut with three dots if it is longer than `length` characters.
+
+    Only the beginning with `length` + 1 characters other than whitespace is squeezed: what follows it in
+    a long text can't show.
+    """
+    solid = WS.replace("[", "[^", 1)
+    text = squeeze(F.regexp_extract(_text(c), f"^{WS}*((?:{solid}{WS}*){{0,{length + 1}}})", 1))
     return F.when(F.length(text) > length, F.concat(F.left(text, F.lit(length)), F.lit("..."))).otherwise(text)
 
 

@@ -24,13 +24,13 @@ def audit(postings: DataFrame, pages: DataFrame) -> DataFrame:
     stands in the page's text. Sites that failed to crawl are skipped, those that failed to be checked fail.
     """
     items = postings.select("site_id", "post_ord", "title").withColumn("_has", F.lit(True))
-    joined = pages.join(items, "site_id", "left")
+    joined = pages.withColumn("_lines", job_lines("page_text")).join(items, "site_id", "left")
     core = title_core("title")
     hit = F.coalesce((core != "") & F.contains(F.coalesce("page_text", F.lit("")), core), F.lit(False))
     missed = F.array_sort(F.collect_list(F.when(F.col("_has") & ~hit, F.struct("post_ord", "title"))))
     sites = joined.groupBy("site_id").agg(
         F.count("_has").cast("int").alias("n"), F.count_if(F.col("_has") & hit).cast("int").alias("m"), F.transform(missed, lambda x: x["title"]).alias("missed"),
-        F.max(job_lines("page_text")).alias("lines"), F.max("crawl_error").alias("crawl_error"), F.max("check_error").alias("check_error"),
+        F.max("_lines").alias("lines"), F.max("crawl_error").alias("crawl_error"), F.max("check_error").alias("check_error"),
     )
     n, m = F.col("n"), F.col("m")
     skipped, broken = F.coalesce("crawl_error", F.lit("")) != "", F.coalesce("check_error", F.lit("")) != ""
