@@ -5,7 +5,9 @@ how many a cutoff would reject. A cutoff is certified if the exact binomial test
 its false-rejection rate exceeds the rule's share of `alpha`. Cutoffs of a rule are tested from
 the most lenient on, and stop at the first failure (fixed-sequence testing); the error `delta` is
 divided by the number of rules and strata (Bonferroni). So with probability 1 - `delta`, in every
-stratum at most `alpha` of the good documents are rejected by all rules together.
+stratum at most `alpha` of the good documents are rejected by all rules together. Of a rule's certified
+cutoffs the most lenient one is used that still rejects nearly all the labelled poor documents that
+the strictest one does; all are certified at once, so the choice is free.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from postmill.llm.common import checkpoint
 WINDOW = 8
 ALPHA = 0.05
 DELTA = 0.1
+#: Part of the poor documents caught by the strictest certified cutoff that a more lenient one must catch.
+POWER = 0.98
 #: Words at which the next length band begins.
 BANDS = (200, 1000)
 #: Cutoffs of every rule, from the most lenient one.
@@ -79,21 +83,24 @@ def _log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, add, lambda a: a["total"])
 
 
-def certified_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """`band` and `cutoffs` (one for each rule, null where none is certified) from good documents' features.
+def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """`band` and `cutoffs` (one for each rule, null where none is certified) from features with `quality`.
 
-    At most one row for each length band. A band without good documents has none.
+    At most one row for each length band. Only good documents (quality 1) certify; poor ones (0) choose among
+    certified cutoffs. A band without good documents has no cutoffs.
     """
     each, error = alpha / len(RULES), math.log(delta / (len(RULES) * (len(BANDS) + 1)))
-    over = [F.array(*(F.count_if(F.col(rule) > c) for c in CUTOFFS)).alias(rule) for rule in RULES]
-    counts = good.groupBy("band").agg(F.count("*").alias("n"), *over)
+    over = [F.array(*(F.count_if((F.col("quality") == q) & (F.col(rule) > c)) for c in CUTOFFS)).alias(f"{rule}_{q}") for rule in RULES for q in (0, 1)]
+    counts = labelled.groupBy("band").agg(F.count_if(F.col("quality") == 1).alias("n"), *over)
 
     def chosen(rule: str) -> Column:
         # k above its expectation can't pass, and isn't summed.
-        passed = F.transform(rule, lambda k: F.when(k < F.col("n") * each, _log_binomial_cdf(F.col("n"), k, each) <= error).otherwise(False))
+        passed = F.transform(f"{rule}_1", lambda k: F.when(k < F.col("n") * each, _log_binomial_cdf(F.col("n"), k, each) <= error).otherwise(False))
         fails = F.array_position(passed, F.lit(False))  # 0 if all pass
-        best = F.when(fails == 0, len(CUTOFFS)).otherwise(fails - 1).cast("int")
-        return F.when(best > 0, F.element_at(F.array(*map(F.lit, CUTOFFS)), best))
+        strictest = F.when(fails == 0, len(CUTOFFS)).otherwise(fails - 1).cast("int")
+        enough = F.element_at(f"{rule}_0", F.greatest(strictest, F.lit(1))) * POWER
+        used = F.array_position(F.transform(f"{rule}_0", lambda k: k >= enough), F.lit(True))
+        return F.when(strictest > 0, F.element_at(F.array(*map(F.lit, CUTOFFS)), used.cast("int")))
 
     return counts.select("band", F.array(*map(chosen, RULES)).alias("cutoffs"))
 
@@ -101,15 +108,15 @@ def certified_cutoffs(good: DataFrame, alpha: float = ALPHA, delta: float = DELT
 def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id") -> DataFrame:
     """For each row of `docs`: `id_col`, its counts, `base_failed` and `kept`.
 
-    `labels` (`doc_id`, `quality`) says which documents are good; of several labels the lowest
-    counts, null ones none. Null and empty texts fail the base rules; repeated rows each give a row
+    `labels` (`doc_id`, `quality`) says which documents are good (1) and poor (0); of several labels the
+    lowest counts, null ones none. Null and empty texts fail the base rules; repeated rows each give a row
     and count each; without labels, or with too few to certify anything, only the base rules reject.
     """
     found = checkpoint(features(docs, id_col))
-    known = labels.groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
-    good = found.where(~F.col("base_failed")).join(known, id_col, "left_semi")
+    known = labels.groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("quality"))
+    labelled = found.where(~F.col("base_failed")).join(known, id_col)
     # One row for each length band: len(BANDS) + 1 at most.
-    ruled = found.join(F.broadcast(certified_cutoffs(good, alpha, delta)), "band", "left")
+    ruled = found.join(F.broadcast(certified_cutoffs(labelled, alpha, delta)), "band", "left")
     rejects = [F.coalesce(F.col(rule) > F.element_at("cutoffs", i + 1), F.lit(False)) for i, rule in enumerate(RULES)]
     kept = ~F.col("base_failed")
     for reject in rejects:

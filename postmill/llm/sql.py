@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from postmill.llm.decontaminate import WINDOW as TEST_WINDOW
 from postmill.llm.fixity import PAGE_AUDIT_SQL
-from postmill.llm.quality_rules import ALPHA, BANDS, CUTOFFS, DELTA, RULES
+from postmill.llm.quality_rules import ALPHA, BANDS, CUTOFFS, DELTA, POWER, RULES
 from postmill.llm.substrings import WINDOW as REPEAT_WINDOW
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,10 +53,11 @@ ratios AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {" + ".join(f"CAST(n_words >= {b} AS INTEGER)" for b in BANDS)} AS band,
     [n_symbols / greatest(word_chars, 1), n_capitals / greatest(word_chars, 1), n_exclaimed / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1)] AS x
   FROM counts),
-good AS (SELECT * FROM ratios SEMI JOIN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
-tries AS (SELECT band, rule, cutoff, count(*) AS n, count(*) FILTER (x[rule] > cutoff) AS k FROM good, (SELECT unnest(range(1, {len(RULES) + 1})) AS rule), (SELECT unnest([{", ".join(map(str, CUTOFFS))}]::DOUBLE[]) AS cutoff) GROUP BY ALL),
+labelled AS (SELECT * FROM ratios JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
+tries AS (SELECT band, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND x[rule] > cutoff) AS k, count(*) FILTER (quality = 0 AND x[rule] > cutoff) AS poor FROM labelled, (SELECT unnest(range(1, {len(RULES) + 1})) AS rule), (SELECT unnest([{", ".join(map(str, CUTOFFS))}]::DOUBLE[]) AS cutoff) GROUP BY ALL),
 judged AS (SELECT *, CASE WHEN k < n * {_SHARE} THEN {_CDF} <= {DELTA} / {len(RULES) * (len(BANDS) + 1)} ELSE false END AS passed FROM tries),
-certified AS (SELECT band, rule, min(cutoff) FILTER (cutoff > failing) AS cutoff FROM (SELECT *, coalesce(max(cutoff) FILTER (NOT passed) OVER (PARTITION BY band, rule), -1) AS failing FROM judged) GROUP BY band, rule),
+passing AS (SELECT * FROM (SELECT *, coalesce(max(cutoff) FILTER (NOT passed) OVER (PARTITION BY band, rule), -1) AS failing FROM judged) WHERE cutoff > failing),
+certified AS (SELECT band, rule, max(cutoff) FILTER (poor >= {POWER} * most) AS cutoff FROM (SELECT *, max(poor) OVER (PARTITION BY band, rule) AS most FROM passing) GROUP BY band, rule),
 rejected AS (SELECT DISTINCT r FROM ratios JOIN certified USING (band) WHERE x[rule] > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.r IS NULL AS kept
 FROM ratios LEFT JOIN rejected USING (r)

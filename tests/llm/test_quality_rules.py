@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.llm.quality_rules import CUTOFFS, DELTA, RULES, _log_binomial_cdf, certified_cutoffs, features, quality_verdicts
+from postmill.llm.quality_rules import CUTOFFS, DELTA, POWER, RULES, _log_binomial_cdf, certified_cutoffs, features, quality_verdicts
 from tests.llm.fixtures import awkward, docs, prose
 
 
@@ -33,19 +33,23 @@ def test_binomial_tail(spark, n, k, p):
     assert math.exp(got) == pytest.approx(exact, rel=1e-9)
 
 
-def test_cutoffs_are_the_strictest_certified_ones(spark):
+def test_cutoffs_are_certified_and_catch_what_the_strictest_does(spark):
     rng = random.Random(1)
     shares = [rng.choice([0.0, 0.01, 0.06, 0.2]) if i % 150 == 0 else 0.001 for i in range(3000)]
-    good = spark.createDataFrame([(0, *[s] * 5) for s in shares] + [(1, *[0.0] * 5) for _ in range(50)], "band int, " + ", ".join(f"{r} double" for r in RULES))
-    error, want = DELTA / (len(RULES) * 3), None
+    poor = [rng.choice([0.1, 0.15, 0.3]) for _ in range(300)]
+    rows = [(0, 1, *[s] * 5) for s in shares] + [(0, 0, *[s] * 5) for s in poor] + [(1, 1, *[0.0] * 5) for _ in range(50)] + [(2, 0, *[0.9] * 5)]
+    labelled = spark.createDataFrame(rows, "band int, quality int, " + ", ".join(f"{r} double" for r in RULES))
+    error, certified = DELTA / (len(RULES) * 3), []
     for c in CUTOFFS:
         k = sum(s > c for s in shares)
         if math.fsum(math.comb(3000, i) * 0.01**i * 0.99 ** (3000 - i) for i in range(k + 1)) > error:
             break
-        want = c
-    got = {r["band"]: r["cutoffs"] for r in certified_cutoffs(good).collect()}
-    assert want is not None and got[0] == [want] * 5
-    assert got[1] == [None] * 5  # too few to certify anything
+        certified.append(c)
+    caught = [sum(s > c for s in poor) for c in certified]
+    want = next(c for c, n in zip(certified, caught, strict=True) if n >= POWER * caught[-1])
+    got = {r["band"]: r["cutoffs"] for r in certified_cutoffs(labelled).collect()}
+    assert got[0] == [want] * 5 and certified[-1] < want < certified[0]
+    assert got[1] == got[2] == [None] * 5  # too few good documents to certify anything
 
 
 def test_verdicts(spark):
