@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import checkpoint, lower_words, over_texts
 from postmill.llm.components import connected_components
+from postmill.llm.jaccard import near_copies, tiled
 
 SHINGLE = 4
 DISTANCE = 4
@@ -138,24 +139,7 @@ def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     connect are left out.
     """
     keyed = fps.select("fp", F.explode(_keys("fp")).alias("key"))
-    sizes = keyed.groupBy("key").count().where(F.col("count") > tile)
-    sizes = checkpoint(sizes.select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
-    if sizes.isEmpty():
-        tiled = keyed.select("fp", F.xxhash64("key").alias("key"), F.lit(-1).alias("side"))
-    else:
-        # A tile meets itself (side -1) and every other tile (sides 0 and 1) in a key of its own.
-        own = keyed.join(sizes, "key", "left").withColumn(
-            "tile", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
-        )
-        others = F.transform(
-            F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1),
-            lambda t: F.struct(
-                F.xxhash64("key", F.least(t, "tile"), F.greatest(t, "tile")).alias("key"),
-                F.when(t == F.col("tile"), -1).otherwise((t < F.col("tile")).cast("int")).alias("side"),
-            ),
-        )
-        tiled = own.select("fp", F.explode(others).alias("o")).select("fp", "o.key", "o.side")
-    dealt = tiled.repartition("key").sortWithinPartitions("key", "fp")
+    dealt = tiled(keyed, tile).repartition("key").sortWithinPartitions("key", "fp")
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
@@ -178,15 +162,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id; the same columns.
+    """One document of each group of near copies: the one of the smallest id; the same columns.
 
-    Rows without id come after all others; of rows with equal id and text one stays. Texts move once,
+    Near copies share 0.8 or more of their five-word shingles (`near_copies`), not the query's fingerprints. Rows without id come after all others; of rows with equal id and text one stays. Texts move once,
     to meet the keys that stay.
     """
     key, content = (f"_{x}" + "_" * max(map(len, docs.columns), default=0) for x in ("key", "content"))
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))
     named = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("content")).alias("key"), "text")
-    kept = near_duplicates(named, "key").where("key = component_id").select(F.xxhash64("key.id").alias(key), F.col("key.content").alias(content)).distinct()
+    kept = near_copies(named, "key").where("key = component_id").select(F.xxhash64("key.id").alias(key), F.col("key.content").alias(content)).distinct()
     found = docs.withColumn(key, F.xxhash64(id_col)).withColumn(content, text).join(kept, [key, content], "left_semi")
     once = Window.partitionBy(key, content).orderBy(content)
     nth = key + "_"
