@@ -1,18 +1,21 @@
 """Mixing documents to target weights by soft domain membership.
 
 A classifier fitted on a labelled table gives each document a posterior over domains. With n_i
-tokens and posterior p_i, a document kept at rate r_i >= 0 adds r_i n_i p_i expected tokens. The
-rates that meet the target totals t are found by projected-gradient least squares from r = 1:
+tokens and posterior p_i, a document kept at rate r_i >= 0 adds r_i n_i p_i expected tokens. Of the
+rates that meet the target totals t, those nearest to 1 (by tokens) are r_i = max(0, 1 - p_i . g) with
 
-    r_i <- max(0, r_i - p_i . g),   g = W (sum_i r_i n_i p_i - t)
+    sum_i n_i max(0, 1 - p_i . g) p_i = t
 
-where W inverts the domains' second moments, which makes one step a Newton step until rates meet
-zero. Each step is one distributed sum over the documents. A rate depends on its document's
-posterior and the steps' few numbers g alone, so it can be recomputed anywhere.
+which minimises a convex function of the few numbers g. Newton's method finds it: each step is one
+distributed sum over the documents, of the moments of those whose rate is above zero. A small ridge on g
+makes what cannot be met be met as nearly as least squares can. A rate depends on its document's
+posterior and g alone, so it can be recomputed anywhere.
 """
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,17 +26,25 @@ from pyspark.sql import functions as F
 from postmill.llm.common import checkpoint, item_words, over_texts
 from postmill.llm.text_features import STYLE, bounded_sample, style
 
+_LOG = logging.getLogger(__name__)
+
 #: Labelled rows that the classifier is fitted on at most, and words that it looks for.
 SAMPLE, VOCABULARY = 20_000, 96
 #: Bytes of a word's beginning that counts as a mark of its own.
 PREFIX = 5
 #: Documents of the sample that hold a word at least.
 LEAST_DOCS = 5
-STEPS = 40
-LEAST_SHARE = 1e-3
-#: A step that closes less than this part of the gap is the last one.
-LEAST_GAIN = 5e-3
-TOLERANCE = 1e-5
+STEPS = 100
+#: Domains with a smaller part of all tokens, by posteriors, have no text; their targets are reported as unmet.
+NOTHING = 1e-6
+#: Weight of the ridge on g against the domains' second moments.
+RIDGE = 1e-9
+#: The part of its target by which a domain's gradient may differ from zero at the end.
+TOLERANCE = 1e-6
+#: The part of its target by which a domain's expected total may differ before it is reported as unmet.
+UNMET = 1e-3
+#: Lengths of a step that are tried in one pass.
+LENGTHS = 0.5 ** np.arange(10)
 #: A rate this close to one, or to a whole number above, is taken for it when documents are drawn.
 SNAP = 0.1
 
@@ -178,54 +189,90 @@ def rate(p: str, steps: list[list[float]]) -> Column:
     return of.asNondeterministic()(p)
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The steps g that bring expected totals of `members` (`n_tokens`, `p`) to `targets`.
+@dataclass
+class Fit:
+    """The steps found, each domain's expected and target total, and whether the optimum was reached."""
 
-    Domains that hold less than LEAST_SHARE of all tokens, by squared posteriors, are not aimed at: no
-    rates could meet their targets. Ends when the totals are met, or when a step no longer helps.
-    """
-    domains = len(targets)
-    pairs = [(i, j) for i in range(domains) for j in range(i, domains)]
-    moments = members.agg(*(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i, j in pairs)).first()
-    square = np.zeros((domains, domains))
-    for (i, j), v in zip(pairs, moments, strict=True):
-        square[i, j] = square[j, i] = v or 0.0
-    aimed = np.flatnonzero(np.diag(square) >= LEAST_SHARE * square.sum())  # square sums to all tokens
-    if not square.any():
-        return []
-    inverse = np.zeros_like(square)
-    inverse[np.ix_(aimed, aimed)] = np.linalg.pinv(square[np.ix_(aimed, aimed)], rcond=1e-10, hermitian=True)
-    found: list[list[float]] = []
-    state, since, before = members.withColumn("r", F.lit(1.0)), 0, np.inf
+    steps: list[list[float]]
+    expected: np.ndarray
+    targets: np.ndarray
+    settled: bool = True
+
+    def unmet(self) -> np.ndarray:
+        """Domains whose expected total is not the target."""
+        return np.flatnonzero(np.abs(self.expected - self.targets) > UNMET * self.targets)
+
+
+def _sums(members: DataFrame, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each g of `tried` (rows): the sums of n r^2, of n r p, and of n p p' where r > 0, for r = max(0, 1 - p . g)."""
+    count, domains = tried.shape
+    width = 1 + domains + domains**2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((count, width))
+        for batch in batches:
+            p = np.asarray(batch.column("p").flatten(), float).reshape(batch.num_rows, domains)
+            n = np.asarray(batch.column("n_tokens"), float)
+            for k, g in enumerate(tried):
+                r = np.maximum(0.0, 1 - p @ g)
+                out[k] += [n @ r**2, *((n * r) @ p), *(p.T @ (p * (n * (r > 0))[:, None])).ravel()]
+        yield pa.RecordBatch.from_pydict({"at": pa.array(range(out.size), pa.int32()), "v": pa.array(out.ravel())})
+
+    out = np.zeros(count * width)
+    for at, v in members.select("n_tokens", "p").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v")).collect():
+        out[at] = v
+    out = out.reshape(count, width)
+    return out[:, 0], out[:, 1 : domains + 1], out[:, domains + 1 :].reshape(count, domains, domains)
+
+
+def solve(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """The rates that bring expected totals of `members` (`n_tokens`, `p`) to `targets`, or as near as least squares can."""
+    want = np.array(targets, float)
+    g = np.zeros(len(want))
+    _, sums, moments = (x[0] for x in _sums(members, g[None]))
+    aimed = np.flatnonzero(sums > NOTHING * sums.sum())
+    if not len(aimed):
+        return Fit([], sums, want)
+    ridge = RIDGE * np.diag(moments)[aimed]
+    unit = want[aimed] + sums[aimed]
+
+    def slope(sums: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return want[aimed] - sums[aimed] + ridge * g[aimed]
+
+    value, settled = np.inf, False
     for _ in range(steps):
-        now = state.select("n_tokens", "p", rate_from("r", found[since:]).alias("r"))
-        sums = np.array(now.agg(*(F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[d]) for d in range(domains))).first(), float)
-        gap = sums - np.array(targets)
-        size = max(0.0, float(gap @ inverse @ gap) / max(1.0, sum(targets))) ** 0.5
-        if size > before:
-            found.pop()
-        if size <= tolerance or size > before * (1 - LEAST_GAIN):
+        down = slope(sums, g)
+        settled = bool((np.abs(down) <= tolerance * unit).all())
+        if settled:
+            break
+        scale = ridge**-0.5
+        curve = moments[np.ix_(aimed, aimed)] * np.outer(scale, scale) + np.eye(len(aimed))
+        tried = np.repeat(g[None], len(LENGTHS), 0)
+        tried[:, aimed] -= np.outer(LENGTHS, scale * np.linalg.solve(curve, scale * down))
+        squares, all_sums, all_moments = _sums(members, tried)
+        values = squares / 2 + tried[:, aimed] @ want[aimed] + (ridge * tried[:, aimed] ** 2).sum(1) / 2
+        # Of lengths whose values differ by rounding only, the one of the least slope.
+        best = np.flatnonzero(values <= values.min() + 1e-13 * abs(values.min()))
+        k = min(best.tolist(), key=lambda i: np.abs(slope(all_sums[i], tried[i]) / unit).max())
+        if values[k] > value + 1e-13 * abs(value):
             break
-        before = size
-        found.append((inverse @ gap).tolist())
-        if len(found) - since == 8:  # keeps the expressions short
-            state, since = checkpoint(state.withColumn("r", rate_from("r", found[since:]))), len(found)
-    return found
+        g, value, sums, moments = tried[k], values[k], all_sums[k], all_moments[k]
+    return Fit([g.tolist()] if g.any() else [], sums, want, settled)
 
 
-def rate_from(start: str, steps: list[list[float]]) -> Column:
-    r = F.col(start)
-    for g in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col("p")[d] * F.lit(float(v)) for d, v in enumerate(g)), F.lit(0.0)))
-    return r
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+    """The steps g that `solve` finds."""
+    return solve(members, targets, steps, tolerance).steps
 
 
 @dataclass
 class Mix:
-    """What decides rates: the classifier and the steps."""
+    """What decides rates: the classifier and the steps; and for each domain not met its expected and target tokens."""
 
     classifier: Classifier
     steps: list[list[float]]
+    unmet: dict[str, tuple[float, float]]
+    settled: bool
 
 
 def _draw(id_col: str) -> Column:
@@ -257,15 +304,19 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
     `labelled` has `id_col` and `domain`, an index into `targets`. Null and empty texts have no tokens,
     so any rate suits them; repeated rows each give a row with the same numbers; an empty table gives
-    none. Targets of domains that hardly any text belongs to are left out; if the others cannot all
-    be met, they are met as nearly as least squares can.
+    none. If not all targets can be met, they are met as nearly as least squares can; the mix lists those
+    that are not, among them those of domains without text.
     """
     classifier = fit(docs, labelled, len(targets), id_col)
     members = checkpoint(_members(docs, classifier, id_col))
-    steps = fit_rates(members, totals(members, targets, anchor))
+    found = solve(members, totals(members, targets, anchor))
+    names, steps = list(targets), found.steps
+    unmet = {names[d]: (float(found.expected[d]), float(found.targets[d])) for d in found.unmet()}
+    if unmet or not found.settled:
+        _LOG.warning("mix %s; expected and target tokens of domains not met: %s", "settled" if found.settled else "not settled", unmet)
     rated = members.withColumn("rate", rate("p", steps)).withColumn("copies", copies("rate", F.col("draw")))
     shown = rated.select(id_col, "n_tokens", "rate", "copies", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)))
-    return shown, Mix(classifier, steps)
+    return shown, Mix(classifier, steps, unmet, found.settled)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good_clean", id_col: str = "doc_id") -> DataFrame:

@@ -118,3 +118,64 @@ def test_no_labels_and_no_rows(spark):
     assert mixing_rates(docs(spark, []), none)[0].count() == 0
     got = mixing_rates(docs(spark, awkward()), none)[0].collect()
     assert len(got) == len(awkward()) and all(r["p_good_clean"] == 0.25 for r in got)
+
+
+def sure_table(spark, rng, n, shares, noise):
+    """Documents of one domain each, whose posteriors are moderately sure."""
+    rows = []
+    for _ in range(n):
+        z = rng.normal(0, noise, len(shares))
+        z[rng.choice(len(shares), p=shares)] += 4
+        rows.append((int(rng.integers(5, 500)), (np.exp(z) / np.exp(z).sum()).tolist()))
+    return spark.createDataFrame(rows, "n_tokens long, p array<double>"), rows
+
+
+def brute(mass, weights, targets):
+    """Expected totals of non-negative least squares, by active sets (Lawson and Hanson)."""
+    a, b = mass.T * weights[:, None], np.array(targets) * weights
+    free, r = np.zeros(a.shape[1], bool), np.zeros(a.shape[1])
+    for _ in range(200):
+        pull = a.T @ (b - a @ r)
+        pull[free] = -np.inf
+        if pull.max() <= 1e-9 * np.abs(a.T @ b).max():
+            break
+        free[pull.argmax()] = True
+        while True:
+            s = np.zeros_like(r)
+            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (s[free] > 0).all():
+                break
+            low = free & (s <= 0)
+            r = r + (r[low] / (r[low] - s[low])).min() * (s - r)
+            free &= r > 1e-12
+            r[~free] = 0
+        r = s
+    return mass.T @ r
+
+
+@pytest.mark.parametrize("noise", [0.5, 1.0])
+def test_totals_equal_brute_force_where_many_rates_are_zero(spark, noise):
+    table, rows = sure_table(spark, np.random.default_rng(4), 1500, [0.7, 0.15, 0.12, 0.03], noise)
+    mass = np.array([np.array(p) * n for n, p in rows])
+    targets = [mass[:, 0].sum() * TARGETS[d] / TARGETS["good_clean"] for d in DOMAINS]
+    rates = np.array(literal(rows, fit_rates(table, targets)))
+    square = np.array([n * np.array(p) ** 2 for n, p in rows]).sum(0)
+    assert (rates == 0).mean() > 0.1
+    assert rates @ mass == pytest.approx(brute(mass, square**-0.5, targets), rel=2e-3)
+
+
+def test_rare_domains_are_aimed_at(spark):
+    rows = [(100, [0.9999, 0.0001])] * 1999 + [(100, [0.01, 0.99])]  # 0.05 % by tokens, 0.1 % wanted
+    table = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    mass = np.array([np.array(p) * n for n, p in rows])
+    targets = [mass[:, 0].sum(), mass[:, 0].sum() * 0.001]
+    assert np.array(literal(rows, fit_rates(table, targets))) @ mass == pytest.approx(targets, rel=1e-3)
+
+
+def test_what_is_not_met_is_told(spark):
+    from postmill.llm.mixing import solve
+
+    table = spark.createDataFrame([(100, [0.7, 0.3, 0.0]), (50, [0.6, 0.4, 0.0])] * 20, "n_tokens long, p array<double>")
+    found = solve(table, [1000.0, 0.0, 10.0])
+    assert found.settled and found.unmet().tolist() == [0, 1, 2]
+    assert solve(table, [1400.0, 900.0, 0.0]).unmet().tolist() == []
