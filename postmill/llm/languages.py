@@ -11,6 +11,7 @@ Texts are parsed whole, many pieces in step: one table lookup moves every piece
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,10 +26,10 @@ from postmill.llm.text_features import fold
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents of a language that its automaton is built from at most, and letters of each.
 SAMPLE_DOCS, DOC_LETTERS = 64, 512
-#: Languages that are learnt at most: those with the most labelled documents.
-MAX_LANGUAGES = 64
-#: Letters that have a symbol of their own at most; rarer ones share one.
-LETTERS = 96
+#: Languages whose tables are sent to executors together; more are sent in further groups.
+GROUP = 32
+#: Places that are tried for a state's moves before the table grows.
+TRIES = 200
 #: A phrase ends here at the latest, so that long texts are parsed in pieces side by side.
 PIECE = 256
 #: How fast other languages lose credit for each bit a letter.
@@ -51,8 +52,8 @@ def letters(text: bytes | None) -> np.ndarray:
     return out[(out > 0) | np.concatenate([[False], out[:-1] > 0])]
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions (states x `size`, -1 where none) of the automaton of all substrings; state 0 is the start."""
+def automaton_moves(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -79,6 +80,12 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return moves
+
+
+def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
+    """The same as a dense table (states x `size`, -1 where none)."""
+    moves = automaton_moves(symbols)
     table = np.full((len(moves), size), -1, np.int32)
     for state, out in enumerate(moves):
         for c, to in out.items():
@@ -98,6 +105,43 @@ def parser(table: np.ndarray) -> np.ndarray:
     return np.where(full >= 0, 2 * full, 2 * start + 1).astype(np.int32).ravel()
 
 
+class Compact:
+    """An automaton whose states share one table: the move of a state by a symbol is at its base plus the symbol, if `owner` says so.
+
+    The size follows the transitions, not states times symbols, so alphabets may be large.
+    """
+
+    def __init__(self, moves: list[dict[int, int]], size: int):
+        rng = random.Random(0)
+        slots = max(64, 2 * sum(map(len, moves[1:])))
+        owner, to, base = [-1] * (slots + size), [0] * (slots + size), [0] * (len(moves) + 1)
+        for state in sorted(range(1, len(moves)), key=lambda s: -len(moves[s])):
+            out = moves[state]
+            for _ in range(TRIES):
+                at = rng.randrange(slots)
+                if all(owner[at + c] < 0 for c in out):
+                    break
+            else:
+                at = len(owner)
+                slots += 2 * size
+                owner += [-1] * (2 * size)
+                to += [0] * (2 * size)
+            base[state] = at
+            for c, target in out.items():
+                owner[at + c], to[at + c] = state, target
+        self.base, self.owner, self.to = (np.array(x, np.int32) for x in (base, owner, to))
+        self.lost = len(moves)  # follows symbols that the sample lacks; from here each symbol begins a phrase
+        self.start = np.full(size, self.lost, np.int32)
+        for c, target in moves[0].items():
+            self.start[c] = target
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins with these symbols."""
+        at = self.base[state] + symbols
+        begins = self.owner[at] != state
+        return np.where(begins, self.start[symbols], self.to[at]), begins
+
+
 class Model:
     """Parsing tables of the languages learnt, and the symbols of letters."""
 
@@ -105,14 +149,12 @@ class Model:
         found = {lang: [letters((t or "").encode())[:DOC_LETTERS] for t in kept] for lang, kept in sorted(samples.items())}
         joined = {lang: np.concatenate([np.append(x, 0) for x in kept]) for lang, kept in found.items() if any(map(len, kept))}
         self.langs = list(joined)
-        points, counts = np.unique(np.concatenate([*joined.values(), [0]]), return_counts=True)
-        own = sorted(points[np.lexsort((points, -counts))][: LETTERS - 1].tolist())
-        self.size = len(own) + 2
-        self.symbols = np.full(0x110000, self.size - 1, np.uint8)  # the last symbol: other letters
+        own = np.union1d(np.concatenate([*joined.values(), [0]]), [0]).astype(np.int64)  # 0 comes first
+        self.size = len(own) + 1
+        self.symbols = np.full(0x110000, self.size - 1, np.int32)  # the last symbol: letters of no sample
         self.symbols[own] = np.arange(len(own))
-        self.symbols[0] = 0
         self.bits = {lang: math.log2(len(x) + 1) for lang, x in joined.items()}
-        self.tables = {lang: parser(suffix_automaton(self.symbols[x].tolist(), self.size)) for lang, x in joined.items()}
+        self.tables = {lang: Compact(automaton_moves(self.symbols[x].tolist()), self.size) for lang, x in joined.items()}
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each sequence of symbols (rows) in each language (columns)."""
@@ -120,7 +162,7 @@ class Model:
         out = np.zeros((len(parts), len(self.langs)), np.int64)
         if not lengths.sum():
             return out
-        flat = np.concatenate([*parts, np.zeros(PIECE, np.uint8)])
+        flat = np.concatenate([*parts, np.zeros(PIECE, np.int32)])
         pieces = -(-lengths // PIECE)
         owner = np.repeat(np.arange(len(parts)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -132,30 +174,30 @@ class Model:
         active = np.searchsorted(-size, -np.arange(PIECE), "left")  # pieces that go on at this step
         for j, lang in enumerate(self.langs):
             table = self.tables[lang]
-            state = np.full(len(owner), len(table) // self.size - 1, np.int32)  # from here each symbol begins a phrase
+            state = np.full(len(owner), table.lost, np.int32)
             count = np.zeros(len(owner), np.int32)
             for t in range(PIECE):
                 if not (m := active[t]):
                     break
-                move = table[state[:m] * self.size + rows[t, :m]]
-                count[:m] += move & 1
-                state[:m] = move >> 1
+                state[:m], begins = table.step(state[:m], rows[t, :m])
+                count[:m] += begins
             out[:, j] = np.bincount(owner, count, len(parts)).astype(np.int64)
         return out
 
-    def predict(self, batch: list[bytes | None]) -> tuple[list[str], np.ndarray]:
-        """A language and a score for each text."""
+    def predict(self, batch: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """A language, a score and the bits a letter costs for each text."""
         parts = [self.symbols[letters(t)] for t in batch]
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         has_letter = np.fromiter(((p > 0).any() for p in parts), bool, len(parts))
-        names, scores = np.full(len(parts), "und", object), np.zeros(len(parts))
+        names, scores, bits = np.full(len(parts), "und", object), np.zeros(len(parts)), np.zeros(len(parts))
         if self.langs:
             cost = self.phrases(parts) * np.array([self.bits[lang] for lang in self.langs]) / np.maximum(1, lengths)[:, None]
             best = cost.argmin(1)  # the first of equals, by name
             weights = np.exp2(-SHARPNESS * (cost - cost.min(1, keepdims=True)))
             names[has_letter] = np.array(self.langs, object)[best[has_letter]]
             scores[has_letter] = 1 / weights.sum(1)[has_letter]
-        return names.tolist(), scores
+            bits[has_letter] = cost.min(1)[has_letter]
+        return names.tolist(), scores, bits
 
 
 def training_samples(docs: DataFrame, id_col: str = "doc_id") -> dict[str, list[str]]:
@@ -166,10 +208,9 @@ def training_samples(docs: DataFrame, id_col: str = "doc_id") -> dict[str, list[
     """
     known = docs.where(F.col(id_col).isNotNull() & F.col("lang").isNotNull() & (fold(id_col, FOLDS) != HELD_OUT))
     ids = known.select(F.col(id_col).alias("id"), F.col("lang").alias("l"))
-    common = [r["l"] for r in ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()]
     group, order = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLE_DOCS)), F.xxhash64("id", F.lit(2))
-    chosen = ids.where(F.col("l").isin(common)).groupBy("l", group.alias("g")).agg(F.min(F.struct(order, "id"))["id"].alias("id")).select("l", "id")
-    # At most MAX_LANGUAGES * SAMPLE_DOCS ids; code points enough for DOC_LETTERS letters of ordinary text.
+    chosen = ids.groupBy("l", group.alias("g")).agg(F.min(F.struct(order, "id"))["id"].alias("id")).select("l", "id")
+    # At most SAMPLE_DOCS ids of a language; code points enough for DOC_LETTERS letters of ordinary text.
     text = F.substring("text", 1, 4 * DOC_LETTERS)
     rows = known.join(F.broadcast(chosen), (F.col(id_col) == F.col("id")) & (F.col("lang") == F.col("l")))
     samples: dict[str, list[str]] = {}
@@ -178,21 +219,44 @@ def training_samples(docs: DataFrame, id_col: str = "doc_id") -> dict[str, list[
     return samples
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """For each row of `docs`: `id_col`, `held_out`, `lang_pred` and `score` (0 to 1).
-
-    Texts that are null or have no letter are `und` with score 0, as all are if nothing could be
-    learnt. Rows without id or language are not learnt from and are not held out; repeated rows each
-    give a row, an empty table none.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(Model(training_samples(docs, id_col)))
+def _predicted(docs: DataFrame, id_col: str, model: Model) -> DataFrame:
+    """`id_col`, `content` (the text's hash), `lang_pred`, `score` and `bits` of each row among the languages of one model."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, limit=BATCH_BYTES // 2):
-            names, scores = model.value.predict(texts(batch))
-            yield pa.RecordBatch.from_pydict({id_col: batch.column(id_col), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)})
+            names, scores, bits = shared.value.predict(texts(batch))
+            kept = {c: batch.column(c) for c in (id_col, "content")}
+            yield pa.RecordBatch.from_pydict(kept | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores), "bits": pa.array(bits)})
+
+    rows = docs.select(id_col, F.xxhash64("text").alias("content"), "text")
+    return rows.mapInArrow(run, f"`{id_col}` {kinds[id_col]}, content long, lang_pred string, score double, bits double")
 
-    predicted = docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kinds[id_col]}, lang_pred string, score double")
+
+def languages(docs: DataFrame, id_col: str = "doc_id", group: int = GROUP) -> DataFrame:
+    """For each row of `docs`: `id_col`, `held_out`, `lang_pred` and `score` (0 to 1).
+
+    Texts that are null or have no letter are `und` with score 0, as all are if nothing could be
+    learnt. Rows without id or language are not learnt from and are not held out; repeated rows each
+    give a row, an empty table none. All languages with labelled text are learnt; beyond `group` of them,
+    tasks hold one group's tables each and the groups' answers meet by id and text.
+    """
+    samples = training_samples(docs, id_col)
+    names = sorted(samples)
+    models = (Model({n: samples[n] for n in names[i : i + group]}) for i in range(0, max(1, len(names)), group))
+    parts = [_predicted(docs, id_col, m).withColumn("part", F.lit(k)) for k, m in enumerate(models)]
+    predicted = parts[0]
+    if len(parts) > 1:
+        for more in parts[1:]:
+            predicted = predicted.union(more)
+        # A group whose languages had no letters knows none and has score 0.
+        one = F.struct(F.col("score") == 0, "bits", "lang_pred", "score")
+        best = predicted.groupBy(id_col, "content", "part").agg(F.min(one).alias("o"), F.count("*").alias("n"))
+        best = best.groupBy(id_col, "content").agg(F.min("o").alias("o"), F.collect_list("o").alias("all"), F.min("n").alias("n"))
+        weight = lambda x: F.when(x["score"] > 0, F.pow(F.lit(2.0), F.lit(-SHARPNESS) * (x["bits"] - F.col("o.bits"))) / x["score"]).otherwise(0.0)
+        total = F.aggregate("all", F.lit(0.0), lambda a, x: a + weight(x))
+        best = best.select(id_col, "n", F.col("o.lang_pred").alias("lang_pred"), F.when(total > 0, 1 / total).otherwise(0.0).alias("score"))
+        predicted = best.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     held = F.coalesce(fold(id_col, FOLDS) == HELD_OUT, F.lit(False))
     return predicted.select(id_col, held.alias("held_out"), "lang_pred", "score")

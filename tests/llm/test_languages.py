@@ -87,3 +87,35 @@ def test_nothing_to_learn(spark):
 @pytest.mark.parametrize("sample", [[0], [1, 1, 1]])
 def test_parser_of_tiny_samples(sample):
     assert parser(suffix_automaton(sample, 2)).shape == ((len(sample) + 2) * 2,)
+
+
+def script_texts(rng, n):
+    """Two rare languages of large alphabets beside a common one that has 120 letters."""
+    words = {lang: ["".join(chr(first + 3 * i + k) for k in range(3)) for i in range(100)] for lang, first in (("aa", 0xAC00), ("xx", 0x4E00), ("yy", 0x5E00))}
+    words["aa"] = words["aa"][:40]
+    langs = [rng.choices(["aa", "xx", "yy"], [8, 1, 1])[0] for _ in range(n)]
+    return langs, ["".join(rng.choices(words[lang], k=120 if lang == "aa" else 15)) for lang in langs]
+
+
+def test_rare_scripts_keep_their_letters(spark):
+    langs, texts = script_texts(random.Random(6), 500)
+    got = {r["doc_id"]: r["lang_pred"] for r in languages(docs(spark, texts, langs=langs)).collect()}
+    assert np.mean([got[i] == lang for i, lang in enumerate(langs) if lang != "aa"]) > 0.98
+
+
+def test_groups_of_languages_equal_one(spark):
+    rng = random.Random(8)
+    langs = [rng.choice(sorted(SYLLABLES)) for _ in range(150)]
+    texts = [text(rng, lang, 20) for lang in langs]
+    table = docs(spark, [*texts, None, "12", texts[0]], ids=[*range(150), None, 150, 0], langs=[*langs, None, None, None])
+    key = lambda r: (str(r["doc_id"]), r["lang_pred"])
+    one, two = (sorted(languages(table, group=g).collect(), key=key) for g in (3, 2))
+    assert [key(r) for r in one] == [key(r) for r in two] and len(two) == 153
+    assert [r["score"] for r in two] == pytest.approx([r["score"] for r in one])
+
+
+def test_more_than_64_languages_are_learnt(spark):
+    langs = [f"l{i % 70:02}" for i in range(1120)]
+    texts = ["".join(chr(0x4E00 + 20 * (i % 70) + (i * 7 + k * k) % 20) for k in range(30)) for i in range(1120)]
+    got = languages(docs(spark, texts, langs=langs)).collect()
+    assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in got]) > 0.98
