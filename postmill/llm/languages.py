@@ -17,15 +17,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import BATCH_BYTES, bounded, texts
+from postmill.llm.common import BATCH_BYTES, bounded, over_texts, texts
 from postmill.llm.text_features import fold
 
 FOLDS, HELD_OUT = 4, 2
 #: Labelled documents of a language that its automaton is built from at most, and letters of each.
 SAMPLE_DOCS, DOC_LETTERS = 64, 512
+#: Stretches of a longer text that these letters are taken from.
+WINDOWS = 4
 #: Languages whose tables are sent to executors together; more are sent in further groups.
 GROUP = 32
 #: Places that are tried for a state's moves before the table grows.
@@ -52,6 +55,19 @@ def letters(text: bytes | None) -> np.ndarray:
     return out[(out > 0) | np.concatenate([[False], out[:-1] > 0])]
 
 
+def windows(text: bytes | None) -> str:
+    """The letters of a text; of a longer one as many as DOC_LETTERS, in windows at offsets that its hash draws.
+
+    Each window falls in its own part of the text, so that beginnings weigh no more than the rest.
+    """
+    found = letters(text)
+    if len(found) > DOC_LETTERS:
+        size, ends = DOC_LETTERS // WINDOWS, [len(found) * i // WINDOWS for i in range(WINDOWS + 1)]
+        starts = [a + xxhash.xxh64_intdigest(text, i) % (b - a - size + 1) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+        found = np.concatenate([np.append(found[a : a + size], np.uint32(0)) for a in starts])
+    return "".join(map(chr, np.where(found > 0, found, 32).tolist()))
+
+
 def automaton_moves(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of each state of the automaton of all substrings; state 0 is the start."""
     moves: list[dict[int, int]] = [{}]
@@ -146,7 +162,7 @@ class Model:
     """Parsing tables of the languages learnt, and the symbols of letters."""
 
     def __init__(self, samples: dict[str, list[str | None]]):
-        found = {lang: [letters((t or "").encode())[:DOC_LETTERS] for t in kept] for lang, kept in sorted(samples.items())}
+        found = {lang: [letters((t or "").encode()) for t in kept] for lang, kept in sorted(samples.items())}
         joined = {lang: np.concatenate([np.append(x, 0) for x in kept]) for lang, kept in found.items() if any(map(len, kept))}
         self.langs = list(joined)
         own = np.union1d(np.concatenate([*joined.values(), [0]]), [0]).astype(np.int64)  # 0 comes first
@@ -201,7 +217,7 @@ class Model:
 
 
 def training_samples(docs: DataFrame, id_col: str = "doc_id") -> dict[str, list[str]]:
-    """Beginnings of at most SAMPLE_DOCS labelled texts of each language outside the held-out fold.
+    """Letters of at most SAMPLE_DOCS labelled texts of each language outside the held-out fold.
 
     The ids of a language are dealt to as many groups by hash, and the least hash of each group wins;
     this gathers ids only, combines before it shuffles, and then reads the texts chosen.
@@ -210,11 +226,11 @@ def training_samples(docs: DataFrame, id_col: str = "doc_id") -> dict[str, list[
     ids = known.select(F.col(id_col).alias("id"), F.col("lang").alias("l"))
     group, order = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLE_DOCS)), F.xxhash64("id", F.lit(2))
     chosen = ids.groupBy("l", group.alias("g")).agg(F.min(F.struct(order, "id"))["id"].alias("id")).select("l", "id")
-    # At most SAMPLE_DOCS ids of a language; code points enough for DOC_LETTERS letters of ordinary text.
-    text = F.substring("text", 1, 4 * DOC_LETTERS)
-    rows = known.join(F.broadcast(chosen), (F.col(id_col) == F.col("id")) & (F.col("lang") == F.col("l")))
+    # At most SAMPLE_DOCS ids of a language.
+    rows = known.join(F.broadcast(chosen), (F.col(id_col) == F.col("id")) & (F.col("lang") == F.col("l"))).select("l", "id", "text")
+    taken = over_texts(rows, ["l", "id"], "t string", lambda batch: {"t": pa.array([windows(t) for t in batch], pa.string())})
     samples: dict[str, list[str]] = {}
-    for lang, one in rows.groupBy("l", "id").agg(F.min(text).alias("t")).orderBy("l", "id").select("l", "t").collect():
+    for lang, one in taken.groupBy("l", "id").agg(F.min("t").alias("t")).orderBy("l", "id").select("l", "t").collect():
         samples.setdefault(lang, []).append(one)
     return samples
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.llm.languages import Model, letters, languages, parser, suffix_automaton
 from tests.llm.fixtures import awkward, docs
@@ -119,3 +120,13 @@ def test_more_than_64_languages_are_learnt(spark):
     texts = ["".join(chr(0x4E00 + 20 * (i % 70) + (i * 7 + k * k) % 20) for k in range(30)) for i in range(1120)]
     got = languages(docs(spark, texts, langs=langs)).collect()
     assert np.mean([r["lang_pred"] == langs[r["doc_id"]] for r in got]) > 0.98
+
+
+def test_a_shared_beginning_hides_nothing(spark):
+    rng = random.Random(9)
+    langs = [rng.choice(sorted(SYLLABLES)) for _ in range(200)]
+    header = "licence " * 400 + "1234 " * 600
+    table = docs(spark, [header + text(rng, lang, 900) for lang in langs], langs=langs)
+    bare = docs(spark, [text(rng, lang, 40) for lang in langs], ids=range(1000, 1200)).withColumn("lang", F.lit(None).cast("string"))
+    got = {r["doc_id"]: r["lang_pred"] for r in languages(table.union(bare)).collect()}
+    assert np.mean([got[1000 + i] == lang for i, lang in enumerate(langs)]) > 0.98
