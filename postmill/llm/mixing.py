@@ -1,14 +1,16 @@
 """Mixing documents to target weights by soft domain membership.
 
 A classifier fitted on a labelled table gives each document a posterior over domains. With n_i
-tokens and posterior p_i, a document kept at rate r_i >= 0 adds r_i n_i p_i expected tokens. Of the
-rates that meet the target totals t, those nearest to 1 (by tokens) are r_i = max(0, 1 - p_i . g) with
+tokens and posterior p_i, a document kept at rate r_i >= 0 adds r_i n_i p_i expected tokens. The rates are the
+nonnegative least squares fit of the domains' expected totals to their targets t that is nearest to rates of 1.
+It is found by projected gradient in its lazy form, where gradients add up before they are projected:
 
-    sum_i n_i max(0, 1 - p_i . g) p_i = t
+    r_i = max(0, 1 - p_i . g),    g <- g + H (sum_i n_i r_i p_i - t)
 
-which minimises a convex function of the few numbers g. Newton's method finds it: each step is one
-distributed sum over the documents, of the moments of those whose rate is above zero. A small ridge on g
-makes what cannot be met be met as nearly as least squares can. A rate depends on its document's
+The sum in brackets is the gradient of the squares by the totals, one distributed sum over the documents for a
+step. H is the inverse of the moments of the documents whose rate is above zero, of which the same
+pass takes the sums, so that few steps do (a projected Newton step; its length is chosen among several in one pass). A small
+ridge on g makes what cannot be met be met as nearly as least squares can. A rate depends on its document's
 posterior and g alone, so it can be recomputed anywhere.
 """
 
@@ -45,8 +47,6 @@ TOLERANCE = 1e-6
 UNMET = 1e-3
 #: Lengths of a step that are tried in one pass.
 LENGTHS = 0.5 ** np.arange(10)
-#: A rate this close to one, or to a whole number above, is taken for it when documents are drawn.
-SNAP = 0.1
 
 #: Domains of the labels' two marks, and the share of tokens that the production mix aims at.
 DOMAINS = ("good_clean", "good_toxic", "poor_clean", "poor_toxic")
@@ -261,7 +261,7 @@ def solve(members: DataFrame, targets: list[float], steps: int = STEPS, toleranc
 
 
 def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The steps g that `solve` finds."""
+    """The steps that `solve` finds."""
     return solve(members, targets, steps, tolerance).steps
 
 
@@ -280,11 +280,10 @@ def _draw(id_col: str) -> Column:
     return F.pmod(F.xxhash64(id_col, "text", F.lit(9)), F.lit(1 << 53)) / float(1 << 53)
 
 
-def copies(rate_col: str, draw: Column, snap: float = SNAP) -> Column:
+def copies(rate_col: str, draw: Column) -> Column:
     """How often a document is drawn: its rate, rounded at random so that it is met on average."""
     r = F.col(rate_col)
-    settled = F.when((r > 0.5) & (F.abs(r - F.round(r)) <= snap), F.round(r)).otherwise(r)
-    return (F.floor(settled) + (draw < settled - F.floor(settled)).cast("int")).cast("long")
+    return (F.floor(r) + (draw < r - F.floor(r)).cast("int")).cast("long")
 
 
 def _members(docs: DataFrame, classifier: Classifier, id_col: str) -> DataFrame:
@@ -322,7 +321,9 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str = "good_clean", id_col: str = "doc_id") -> DataFrame:
     """`docs` as the mix draws them: each row as often as its copies; the same columns.
 
-    Rows are scored again where they stand, as their rate follows from the text; no text is shuffled.
+    Rows are scored again where they stand, as their rate follows from the text; no text is shuffled. Null
+    and empty texts have a rate like any other, by the posterior of a text without words; rows that repeat with
+    their id are drawn alike; rows without id are drawn by their text alone; an empty table gives an empty one.
     """
     _, mix = mixing_rates(docs, labelled, targets, anchor, id_col)
     m, r, n = (f"_{c}" + "_" * max(map(len, docs.columns), default=0) for c in "mrn")
