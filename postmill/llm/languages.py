@@ -5,7 +5,9 @@ is parsed greedily into the longest phrases that occur in the sample (Ziv and Me
 relative entropy between individual sequences", 1993); with c phrases over n letters and a sample of
 N letters, c log2(N) / n estimates the bits a letter costs. The language of the least cost wins.
 
-Texts are parsed whole, many pieces in step: one table lookup moves every piece on by a letter.
+Texts are parsed whole, many pieces of them in step: one table lookup moves every piece on by a letter. A piece is
+parsed first as if a phrase began with it; then the phrase that runs into it from the piece before goes on until both
+parses are in one state, from where they are the same. So the counts are those of one parse from letter to letter.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ WINDOWS = 4
 GROUP = 32
 #: Places that are tried for a state's moves before the table grows.
 TRIES = 200
-#: A phrase ends here at the latest, so that long texts are parsed in pieces side by side.
+#: Letters of the pieces that long texts are parsed in, side by side.
 PIECE = 256
 #: How fast other languages lose credit for each bit a letter.
 SHARPNESS = 6.0
@@ -158,6 +160,51 @@ class Compact:
         return np.where(begins, self.start[symbols], self.to[at]), begins
 
 
+def _parsed(table: Compact, rows: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Phrases that begin in each piece: `rows` has a step's symbols, `size` falls, `before` is the piece before or -1."""
+    states = np.full((PIECE + 1, len(size)), table.lost, np.int32)
+    begun = np.zeros((PIECE + 1, len(size)), np.int16)  # phrases begun so far
+    for t in range(PIECE):
+        m = np.searchsorted(-size, -t, "left")  # pieces that go on at this step
+        if not m:
+            break
+        states[t + 1, :m], begins = table.step(states[t, :m], rows[t, :m])
+        begun[t + 1, :m] = begun[t, :m] + begins
+    count = begun[size, np.arange(len(size))].astype(np.int64)
+    alone, ends = count.copy(), states[PIECE].copy()  # only whole pieces run into another
+    after = np.full(len(size), -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+    waiting = np.flatnonzero(before >= 0)
+    while len(waiting):
+        # In the first round all pieces go on from what the one before came to alone; then those whose one before came to something else.
+        changed = []
+        at, state, extra = waiting, ends[before[waiting]], np.zeros(len(waiting), np.int64)
+        for t in range(PIECE):
+            over = size[at] <= t
+            if over.any():
+                count[at[over]] = extra[over]
+                at, state, extra = at[~over], state[~over], extra[~over]
+            met = state == states[t, at]
+            if met.any():
+                done = at[met]
+                count[done] = extra[met] + alone[done] - begun[t, done]
+                changed.append(done[ends[done] != states[PIECE, done]])
+                ends[done] = states[PIECE, done]
+                at, state, extra = at[~met], state[~met], extra[~met]
+            if not len(at):
+                break
+            state, begins = table.step(state, rows[t, at])
+            extra += begins
+        if len(at):  # whole pieces in which the parses never met
+            count[at] = extra
+            changed.append(at[ends[at] != state])
+            ends[at] = state
+        changed = np.concatenate([*changed, np.empty(0, np.int64)]).astype(np.int64)
+        waiting = after[changed]
+        waiting = waiting[waiting >= 0]
+    return count
+
+
 class Model:
     """Parsing tables of the languages learnt, and the symbols of letters."""
 
@@ -185,18 +232,13 @@ class Model:
         start = (np.cumsum(lengths) - lengths)[owner] + nth * PIECE
         size = np.minimum(PIECE, lengths[owner] - nth * PIECE)
         order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        rows = flat[start + np.arange(PIECE)[:, None]].astype(np.int32)  # a row for each step
-        active = np.searchsorted(-size, -np.arange(PIECE), "left")  # pieces that go on at this step
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        before = np.where(nth > 0, rank[np.arange(len(order)) - 1], -1)[order]  # the piece that runs into this one
+        owner, size = owner[order], size[order]
+        rows = flat[start[order] + np.arange(PIECE)[:, None]].astype(np.int32)  # a row for each step
         for j, lang in enumerate(self.langs):
-            table = self.tables[lang]
-            state = np.full(len(owner), table.lost, np.int32)
-            count = np.zeros(len(owner), np.int32)
-            for t in range(PIECE):
-                if not (m := active[t]):
-                    break
-                state[:m], begins = table.step(state[:m], rows[t, :m])
-                count[:m] += begins
+            count = _parsed(self.tables[lang], rows, size, before)
             out[:, j] = np.bincount(owner, count, len(parts)).astype(np.int64)
         return out
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.llm import languages as lang_module
 from postmill.llm.languages import Model, letters, languages, parser, suffix_automaton
 from tests.llm.fixtures import awkward, docs
 
@@ -48,13 +49,31 @@ def test_phrases_equal_the_literal_parse():
     for lang in SYLLABLES:
         samples[lang] = model.symbols[np.append(letters(text(rng, lang, 60).encode()), 0)].tolist()
     parts = [model.symbols[letters(text(rng, lang, n).encode())] for lang in SYLLABLES for n in (1, 5, 30)] + [model.symbols[letters("zzz qqq ment".encode())]]
-    parts = [p[:256] for p in parts]
     got = model.phrases(parts)
     for i, p in enumerate(parts):
         for j, lang in enumerate(model.langs):
             assert got[i, j] == greedy_phrases(samples[lang], p.tolist())
 
 
+@pytest.mark.parametrize("piece", [1, 7, 256])
+def test_long_texts_are_one_parse(monkeypatch, piece):
+    """Texts of up to 30,000 letters against a parse from letter to letter, among them runs that never fall in step."""
+    monkeypatch.setattr(lang_module, "PIECE", piece)
+    rng = random.Random(7)
+    model = Model({"aa": [text(rng, "aa", 60)], "bb": [text(rng, "bb", 80), "a" * 10]})
+    n = 30_000 if piece == 256 else 2_000
+    made = [text(rng, "bb", n // 6), "a" * n, "ab" * (n // 2), text(rng, "aa", 300) + "a" * 700 + text(rng, "bb", 300), "", "z" * 600]
+    parts = [model.symbols[letters(t.encode())] for t in made]
+    got = model.phrases(parts)
+    for i, part in enumerate(parts):
+        for j, lang in enumerate(model.langs):
+            table, state, count = model.tables[lang], np.array([model.tables[lang].lost]), 0
+            for c in part.tolist():
+                state, begins = table.step(state, np.array([c]))
+                count += int(begins[0])
+            assert got[i, j] == count
+
+
 def test_held_out_accuracy_and_odd_texts(spark):
     rng = random.Random(3)
     langs = [rng.choice(sorted(SYLLABLES)) for _ in range(400)]
