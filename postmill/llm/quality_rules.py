@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs limit false rejections, with DataFrame functions only.
 
-Each rule is a ratio of a text. Labelled good documents show, in each stratum (length band),
-how many a cutoff would reject. A cutoff is certified if the exact binomial test refutes that
-its false-rejection rate exceeds the rule's share of `alpha`. Cutoffs of a rule are tested from
-the most lenient on, and stop at the first failure (fixed-sequence testing); the error `delta` is
-divided by the number of rules and strata (Bonferroni). So with probability 1 - `delta`, in every
-stratum at most `alpha` of the good documents are rejected by all rules together. Of a rule's certified
-cutoffs the most lenient one is used that still rejects nearly all the labelled poor documents that
-the strictest one does; all are certified at once, so the choice is free.
+Each rule is a ratio of a text, and has cutoffs from a lenient to a strict one. The rules' cutoffs of one
+level are used together, so the levels are one chain of joint decisions, each of which rejects all that the one before
+rejects. Labelled good documents show, in each stratum (length band), how many a level would reject. A level is certified
+if the exact binomial test refutes that it rejects more than `alpha` of the good documents. Levels are tested from the
+most lenient on, and stop at the first failure (fixed-sequence testing, which needs no further correction within a
+stratum); the error `delta` is divided by the number of strata (Bonferroni). So with probability 1 - `delta`, in every
+stratum at most `alpha` of the good documents that pass the base rules are rejected. 67 good documents of a stratum, none
+of them rejected, are enough for a level. Of the certified levels the most lenient one is used that still rejects
+nearly all the labelled poor documents that the strictest one does; all are certified at once, so the choice is free.
 """
 
 from __future__ import annotations
@@ -26,10 +27,17 @@ DELTA = 0.1
 POWER = 0.98
 #: Words at which the next length band begins.
 BANDS = (200, 1000)
-#: Cutoffs of every rule, from the most lenient one.
-CUTOFFS = (0.5, 0.35, 0.25, 0.18, 0.12, 0.08, 0.05, 0.03, 0.02)
-#: Rules: a document is rejected if the ratio is above the cutoff.
-RULES = ("symbol_share", "capital_share", "exclaimed_words", "dup_line_share", "repeat_share")
+#: Rules and their most lenient and strictest cutoffs: a document is rejected if the ratio is above the cutoff.
+RULES = {"symbol_share": (0.5, 0.01), "capital_share": (0.5, 0.1), "exclaimed_words": (0.5, 0.02), "dup_line_share": (0.5, 0.1), "repeat_share": (0.3, 0.1)}
+#: Levels of the chain.
+LEVELS = 12
+
+
+def cutoffs(rule: str) -> list[float]:
+    """The cutoffs of a rule, level by level, in equal ratios."""
+    lenient, strict = RULES[rule]
+    return [round(lenient * (strict / lenient) ** (k / (LEVELS - 1)), 6) for k in range(LEVELS)]
+
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -40,12 +48,14 @@ def _count(text: str, kind: str) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """`id_col`, the counts of each whole text (a null is an empty text) and the rules' ratios.
+    """`id_col`, the counts of each whole text (a null is an empty text) and the `level` from which on it is rejected.
 
     Windows of eight words are compared by 64-bit hashes within a text. Only texts where a hash
     comes twice get sorted, so the work stays near-linear for very long ones.
     """
     at = lambda a, i: F.element_at(a, (i + 1).cast("int"))
+    # Hashes of runs twice as long, from those of neighbouring runs.
+    doubled = lambda a, n: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0))), F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0))), lambda x, y: F.xxhash64(x, y))
     zero, last = F.lit(0).cast("long"), F.size("wins")
     d = docs.select(id_col, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.select("*", F.filter(F.split("text", _SPACE), lambda w: w != "").alias("words"), F.filter(F.split("text", r"\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
@@ -56,8 +66,7 @@ def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("codes"),
     )
-    starts = F.slice("codes", 1, F.greatest(F.size("codes") - (WINDOW - 1), F.lit(0)))
-    d = d.withColumn("wins", F.transform(starts, lambda w, i: F.xxhash64(w, *(at(F.col("codes"), i + k) for k in range(1, WINDOW))))).drop("codes")
+    d = d.withColumn("pairs", doubled("codes", 1)).drop("codes").withColumn("fours", doubled("pairs", 2)).drop("pairs").withColumn("wins", doubled("fours", 4)).drop("fours")
     d = d.withColumn("sorted", F.when(F.size(F.array_distinct("wins")) < last, F.sort_array(F.transform("wins", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("wins")
     twin = lambda x, k: ((k > 0) & (at(F.col("sorted"), F.greatest(k - 1, F.lit(0)))["h"] == x["h"])) | ((k + 1 < F.size("sorted")) & (at(F.col("sorted"), F.least(k + 1, F.size("sorted") - 1))["h"] == x["h"]))
     d = d.withColumn("starts", F.sort_array(F.transform(F.filter("sorted", twin), lambda x: x["i"].cast("long")))).drop("sorted")
@@ -67,7 +76,18 @@ def features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ratios = (share("n_symbols", "word_chars"), share("n_capitals", "word_chars"), share("n_exclaimed", "n_words"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     band = sum(((F.col("n_words") >= b).cast("int") for b in BANDS), F.lit(0))
-    return d.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), band.alias("band"), *(r.alias(n) for r, n in zip(ratios, RULES, strict=True)))
+    return d.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), band.alias("band"), level_of(dict(zip(RULES, ratios, strict=True))).alias("level"))
+
+
+def level_of(ratios: dict[str, Column]) -> Column:
+    """The first level (from 1) at which one of the ratios is above its rule's cutoff; one more than LEVELS if none."""
+    firsts = []
+    for rule, ratio in ratios.items():
+        first = F.lit(LEVELS + 1)
+        for k, c in reversed(list(enumerate(cutoffs(rule), 1))):
+            first = F.when(ratio > c, k).otherwise(first)
+        firsts.append(first)
+    return F.least(*firsts)
 
 
 def _log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
@@ -83,26 +103,22 @@ def _log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, add, lambda a: a["total"])
 
 
-def certified_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """`band` and `cutoffs` (one for each rule, null where none is certified) from features with `quality`.
+def certified_levels(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """`band` and `used`, the level that is applied (null where none is certified), from features with `quality`.
 
     At most one row for each length band. Only good documents (quality 1) certify; poor ones (0) choose among
-    certified cutoffs. A band without good documents has no cutoffs.
+    certified levels, and without any the most lenient is used. A band without good documents has no level.
     """
-    each, error = alpha / len(RULES), math.log(delta / (len(RULES) * (len(BANDS) + 1)))
-    over = [F.array(*(F.count_if((F.col("quality") == q) & (F.col(rule) > c)) for c in CUTOFFS)).alias(f"{rule}_{q}") for rule in RULES for q in (0, 1)]
+    error = math.log(delta / (len(BANDS) + 1))
+    over = [F.array(*(F.count_if((F.col("quality") == q) & (F.col("level") <= k)) for k in range(1, LEVELS + 1))).alias(f"over_{q}") for q in (0, 1)]
     counts = labelled.groupBy("band").agg(F.count_if(F.col("quality") == 1).alias("n"), *over)
-
-    def chosen(rule: str) -> Column:
-        # k above its expectation can't pass, and isn't summed.
-        passed = F.transform(f"{rule}_1", lambda k: F.when(k < F.col("n") * each, _log_binomial_cdf(F.col("n"), k, each) <= error).otherwise(False))
-        fails = F.array_position(passed, F.lit(False))  # 0 if all pass
-        strictest = F.when(fails == 0, len(CUTOFFS)).otherwise(fails - 1).cast("int")
-        enough = F.element_at(f"{rule}_0", F.greatest(strictest, F.lit(1))) * POWER
-        used = F.array_position(F.transform(f"{rule}_0", lambda k: k >= enough), F.lit(True))
-        return F.when(strictest > 0, F.element_at(F.array(*map(F.lit, CUTOFFS)), used.cast("int")))
-
-    return counts.select("band", F.array(*map(chosen, RULES)).alias("cutoffs"))
+    # k above its expectation can't pass, and isn't summed.
+    passed = F.transform("over_1", lambda k: F.when(k < F.col("n") * alpha, _log_binomial_cdf(F.col("n"), k, alpha) <= error).otherwise(False))
+    fails = F.array_position(passed, F.lit(False))  # 0 if all pass
+    strictest = F.when(fails == 0, LEVELS).otherwise(fails - 1).cast("int")
+    enough = F.element_at("over_0", F.greatest(strictest, F.lit(1))) * POWER
+    used = F.array_position(F.transform("over_0", lambda k: k >= enough), F.lit(True))
+    return counts.select("band", F.when(strictest > 0, used.cast("int")).alias("used"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id") -> DataFrame:
@@ -116,9 +132,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     known = labels.groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("quality"))
     labelled = found.where(~F.col("base_failed")).join(known, id_col)
     # One row for each length band: len(BANDS) + 1 at most.
-    ruled = found.join(F.broadcast(certified_cutoffs(labelled, alpha, delta)), "band", "left")
-    rejects = [F.coalesce(F.col(rule) > F.element_at("cutoffs", i + 1), F.lit(False)) for i, rule in enumerate(RULES)]
-    kept = ~F.col("base_failed")
-    for reject in rejects:
-        kept = kept & ~reject
+    ruled = found.join(F.broadcast(certified_levels(labelled, alpha, delta)), "band", "left")
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("level") <= F.col("used"), F.lit(False))
     return ruled.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

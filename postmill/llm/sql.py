@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from postmill.llm.decontaminate import WINDOW as TEST_WINDOW
 from postmill.llm.fixity import PAGE_AUDIT_SQL
-from postmill.llm.quality_rules import ALPHA, BANDS, CUTOFFS, DELTA, POWER, RULES
+from postmill.llm.quality_rules import ALPHA, BANDS, DELTA, LEVELS, POWER, RULES, cutoffs
 from postmill.llm.substrings import WINDOW as REPEAT_WINDOW
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -35,8 +35,10 @@ kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS said FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
 """
 
-_SHARE = ALPHA / len(RULES)
-_CDF = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}) + (n - i) * ln(1 - {_SHARE}))))"
+_CDF = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))"
+
+_RATIOS = dict(zip(RULES, ("n_symbols / greatest(word_chars, 1)", "n_capitals / greatest(word_chars, 1)", "n_exclaimed / greatest(n_words, 1)", "n_dup_lines / greatest(n_lines, 1)", "n_repeat_words / greatest(n_words, 1)"), strict=True))
+_LEVEL = "least(" + ", ".join(f"coalesce(nullif(list_position([{', '.join(f'{x} > CAST({c} AS DOUBLE)' for c in cutoffs(r))}], true), 0), {LEVELS + 1})" for r, x in _RATIOS.items()) + ")"
 
 QUALITY_RULES_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_PLAIN_WORDS} AS w FROM documents),
@@ -51,16 +53,15 @@ counts AS (
   FROM lined LEFT JOIN repeats USING (r)),
 ratios AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {" + ".join(f"CAST(n_words >= {b} AS INTEGER)" for b in BANDS)} AS band,
-    [n_symbols / greatest(word_chars, 1), n_capitals / greatest(word_chars, 1), n_exclaimed / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1)] AS x
+    {_LEVEL} AS level
   FROM counts),
 labelled AS (SELECT * FROM ratios JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
-tries AS (SELECT band, rule, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND x[rule] > cutoff) AS k, count(*) FILTER (quality = 0 AND x[rule] > cutoff) AS poor FROM labelled, (SELECT unnest(range(1, {len(RULES) + 1})) AS rule), (SELECT unnest([{", ".join(map(str, CUTOFFS))}]::DOUBLE[]) AS cutoff) GROUP BY ALL),
-judged AS (SELECT *, CASE WHEN k < n * {_SHARE} THEN {_CDF} <= {DELTA} / {len(RULES) * (len(BANDS) + 1)} ELSE false END AS passed FROM tries),
-passing AS (SELECT * FROM (SELECT *, coalesce(max(cutoff) FILTER (NOT passed) OVER (PARTITION BY band, rule), -1) AS failing FROM judged) WHERE cutoff > failing),
-certified AS (SELECT band, rule, max(cutoff) FILTER (poor >= {POWER} * most) AS cutoff FROM (SELECT *, max(poor) OVER (PARTITION BY band, rule) AS most FROM passing) GROUP BY band, rule),
-rejected AS (SELECT DISTINCT r FROM ratios JOIN certified USING (band) WHERE x[rule] > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.r IS NULL AS kept
-FROM ratios LEFT JOIN rejected USING (r)
+tries AS (SELECT band, l, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND level <= l) AS k, count(*) FILTER (quality = 0 AND level <= l) AS poor FROM labelled, (SELECT unnest(range(1, {LEVELS + 1})) AS l) GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN k < n * CAST({ALPHA} AS DOUBLE) THEN {_CDF} <= {DELTA} / {len(BANDS) + 1} ELSE false END AS passed FROM tries),
+passing AS (SELECT * FROM (SELECT *, coalesce(min(l) FILTER (NOT passed) OVER (PARTITION BY band), {LEVELS + 1}) AS failing FROM judged) WHERE l < failing),
+certified AS (SELECT band, min(l) FILTER (poor >= {POWER} * most) AS used FROM (SELECT *, max(poor) OVER (PARTITION BY band) AS most FROM passing) GROUP BY band)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(level > used, true) AS kept
+FROM ratios LEFT JOIN certified USING (band)
 """
 
 ORACLE_SQL = {
