@@ -35,3 +35,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def named_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`fp` and `component_id`, the smallest `first` of what is linked, for each row of `nodes` (`fp`, `first`).
+
+    `links` (`a`, `b`) are of `fp`. Nodes are compared by `first`, so a component's root carries its id and no
+    component is grouped or joined by its root. A null `first` is never the smallest unless alone.
+    """
+    named = nodes.select("fp", "first", F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("node"))
+    ends = links.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    roots = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "of")
+    return named.join(roots, F.col("node") == F.col("of"), "left").select("fp", F.coalesce("root.first", "first").alias("component_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bounded, checkpoint, lower_words, mix, over_texts, texts
-from postmill.llm.components import connected_components
+from postmill.llm.components import named_components
 
 SHINGLE, SEED = 5, 42
 #: The least similarity of a link, as a fraction.
@@ -176,7 +176,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> Da
     meet = checkpoint(keyed.join(buckets.select("key"), "key").select("fp", "content", "key"))
     sets = _sets(docs, meet.select("content"))
     dealt = tiled(meet.select("fp", "key"), tile).join(sets, "fp").repartition("key").sortWithinPartitions("key", "fp")
-    roots = connected_components(dealt.select("fp", "key", "side", "found").mapInArrow(_links, "a long, b long").distinct())
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select(id_col, "fp").join(joined.join(firsts, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+    links = checkpoint(dealt.select("fp", "key", "side", "found").mapInArrow(_links, "a long, b long").distinct())
+    return prints.select(id_col, "fp").join(named_components(nodes, links), "fp").select(id_col, "component_id")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import checkpoint, lower_words, over_texts
-from postmill.llm.components import connected_components
+from postmill.llm.components import named_components
 from postmill.llm.jaccard import near_copies, tiled
 
 SHINGLE = 4
@@ -153,19 +153,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     fps = checkpoint(fingerprints(docs, id_col))
     nodes = checkpoint(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = connected_components(links(nodes.select("fp")))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left")
-    joined = joined.select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = joined.join(firsts, "root").select("fp", "component_id")
+    named = named_components(nodes, links(nodes.select("fp")))
     return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One document of each group of near copies: the one of the smallest id; the same columns.
 
-    Near copies share 0.8 or more of their five-word shingles (`near_copies`), not the query's fingerprints. Rows without id come after all others; of rows with equal id and text one stays. Texts move once,
-    to meet the keys that stay.
+    Near copies share 0.8 or more of their five-word shingles (`near_copies`), not the query's fingerprints. Texts
+    without words are copies of each other. Rows without id come after all others; of rows with equal id and text
+    one stays; an empty table gives an empty one. Texts move once, to meet the keys that stay.
     """
     key, content = (f"_{x}" + "_" * max(map(len, docs.columns), default=0) for x in ("key", "content"))
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))
