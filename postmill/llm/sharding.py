@@ -81,10 +81,11 @@ def exact_shuffle(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Da
     """`rows` with `shard` (0 to `shards` - 1, row counts at most one apart) and `slot` (the place
     in the shard, gapless from 0), a uniform random permutation given the seed and input order.
 
-    Any columns, nulls and repeated rows pass unchanged; with fewer rows than shards some shards
-    stay empty; an empty table gives an empty result. `rows` should be narrow: it is written to the
-    checkpoint folder, which also keeps partition numbers stable when executors are lost.
+    Any columns, nulls and repeated rows pass unchanged; columns of these two names are replaced. With fewer rows
+    than shards some shards stay empty; an empty table gives an empty result. `rows` should be narrow: it is written to
+    the checkpoint folder, which also keeps partition numbers stable when executors are lost.
     """
+    rows = rows.drop("shard", "slot")
     part, row, rank, order, bucket, counted, start = (f"_{x}" + "_" * max(map(len, rows.columns), default=0) for x in ("part", "row", "rank", "order", "bucket", "counted", "start"))
     found = checkpoint(rows.withColumn(part, F.pmod(F.spark_partition_id(), F.lit(PARTS))).withColumn(row, F.monotonically_increasing_id()))
     parts = {r[part]: r["count"] for r in found.groupBy(part).count().collect()}

@@ -53,3 +53,10 @@ def test_few_rows_and_none(spark):
     assert shard_table(docs(spark, [])).count() == 0
     got = shard_table(docs(spark, ["a", "b"])).collect()
     assert sorted(r["slot"] for r in got) == [0, 0] and len({r["shard"] for r in got}) == 2
+
+
+def test_columns_of_clashing_names_are_replaced(spark):
+    rows = spark.range(50).selectExpr("id", "-1 AS shard", "'x' AS slot", "id AS _row", "id AS part")
+    got = exact_shuffle(rows, 4)
+    assert got.columns == ["id", "_row", "part", "shard", "slot"]
+    assert {r["shard"] for r in got.collect()} == {0, 1, 2, 3} and all(r["id"] == r["_row"] == r["part"] for r in got.collect())
