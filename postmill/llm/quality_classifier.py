@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", positives:
     samples = []
     for chosen, limit in ((ids.join(known.where("quality = 1"), id_col, "left_semi"), positives), (ids.join(known, id_col, "left_anti"), unlabelled)):
         # The sample has at most `limit` ids.
-        rows = docs.join(F.broadcast(bounded_sample(chosen, id_col, limit)), id_col, "left_semi")
+        rows = docs.select(id_col, "text").join(F.broadcast(bounded_sample(chosen, id_col, limit)), id_col, "left_semi")
+        rows = rows.groupBy(id_col).agg(F.min("text").alias("text"))  # of rows of one id the least text is learnt from
         found = dict(features_of(rows, id_col).collect())  # one row for each id
         samples.append(np.array([found[k] for k in sorted(found)], np.float32).reshape(-1, len(STYLE)))
     return fit(*samples)
@@ -152,5 +153,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", cutoff: float = 0.5) -> DataFrame:
-    """`docs` without the documents whose score is below `cutoff`; the same columns."""
+    """`docs` without the documents whose score is below `cutoff`; the same columns.
+
+    Null and empty texts are judged as texts without words; rows without id are judged by their text like any
+    other, repeated rows alike; an empty table stays empty, and without positives or unlabelled rows all stay.
+    """
     return docs.where(quality_score(train(docs, labels, id_col)) >= cutoff)

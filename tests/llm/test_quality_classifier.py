@@ -68,6 +68,23 @@ def test_filter_keeps_columns_and_rows(spark):
     assert np.mean([(i in ids) == bool(k) for i, k in enumerate(kinds)]) > 0.95
 
 
+def test_repeated_ids_are_learnt_from_alike(spark):
+    table, labels, _ = corpus(spark, 300)
+    twice = table.union(table.withColumn("text", table["text"].substr(1, 40)))
+    first, second = (sorted(quality_scores(x, labels).collect()) for x in (twice.orderBy("text"), twice.orderBy("n_chars").repartition(5)))
+    assert first == second and len(first) == 600
+
+
+def test_filter_of_awkward_rows(spark):
+    table, labels, _ = corpus(spark, 300, extra=awkward())
+    loose = table.withColumn("doc_id", table["doc_id"] * 0 + 5)
+    assert keep_good(table.limit(0), labels).count() == 0 and keep_good(loose, labels.limit(0)).count() == 300 + len(awkward())
+    from pyspark.sql import functions as F
+
+    kept = keep_good(table.withColumn("doc_id", F.when(F.col("doc_id") < 300, F.col("doc_id"))), labels)
+    assert kept.columns == table.columns and 0 < kept.where("doc_id is null").count() <= len(awkward())
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_scores(docs(spark, awkward(), ids=[None] * len(awkward())), none).collect()
