@@ -13,7 +13,7 @@ def duck(sf_dir):
     for t in TABLES:
         path = Path(sf_dir) / f"{t}.parquet"
         if path.exists():
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}{'/*' if path.is_dir() else ''}')")
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}{'/*.parquet' if path.is_dir() else ''}')")
     return con
 
 
