@@ -2,12 +2,15 @@
 
 One automaton holds all notice phrases and the identifier tag as words between spaces, and
 runs once over each text's words. Where it meets a tag, the expression after it is read from
-the raw text, turned into postfix order by a shunting-yard parser, and evaluated.
+the raw text, turned into postfix order by a shunting-yard parser, and evaluated. Only whole identifiers
+of the SPDX list (and `LicenseRef-` names) are licenses; prose after a tag is none. A phrase shortly after a
+word of denial counts as found, but as weak evidence.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cache
 
 import ahocorasick
@@ -47,11 +50,36 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 
-#: Label prefixes that a policy accepts unless another is given.
-ALLOWED = ("mit", "apache", "bsd", "isc", "bsl", "unlicense", "cc0", "cc-by-4.0", "mpl", "zlib", "0bsd")
+# SPDX identifiers of licenses in lower case, without "-only", "-or-later" and "+", and of exceptions.
+LICENSE_IDS = frozenset("""
+0bsd aal adsl afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-1.0 apsl-2.0
+artistic-1.0 artistic-1.0-perl artistic-2.0 beerware bittorrent-1.1 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent
+bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsd-source-code bsl-1.0 busl-1.1 bzip2-1.0.6 cal-1.0 cc-by-1.0 cc-by-2.0
+cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0 cc-by-nc-sa-4.0 cc-by-nd-3.0
+cc-by-nd-4.0 cc-by-sa-1.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc-pddc cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.0 cecill-2.1
+cecill-b cecill-c cpal-1.0 cpl-1.0 curl ecl-2.0 epl-1.0 epl-2.0 eupl-1.0 eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1 gfdl-1.2 gfdl-1.3
+gpl-1.0 gpl-2.0 gpl-3.0 hpnd icu ijg intel ipl-1.0 isc json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libpng-2.0 libtiff lppl-1.3c
+mit mit-0 mit-modern-variant mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa nist-pd npl-1.1 ntp
+odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 openldap-2.8 openssl osl-1.0 osl-2.1 osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0
+qpl-1.0 ruby sgi-b-2.0 sleepycat sspl-1.0 tcl unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zpl-2.1
+""".split())
+EXCEPTION_IDS = frozenset("""
+autoconf-exception-2.0 autoconf-exception-3.0 bison-exception-2.2 bootloader-exception classpath-exception-2.0 ecos-exception-2.0
+font-exception-2.0 gcc-exception-2.0 gcc-exception-3.1 gpl-cc-1.0 lgpl-3.0-linking-exception libtool-exception linux-syscall-note
+llvm-exception ocaml-lgpl-linking-exception openjdk-assembly-exception-1.0 qt-gpl-exception-1.0 swift-exception u-boot-exception-2.0
+universal-foss-exception-1.0 wxwindows-exception-3.1
+""".split())
+
+#: Labels, and licenses with an exception, that a policy accepts unless others are given.
+ALLOWED = (
+    "mit", "mit-0", "apache", "apache-1.1", "apache-2.0", "bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "isc", "bsl-1.0", "unlicense", "cc0", "cc0-1.0", "cc-by-4.0",
+    "mpl", "mpl-2.0", "zlib", "0bsd", "lgpl-3.0 with lgpl-3.0-linking-exception", "apache-2.0 with llvm-exception",
+)
 
 #: How sure a kind of evidence makes us that a text is under a license.
-WEIGHTS = {"tag": 0.95, "notice": 0.8, "base": 0.6}
+WEIGHTS = {"tag": 0.95, "notice": 0.8, "base": 0.6, "denied": 0.1}
+# Words that deny a phrase after them, at most so many words before it.
+DENIALS, NEAR = frozenset("no not never neither nor without isn aren wasn except".split()), 3
 
 _TAG = "spdx license identifier"
 _TAG_LINE = re.compile(rb"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
@@ -59,16 +87,28 @@ _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.\-:+]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
-def postfix(expression: str) -> list[str] | None:
+def base_id(term: str) -> str:
+    """A license's identifier without what says which later versions it covers."""
+    return term.rstrip("+").removesuffix("-or-later").removesuffix("-only")
+
+
+def known(term: str, after: str) -> bool:
+    """Whether an operand names a license or, after `with`, an exception."""
+    if after == "with":
+        return term in EXCEPTION_IDS
+    return base_id(term) in LICENSE_IDS or term.startswith(("licenseref-", "documentref-"))
+
+
+def postfix(expression: str, operand: Callable[[str, str], bool] = lambda term, after: True) -> list[str] | None:
     """Operands and operators of a license expression in postfix order; None if it is malformed.
 
-    The longest well-formed beginning counts, as prose may follow on the line. WITH binds
-    closest, then AND, then OR, all from the left.
+    The longest well-formed beginning whose operands are all accepted by `operand` (told the operator before)
+    counts, as prose may follow on the line. WITH binds closest, then AND, then OR, all from the left.
     """
     out: list[str] = []
     stack: list[str] = []
     best: list[str] | None = None
-    at, operand_next = 0, True
+    at, operand_next, last = 0, True, ""
     while m := _TOKEN.match(expression, at):
         token, at = m[1], m.end()
         low = token.lower()
@@ -90,12 +130,12 @@ def postfix(expression: str) -> list[str] | None:
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand_next = True
+            operand_next, last = True, low
         else:
-            if not operand_next:
+            if not operand_next or not operand(low.rstrip(".:"), last):
                 break
             out.append(low.rstrip(".:"))
-            operand_next = False
+            operand_next, last = False, ""
         if not operand_next and "(" not in stack:
             best = out + stack[::-1]
     return best
@@ -104,19 +144,20 @@ def postfix(expression: str) -> list[str] | None:
 def evaluate(terms: list[str], allowed: tuple[str, ...] = ALLOWED) -> tuple[frozenset[str], bool]:
     """Licenses named by a postfix expression, and whether it can be met with `allowed` ones.
 
-    OR is met by either side, AND by both; WITH adds an exception to a license and leaves its verdict.
+    OR is met by either side, AND by both. WITH adds an exception, which only loosens a license: both together are
+    allowed if the license is, or if `allowed` has them as one name.
     """
     stack: list[tuple[frozenset[str], bool]] = []
     for term in terms:
         if term in _RANK:
             (b, b_ok), (a, a_ok) = stack.pop(), stack.pop()
             if term == "with":
-                stack.append((a, a_ok))
+                stack.append((a, a_ok or any(f"{x} with {y}" in allowed for x in a for y in b)))
             else:
                 stack.append((a | b, a_ok and b_ok if term == "and" else a_ok or b_ok))
         else:
-            name = term.rstrip("+").removesuffix("-or-later").removesuffix("-only")
-            stack.append((frozenset([name]), name.startswith(allowed)))
+            name = base_id(term)
+            stack.append((frozenset([name]), name in allowed))
     return stack[0]
 
 
@@ -134,7 +175,7 @@ def scan(text: bytes | None, allowed: tuple[str, ...] = ALLOWED) -> dict:
     """What one text says of licenses: its words, the spans of phrases, expressions, labels, score."""
     words = item_words(text)
     line = b" ".join([b"", *words, b""]).decode(errors="replace")
-    spans, kinds, verdicts, expressions = [], set(), [], []
+    spans, kinds, verdicts, expressions, exceptions = [], set(), [], [], set()
     labels: set[str] = set()
     seen = counted = 0
     tagged = False
@@ -145,35 +186,38 @@ def scan(text: bytes | None, allowed: tuple[str, ...] = ALLOWED) -> dict:
         if kind == "tag":
             tagged = True
             continue
-        spans.append((counted - n, n, label, kind))
+        start = counted - n
+        spans.append((start, n, label, kind))
         labels.add(label)
-        kinds.add(kind)
-        verdicts.append(label.startswith(allowed))
+        denied = any(w.decode(errors="replace") in DENIALS for w in words[max(0, start - NEAR) : start])
+        kinds.add("denied" if denied else kind)
+        verdicts.append(label in allowed)
     for found in _TAG_LINE.findall(text) if tagged else ():
-        if terms := postfix(found.decode(errors="replace")):
+        if terms := postfix(found.decode(errors="replace"), known):
             names, ok = evaluate(terms, allowed)
             labels |= names
+            exceptions |= EXCEPTION_IDS.intersection(terms)
             verdicts.append(ok)
             expressions.append(" ".join(terms))
             kinds.add("tag")
     doubt = 1.0
-    for kind in kinds:
+    for kind in sorted(kinds):
         doubt *= 1 - WEIGHTS[kind]
     return {
         "n_words": len(words), "spans": [dict(zip(("start", "n", "label", "kind"), s, strict=True)) for s in sorted(spans)],
-        "expressions": expressions, "names": sorted(labels), "allowed": all(verdicts) if verdicts else None, "score": 1 - doubt,
+        "expressions": expressions, "exceptions": sorted(exceptions), "names": sorted(labels), "allowed": all(verdicts) if verdicts else None, "score": 1 - doubt,
     }
 
 
-_SCHEMA = "n_words long, spans array<struct<start:long,n:long,label:string,kind:string>>, expressions array<string>, names array<string>, allowed boolean, score double"
+_SCHEMA = "n_words long, spans array<struct<start:long,n:long,label:string,kind:string>>, expressions array<string>, exceptions array<string>, names array<string>, allowed boolean, score double"
 _SPAN = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("label", pa.string()), ("kind", pa.string())])
-_TYPES = {"n_words": pa.int64(), "spans": pa.list_(_SPAN), "expressions": pa.list_(pa.string()), "names": pa.list_(pa.string()), "allowed": pa.bool_(), "score": pa.float64()}
+_TYPES = {"n_words": pa.int64(), "spans": pa.list_(_SPAN), "expressions": pa.list_(pa.string()), "exceptions": pa.list_(pa.string()), "names": pa.list_(pa.string()), "allowed": pa.bool_(), "score": pa.float64()}
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """For each row of `docs`: `id_col`, `n_words`, `spans` (start and length in words, label and kind
-    of each phrase), `expressions` (postfix), `names` (labels), `allowed` (whether every statement can
-    be met with allowed licenses; null without any), `score` (0 to 1).
+    of each phrase), `expressions` (postfix), `exceptions` (named in them), `names` (labels), `allowed` (whether every
+    statement can be met with allowed licenses; null without any), `score` (0 to 1, by the kinds of evidence).
 
     Null and empty texts have no words, no spans, a null verdict and score 0. Repeated rows each give
     a row, an empty table none; other columns are ignored.
@@ -187,7 +231,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", allowed: tuple[str, ..
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The scan as one row of digests for each document: places of base phrases and label lists."""
+    """The scan as one row of digests for each row of `docs`: places of base phrases and label lists.
+
+    Null and empty texts have no words, no places (null), empty label lists and score 0; repeated rows each give a
+    row, null ids too; an empty table none; other columns are ignored.
+    """
     base = F.filter("spans", lambda s: s["kind"] == "base")
     starts = F.transform(base, lambda s: s["start"])
     labels = F.array_sort(F.array_distinct(F.transform(base, lambda s: s["label"])))

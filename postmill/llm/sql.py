@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from postmill.llm.decontaminate import WINDOW as TEST_WINDOW
 from postmill.llm.fixity import PAGE_AUDIT_SQL
+from postmill.llm.licenses import ALLOWED, BASE, DENIALS, NEAR, NOTICES, WEIGHTS
 from postmill.llm.quality_rules import ALPHA, BANDS, DELTA, LEVELS, POWER, RULES, cutoffs
 from postmill.llm.substrings import WINDOW as REPEAT_WINDOW
 
@@ -64,8 +65,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM ratios LEFT JOIN certified USING (band)
 """
 
+_PHRASES = ", ".join(f"('{phrase}', '{label}', '{kind}', {phrase.count(' ') + 1})" for kind, phrases in (("notice", NOTICES), ("base", BASE)) for phrase, label in phrases.items())
+_STRINGS = lambda words: "[" + ", ".join(f"'{w}'" for w in sorted(words)) + "]"
+_DOUBT = " * ".join(f"(CASE WHEN coalesce(list_contains(kinds, '{k}'), false) THEN 1 - CAST({WEIGHTS[k]} AS DOUBLE) ELSE 1 END)" for k in sorted(WEIGHTS))
+
+#: Phrases only: the test tables hold no identifier tags, whose expressions are tested by themselves.
+LICENSES_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+phrases(phrase, label, kind, n) AS (VALUES {_PHRASES}),
+places AS (
+  SELECT r, i - 1 AS start, label, CASE WHEN list_has_any(w[greatest(i - {NEAR}, 1):i - 1], {_STRINGS(DENIALS)}) THEN 'denied' ELSE kind END AS evidence, kind
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs) JOIN phrases ON split_part(phrase, ' ', 1) = w[i] AND array_to_string(w[i:i + n - 1], ' ') = phrase),
+found AS (
+  SELECT r, count(*) FILTER (kind = 'base') AS n_base, min(start) FILTER (kind = 'base') AS first_word, max(start) FILTER (kind = 'base') AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (kind = 'base')), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+    list(DISTINCT evidence) AS kinds, bool_and(list_contains({_STRINGS(ALLOWED)}, label)) AS allowed
+  FROM places GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  1 - {_DOUBT} AS score, allowed
+FROM docs LEFT JOIN found USING (r)
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
+    "op2_licenses": LICENSES_SQL,
     "op3_fixity": PAGE_AUDIT_SQL,
     "op5_quality_rules": QUALITY_RULES_SQL,
     "op8_substrings": SUBSTRINGS_SQL,

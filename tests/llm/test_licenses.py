@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from postmill.llm.licenses import BASE, evaluate, license_report, license_scan, postfix
+from postmill.llm.licenses import ALLOWED, BASE, EXCEPTION_IDS, LICENSE_IDS, evaluate, known, license_report, license_scan, postfix, scan
 from tests.llm.fixtures import awkward, docs
 
 
@@ -65,3 +65,32 @@ def test_expressions_and_verdicts(spark):
     assert got[7]["allowed"] is False and got[8]["names"] == ["cc-by-nc-4.0"] and got[8]["allowed"] is False
     assert got[9]["allowed"] is None and got[11]["expressions"] == []
     assert license_report(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("line", "names", "allowed"),
+    [
+        ("MITRE-CVE", [], None), ("see file for details", [], None), ("MIT see file", ["mit"], True), ("MIT-0", ["mit-0"], True), ("Apache-2.0+ OR GPL-2.0-or-later", ["apache-2.0", "gpl-2.0"], True),
+        ("LicenseRef-Own AND MIT", ["licenseref-own", "mit"], False), ("GPL-2.0-only WITH Classpath-exception-2.0", ["gpl-2.0"], False), ("Apache-2.0 WITH LLVM-exception", ["apache-2.0"], True),
+        ("LGPL-3.0-only WITH LGPL-3.0-linking-exception", ["lgpl-3.0"], True), ("GPL-2.0 WITH the rest", ["gpl-2.0"], False), ("(MIT AND see) file", [], None), ("mit AND (isc OR x)", ["mit"], True),
+    ],
+)
+def test_only_whole_identifiers_are_licenses(line, names, allowed):
+    got = scan(f"/* SPDX-License-Identifier: {line} */\n".encode())
+    assert got["names"] == names and got["allowed"] is allowed and (got["score"] > 0) == bool(names)
+
+
+def test_exceptions_are_kept_and_denials_weigh_little():
+    assert scan(b"SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0")["exceptions"] == ["classpath-exception-2.0"]
+    denied, plain = scan(b"There is no MIT license here"), scan(b"under the MIT license")
+    assert denied["names"] == plain["names"] == ["mit"] and denied["score"] < 0.2 < plain["score"]
+    assert all(x == x.lower() for x in LICENSE_IDS | EXCEPTION_IDS) and not LICENSE_IDS & EXCEPTION_IDS and known("bsd-2-clause", "or") and not known("mit", "with") and "mit" in ALLOWED
+
+
+def test_phrases_equal_the_query_in_sql(spark, tmp_path):
+    from postmill.llm.queries import ORACLE_SQL, QUERIES
+    from tests.oracle import same
+
+    texts = [t for t in TEXTS if "SPDX" not in t] + [t for t in awkward() if t is None or "\x0b" not in t] + ["not the MIT license", "no one says mit license", "BSD license, CC0 1.0 and all rights reserved"]
+    docs(spark, texts, ids=[None, *range(1, len(texts))]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert same(spark, QUERIES["op2_licenses"], ORACLE_SQL["op2_licenses"], str(tmp_path)) == len(texts)
