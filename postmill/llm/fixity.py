@@ -1,50 +1,144 @@
 """Merkle fixity audit of WARC records.
 
-Each record is hashed with its place; ordered ranges of offsets are hashed from their records, and
+Each record's bytes are hashed with their place; ordered ranges of offsets are hashed from their records, and
 ranges of ranges from these, up to a root for each file. Two replicas are compared from the roots
 down, and only branches whose hashes differ are descended, so that where replicas agree no record is
 looked at again. Everything is a grouping by file and range number: a level is a constant number of
 offset bits, and no file's hashes meet in one task below the few top nodes.
+
+A replica is indexed from its records as they would stand in WARC files (`warc_index`), or from WARC files that
+are read back (`write_warc`, `read_warc`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import checkpoint
 
-#: Bits of an offset that a leaf covers (64 KB), and that each level above adds (16 children).
-LEAF_BITS, LEVEL_BITS = 16, 4
+#: Bits of an offset that a leaf covers (16 KB), and that each level above adds (16 children).
+LEAF_BITS, LEVEL_BITS = 14, 4
 #: Pages of a WARC file, by ranges of their ids, and files that pages without id are dealt to.
-FILE_PAGES = 64
+FILE_PAGES = 256
 LOOSE_FILES = 1 << 16
+#: Rows of a file beyond which, if ids repeat, its rows are dealt to several by their hashes; the first file's number plus multiples of SPLIT.
+FILE_ROWS, SPLIT = 1 << 16, 1 << 40
 
+_END = "\r\n\r\n"
 
-def warc_record(url: Column, html: Column) -> Column:
-    """A WARC response record of a page: header lines, an empty line, the payload and two line ends."""
+
+def warc_record(page_id: Column, url: Column, html: Column) -> Column:
+    """A WARC response record of a page without its two line ends: header lines, an empty line, the payload."""
     payload = F.coalesce(html, F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
-        F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"),
+    return F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "),
+        F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit(_END), payload,
     )
-    return F.concat(head, payload, F.lit("\r\n\r\n"))
 
 
-def warc_index(pages: DataFrame, id_col: str = "page_id", file_pages: int = FILE_PAGES) -> DataFrame:
-    """`file`, `offset`, `length`, `record` (SHA-256) and `id_col` of each page, laid out by id in WARC files.
+def _filed(pages: DataFrame, id_col: str, file_pages: int, body: bool) -> DataFrame:
+    """`file`, `length`, `record` and `id_col` of each page, and `body` if asked for."""
+    record = warc_record(F.col(id_col), F.col("url"), F.col("html"))
+    whole = F.concat(record, F.lit(_END))
+    text = F.concat_ws("\x1f", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    loose = -1 - F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("long") % LOOSE_FILES
+    file = F.coalesce(F.floor(F.col(id_col) / file_pages), loose).cast("long")
+    # The texts are hashed where they are read.
+    return pages.select(id_col, file.alias("file"), F.octet_length(whole).cast("long").alias("length"), F.sha2(whole, 256).alias("record"), *([record.alias("body")] if body else []))
+
+
+def _split_large(rows: DataFrame, file_rows: int) -> DataFrame:
+    """Rows of files with more than `file_rows` (ids that repeat) dealt to several files."""
+    sizes = checkpoint(rows.groupBy("file").count().where(F.col("count") > file_rows).select("file", F.ceil(F.col("count") / file_rows).alias("_n")))
+    if sizes.isEmpty():
+        return rows
+    bucket = F.conv(F.substring("record", 1, 8), 16, 10).cast("long") % F.coalesce("_n", F.lit(1))
+    return rows.join(sizes, "file", "left").withColumn("file", F.col("file") + bucket * SPLIT).drop("_n")
+
 
-    A file holds a range of `file_pages` ids; pages without id are dealt to files with negative numbers
-    by their URL and text, and rows of one id lie in the order of their records' hashes. A null URL or
-    text counts as empty.
+def warc_index(pages: DataFrame, id_col: str = "page_id", file_pages: int = FILE_PAGES, file_rows: int = FILE_ROWS) -> DataFrame:
+    """`file`, `offset`, `length`, `record` (SHA-256 of the bytes), `id_col` and `nth` of each page, laid out by id in WARC files.
+
+    A file holds a range of `file_pages` ids; pages without id are dealt to files with negative numbers by their URL
+    and text; rows of one id lie in the order of their records' hashes, which `nth` numbers. A null URL or
+    text counts as empty. An empty table gives an empty index.
     """
-    record = warc_record(F.col("url"), F.col("html"))
-    loose = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(LOOSE_FILES))
-    file = F.coalesce(F.floor(F.col(id_col) / file_pages), loose).cast("long")
-    # The texts are hashed where they are read; only numbers and hashes move.
-    rows = pages.select(id_col, file.alias("file"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("record"))
-    before = Window.partitionBy("file").orderBy(F.col(id_col).asc_nulls_first(), "record").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "record", id_col)
+    # Only numbers and hashes move.
+    rows = _split_large(checkpoint(_filed(pages, id_col, file_pages, False)), file_rows)
+    own = Window.partitionBy("file").orderBy(F.col(id_col).asc_nulls_first(), "record")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.row_number().over(Window.partitionBy("file", id_col).orderBy("record"))
+    return rows.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "record", id_col, nth.alias("nth"))
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", file_pages: int = FILE_PAGES) -> None:
+    """Writes `pages` as gzipped WARC files below `path`, one in each folder `file=<number>`, in the order of the index.
+
+    Spark's text writer ends each record with two line ends, as the format wants. A file's rows meet in one task;
+    its size is bounded by `file_pages` as long as ids don't repeat often.
+    """
+    rows = _filed(pages, id_col, file_pages, True).repartition("file").sortWithinPartitions("file", F.col(id_col).asc_nulls_first(), "record")
+    rows.select("file", "body").write.partitionBy("file").option("lineSep", _END).option("compression", "gzip").text(path)
+
+
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*\r\n")
+_LENGTH, _ID = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.IGNORECASE), re.compile(rb"\r\nWARC-Record-ID: *<urn:page:(-?\d+)>\r\n", re.IGNORECASE)
+
+
+def records_of(data: bytes) -> Iterator[tuple[int, int, str, int | None]]:
+    """Offset, length, SHA-256 and page id of each record of a WARC file's bytes.
+
+    Bytes that are no record (a broken header, a payload cut short) are one record without id up to the next header.
+    """
+    at = 0
+    while at < len(data):
+        head = _HEAD.match(data, at)
+        size = _LENGTH.search(head[0]) if head else None
+        end = head.end() + int(size[1]) + len(_END) if size else len(data) + 1
+        number = _ID.search(head[0]) if head else None
+        if end > len(data) or data[end - len(_END) : end] != _END.encode():
+            following = data.find(b"WARC/1.", at + 1)
+            end, number = following if following > 0 else len(data), None
+        yield at, end - at, hashlib.sha256(data[at:end]).hexdigest(), int(number[1]) if number else None
+        at = end
+
+
+def read_warc(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFrame:
+    """The index of WARC files that `write_warc` laid out, from their bytes; of a file that can't be unpacked, what can be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+                found = list(records_of(_unpacked(content.as_py())))
+                columns = list(zip(*found, strict=True)) or [[], [], [], []]
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.int64()), *arrays], ["file", "offset", "length", "record", id_col])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    rows = files.select(F.col("file").cast("long").alias("file"), "content").mapInArrow(run, f"file long, offset long, length long, record string, `{id_col}` long")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("file", id_col).orderBy("record")))
+
+
+def _unpacked(data: bytes) -> bytes:
+    import zlib
+
+    if data[:2] != b"\x1f\x8b":
+        return data
+    try:
+        return gzip.decompress(data)
+    except (OSError, EOFError, zlib.error):
+        try:
+            return zlib.decompressobj(31).decompress(data)
+        except zlib.error:
+            return b""
 
 
 def _hash_of(parts: str, order: str) -> Column:
@@ -91,62 +185,68 @@ def mismatching_leaves(first: list[DataFrame], second: list[DataFrame]) -> DataF
 
 
 def audit(first: DataFrame, second: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Every record of either replica's index with `status`: `same`, `changed`, `missing` (from the
-    second) or `surplus` (only there); `file`, `offset`, `length`, `record`, `other_record` and `id_col`.
+    """Every record of either replica's index with `status`: `same`, `moved` (the same bytes at another offset),
+    `changed`, `missing` (from the second) or `surplus` (only there); `file`, `offset`, `length`, `record`,
+    `other_offset`, `other_record` and `id_col`.
 
-    Only records in mismatching leaves are compared; all others are the same by their leaf's hash.
-    Rows that repeat at one place are compared as a sorted list. Empty replicas have no records.
+    Only records in mismatching leaves are compared, by file, id and number within the id (rows without id
+    too); all others are the same by their leaf's hash. Empty replicas have no records.
     """
     levels = levels_for(first, second)
     leaves = mismatching_leaves(merkle_levels(first, levels), merkle_levels(second, levels))
-    place = ["file", "offset"]
-    numbered = Window.partitionBy(*place).orderBy("length", "record")
-    first, second = (x.withColumn("nth", F.row_number().over(numbered)).withColumn("node", F.shiftright("offset", LEAF_BITS)) for x in (first, second))
-    clean = first.join(leaves, ["file", "node"], "left_anti").select(*place, "length", "record", F.col("record").alias("other_record"), id_col, F.lit("same").alias("status"))
-    a = first.join(leaves, ["file", "node"], "left_semi").select(*place, "nth", "length", "record", F.col(id_col))
-    b = second.join(leaves, ["file", "node"], "left_semi").select(*place, "nth", F.col("length").alias("other_length"), F.col("record").alias("other_record"), F.col(id_col).alias("other_id"))
-    both = a.join(b, [*place, "nth"], "full")
-    status = F.when(F.col("record").isNull(), "surplus").when(F.col("other_record").isNull(), "missing").when((F.col("record") == F.col("other_record")) & (F.col("length") == F.col("other_length")), "same").otherwise("changed")
-    found = both.select(*place, F.coalesce("length", "other_length").alias("length"), "record", "other_record", F.coalesce(id_col, "other_id").alias(id_col), status.alias("status"))
+    first, second = (x.withColumn("node", F.shiftright("offset", LEAF_BITS)) for x in (first, second))
+    clean = first.join(leaves, ["file", "node"], "left_anti").select("file", "offset", "length", "record", F.col("offset").alias("other_offset"), F.col("record").alias("other_record"), id_col, F.lit("same").alias("status"))
+    a = first.join(leaves, ["file", "node"], "left_semi").drop("node").withColumn("_i", F.struct(id_col))
+    b = second.join(leaves, ["file", "node"], "left_semi").select("file", "nth", F.struct(id_col).alias("_i"), F.col("offset").alias("other_offset"), F.col("length").alias("other_length"), F.col("record").alias("other_record"))
+    both = a.join(b, ["file", "_i", "nth"], "full")
+    status = (
+        F.when(F.col("record").isNull(), "surplus").when(F.col("other_record").isNull(), "missing").when(F.col("record") != F.col("other_record"), "changed")
+        .when(F.col("offset") != F.col("other_offset"), "moved").otherwise("same")
+    )
+    found = both.select("file", "offset", F.coalesce("length", "other_length").alias("length"), "record", "other_offset", "other_record", F.col(f"_i.{id_col}").alias(id_col), status.alias("status"))
     return clean.unionByName(found)
 
 
-def damaged_copy(index: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """A replica of an index as a damaged store would give it: some records altered, lost or doubled.
+def damaged_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """`pages` as a damaged store would give them back: some payloads altered, some records lost or doubled.
 
     It stands in for a second replica where there is only one; ids decide what happens.
     """
     i = F.coalesce(F.col(id_col), F.lit(0))
-    altered = F.when(i % 97 == 13, F.sha2(F.concat("record", F.lit("#")), 256)).otherwise(F.col("record"))
-    kept = index.where(i % 211 != 7).withColumn("record", altered)
-    surplus = index.where(i % 307 == 11).withColumn("offset", F.col("offset") + 1)
-    return kept.unionByName(surplus)
+    html = F.when(i % 997 == 13, F.concat(F.lit("#"), F.expr("substr(coalesce(html, ''), 2)"))).otherwise(F.col("html"))
+    times = F.when(i % 3001 == 11, 2).otherwise(1)
+    kept = pages.where(i % 2111 != 7).select(id_col, "url", html.alias("html"), F.array_repeat(F.lit(0), times).alias("_times"))
+    return kept.select(id_col, "url", "html", F.explode("_times").alias("_time")).drop("_time")
 
 
 def page_audit(pages: DataFrame) -> DataFrame:
-    """The audit of `pages` as WARC files against a damaged replica."""
-    index = checkpoint(warc_index(pages))
-    return audit(index, damaged_copy(index))
+    """The audit of `pages` as WARC files against the bytes of a damaged replica."""
+    return audit(checkpoint(warc_index(pages)), checkpoint(warc_index(damaged_pages(pages))))
 
 
-#: The same rows by plain comparison of the two indexes, without trees, for pages that have ids.
-PAGE_AUDIT_SQL = f"""
-WITH parts AS (
-  SELECT page_id, coalesce(floor(page_id / {FILE_PAGES}), -1)::BIGINT AS file,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-      || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-      || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS body
-  FROM pages),
-sized AS (SELECT page_id, file, strlen(body)::BIGINT AS length, sha256(body) AS record FROM parts),
-laid AS (
+_BODY = """'WARC/1.1' || crlf || 'WARC-Type: response' || crlf || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || crlf || 'WARC-Target-URI: ' || coalesce(url, '')
+      || crlf || 'Content-Length: ' || strlen(coalesce(html, '')) || crlf || crlf || coalesce(html, '') || crlf || crlf"""
+
+
+def _laid_sql(name: str, source: str) -> str:
+    return f"""
+{name}_sized AS (
+  SELECT page_id, coalesce(CAST(floor(page_id / {FILE_PAGES}) AS BIGINT), -1 - CAST('0x' || left(md5(coalesce(url, '') || chr(31) || coalesce(html, '')), 4) AS BIGINT)) AS file,
+    strlen(body)::BIGINT AS length, sha256(body) AS record
+  FROM (SELECT *, {_BODY} AS body FROM ({source}), (SELECT chr(13) || chr(10) AS crlf))),
+{name} AS (
   SELECT file, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, record ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-    length, record, page_id, coalesce(page_id, 0) AS i
-  FROM sized),
-other AS (
-  SELECT file, "offset", length, CASE WHEN i % 97 = 13 THEN sha256(record || '#') ELSE record END AS record, page_id FROM laid WHERE i % 211 <> 7
-  UNION ALL SELECT file, "offset" + 1, length, record, page_id FROM laid WHERE i % 307 = 11)
-SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset", coalesce(a.length, b.length) AS length,
-  a.record AS record, b.record AS other_record, coalesce(a.page_id, b.page_id) AS page_id,
-  CASE WHEN a.record IS NULL THEN 'surplus' WHEN b.record IS NULL THEN 'missing' WHEN a.record = b.record THEN 'same' ELSE 'changed' END AS status
-FROM laid a FULL JOIN other b ON a.file = b.file AND a."offset" = b."offset"
+    length, record, page_id, row_number() OVER (PARTITION BY file, page_id ORDER BY record) AS nth
+  FROM {name}_sized)"""
+
+
+#: The same rows by plain comparison of the two replicas' records, without trees.
+PAGE_AUDIT_SQL = f"""
+WITH {_laid_sql("a", "SELECT page_id, url, html FROM pages")},
+damaged AS (SELECT page_id, url, CASE WHEN coalesce(page_id, 0) % 997 = 13 THEN '#' || substr(coalesce(html, ''), 2) ELSE html END AS html, coalesce(page_id, 0) AS i FROM pages WHERE coalesce(page_id, 0) % 2111 <> 7),
+{_laid_sql("b", "SELECT page_id, url, html FROM damaged UNION ALL SELECT page_id, url, html FROM damaged WHERE i % 3001 = 11")}
+SELECT coalesce(a.file, b.file) AS file, a."offset" AS "offset", coalesce(a.length, b.length) AS length, a.record AS record, b."offset" AS other_offset, b.record AS other_record,
+  coalesce(a.page_id, b.page_id) AS page_id,
+  CASE WHEN a.record IS NULL THEN 'surplus' WHEN b.record IS NULL THEN 'missing' WHEN a.record <> b.record THEN 'changed' WHEN a."offset" <> b."offset" THEN 'moved' ELSE 'same' END AS status
+FROM a FULL JOIN b ON a.file = b.file AND a.page_id IS NOT DISTINCT FROM b.page_id AND a.nth = b.nth
 """
