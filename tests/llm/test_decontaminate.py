@@ -4,7 +4,7 @@ import re
 import pytest
 
 from postmill.llm import decontaminate
-from postmill.llm.decontaminate import contamination, items_digest, remove_contaminated, remove_spans, window_sets
+from postmill.llm.decontaminate import contamination, items_digest, remove_contaminated, remove_spans
 from tests.llm.fixtures import awkward, docs, prose
 
 
@@ -54,13 +54,23 @@ def test_equals_brute_force(spark, seed):
     assert any(g[4] for g in got.values()) and any(g[1] and not g[4] for g in got.values())
 
 
-def test_parts_of_a_large_test_set_give_the_same(spark, monkeypatch):
+def test_a_large_test_set_that_is_joined_gives_the_same(spark):
     texts, items = case(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    table = docs(spark, texts)
-    assert len(window_sets(bench, limit=40)) > 2
-    whole = sorted(map(str, contamination(table, bench).collect()))
-    assert whole == sorted(map(str, contamination(table, bench, limit=40).collect()))
+    table = docs(spark, texts + texts[-3:], ids=[None, *range(1, len(texts)), *range(len(texts) - 3, len(texts))]).repartition(3)
+    for f in (contamination, remove_contaminated, remove_spans):
+        whole, joined = (sorted(map(str, f(table, bench, limit=n).collect())) for n in (10**6, 40))
+        assert whole == joined and f(table.limit(0), bench, limit=40).count() == 0
+    assert remove_spans(table, bench, limit=40).columns == table.columns
+
+
+def test_removals_of_rows_without_id_or_test_set(spark):
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    table = docs(spark, ["One two, three four", "one two three four", None, "", "a b"], ids=[None, None, None, 3, 3])
+    assert sorted(str(r["text"]) for r in remove_contaminated(table, bench).collect()) == ["", "None", "a b"]
+    assert sorted(str(r["text"]) for r in remove_spans(table, bench).collect()) == ["", "", "", "None", "a b"]
+    assert remove_contaminated(table, bench.limit(0)).count() == 5 and remove_spans(table, bench.limit(0)).count() == 5
+    assert remove_contaminated(table.limit(0), bench).count() == 0
 
 
 def test_removals(spark):
