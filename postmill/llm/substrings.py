@@ -4,12 +4,13 @@ A window of 35 words is repeated if its word sequence starts at two places. The
 anchors: of the 18-word runs in a window the one with the least hash. Equal windows have their
 anchor at the same offset, so at distinct starts they count distinct anchor places, and the
 anchor's count is never below the window's; there are about ten times fewer anchors than windows.
-The partitions' sketches are merged cell by cell, and what is kept of them is one bit a cell:
-counted twice or more.
+The partitions' counts are merged by adding them cell by cell; what is kept is one bit a cell for a count of two
+or more, and one for eight cells if one of them holds a very common anchor.
 
-The second pass sends only windows whose anchor is estimated repeated, and groups them by anchor
-and window hash, 128 bits together. What a step has seen twice itself is sent once, so a passage
-in very many documents reaches its group once from each step.
+The second pass sends only windows whose anchor is estimated repeated, with their words. They are dealt by
+anchor, those of very common anchors each by itself, brought together by hashes and then compared word by word. What a
+task has seen twice itself it settles and tells once, so a passage in very many documents reaches its group once
+from each task.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ CELLS_PER_WORD = 0.25
 #: with more anchors than it tells apart the second pass sends more windows, and stays exact.
 MIN_BITS, MAX_BITS = 16, 31
 ROWS = 2
+#: Places from which on an anchor's windows are dealt one by one, and cells that share a bit for that.
+COMMON, COMMON_CELLS = 256, 3
+#: Counts of a cell are kept up to this.
+FULL = 0xFFFF
+#: Windows that a task remembers to have told.
+TOLD = 100_000
 #: Bits of a block: its cells are numbered by 16 bits.
 _BLOCK = 16
 #: Text of one step; what it has seen twice it settles itself.
@@ -42,20 +49,56 @@ STEP_ANCHORS = 2_000_000
 
 
 class _Codes(dict):
-    """Hashes of words, remembered for the words of a batch."""
+    """Numbers of words, and their hashes, remembered for the words of a batch."""
+
+    def __init__(self):
+        self.words: list[bytes] = []
+        self.hashes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        code = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
         return code
 
+    def of(self, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the words of all lists one after another, and where each begins."""
+        if len(self) > 200_000:
+            self.clear()
+            self.words.clear()
+            self.hashes.clear()
+        parts = [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in lists]
+        return (np.concatenate(parts) if parts else np.empty(0, np.int32)), np.cumsum([0, *map(len, parts)])
+
+
+def _words_of(batch: pa.RecordBatch, codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and numbers of all words of a batch, text after text, and where each text begins."""
+    numbers, starts = codes.of([*map(plain_words, texts(batch))])
+    return np.array(codes.hashes, np.uint64)[numbers] if len(numbers) else np.empty(0, np.uint64), numbers, starts
 
-def _words_of(batch: pa.RecordBatch, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a batch, text after text, and where each text begins."""
-    if len(codes) > 200_000:
-        codes.clear()
-    parts = [np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)) for words in map(plain_words, texts(batch))]
-    starts = np.cumsum([0, *map(len, parts)])
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), starts
+
+def _groups(keys: tuple[np.ndarray, ...], words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows that brings equal ones together, and the number of each one's group in it.
+
+    Windows have equal `keys` and begin at `at` in `words`; those of equal keys are compared word by word.
+    """
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], 0)
+    group = np.cumsum(new) - 1
+    place, differs = at[order], np.zeros(len(order), bool)
+    for i in range(1, len(order), 1 << 16):
+        k = i + np.flatnonzero(~new[i : i + (1 << 16)])
+        differs[k] = (words[place[k][:, None] + np.arange(window)] != words[place[k - 1][:, None] + np.arange(window)]).any(1)
+    for g in np.unique(group[differs]).tolist():  # hashes agree and words don't
+        members = np.flatnonzero(group == g)
+        names: dict[bytes, int] = {}
+        for m in members.tolist():
+            group[m] = names.setdefault(words[place[m] : place[m] + window].tobytes(), len(order) + g * len(order) + len(names))
+    if differs.any():
+        again = np.argsort(group, kind="stable")
+        order, group = order[again], np.unique(group[again], return_inverse=True)[1]
+    return order, group
 
 
 def _sliding(a: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
@@ -102,32 +145,34 @@ def _cell(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix(anchors, np.uint64(0x9FB21C651E98DF25 + 2 * row)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def merged_sketch(docs: DataFrame, window: int, bits: int) -> list[np.ndarray]:
-    """The rows of the count-min sketch of all partitions: packed bits of the cells counted twice or more."""
+def merged_sketch(docs: DataFrame, window: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The count-min sketch of all partitions, as far as it is used later.
+
+    For each row packed bits of the cells counted twice or more; and, of the first row, a packed bit for
+    each 2 ** COMMON_CELLS cells of which one is counted COMMON times or more.
+    """
 
     size = 1 << min(bits, _BLOCK)
 
     def lines(places: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """The sketch of these anchors: of each block the cells that are seen, and which of them more than once."""
+        """The sketch of these anchors: of each block the cells that are counted, and their counts."""
         for row in range(ROWS):
-            cells = np.sort(_cell(np.concatenate(places), row, bits))
-            new = np.concatenate([[True], cells[1:] != cells[:-1]])
-            more = np.diff(np.append(np.flatnonzero(new), len(cells))) > 1
-            cells = cells[new]
+            cells, counts = np.unique(_cell(np.concatenate(places), row, bits), return_counts=True)
             ends = np.searchsorted(cells, np.arange(size, (1 << bits) + size, size))
             starts = np.append(0, ends[:-1])
             blocks = np.flatnonzero(ends > starts)
-            seen, starts, ends = (cells & (size - 1)).astype(np.uint16), starts[blocks], ends[blocks]
+            cells, counts, starts, ends = (cells & (size - 1)).astype(np.uint16), np.minimum(counts, 255).astype(np.uint8), starts[blocks], ends[blocks]
             yield pa.RecordBatch.from_pydict({
                 "line": pa.array(np.full(len(blocks), row, np.int32)), "block": pa.array(blocks.astype(np.int32)),
-                "seen": pa.array([seen[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
-                "more": pa.array([np.packbits(more[i:j]).tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
+                "cells": pa.array([cells[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
+                "counts": pa.array([counts[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
             })
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, held = _Codes(), []
         for batch in bounded(batches, limit=STEP_BYTES):
-            held.append(_Windows(*_words_of(batch, codes), window).anchor_places())
+            hashes, _, starts = _words_of(batch, codes)
+            held.append(_Windows(hashes, starts, window).anchor_places())
             if sum(map(len, held)) > STEP_ANCHORS:
                 yield from lines(held)
                 held = []
@@ -135,30 +180,35 @@ def merged_sketch(docs: DataFrame, window: int, bits: int) -> list[np.ndarray]:
             yield from lines(held)
 
     def together(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(size, bool), np.zeros(size, bool)
+        total = np.zeros(size, np.int64)
         for batch in parts:  # one row of each task's step
-            for seen, more in zip(batch.column("seen").to_pylist(), batch.column("more").to_pylist(), strict=True):
-                cells = np.frombuffer(seen, np.uint16)
-                twice[cells] |= once[cells] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(cells)).astype(bool)
-                once[cells] = True
-        yield pa.RecordBatch.from_pydict({"line": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": [np.packbits(twice).tobytes()]})
-
-    sparse = docs.select("text").mapInArrow(partial, "line int, block int, seen binary, more binary")
-    dense = sparse.groupBy("line", "block").applyInArrow(together, "line int, block int, bits binary")
-    size_bytes = size // 8
-    rows = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
-    # At most ROWS << MAX_BITS bits, whatever the corpus.
-    for line, block, data in dense.toLocalIterator():
-        rows[line][block * size_bytes : (block + 1) * size_bytes] = np.frombuffer(data, np.uint8)
-    return rows
+            for cells, counts in zip(batch.column("cells").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint8)
+            np.minimum(total, FULL, out=total)
+        common = (total >= COMMON).reshape(-1, 1 << min(COMMON_CELLS, bits)).any(1)
+        yield pa.RecordBatch.from_pydict({"line": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": [np.packbits(total > 1).tobytes()], "common": [np.packbits(common).tobytes()]})
+
+    sparse = docs.select("text").mapInArrow(partial, "line int, block int, cells binary, counts binary")
+    dense = sparse.groupBy("line", "block").applyInArrow(together, "line int, block int, bits binary, common binary")
+    rows = [np.zeros(max(1, (1 << bits) >> 3), np.uint8) for _ in range(ROWS)]
+    often = np.zeros(max(1, (1 << bits) >> (3 + COMMON_CELLS)), np.uint8)
+    # At most ROWS << MAX_BITS bits and an eighth of a row more, whatever the corpus.
+    for line, block, data, common in dense.toLocalIterator():
+        for whole, part in ((rows[line], data), *([(often, common)] if line == 0 else [])):
+            part = np.frombuffer(part, np.uint8)
+            whole[block * len(part) : (block + 1) * len(part)] = part
+    return rows, often
+
+
+def _bit(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _repeated(anchors: np.ndarray, sketch: list[np.ndarray], bits: int) -> np.ndarray:
     """Whether the sketch estimates an anchor at two or more."""
     out = np.ones(len(anchors), bool)
     for row, packed in enumerate(sketch):
-        cells = _cell(anchors, row, bits)
-        out &= (packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+        out &= _bit(packed, _cell(anchors, row, bits))
     return out
 
 
@@ -172,35 +222,71 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(new) + 1])
 
 
-_ROUTED = "anchor long, doc long, content long, start int, kind byte, n int, wins binary"
+_ROUTED = "route long, doc long, content long, start int, kind byte, n int, wins binary, said binary"
 #: Kinds of rows: windows that ask, windows known to be repeated, and starts that are settled.
 ASKS, KNOWN, SETTLED = 0, 1, 2
 
 
-def _candidates(docs: DataFrame, window: int, sketch: Broadcast, bits: int) -> DataFrame:
-    """Runs of windows with one anchor that is estimated repeated."""
+class _Told:
+    """Windows that a task has told to be repeated, with their words; forgets all when full."""
+
+    def __init__(self):
+        self.said: dict[int, bytes] = {}
+        self.keys = np.empty(0, np.uint64)
+
+    def has(self, keys: np.ndarray, said) -> np.ndarray:
+        """Which windows are among them; `said` gives the words of one."""
+        out = np.isin(keys, self.keys)
+        for k in np.flatnonzero(out).tolist():
+            out[k] = self.said[int(keys[k])] == said(k)
+        return out
+
+    def add(self, keys: np.ndarray, said) -> None:
+        if len(self.said) + len(keys) > TOLD:
+            self.said.clear()
+        self.said.update({int(x): said(k) for k, x in enumerate(keys[:TOLD])})
+        self.keys = np.sort(np.fromiter(self.said, np.uint64, len(self.said)))
+
+
+def _candidates(docs: DataFrame, window: int, shared: Broadcast, bits: int) -> DataFrame:
+    """Runs of windows with one route whose anchor is estimated repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
+        codes, told = _Codes(), _Told()
+        sketch, often = shared.value
         for batch in bounded(batches, limit=STEP_BYTES):
-            words, starts = _words_of(batch, codes)
-            found = _Windows(words, starts, window)
+            hashes, numbers, starts = _words_of(batch, codes)
+            found = _Windows(hashes, starts, window)
             if not found.n:
                 continue
             new = np.concatenate([[True], found.anchors[1:] != found.anchors[:-1]])
-            often = _repeated(found.anchors[new], sketch.value, bits)[np.cumsum(new) - 1]
-            at = np.flatnonzero(often & found.ok)
+            each = found.anchors[new]
+            run_of = np.cumsum(new) - 1
+            at = np.flatnonzero(_repeated(each, sketch, bits)[run_of] & found.ok)
             if not len(at):
                 continue
-            anchor, win = found.anchors[at], window_hashes(words, window)[at]
-            order = np.lexsort((win, anchor))
-            a, w = anchor[order], win[order]
-            same = (a[1:] == a[:-1]) & (w[1:] == w[:-1])
+            common = _bit(often, _cell(each, 0, bits) >> COMMON_CELLS)[run_of[at]]
+            anchor, win = found.anchors[at], window_hashes(hashes, window)[at]
+            route = np.where(common, mix(anchor, win), anchor)
+            order, group = _groups((win, anchor), numbers, at, window)
+            same = group[1:] == group[:-1]
             first = np.concatenate([[True], ~same])
-            more = np.concatenate([same, [False]])  # the first of several
-            twin = np.concatenate([[False], same]) | more
             known, sent = np.zeros(len(at), bool), np.zeros(len(at), bool)
-            known[order], sent[order] = twin, first
+            known[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            sent[order] = first
+            words = codes.words
+            say = lambda a, n=window: b" ".join([words[i] for i in numbers[a : a + n].tolist()])
+            # What this task told before need not be told nor asked again.
+            one = np.flatnonzero(sent)
+            again = told.has(mix(anchor[one], win[one]), lambda k, one=one: say(at[one[k]]))
+            sent[one[again]] = False
+            repeated = np.zeros(group[-1] + 1, bool)
+            inverse = np.empty(len(at), np.int64)
+            inverse[order] = group
+            repeated[inverse[one[again]]] = True
+            known |= repeated[inverse]
+            tells = np.flatnonzero(sent & known)
+            told.add(mix(anchor[tells], win[tells]), lambda k, tells=tells: say(at[tells[k]]))
             text = np.searchsorted(starts, at, "right") - 1
             ids, content = (np.asarray(batch.column(c).fill_null(0)) for c in ("doc", "content"))
             start = (at - starts[text]).astype(np.int32)
@@ -210,26 +296,27 @@ def _candidates(docs: DataFrame, window: int, sketch: Broadcast, bits: int) -> D
             if len(begin):
                 t, n = text[k][begin], np.diff([*begin, len(k)])
                 none = pa.nulls(len(t), pa.binary())
-                yield _rows(content[t], ids[t], content[t], start[k][begin], SETTLED, n, none)
+                yield _rows(content[t], ids[t], content[t], start[k][begin], SETTLED, n, none, none)
             for kind, mask in ((ASKS, sent & ~known), (KNOWN, sent & known)):
                 k = np.flatnonzero(mask)
-                begin = _runs(text[k], anchor[k], at[k])
+                begin = _runs(text[k], route[k], at[k])
                 if len(begin):
                     t, n = text[k][begin], np.diff([*begin, len(k)])
                     offsets = pa.py_buffer((np.append(begin, len(k)) * 8).astype(np.int32))
                     wins = pa.Array.from_buffers(pa.binary(), len(begin), [None, offsets, pa.py_buffer(np.ascontiguousarray(win[k]))])
-                    yield _rows(anchor[k][begin].view(np.int64), ids[t], content[t], start[k][begin], kind, n, wins)
+                    said = pa.array([say(a, m + window - 1) for a, m in zip(at[k][begin].tolist(), n.tolist(), strict=True)], pa.binary())
+                    yield _rows(route[k][begin].view(np.int64), ids[t], content[t], start[k][begin], kind, n, wins, said)
 
     return docs.select("doc", "content", "text").mapInArrow(run, _ROUTED)
 
 
-def _rows(anchor, doc, content, start, kind, n, wins) -> pa.RecordBatch:
-    columns = [pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(content, pa.int64()), pa.array(start, pa.int32()), pa.array(np.full(len(n), kind, np.int8)), pa.array(n, pa.int32()), wins]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "doc", "content", "start", "kind", "n", "wins"])
+def _rows(route, doc, content, start, kind, n, wins, said) -> pa.RecordBatch:
+    columns = [pa.array(route, pa.int64()), pa.array(doc, pa.int64()), pa.array(content, pa.int64()), pa.array(start, pa.int32()), pa.array(np.full(len(n), kind, np.int8)), pa.array(n, pa.int32()), wins, said]
+    return pa.RecordBatch.from_arrays(columns, ["route", "doc", "content", "start", "kind", "n", "wins", "said"])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of repeated windows, of a partition sorted by anchor; an anchor goes on over batches."""
+def _settle(window: int):
+    """Starts of repeated windows, of a partition sorted by route; a route goes on over batches."""
     names = ["doc", "content", "start", "n"]
 
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -241,33 +328,36 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.asarray(table.column("n"))
         row = np.repeat(np.arange(len(n)), n)
         win = np.frombuffer(b"".join(table.column("wins").to_pylist()), np.uint64)
-        anchor = np.asarray(table.column("anchor"))[row]
+        route = np.asarray(table.column("route"))[row]
         known = (np.asarray(table.column("kind")) == KNOWN)[row]
-        place = np.asarray(table.column("start"))[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((win, anchor))
-        new = np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (win[order][1:] != win[order][:-1])])
-        group = np.cumsum(new) - 1
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        words, begins = _Codes().of([x.split(b" ") for x in table.column("said").to_pylist()])
+        order, group = _groups((win, route), words, begins[row] + nth, window)
         often = (np.bincount(group) > 1) | (np.bincount(group, known[order]) > 0)
         hit = np.zeros(len(row), bool)
         hit[order] = often[group]
-        k = np.flatnonzero(hit & ~known)
+        place = np.asarray(table.column("start"))[row] + nth
+        k = np.flatnonzero(hit)
         begin = _runs(row[k], place[k])
         if len(begin):
             made = table.select(names[:2]).take(pa.array(row[k][begin]))
             yield from pa.table([*made.columns, pa.array(place[k][begin], pa.int32()), pa.array(np.diff([*begin, len(k)]), pa.int32())], names).to_batches()
 
-    held: pa.Table | None = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([held, now]) if held is not None else now
-        anchors = np.asarray(now.column("anchor"))
-        last = int(np.searchsorted(anchors, anchors[-1])) if len(anchors) else 0
-        if last:
-            yield from out(now.slice(0, last))
-            now = now.slice(last)
-        held = now
-    if held is not None and held.num_rows:
-        yield from out(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = pa.concat_tables([held, now]) if held is not None else now
+            routes = np.asarray(now.column("route"))
+            last = int(np.searchsorted(routes, routes[-1])) if len(routes) else 0
+            if last:
+                yield from out(now.slice(0, last))
+                now = now.slice(last)
+            held = now
+        if held is not None and held.num_rows:
+            yield from out(held)
+
+    return run
 
 
 def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -279,9 +369,9 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Sizes only the sketch: spaces tell the words, without splitting.
     words = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(np.ceil(np.log2(max(1, words / 6 * CELLS_PER_WORD))))))
-    sketch = spark.sparkContext.broadcast(merged_sketch(docs, window, bits))
-    routed = _candidates(docs, window, sketch, bits)
-    return routed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_settle, "doc long, content long, start int, n int")
+    shared = spark.sparkContext.broadcast(merged_sketch(docs, window, bits))
+    routed = _candidates(docs, window, shared, bits)
+    return routed.repartition("route").sortWithinPartitions("route").mapInArrow(_settle(window), "doc long, content long, start int, n int")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
@@ -292,7 +382,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     other's windows and each give a row; null ids are kept; other columns are ignored.
     """
     keyed = docs.select(id_col, "text", F.xxhash64(id_col).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("content"))
-    spans = repeated_starts(keyed, window).groupBy("doc", "content").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = repeated_starts(keyed, window).groupBy("doc", "content").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     joined = keyed.join(spans, ["doc", "content"], "left").select(id_col, "text", "spans")
     kinds = dict(docs.dtypes)
 

@@ -45,6 +45,44 @@ def test_a_full_sketch_loses_nothing(spark, monkeypatch):
     assert got == dict(enumerate(brute(texts)))
 
 
+@pytest.mark.parametrize("hashes", ["words", "windows"])
+def test_equal_hashes_of_different_words_are_told_apart(spark, monkeypatch, hashes):
+    """Hashes of few values: everything meets, and only words decide."""
+    import numpy as np
+
+    if hashes == "words":
+        monkeypatch.setattr(substrings.xxhash, "xxh3_64_intdigest", lambda w: len(w))
+        rng = random.Random(9)
+        texts = [" ".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(30)]
+        words, at = np.array([ord(c) for t in texts for c in t.split()]), np.arange(0, 1700)
+        order, group = substrings._groups((np.zeros(1700, np.uint64),), words, at, 3)
+        want = Counter(tuple(words[i : i + 3].tolist()) for i in at)
+        got = Counter(group.tolist())
+        assert sorted(got.values()) == sorted(want.values()) and all(len({tuple(words[at[o] : at[o] + 3].tolist()) for o in order[group == g]}) == 1 for g in list(got)[:50])
+    else:
+        rng = random.Random(10)
+        texts = [*corpus(4), *(prose(rng, 50) for _ in range(10))]
+        monkeypatch.setattr(substrings, "COMMON", 2)  # every window is dealt by itself
+        got = {r[0]: tuple(r)[1:] for r in removal_report(docs(spark, texts).repartition(3)).collect()}
+        assert got == dict(enumerate(brute(texts)))
+
+
+def test_a_common_anchor_is_dealt_by_window(spark, monkeypatch):
+    rng = random.Random(11)
+    passage = prose(rng, 60)
+    texts = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(400)]
+    table = docs(spark, texts).selectExpr("doc_id AS doc", "doc_id AS content", "text").repartition(8)
+    most = []
+    for common in (10**6, 256):
+        monkeypatch.setattr(substrings, "COMMON", common)
+        sketch = spark.sparkContext.broadcast(substrings.merged_sketch(table, 35, 20))
+        routed = substrings._candidates(table, 35, sketch, 20).where("kind <> 2")
+        most.append(routed.groupBy("route").count().agg({"count": "max"}).first()[0])
+    assert most[0] > 300 and most[1] < 50
+    got = {r[0]: tuple(r)[1:] for r in removal_report(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(brute(texts)))
+
+
 def test_repeated_rows_and_null_ids(spark):
     rng = random.Random(5)
     a, b = prose(rng, 40), prose(rng, 40)
