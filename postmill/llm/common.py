@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,24 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.operators.tables import checkpoint, shared_folder
+
 #: Text handed to one step of a Python task at a time; a longer single document comes alone.
 BATCH_BYTES = 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["bounded", "checkpoint", "item_words", "lower_words", "mix", "over_texts", "plain_words", "shared_folder", "table", "texts", "window_hashes", "written"]
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """`df` written to the cluster's shared checkpoint folder, lineage cut.
 
-    The folder is the session's (spark.checkpoint.dir); only a session without one,
-    as in tests, gets a temporary folder.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -119,12 +111,9 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet below the cluster's shared checkpoint folder, and read again."""
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """`df` written as Parquet (below the shared checkpoint folder unless told where), and read again."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
-    path = f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

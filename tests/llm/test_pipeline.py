@@ -1,10 +1,12 @@
 import random
 
 import corpus_pipeline
+from postmill.llm.common import written
 from postmill.llm.decontaminate import contamination
 from postmill.llm.queries import ORACLE_SQL, QUERIES
-from postmill.llm.simhash import deduplicate, fingerprint
+from postmill.llm.simhash import deduplicate
 from tests.llm.fixtures import awkward, docs, prose
+from tests.llm.test_jaccard import components
 
 SF = "/root/testdata/sf0.01"
 
@@ -15,29 +17,17 @@ def test_stages_one_by_one(spark):
     labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = [table]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept.append(stage(spark, kept[-1], SF).localCheckpoint())
+        kept.append(written(stage(spark, kept[-1], SF)))
         assert kept[-1].columns == table.columns
     ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
     known = [i for i in ids[0] if i in labels]
     good, poor = ([i for i in known if labels[i][0] == q] for q in (1, 0))
     assert sum(i in ids[1] for i in good) > 0.95 * len(good) and sum(i in ids[1] for i in poor) < 0.1 * len(poor)
 
-    # One document of each group, by brute force over all pairs.
-    prints = {r["doc_id"]: fingerprint((r["text"] or "").encode()) for r in kept[1].collect()}
-    order = sorted(prints)
-    root = {i: i for i in order}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, i in enumerate(order):
-        for j in order[a + 1 :]:
-            if (prints[i] ^ prints[j]).bit_count() <= 4:
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    assert ids[2] == {i for i in order if find(i) == i} and kept[2].count() == len(ids[2])
+    # One document of each group of five-word shingles at 0.8, by brute force over all pairs.
+    rows = sorted((r["doc_id"], r["text"]) for r in kept[1].collect())
+    group = components([text for _, text in rows])
+    assert ids[2] == {rows[i][0] for i, first in group.items() if i == first} and kept[2].count() == len(ids[2])
 
     hit = {r["doc_id"] for r in contamination(kept[2], benchmark).collect() if r["contaminated"]}
     assert hit and ids[3] == ids[2] - hit
@@ -49,6 +39,19 @@ def test_stages_one_by_one(spark):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_empty_and_awkward_documents(spark, tmp_path):
+    """All stages over a table without rows, and over one of rows without text, id or peers."""
+    from shutil import copy
+
+    for name, table in (("none", docs(spark, [])), ("odd", docs(spark, awkward() * 2, ids=[None, *range(len(awkward()) * 2 - 1)]))):
+        (tmp_path / name).mkdir()
+        for t in ("benchmark", "labels"):
+            copy(f"{SF}/{t}.parquet", tmp_path / name)
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        rows = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (len(rows) == 0) == (name == "none") and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
+
+
 def test_deduplicate_awkward_rows(spark):
     rng = random.Random(1)
     text = prose(rng, 200)
