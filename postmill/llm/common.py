@@ -16,7 +16,7 @@ from postmill.operators.tables import checkpoint, shared_folder
 BATCH_BYTES = 8 << 20
 
 
-__all__ = ["bounded", "checkpoint", "item_words", "lower_words", "mix", "over_texts", "plain_words", "shared_folder", "table", "texts", "window_hashes", "written"]
+__all__ = ["bounded", "checkpoint", "item_words", "lower_words", "mix", "over_texts", "plain_words", "removed", "shared_folder", "table", "texts", "window_hashes", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,3 +117,9 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was `written`, by the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
