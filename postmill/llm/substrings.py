@@ -35,7 +35,7 @@ CELLS_PER_WORD = 0.25
 MIN_BITS, MAX_BITS = 16, 31
 ROWS = 2
 #: Places from which on an anchor's windows are dealt one by one, and cells that share a bit for that.
-COMMON, COMMON_CELLS = 256, 3
+COMMON, COMMON_CELLS = 2048, 3
 #: Counts of a cell are kept up to this.
 FULL = 0xFFFF
 #: Windows that a task remembers to have told.
@@ -161,7 +161,7 @@ def merged_sketch(docs: DataFrame, window: int, bits: int) -> tuple[list[np.ndar
             ends = np.searchsorted(cells, np.arange(size, (1 << bits) + size, size))
             starts = np.append(0, ends[:-1])
             blocks = np.flatnonzero(ends > starts)
-            cells, counts, starts, ends = (cells & (size - 1)).astype(np.uint16), np.minimum(counts, 255).astype(np.uint8), starts[blocks], ends[blocks]
+            cells, counts, starts, ends = (cells & (size - 1)).astype(np.uint16), np.minimum(counts, FULL).astype(np.uint16), starts[blocks], ends[blocks]
             yield pa.RecordBatch.from_pydict({
                 "line": pa.array(np.full(len(blocks), row, np.int32)), "block": pa.array(blocks.astype(np.int32)),
                 "cells": pa.array([cells[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary()),
@@ -183,7 +183,7 @@ def merged_sketch(docs: DataFrame, window: int, bits: int) -> tuple[list[np.ndar
         total = np.zeros(size, np.int64)
         for batch in parts:  # one row of each task's step
             for cells, counts in zip(batch.column("cells").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint8)
+                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(counts, np.uint16)
             np.minimum(total, FULL, out=total)
         common = (total >= COMMON).reshape(-1, 1 << min(COMMON_CELLS, bits)).any(1)
         yield pa.RecordBatch.from_pydict({"line": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "bits": [np.packbits(total > 1).tobytes()], "common": [np.packbits(common).tobytes()]})
