@@ -64,8 +64,10 @@ class Pick:
             return ""
         if self.attr:
             text = at.attrs.get(self.attr, "")
-        elif self.head and at.children:
-            text = at.children[0] if isinstance(at.children[0], str) else at.children[0].text()
+        elif self.head:
+            # A first child of blanks counts: it isn't empty before it is trimmed.
+            child = at.children[0] if at.children else ""
+            text = (child if isinstance(child, str) else child.text()) or at.text()
         else:
             text = (self.own and at.own_text()) or at.text(self.without)
         if self.found:

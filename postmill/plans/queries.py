@@ -12,6 +12,7 @@ from postmill.functions import text as T
 from postmill.functions import times
 from postmill.operators import audit as A
 from postmill.operators import dedup, filters, fuzzy, snapshots, view
+from postmill.plans import board_pages
 from postmill.plans.derived import AS_OF, KEYWORDS, POSTINGS_SQL, RAW_DATES_SQL, SITES_SQL, WS, postings, raw_dates, sites, squeeze_sql, table, trim_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -459,3 +460,9 @@ def extract_title(spark, sf):
 
     board = Board("head", (Pick(css="title"),), (), "page")
     return page_rows(table(spark, sf, "pages").select("page_id", "url", "html"), board).select("page_id", "title")
+
+
+# Boards
+
+QUERIES |= board_pages.QUERIES
+ORACLE_SQL |= board_pages.ORACLE_SQL

@@ -113,7 +113,7 @@ BOARDS = {
     "artic": Board("table.boardCategory tbody tr", A1, DATED, "이천시립박물관", least=3, link=L1, url="prefix", base="https://www.artic.or.kr"),
     "ddc": Board(TR, A1, cell(-1), "동두천자유수호평화박물관", least=3, skip=("공지",), titled=True, link=L1, url="dot", base="https://www.ddc.go.kr/museum/"),
     "history-seoul": Board("main li, article li, #sub-contents li, .board-list li", (P(css="a"),), (), "서울역사편찬원", needs=(P(css="a"),), titled=True, children=("채용", "일반")),
-    "museum-or-kr": Board(TR, (P(1, ".kboard-default-cut-strings", head=True), P(1, ".kboard-default-cut-strings")), cell(3), "한국박물관협회", least=4, skip=("공지사항", "공지"), link=L1, url="slash", base="https://museum.or.kr", bracket_org="start"),
+    "museum-or-kr": Board(TR, (P(1, ".kboard-default-cut-strings", head=True),), cell(3), "한국박물관협회", least=4, skip=("공지사항", "공지"), link=L1, url="slash", base="https://museum.or.kr", bracket_org="start"),
     "seoul": Board(TR, A1, cell(3), "서울특별시", least=5, org=cell(2), deadline=cell(4), link=L1, url="call", call="fnTbbsView", base="https://www.seoul.go.kr/news/news_employ.do?bbsNo=166&nttNo={id}"),
     "korea-kr": Board(TR, (P(0, "a"),), cell(2), "정책브리핑", least=4, org=cell(1), deadline=cell(3), link=(P(0, "a", attr="href"),), url="prefix", base="https://www.korea.kr"),
     "kdp-aks": Board(TR, A1, cell(2), "한국학중앙연구원", least=3, needs=A1, titled=True, link=L1, url="call", call="goDetail", base="https://kdp.aks.ac.kr/board/boardKorView?BRD_GRU_SN=6&BRD_SN={id}&itemId=%EC%B1%84%EC%9A%A9%EA%B3%B5%EA%B3%A0", bracket_org="anywhere"),
