@@ -13,6 +13,8 @@ choice, not a grouping, and is decided here in rounds over the table of alike pa
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,10 @@ from postmill.operators.dedup import ORDER, has_url
 from postmill.operators.tables import checkpoint
 
 ALIKE_LENGTH = 10
-MAX_ROUNDS = 1000
+#: Titles whose tokens are broadcast to their pairs (about 300 bytes each); more are joined by shuffles.
+BROADCAST_ROWS = 100_000
+#: Open pairs that are decided in one go on the driver; more are decided in rounds, as many as it takes.
+FEW = 2_000_000
 
 
 def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
@@ -32,15 +37,29 @@ def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
     """
     words = tokens.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * F.length("t")).alias("w"))
     words = checkpoint(words)
+    first, second = (tokens.select(F.col("place").alias(p), F.col("tokens").alias(f"_{p}")) for p in ("i", "j"))
     common = words.groupBy("t").count()
     rare_first = Window.partitionBy("place").orderBy(F.col("count").desc(), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The weight of a token and of all that are more common than it.
     known = words.join(common, "t").withColumn("rest", F.sum("w").over(rare_first))
     leads = known.where(F.col("rest") >= least).select(F.col("place").alias("i"), "t")
     met = leads.join(words.select(F.col("place").alias("j"), "t"), "t").where("i < j").select("i", "j").distinct()
-    first, second = (words.select(F.col("place").alias(p), "t", *extra) for p, extra in (("i", ["w"]), ("j", [])))
-    shared = met.join(first, "i").join(second, ["j", "t"])
-    return shared.groupBy("i", "j").agg(F.sum("w").alias("overlap")).where(F.col("overlap") >= least)
+    shared = F.aggregate(F.filter("_i", lambda t: F.array_contains("_j", t)), F.lit(0), lambda n, t: n + F.length(t))
+    # Few bytes but much work for each pair: as many tasks as the session shuffles to, whatever the size.
+    met = met.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")
+    if words.select("place").distinct().count() <= BROADCAST_ROWS:
+        first, second = F.broadcast(first), F.broadcast(second)
+    return met.join(first, "i").join(second, "j").select("i", "j", shared.cast("long").alias("overlap")).where(F.col("overlap") >= least)
+
+
+def _in_order(i: np.ndarray, k: np.ndarray, kept: set[int]) -> list[int]:
+    """Places that stay, by going through the open ones in order; `i` may remove `k`, if it stays itself or is in `kept`."""
+    removed: set[int] = set()
+    for at in np.lexsort((k, i)).tolist():
+        x, y = int(i[at]), int(k[at])
+        if x in kept or x not in removed:
+            removed.add(y)
+    return sorted(removed)
 
 
 def _settle(nodes: DataFrame, kills: DataFrame) -> DataFrame:
@@ -50,15 +69,27 @@ def _settle(nodes: DataFrame, kills: DataFrame) -> DataFrame:
     """
     state = checkpoint(nodes.select("n", F.lit(None).cast("boolean").alias("stays")))
     kills = checkpoint(kills.select("i", F.col("n").alias("k")).distinct())
-    for _ in range(MAX_ROUNDS):
+    while True:
         by = kills.join(state.select(F.col("n").alias("i"), F.col("stays").alias("by")), "i")
+        open_ends = state.where("stays is null").select(F.col("n").alias("k"))
+        left = checkpoint(by.where("coalesce(by, true)").join(open_ends, "k", "left_semi"))
+        if left.count() <= FEW:
+            return _settled_at_once(state, left)
         seen = by.groupBy("k").agg(F.max(F.coalesce("by", F.lit(False))).alias("killed"), F.max(F.col("by").isNull()).alias("open"))
         now = state.join(seen, state["n"] == seen["k"], "left")
         settled = F.when(F.col("stays").isNotNull(), F.col("stays")).when(F.coalesce("killed", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
+        # The first open node is always settled, so this ends.
         state = checkpoint(now.select("n", settled.alias("stays")))
-        if state.where("stays is null").isEmpty():
-            return state
-    raise RuntimeError(f"postings are not settled after {MAX_ROUNDS} rounds")
+
+
+def _settled_at_once(state: DataFrame, left: DataFrame) -> DataFrame:
+    """`state` with all nodes settled: at most FEW pairs (`i`, `k`, `by`: whether `i` is known to stay) decide the open ones."""
+    pairs = left.toArrow()
+    i, k = (np.asarray(pairs[c]) for c in ("i", "k"))
+    known = set(i[np.asarray(pairs["by"].fill_null(False))].tolist())
+    removed = state.sparkSession.createDataFrame(pa.table({"r": pa.array(_in_order(i, k, known), pa.int64())}))
+    joined = state.join(removed, state["n"] == removed["r"], "left")
+    return checkpoint(joined.select("n", F.coalesce("stays", F.col("r").isNull()).alias("stays")))
 
 
 def removed_places(pairs: DataFrame, places: DataFrame) -> DataFrame:
@@ -85,8 +116,10 @@ def removed_places(pairs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def place_of(rows: DataFrame) -> Column:
-    """One number that orders sites first and postings within: posting numbers are below 2**40."""
-    return F.shiftleft(F.col(ORDER[0]).cast("long"), 40) + F.col(ORDER[1])
+    """One number that orders sites first and postings within: posting numbers are below 2**40, others are an error."""
+    post = F.col(ORDER[1]).cast("long")
+    bounded = F.when(post.isNull() | post.between(0, (1 << 40) - 1), post).otherwise(F.raise_error(F.lit("a posting's number is not below 2**40")).cast("long"))
+    return F.shiftleft(F.col(ORDER[0]).cast("long"), 40) + bounded
 
 
 def dedup_fuzzy(postings: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:

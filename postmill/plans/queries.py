@@ -12,6 +12,7 @@ from postmill.functions import text as T
 from postmill.functions import times
 from postmill.operators import audit as A
 from postmill.operators import dedup, filters, fuzzy, snapshots, view
+from postmill.operators.tables import checkpoint
 from postmill.plans import board_pages
 from postmill.plans.derived import AS_OF, KEYWORDS, POSTINGS_SQL, RAW_DATES_SQL, SITES_SQL, WS, postings, raw_dates, sites, squeeze_sql, table, trim_sql
 
@@ -237,7 +238,7 @@ def _crawled(spark, sf):
 @query(f"WITH {POSTINGS_SQL}, {_CRAWL_SQL}, {_PAIRS_SQL} SELECT i, j, overlap FROM pairs")
 def fuzzy_overlap_pairs(spark, sf):
     rows = _crawled(spark, sf)
-    return fuzzy.alike_pairs(rows.select(fuzzy.place_of(rows).alias("place"), T.title_tokens("title").alias("tokens")))
+    return fuzzy.alike_pairs(checkpoint(rows.select(fuzzy.place_of(rows).alias("place"), T.title_tokens("title").alias("tokens"))))
 
 
 #: The pass itself: one posting after another, with the list of those gone.

@@ -65,3 +65,26 @@ def test_empty(spark):
     df = spark.createDataFrame([], "site_id string, site_ord int, post_ord long, title string, organization string, reg_date string, url string")
     assert dedup_fuzzy(df).count() == 0
     assert dedup_fuzzy(df.union(spark.range(1).select(F.lit("s"), F.lit(1), F.lit(1), F.lit("x"), F.lit("o"), F.lit(""), F.lit(None)))).count() == 1
+
+
+def test_a_long_chain(spark):
+    """3,000 postings of which each is alike to the next alone: every second one goes."""
+    word = lambda n: F.translate(F.format_string("word%06d", n), "0123456789", "abcdefghij")
+    title = F.concat_ws(" ", word(F.col("id")), word(F.col("id") + 1))
+    df = spark.range(3000).select(F.lit("s").alias("site_id"), F.lit(1).alias("site_ord"), F.col("id").alias("post_ord"), title.alias("title"), F.lit("u").alias("url"))
+    assert sorted(r["post_ord"] for r in dedup_fuzzy(df).collect()) == list(range(0, 3000, 2))
+
+
+@pytest.mark.parametrize("few", [0, 40])
+def test_rounds_equal_the_pass(spark, monkeypatch, few):
+    from postmill.operators import fuzzy
+
+    monkeypatch.setattr(fuzzy, "FEW", few)
+    monkeypatch.setattr(fuzzy, "BROADCAST_ROWS", 0)
+    test_equals_the_pass(spark, 5)
+
+
+def test_a_place_out_of_bounds_is_an_error(spark):
+    df = spark.range(1).selectExpr("'s' AS site_id", "1 AS site_ord", "1099511627776 AS post_ord", "'t' AS title", "'u' AS url")
+    with pytest.raises(Exception, match="below"):
+        dedup_fuzzy(df).collect()
