@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Days that a posting counts as new, and periods that a reader may choose.
 NEW_DAYS = 3
 PERIODS = (7, 14, 21, 31)
 
@@ -38,13 +39,15 @@ def within_month(reg_date: Column | str, as_of: datetime, strict: bool = False)
 def within_month_view(reg_date: Column | str, as_of: datetime, west: bool = False) -> Column:
     """Whether the listing shows a posting: it has a date, and not one before the day a month back.
 
-    Dates count from midnight UTC and the bound from local midnight, so `west` of UTC the bound's own
-    day is out. Non-empty texts that aren't dates are shown.
+    ISO dates count from midnight UTC and the bound from local midnight, so `west` of UTC the bound's own
+    day is out; dates written with points or slashes count from local midnight. Non-empty texts that aren't dates are shown.
     """
     c = F.coalesce(F.col(reg_date) if isinstance(reg_date, str) else reg_date, F.lit(""))
     bound = month_back(F.to_date(F.lit(as_of)))
     day = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}\z"), F.try_to_date(c, "yyyy-MM-dd"))
-    return F.when(c == "", False).when(day.isNull(), True).otherwise((day > bound) if west else (day >= bound))
+    part = lambda i: F.regexp_extract(c, r"^(\d{4})[./](\d{1,2})[./](\d{1,2})\z", i)
+    local = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
+    return F.when(c == "", False).when(local.isNotNull(), local >= bound).when(day.isNull(), True).otherwise((day > bound) if west else (day >= bound))
 
 
 def within_days(reg_date: Column | str, as_of: datetime, days: int) -> Column:

@@ -39,11 +39,22 @@ def audit(postings: DataFrame, pages: DataFrame) -> DataFrame:
         .when(m == n, "pass").when(m >= n * F.lit(PASS_SHARE), "pass").when(m >= n * F.lit(WARN_SHARE), "warn").otherwise("fail")
     )
     off = skipped | broken
+    share = F.floor(m / n * 100 + 0.5).cast("int").cast("string")
+    text = lambda c: c.cast("string")
+    # What a verdict says.
+    message = (
+        F.when(skipped, F.concat(F.lit("크롤링 에러: "), "crawl_error")).when(broken, F.concat(F.lit("검증 중 에러: "), "check_error"))
+        .when((n == 0) & (F.col("lines") == 0), "공고 없음 확인 (정상)").when(n == 0, F.concat(F.lit("크롤링 0건이나 페이지에 채용 키워드 "), text(F.col("lines")), F.lit("건 감지")))
+        .when(m == n, F.concat(F.lit("전체 "), text(n), F.lit("건 제목 매칭 성공")))
+        .when(m >= n * F.lit(PASS_SHARE), F.concat(text(n), F.lit("건 중 "), text(m), F.lit("건 매칭 ("), share, F.lit("%)")))
+        .when(m >= n * F.lit(WARN_SHARE), F.concat(text(n), F.lit("건 중 "), text(m), F.lit("건만 매칭 ("), share, F.lit("%)")))
+        .otherwise(F.concat(text(n), F.lit("건 중 "), text(m), F.lit("건만 매칭 - 크롤러 점검 필요")))
+    )
     zero, none = F.lit(0), F.array().cast("array<string>")
     return sites.select(
         "site_id", status.alias("status"), F.when(skipped, zero).otherwise(n).alias("crawled"), F.when(off, zero).otherwise(F.col("lines")).alias("actual"),
         F.when(off, zero).otherwise(m).alias("matched"), F.when(off, none).otherwise(F.col("missed")).alias("unmatched"),
-        F.when(off | (n == 0), None).otherwise(F.floor(m / n * 100 + 0.5)).cast("int").alias("percent"),
+        F.when(off | (n == 0), None).otherwise(F.floor(m / n * 100 + 0.5)).cast("int").alias("percent"), message.alias("message"),
     )
 
 

@@ -28,7 +28,7 @@ def mentions(c: Column | str, keywords: list[str]) -> Column:
     text = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     if not words:
         return F.lit(False)
-    return text.rlike("|".join(re.escape(w) if w.isascii() else rf"\Q{w}\E" for w in words))
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def is_job_title(title: Column | str) -> Column:

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _keys(rows: DataFrame, flag: str | None = None) -> DataFrame:
+    """Distinct site and title of `rows` as `_s` and `_t`; a null is an empty text in every comparison."""
+    keys = rows.select(F.coalesce("site_id", F.lit("")).alias("_s"), F.coalesce("title", F.lit("")).alias("_t")).distinct()
+    return keys.withColumn(flag, F.lit(True)) if flag else keys
+
+
+def _same() -> Column:
+    return (F.coalesce("site_id", F.lit("")) == F.col("_s")) & (F.coalesce("title", F.lit("")) == F.col("_t"))
+
+
 def new_postings(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Postings whose site and exact title the previous snapshot lacks; repeats stay."""
-    known = previous.select(F.coalesce("site_id", F.lit("")).alias("_s"), F.coalesce("title", F.lit("")).alias("_t")).distinct()
-    return current.join(known, (F.coalesce("site_id", F.lit("")) == F.col("_s")) & (F.coalesce("title", F.lit("")) == F.col("_t")), "left_anti")
+    return current.join(_keys(previous), _same(), "left_anti")
 
 
 def mark_new(current: DataFrame, new: DataFrame) -> DataFrame:
     """`current` with `is_new`: whether `new` has the same site and title."""
-    known = new.select("site_id", "title").distinct().withColumn("_seen", F.lit(True))
-    return current.join(known, ["site_id", "title"], "left").withColumn("is_new", F.coalesce("_seen", F.lit(False))).drop("_seen")
+    return current.join(_keys(new, "_seen"), _same(), "left").withColumn("is_new", F.coalesce("_seen", F.lit(False))).drop("_seen", "_s", "_t")
 
 
 def without_hidden(postings: DataFrame, hidden: DataFrame) -> DataFrame:
     """Postings that the reader has not hidden by site and title."""
-    return postings.join(hidden.select("site_id", "title").distinct(), ["site_id", "title"], "left_anti")
+    return postings.join(_keys(hidden), _same(), "left_anti")
 
 
 def toggle_hidden(hidden: DataFrame, changes: DataFrame) -> DataFrame:
     """The hidden set after `changes` (`site_id`, `title`, `hide`, `seq`): the last one of a posting holds."""
-    last = changes.groupBy("site_id", "title").agg(F.max_by("hide", "seq").alias("hide"))
-    kept = hidden.select("site_id", "title").distinct().join(last, ["site_id", "title"], "left_anti")
+    last = changes.groupBy(F.coalesce("site_id", F.lit("")).alias("site_id"), F.coalesce("title", F.lit("")).alias("title")).agg(F.max_by("hide", "seq").alias("hide"))
+    kept = _keys(hidden).withColumnsRenamed({"_s": "site_id", "_t": "title"}).join(last, ["site_id", "title"], "left_anti")
     return kept.unionByName(last.where("hide").select("site_id", "title"))
 
 

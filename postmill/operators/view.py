@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from postmill.functions.text import trim
 from postmill.functions.times import is_new, within_days, within_month_view
 from postmill.operators.dedup import dedup_view
+from postmill.operators.extract import WHITE
 from postmill.operators.snapshots import without_hidden
+from postmill.operators.tables import checkpoint
 
 
 @dataclass
 class Choice:
-    """What the reader has chosen."""
+    """What the reader has chosen; hidden postings are shown only while there are any."""
 
     site: str | None = None
     only_new: bool = False
@@ -67,7 +69,7 @@ def chosen(listing: DataFrame, choice: Choice, as_of: datetime, hidden: DataFram
     if choice.period_days > 0:
         rows = rows.where(within_days("reg_date", as_of, choice.period_days))
     query = F.lower(trim(F.lit(choice.search)))
-    if choice.search.strip():
+    if choice.search.strip(WHITE):
         found = F.lit(False)
         for c in ("title", "organization", "site_name"):
             found = found | F.contains(F.lower(F.coalesce(c, F.lit(""))), query)
@@ -80,9 +82,11 @@ def ordered(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.coalesce("reg_date", F.lit("")).desc(), "rank_place")
 
 
-def ranked(rows: DataFrame, buckets_by: str = "reg_date") -> DataFrame:
-    """`rows` with `rank`, the place in `ordered`, for tests and pages; one window for each date plus an offset."""
-    date = F.coalesce(buckets_by, F.lit(""))
-    before = rows.groupBy(date.alias("_d")).count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = Window.partitionBy("_d").orderBy("rank_place")
-    return rows.withColumn("_d", date).withColumn("_nth", F.row_number().over(own)).join(before.drop("count"), "_d").withColumn("rank", F.col("_before") + F.col("_nth")).drop("_d", "_nth", "_before")
+def ranked(rows: DataFrame) -> DataFrame:
+    """`rows` with `rank`, the place in `ordered`: ranges of the order are numbered side by side, then moved on by what is before."""
+    date = F.coalesce("reg_date", F.lit(""))
+    dealt = rows.withColumn("_d", date).repartitionByRange(F.desc("_d"), "rank_place").sortWithinPartitions(F.desc("_d"), "rank_place")
+    dealt = checkpoint(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % (1 << 33)))
+    # One row for each partition.
+    counts = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.join(F.broadcast(counts.drop("count")), "_part").withColumn("rank", F.col("_before") + F.col("_nth") + 1).drop("_d", "_part", "_nth", "_before")

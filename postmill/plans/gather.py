@@ -15,10 +15,11 @@ from postmill.operators.extract import Board, json_postings, link_url, rows_of
 from postmill.operators.filters import relevant_postings
 from postmill.operators.fuzzy import dedup_fuzzy
 from postmill.operators.snapshots import nested_results
+from postmill.operators.tables import checkpoint
 from postmill.sources.boards import BOARDS, JSON_SITE
 
-#: Rows of a page that number its postings at most; pages of a site follow each other.
-PAGE_ROWS = 100_000
+#: Numbers of a page's postings begin at multiples of this, more rows than any text can hold; pages of a site follow each other.
+PAGE_ROWS = 1 << 28
 
 POSTING_COLUMNS = ["site_id", "post_ord", "title", "organization", "reg_date", "deadline_date", "url", "status"]
 _FIELDS = ("title", "date", "org", "deadline", "status", "link")
@@ -36,20 +37,39 @@ def by_board(boards: dict[str, Board], made, fallback: Column) -> Column:
     return out
 
 
-def page_postings(pages: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFrame:
-    """Postings of `pages` (`site_id`, `page`, `url`, `html`) of all boards in one pass.
+def read_pages(pages: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFrame:
+    """`site_id`, `page`, `rows` (raw values) and `error` of `pages` (`site_id`, `page`, `url`, `html`, and `error` if there is one).
 
-    Each page is read by its site's board; sites without one, and pages without text, have no postings.
+    Each page is read by its site's board; sites without one, and pages without text, have no rows. A page that
+    can't be read gives its error, never a failed task.
     """
 
-    @F.arrow_udf("array<struct<title:string,date:string,org:string,deadline:string,status:string,link:string>>")
+    @F.arrow_udf("rows array<struct<title:string,date:string,org:string,deadline:string,status:string,link:string>>, error string")
     def read(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([(f, pa.string()) for f in _FIELDS]))
         for site, url, page in columns:
-            rows = zip(site.to_pylist(), url.to_pylist(), page.to_pylist(), strict=True)
-            yield pa.array([rows_of(boards[s], p or "", u or "") if s in boards else [] for s, u, p in rows], kind)
+            rows, errors = [], []
+            for s, u, p in zip(site.to_pylist(), url.to_pylist(), page.to_pylist(), strict=True):
+                try:
+                    rows.append(rows_of(boards[s], p, u or "") if p and s in boards else [])
+                    errors.append(None)
+                except Exception as e:  # whatever a page's markup leads to
+                    rows.append([])
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.StructArray.from_arrays([pa.array(rows, kind), pa.array(errors, pa.string())], ["rows", "error"])
+
+    given = F.nullif("error", F.lit("")) if "error" in pages.columns else F.lit(None).cast("string")
+    found = pages.select("site_id", F.coalesce("page", F.lit(1)).alias("page"), given.alias("given"), read("site_id", "url", "html").alias("r"))
+    return found.select("site_id", "page", "r.rows", F.coalesce("given", "r.error").alias("error"))
+
+
+def page_postings(pages: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFrame:
+    """Postings of `pages` of all boards in one pass; pages that can't be read have none."""
+    return postings_of(read_pages(pages, boards), boards)
+
 
-    found = pages.where("html is not null").select("site_id", F.coalesce("page", F.lit(1)).alias("page"), read("site_id", "url", "html").alias("rows"))
+def postings_of(found: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFrame:
+    """Postings of pages that are read."""
     rows = found.select("site_id", "page", F.posexplode("rows").alias("n", "r")).select("site_id", (F.col("page").cast("long") * PAGE_ROWS + F.col("n")).alias("post_ord"), "r.*")
     default = or_default("org", by_board(boards, lambda b: F.lit(b.organization), F.lit("")))
     org = by_board(boards, lambda b: bracketed_organization("title", b.organization, b.bracket_org == "anywhere") if b.bracket_org else F.lit(None).cast("string"), F.lit(None).cast("string"))
@@ -66,24 +86,30 @@ def page_postings(pages: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFr
 
 
 def gather(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None) -> DataFrame:
-    """The snapshot: postings of all boards, filtered and each once, with `site_ord` and `site_name`.
+    """The snapshot of `run`."""
+    return run(pages, sites, keywords, as_of, answers)[0]
+
+
+def run(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The snapshot: postings of all boards, filtered and each once, with `site_ord` and `site_name`; and the pages as read.
 
     `answers` (`page`, `body`) are those of the board that answers in JSON. A site with an error among its
-    pages (`error`) gives no postings, as a failed run of it would.
+    pages, given or met in reading, gives no postings, as a failed run of it would.
     """
-    failed = pages.where("coalesce(error, '') <> ''").select("site_id").distinct()
-    found = page_postings(pages.join(failed, "site_id", "left_anti"))
+    read = checkpoint(read_pages(pages))
+    failed = read.where("error is not null").select("site_id").distinct()
+    found = postings_of(read.join(failed, "site_id", "left_anti"))
     if answers is not None:
         site, organization, base = JSON_SITE
         more = json_postings(answers, organization, base).withColumns({"site_id": F.lit(site), "status": F.lit(None).cast("string")})
         found = found.unionByName(more.withColumn("post_ord", F.col("post_ord").cast("long")).select(POSTING_COLUMNS))
     kept = relevant_postings(found, keywords, as_of)
     placed = kept.join(sites.select("site_id", "site_ord", "site_name"), "site_id")
-    return dedup_fuzzy(dedup_crawl(placed))
+    return dedup_fuzzy(dedup_crawl(placed)), read
 
 
 def results(snapshot: DataFrame, pages: DataFrame, sites: DataFrame, crawled_at: str) -> DataFrame:
-    """The snapshot as nested results, a row for each site, with its error if it failed."""
+    """The snapshot as nested results, a row for each site, with the error among its `pages` (captured or as read) if it failed."""
     errors = pages.groupBy("site_id").agg(F.max("error").alias("error"))
     listed = sites.join(errors, "site_id", "left").withColumn("crawled_at", F.lit(crawled_at))
     return nested_results(snapshot, listed)

@@ -13,8 +13,10 @@ from postmill.functions import times
 from postmill.operators import audit as A
 from postmill.operators import dedup, filters, fuzzy, snapshots, view
 from postmill.operators.tables import checkpoint
-from postmill.plans import board_pages
+from postmill.plans import board_pages, gather
 from postmill.plans.derived import AS_OF, KEYWORDS, POSTINGS_SQL, RAW_DATES_SQL, SITES_SQL, WS, postings, raw_dates, sites, squeeze_sql, table, trim_sql
+from postmill.plans.gather import PAGE_ROWS
+from postmill.sources.boards import SITES, site_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,9 +51,10 @@ def normalize_date(spark, sf):
     return raw_dates(spark, sf).select("o_orderkey", T.normalize_date("raw").alias("reg_date"))
 
 
-@query(f"WITH {RAW_DATES_SQL} SELECT o_orderkey, {trim_sql('raw')} AS reg_date FROM raw_dates WHERE o_orderkey % 6 = 5")
+@query(f"WITH {RAW_DATES_SQL} SELECT o_orderkey, {trim_sql('raw')} AS reg_date FROM raw_dates WHERE NOT regexp_matches({_BARE}, '{_P4}') AND NOT regexp_matches({_BARE}, '{_P2}')")
 def normalize_date_fallback(spark, sf):
-    return raw_dates(spark, sf).where("o_orderkey % 6 = 5").select("o_orderkey", T.normalize_date("raw").alias("reg_date"))
+    dates = raw_dates(spark, sf).select("o_orderkey", T.normalize_date("raw").alias("reg_date"))
+    return dates.where(~F.col("reg_date").rlike(r"^\d{4}-\d{2}-\d{2}\z"))
 
 
 @query(f"""WITH {RAW_DATES_SQL} SELECT o_orderkey, n AS nth, (CASE WHEN length(y) = 2 THEN '20' ELSE '' END) || y || '-' || lpad(m, 2, '0') || '-' || lpad(d, 2, '0') AS found
@@ -154,9 +157,10 @@ def noise_filter_title(spark, sf):
     return postings(spark, sf).where(~filters.mentions("title", KEYWORDS)).select("site_id", "post_ord")
 
 
-@query("WITH " + POSTINGS_SQL + " SELECT site_id, post_ord FROM postings WHERE NOT (contains(site_name, 'src1') OR contains(site_name, '7'))")
+@query("WITH " + POSTINGS_SQL + " SELECT site_id, post_ord FROM postings WHERE NOT (contains(organization || '도립박물관', 'e도') OR contains(organization, 'f') OR contains(organization, '\\E'))")
 def noise_filter_org(spark, sf):
-    return postings(spark, sf).where(~filters.mentions("site_name", ["src1", "7", "src17", ""])).select("site_id", "post_ord")
+    org = F.concat("organization", F.lit("도립박물관"))
+    return postings(spark, sf).where(~filters.mentions(org, ["e도", "f", "fr", "", "e도립", "\\E", "a.c|("])).select("site_id", "post_ord")
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT site_id, post_ord, title, reg_date FROM postings WHERE NOT {_NOISE('title')} AND NOT {_NOISE('organization')} AND {_MONTH}")
@@ -352,6 +356,10 @@ _view("view_site", view.Choice(site="src3"), "site_id = 'src3'")
 _view("view_new", view.Choice(only_new=True), "CAST(reg_date AS DATE) > DATE '2026-03-28'")
 _view("view_period", view.Choice(period_days=7), "CAST(reg_date AS DATE) > DATE '2026-03-24'")
 _view("view_hidden", view.Choice(), "NOT EXISTS (SELECT 1 FROM postings h WHERE h.post_ord % 4 = 1 AND h.site_id = l.site_id AND h.title = l.title)", True)
+_view(
+    "view_all_choices", view.Choice(site="src3", only_new=False, period_days=21, search="E"),
+    "site_id = 'src3' AND CAST(reg_date AS DATE) > DATE '2026-03-10' AND (contains(lower(title), 'e') OR contains(lower(organization), 'e') OR contains(lower(site_name), 'e')) AND NOT EXISTS (SELECT 1 FROM postings h WHERE h.post_ord % 4 = 1 AND h.site_id = l.site_id AND h.title = l.title)", True,
+)
 _view("view_show_hidden", view.Choice(show_hidden=True), "true", True)
 
 
@@ -374,14 +382,14 @@ def latest_crawl(spark, sf):
 
 def _audit_pages(spark, sf):
     """A page for each site: the titles of its postings that have an odd number, and lines about jobs."""
-    p = postings(spark, sf).where("post_ord % 2 = 1 or site_ord % 3 = 0").groupBy("site_id")
+    p = postings(spark, sf).where("post_ord % 2 = 1 or site_ord % 3 = 0 or site_ord % 3 = 1 and post_ord >= 60").groupBy("site_id")
     lists = p.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("post_ord", "title"))), lambda x: F.concat(x["title"], F.when(x["post_ord"] % 4 == 1, " 채용").otherwise(""))), "\n").alias("page_text"))
     s = sites(spark, sf).select("site_id", "site_ord", F.col("error").alias("crawl_error"))
     return s.join(lists, "site_id", "left").select("site_id", "page_text", "crawl_error", F.when(F.col("site_ord") == 7, "closed").alias("check_error"))
 
 
 _AUDIT_SQL = f"""{POSTINGS_SQL}, {SITES_SQL},
-shown AS (SELECT site_id, string_agg(title || CASE WHEN post_ord % 4 = 1 THEN ' 채용' ELSE '' END, chr(10) ORDER BY post_ord) AS page_text FROM postings WHERE post_ord % 2 = 1 OR site_ord % 3 = 0 GROUP BY site_id),
+shown AS (SELECT site_id, string_agg(title || CASE WHEN post_ord % 4 = 1 THEN ' 채용' ELSE '' END, chr(10) ORDER BY post_ord) AS page_text FROM postings WHERE post_ord % 2 = 1 OR site_ord % 3 = 0 OR site_ord % 3 = 1 AND post_ord >= 60 GROUP BY site_id),
 judged AS (
   SELECT s.site_id, s.error AS crawl_error, s.site_ord = 7 AS broken, p.post_ord, p.title, coalesce(h.page_text, '') AS page_text,
     {trim_sql(chr(39).join(['left(regexp_replace(p.title, ', r'\.\.\.\z', ', ', '', '), 20)']))} AS core
@@ -408,7 +416,7 @@ def _verdicts(spark, sf):
 
 @query(f"WITH {_AUDIT_SQL} SELECT site_id, status, crawled, actual, matched, array_to_string(unmatched, '|') AS unmatched, percent FROM verdicts")
 def audit_verdict(spark, sf):
-    return _verdicts(spark, sf).withColumn("unmatched", F.array_join("unmatched", "|"))
+    return _verdicts(spark, sf).withColumn("unmatched", F.array_join("unmatched", "|")).drop("message")
 
 
 @query(f"WITH {_AUDIT_SQL} SELECT count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'warn') AS warn, count(*) FILTER (status = 'fail') AS fail, count(*) FILTER (status = 'skip') AS skip FROM verdicts")
@@ -463,6 +471,39 @@ def extract_title(spark, sf):
     return page_rows(table(spark, sf, "pages").select("page_id", "url", "html"), board).select("page_id", "title")
 
 
+_RUN_BOARDS = ("korea-kr", "seoul", "gmuseum", "nrich", "bcmuseum", "kaah")
+
+
+def _run_pages(spark, sf):
+    """Pages of some boards, one that failed, and one without a board."""
+    pages = None
+    for site in (*_RUN_BOARDS, "khs", "nowhere"):
+        layout = board_pages.LAYOUTS[site if site != "nowhere" else "kaah"]
+        more = board_pages.board_pages(spark, sf, layout).select(F.lit(site).alias("site_id"), "page", "url", "html", F.when((F.lit(site) == "khs") & (F.col("page") == 3), "timeout").alias("error"))
+        pages = more if pages is None else pages.unionByName(more)
+    return pages
+
+
+_RUN_SQL = "found AS (" + " UNION ALL ".join(f"SELECT '{x}' AS site_id, * FROM ({board_pages.board_sql(board_pages.LAYOUTS[x])})" for x in _RUN_BOARDS) + f"""),
+registry(site_id, site_ord) AS (VALUES {", ".join(f"('{x[0]}', {k})" for k, x in enumerate(SITES, 1))}),
+postings AS (SELECT site_id, site_ord, page * CAST({PAGE_ROWS} AS BIGINT) + post_ord AS post_ord, title, organization, reg_date, deadline_date, url, status FROM found JOIN registry USING (site_id)
+  WHERE NOT {_NOISE('title')} AND NOT {_NOISE('organization')} AND {_MONTH})"""
+
+
+@query(_FUZZY_SQL.replace(POSTINGS_SQL, _RUN_SQL).replace("SELECT site_id, post_ord, title FROM crawled c", "SELECT site_id, post_ord, title, organization, reg_date, deadline_date, c.url, status FROM crawled c"))
+def gather_run(spark, sf):
+    """The whole run: pages of several boards read, filtered, made unique exactly and by likeness."""
+    found = gather.gather(_run_pages(spark, sf), site_table(spark), KEYWORDS, AS_OF)
+    return found.select("site_id", "post_ord", "title", "organization", "reg_date", "deadline_date", "url", "status")
+
+
+@query(f"WITH {_LISTED_SQL} SELECT row_number() OVER (ORDER BY count(*) DESC, min(first_at)) AS place, site_id, count(*) AS n FROM listing GROUP BY site_id")
+def site_order(spark, sf):
+    counts = view.site_counts(_listed(spark, sf)).select("site_id", "n")
+    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(counts.collect(), 1)], "place long, site_id string, n long")  # a row for each board
+    return rows
+
+
 # Boards
 
 QUERIES |= board_pages.QUERIES

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from postmill.functions.text import trim
+from postmill.operators.snapshots import toggle_hidden
+from postmill.operators.tables import checkpoint
 
 POSTING = "title: string, organization: string, regDate: string, deadlineDate: string, url: string, status: string"
 RESULTS = f"site struct<id: string, name: string, url: string, category: string>, postings array<struct<{POSTING}>>, crawledAt string, error string"
@@ -22,21 +24,37 @@ def read_keywords(spark: SparkSession, path: str) -> list[str]:
     return [r["w"] for r in lines.collect()]
 
 
-def read_results(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
-    """Nested results of a JSON file (one array); an empty table, or an error if `required`, where there is none."""
+def _read(spark: SparkSession, path: str, schema: str, required: bool) -> DataFrame:
+    """JSON of one array, or of a row on each line; an empty table, or an error if `required`, where there is none."""
     try:
-        return spark.read.schema(RESULTS).option("multiLine", True).json(path)
+        lines = spark.read.text(path).where(trim("value") != "")
+        first = lines.select(F.left(trim("value"), F.lit(1)).alias("c")).first()
+        return spark.read.schema(schema).option("multiLine", first is not None and first["c"] == "[").json(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         if required:
             raise MissingSnapshot(path) from e
-        return spark.createDataFrame([], RESULTS)
+        return spark.createDataFrame([], schema)
+
+
+def read_results(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
+    """Nested results, a row for each site; an empty table, or an error if `required`, where there is no file."""
+    return _read(spark, path, RESULTS, required)
+
+
+def read_new_postings(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
+    """Flat new postings (`site_id`, `site_name` and posting columns); an empty table where there is no file."""
+    p = _read(spark, path, f"{POSTING.replace(':', '')}, siteId string, siteName string", required)
+    return p.withColumnsRenamed({"siteId": "site_id", "siteName": "site_name", "regDate": "reg_date", "deadlineDate": "deadline_date"})
 
 
-def flat_postings(results: DataFrame) -> DataFrame:
-    """A row for each posting of nested results with its place; `site_ord` is the site's in the snapshot."""
+def flat_postings(results: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """A row for each posting of nested results with its place; `site_ord` is that of `sites`, or the site's in a single file."""
     ordered = results if "site_ord" in results.columns else results.withColumn("site_ord", F.monotonically_increasing_id())
+    if sites is not None:
+        known = sites.select(F.col("site_id").alias("_id"), F.col("site_ord").cast("long").alias("_ord"))
+        ordered = ordered.join(known, F.col("site.id") == F.col("_id"), "left").withColumn("site_ord", F.coalesce("_ord", F.lit(1 << 22)))
     rows = ordered.select("site_ord", F.col("site.id").alias("site_id"), F.col("site.name").alias("site_name"), "error", F.posexplode("postings").alias("post_ord", "p"))
     return rows.select(
         "site_ord", "post_ord", "site_id", "site_name", "error", "p.title", "p.organization", F.col("p.regDate").alias("reg_date"),
@@ -44,13 +62,24 @@ def flat_postings(results: DataFrame) -> DataFrame:
     )
 
 
-def posting_json(title: str = "title", organization: str = "organization", reg: str = "reg_date", deadline: str = "deadline_date", url: str = "url", status: str = "status") -> F.Column:
-    """A posting's JSON: missing deadlines and links are null, a missing status is left out."""
-    always = F.struct(F.col(title).alias("title"), F.col(organization).alias("organization"), F.col(reg).alias("regDate"), F.col(deadline).alias("deadlineDate"), F.col(url).alias("url"))
-    text = F.to_json(always, {"ignoreNullFields": "false"})
-    extra = F.to_json(F.struct(F.col(status).alias("status")))
-    joined = F.concat(F.left(text, F.length(text) - 1), F.lit(","), F.right(extra, F.length(extra) - 1))
-    return F.when(F.col(status).isNull(), text).otherwise(joined)
+def _as_column(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _joined(*objects: Column) -> Column:
+    """JSON objects as one; empty ones add nothing."""
+    bodies = (F.nullif(F.substring(o, F.lit(2), F.length(o) - 2), F.lit("")) for o in objects)
+    return F.concat(F.lit("{"), F.concat_ws(",", *bodies), F.lit("}"))
+
+
+def posting_json(
+    title: Column | str = "title", organization: Column | str = "organization", reg: Column | str = "reg_date", deadline: Column | str = "deadline_date", url: Column | str = "url", status: Column | str = "status", **more: Column | str
+) -> Column:
+    """A posting's JSON: missing deadlines and links are null, a missing status is left out; `more` fields follow."""
+    always = {"title": title, "organization": organization, "regDate": reg, "deadlineDate": deadline, "url": url}
+    text = F.to_json(F.struct(*(_as_column(c).alias(n) for n, c in always.items())), {"ignoreNullFields": "false"})
+    extra = F.to_json(F.struct(_as_column(status).alias("status"), *(_as_column(c).alias(n) for n, c in more.items())))
+    return _joined(text, extra)
 
 
 def write_snapshot(postings: DataFrame, path: str, date: str) -> None:
@@ -70,6 +99,52 @@ def snapshot_before(spark: SparkSession, path: str, date: str) -> DataFrame:
     return all_days.where(F.col("snapshot_date") == F.lit(day)) if day else all_days.limit(0)
 
 
-def write_results(nested: DataFrame, path: str) -> None:
-    """Nested results as JSON lines, one site each; fields without a value are left out, as `error` is."""
-    nested.write.mode("overwrite").json(path)
+def write_array(rows: DataFrame, json: Column, path: str, *order: str) -> None:
+    """JSON objects in order as one array, a file in the folder `path`.
+
+    An array in a file is written by one task, as a row's comma depends on its place; for tables without bound there
+    is `write_snapshot`.
+    """
+    place = Window.orderBy(*order)
+    made = rows.select(json.alias("value"), *order)
+    made = made.withColumn("n", F.row_number().over(place)).withColumn("last", F.lead(F.lit(1)).over(place).isNull())
+    text = F.concat(F.when(F.col("n") == 1, "[\n").otherwise(""), F.lit("  "), "value", F.when(F.col("last"), "\n]").otherwise(","))
+    lines = made.orderBy("n").select(text.alias("value"))
+    if rows.isEmpty():
+        lines = rows.sparkSession.createDataFrame([("[]",)], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_results(nested: DataFrame, path: str, order: str = "site_ord") -> None:
+    """Nested results as one array, read again by `read_results`: sites in the order of a column `order`, or by their ids."""
+    posting = F.transform("postings", lambda p: posting_json(*(p[f] for f in ("title", "organization", "regDate", "deadlineDate", "url", "status"))))
+    head, tail = F.to_json(F.struct("site")), F.to_json(F.struct("crawledAt", "error"))
+    list_ = F.concat(F.lit('{"postings":['), F.array_join(posting, ","), F.lit("]}"))
+    rows = nested if order in nested.columns else nested.withColumn(order, F.col("site.id"))
+    write_array(rows, _joined(head, list_, tail), path, order)
+
+
+def write_new_postings(new: DataFrame, path: str) -> None:
+    """Flat new postings with `siteId` and `siteName` as one array, in order."""
+    write_array(new, posting_json(siteId="site_id", siteName="site_name"), path, "site_ord", "post_ord")
+
+
+def write_verdicts(verdicts: DataFrame, sites: DataFrame, path: str) -> None:
+    """Verdicts of an audit as one array in the sites' order."""
+    fields = {"siteId": "site_id", "siteName": "site_name", "status": "status", "crawledCount": "crawled", "actualCount": "actual", "matchedTitles": "matched", "unmatchedTitles": "unmatched", "message": "message"}
+    rows = verdicts.join(sites.select("site_id", "site_ord", "site_name"), "site_id")
+    write_array(rows, F.to_json(F.struct(*(F.col(c).alias(n) for n, c in fields.items()))), path, "site_ord")
+
+
+def read_hidden(spark: SparkSession, path: str) -> DataFrame:
+    """The stored hidden set; empty where there is none."""
+    return _read(spark, path, "site_id string, title string", False)
+
+
+def change_hidden(spark: SparkSession, path: str, changes: DataFrame | None) -> DataFrame:
+    """Stores the hidden set after `changes` (`site_id`, `title`, `hide`, `seq`), or an empty one for none, and gives it."""
+    old = read_hidden(spark, path)
+    # Read before the folder is written anew.
+    now = checkpoint(toggle_hidden(old, changes) if changes is not None else old.limit(0))
+    now.write.mode("overwrite").json(path)
+    return now

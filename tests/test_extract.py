@@ -3,11 +3,13 @@ from pathlib import Path
 
 import pytest
 
+from postmill.operators.audit import audit
 from postmill.operators.extract import board_postings, json_postings, rows_of
 from postmill.operators.html import first, parse, select
+from postmill.operators.snapshots import without_hidden
 from postmill.sources.boards import BOARDS, JSON_SITE, SITES, find_site, site_table
 from postmill.sources.captured import CapturedPages
-from postmill.sources.snapshots import MissingSnapshot, flat_postings, posting_json, read_keywords, read_results, snapshot_before, snapshot_on, write_results, write_snapshot
+from postmill.sources.snapshots import MissingSnapshot, change_hidden, flat_postings, posting_json, read_hidden, read_keywords, read_new_postings, read_results, snapshot_before, snapshot_on, write_new_postings, write_results, write_snapshot, write_verdicts
 from postmill.streaming.diffs import stream_new_postings
 
 
@@ -122,12 +124,42 @@ def test_results_files(spark, tmp_path):
     made = [json.loads(r[0]) for r in flat.orderBy("post_ord").select(posting_json()).collect()]
     assert made == RESULT[0]["postings"]
     write_results(results, str(tmp_path / "out"))
-    lines = [json.loads(x) for p in Path(tmp_path / "out").glob("part-*") for x in p.read_text().splitlines()]
-    assert {x["site"]["id"] for x in lines} == {"A", "B"} and [("error" in x) for x in sorted(lines, key=lambda x: x["site"]["id"])] == [False, True]
+    again = read_results(spark, str(tmp_path / "out"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, results.collect()))
+    (written,) = Path(tmp_path / "out").glob("part-*")
+    assert json.loads(written.read_text()) == RESULT
+    results.write.json(str(tmp_path / "lines"))
+    assert read_results(spark, str(tmp_path / "lines")).count() == 2
+    backwards = spark.createDataFrame([("B", 1), ("A", 2)], "site_id string, site_ord int")
+    assert {(r["site_id"], r["site_ord"]) for r in flat_postings(results, backwards).collect()} == {("A", 2)}
+    write_new_postings(flat, str(tmp_path / "new"))
+    (written,) = Path(tmp_path / "new").glob("part-*")
+    assert json.loads(written.read_text()) == [p | {"siteId": "A", "siteName": "n"} for p in RESULT[0]["postings"]]
+    assert sorted(r["title"] for r in read_new_postings(spark, str(tmp_path / "new")).collect()) == ["x", "y"] and read_new_postings(spark, str(tmp_path / "gone")).count() == 0
+    write_new_postings(flat.limit(0), str(tmp_path / "new"))
+    assert read_new_postings(spark, str(tmp_path / "new")).count() == 0
     (tmp_path / "words.txt").write_text(" 도박 \n\n미술\n", encoding="utf-8")
     assert sorted(read_keywords(spark, str(tmp_path / "words.txt"))) == ["도박", "미술"]
 
 
+def test_verdict_file_and_hidden_set(spark, tmp_path):
+    posts = spark.createDataFrame([("A", 0, "하나 채용"), ("A", 1, "둘")], "site_id string, post_ord int, title string")
+    pages = spark.createDataFrame([("A", "하나 채용 공고", None, None), ("B", "", "e", None)], "site_id string, page_text string, crawl_error string, check_error string")
+    sites = spark.createDataFrame([("B", 1, "b"), ("A", 2, "a")], "site_id string, site_ord int, site_name string")
+    write_verdicts(audit(posts, pages), sites, str(tmp_path / "verify"))
+    (written,) = Path(tmp_path / "verify").glob("part-*")
+    assert json.loads(written.read_text()) == [
+        {"siteId": "B", "siteName": "b", "status": "skip", "crawledCount": 0, "actualCount": 0, "matchedTitles": 0, "unmatchedTitles": [], "message": "크롤링 에러: e"},
+        {"siteId": "A", "siteName": "a", "status": "warn", "crawledCount": 2, "actualCount": 1, "matchedTitles": 1, "unmatchedTitles": ["둘"], "message": "2건 중 1건만 매칭 (50%)"},
+    ]
+    path = str(tmp_path / "hidden")
+    change = lambda *rows: spark.createDataFrame(rows, "site_id string, title string, hide boolean, seq int")
+    assert change_hidden(spark, path, change(("A", "x", True, 1), ("A", "y", True, 2), ("A", "y", False, 3), ("A", None, True, 4))).count() == 2
+    assert sorted(r["title"] for r in read_hidden(spark, path).collect()) == ["", "x"]
+    assert [r["title"] for r in without_hidden(posts.selectExpr("site_id", "nullif(title, '둘') AS title"), read_hidden(spark, path)).collect()] == ["하나 채용"]
+    assert change_hidden(spark, path, None).count() == 0 and read_hidden(spark, path).count() == 0
+
+
 def test_dated_snapshots(spark, tmp_path):
     path = str(tmp_path / "snapshots")
     rows = lambda *t: spark.createDataFrame([("A", x) for x in t], "site_id string, title string")

@@ -36,3 +36,21 @@ def test_a_run(spark):
     assert sorted((r["site_id"], r["title"]) for r in snapshot.collect()) == [("baekje", "다른 공고"), ("gmuseum", "[국립민속박물관] 학예연구사(기간제근로자) 3명 모집"), ("job-gg", "경기도 소속 새로운 자리")]
     nested = {r["site"]["id"]: r for r in results(snapshot, pages, sites, "2026-03-31T12:00:00Z").collect()}
     assert len(nested) == 42 and nested["hsmuseum"]["error"] == "timeout" and len(nested["baekje"]["postings"]) == 1 and nested["kaah"]["postings"] == []
+
+
+def test_a_broken_page_is_an_error_of_its_site(spark, monkeypatch):
+    from postmill.plans import gather as plan
+
+    read = plan.rows_of
+
+    def breaks(board, page, url=""):
+        if "boom" in page:
+            raise ValueError("boom")
+        return read(board, page, url)
+
+    monkeypatch.setattr(plan, "rows_of", breaks)
+    pages = spark.createDataFrame([("kaah", 1, "u", CASES["kaah"][0], None), ("kaah", 2, "u", "boom", None), ("gmuseum", 1, "u", None, None)], SCHEMA)
+    snapshot, found = plan.run(pages, site_table(spark), [], datetime(2026, 3, 31, 12))
+    assert snapshot.count() == 0
+    nested = {r["site"]["id"]: r["error"] for r in results(snapshot, found, site_table(spark), "t").collect()}
+    assert nested["kaah"] == "ValueError: boom" and nested["gmuseum"] is None
