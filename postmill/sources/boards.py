@@ -64,7 +64,7 @@ SITES = (
     ("kdp-aks", "한국학중앙연구원", "https://kdp.aks.ac.kr/board/boardKorList?BRD_GRU_SN=6&pageUnit=20&ctgDtlCd=&itemId=%EC%B1%84%EC%9A%A9%EA%B3%B5%EA%B3%A0&qw=&q=&pageUnit=20"),
 )
 
-#: The board whose answers are JSON: its default organization, and what a posting's number is put behind.
+# The board whose answers are JSON, its default organization, and what a posting's number is put behind.
 JSON_SITE = ("job-gg", "경기도", "https://job.gg.go.kr/pblcEmpmn/publicJobDetail.do?seq=")
 
 
@@ -74,6 +74,9 @@ def _foundation(name: str) -> Board:
     return Board(".table02 .tbody .tr", (P(css=".td span", nth=1),), (P(css=".td span", nth=2),), name, cells=".td span", least=3, link=(P(css="a", attr="href"),), url="http", other=card)
 
 
+# What leads to a board's next page, where it has several.
+PAGERS = {"gojobs": 'a[onclick*="fn_egov_link_page({next})"]'}
+
 # Where each board's pages have what.
 BOARDS = {
     "museum-go-kr": Board(".board-list-tbody > ul", A2, (P(3, found=WHOLE_DATE),), "국립중앙박물관", cells="li", least=5, org=cell(1), deadline=(P(3, found=WHOLE_DATE, match=1),), status=cell(4), link=L2, url="prefix", base="https://www.museum.go.kr/MUSEUM/contents/M0701030000.do", raw_dates=True),

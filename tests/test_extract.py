@@ -7,8 +7,8 @@ from postmill.operators.audit import audit
 from postmill.operators.extract import board_postings, json_postings, rows_of
 from postmill.operators.html import first, parse, select
 from postmill.operators.snapshots import without_hidden
-from postmill.sources.boards import BOARDS, JSON_SITE, SITES, find_site, site_table
-from postmill.sources.captured import CapturedPages
+from postmill.sources.boards import BOARDS, JSON_SITE, PAGERS, SITES, find_site, site_table
+from postmill.sources.captured import SCHEMA, captured_pages, until_last_page
 from postmill.sources.snapshots import MissingSnapshot, change_hidden, flat_postings, posting_json, read_hidden, read_keywords, read_new_postings, read_results, snapshot_before, snapshot_on, write_new_postings, write_results, write_snapshot, write_verdicts
 from postmill.streaming.diffs import stream_new_postings
 
@@ -101,15 +101,23 @@ def test_captured_pages(spark, tmp_path):
     (tmp_path / "anseong" / "1.url").write_text("https://b/1\n")
     (tmp_path / "cha").mkdir()
     (tmp_path / "cha" / "error.txt").write_text("timeout")
-    spark.dataSource.register(CapturedPages)
-    rows = spark.read.format("captured_pages").option("path", str(tmp_path)).load()
+    rows = captured_pages(spark, str(tmp_path))
     assert sorted((r["site_id"], r["page"], r["url"], r["error"]) for r in rows.where("page is not null").collect()) == [("anseong", 1, "https://b/1", None), ("anseong", 2, None, None)]
     assert [r["error"] for r in rows.where("site_id = 'cha'").collect()] == ["timeout"]
-    few = spark.read.format("captured_pages").option("path", str(tmp_path)).option("sites", "anseong,gone").option("pages", 1).load().collect()
+    few = captured_pages(spark, str(tmp_path), ["anseong", "gone"], 1).collect()
+    assert [r["error"] for r in captured_pages(spark, str(tmp_path), ["gone"]).collect()] == ["no captured pages"]
     assert len(few) == 2 and any(r["site_id"] == "gone" and r["error"] for r in few)
     assert board_postings(rows.where("site_id = 'anseong'"), BOARDS["anseong"]).count() == 1
 
 
+def test_pages_up_to_the_last(spark):
+    link = lambda n: f"<a onclick='fn_egov_link_page({n})'>{n}</a>"
+    pages = [("gojobs", p, "u", link(p + 1) if p not in (3,) else link(1), None) for p in range(1, 6)] + [("kaah", p, "u", "", None) for p in (1, 2)]
+    got = until_last_page(spark.createDataFrame(pages, SCHEMA), PAGERS).select("site_id", "page").collect()
+    assert sorted(map(tuple, got)) == [("gojobs", 1), ("gojobs", 2), ("gojobs", 3), ("kaah", 1), ("kaah", 2)]
+    assert until_last_page(spark.createDataFrame(pages[:2], SCHEMA), PAGERS, 1).count() == 1
+
+
 RESULT = [{"site": {"id": "A", "name": "n", "url": "u"}, "postings": [{"title": "x", "organization": "o", "regDate": "2026-03-01", "deadlineDate": None, "url": None}, {"title": "y", "organization": "o", "regDate": "", "deadlineDate": None, "url": "l", "status": "s"}], "crawledAt": "2026-03-31T00:00:00Z"}, {"site": {"id": "B", "name": "m", "url": "v"}, "postings": [], "crawledAt": "t", "error": "e"}]
 
 
