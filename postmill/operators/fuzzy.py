@@ -37,19 +37,23 @@ def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
     """
     words = tokens.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * F.length("t")).alias("w"))
     words = checkpoint(words)
-    first, second = (tokens.select(F.col("place").alias(p), F.col("tokens").alias(f"_{p}")) for p in ("i", "j"))
     common = words.groupBy("t").count()
     rare_first = Window.partitionBy("place").orderBy(F.col("count").desc(), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The weight of a token and of all that are more common than it.
     known = words.join(common, "t").withColumn("rest", F.sum("w").over(rare_first))
     leads = known.where(F.col("rest") >= least).select(F.col("place").alias("i"), "t")
-    met = leads.join(words.select(F.col("place").alias("j"), "t"), "t").where("i < j").select("i", "j").distinct()
-    shared = F.aggregate(F.filter("_i", lambda t: F.array_contains("_j", t)), F.lit(0), lambda n, t: n + F.length(t))
+    met = leads.join(words.select(F.col("place").alias("j"), "t"), "t").where("i < j").select("i", "j")
     # Few bytes but much work for each pair: as many tasks as the session shuffles to, whatever the size.
-    met = met.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i")
-    if words.select("place").distinct().count() <= BROADCAST_ROWS:
+    met = met.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", "j").distinct()
+    at = F.transform("tokens", lambda t, k: F.when(F.array_position("tokens", t) <= k, t))
+    first = tokens.select(F.col("place").alias("i"), F.array_distinct("tokens").alias("_i"), F.array_compact(at).alias("_again"))
+    second = tokens.select(F.col("place").alias("j"), F.col("tokens").alias("_j"))
+    if tokens.count() <= BROADCAST_ROWS:
         first, second = F.broadcast(first), F.broadcast(second)
-    return met.join(first, "i").join(second, "j").select("i", "j", shared.cast("long").alias("overlap")).where(F.col("overlap") >= least)
+    length = lambda tokens: F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
+    again = F.when(F.size("_again") > 0, length(F.filter("_again", lambda t: F.array_contains("_j", t)))).otherwise(0)
+    overlap = (length(F.array_intersect("_i", "_j")) + again).cast("long").alias("overlap")
+    return met.join(first, "i").join(second, "j").select("i", "j", overlap).where(F.col("overlap") >= least)
 
 
 def _in_order(i: np.ndarray, k: np.ndarray, kept: set[int]) -> list[int]:
@@ -63,23 +67,22 @@ def _in_order(i: np.ndarray, k: np.ndarray, kept: set[int]) -> list[int]:
 
 
 def _settle(nodes: DataFrame, kills: DataFrame) -> DataFrame:
-    """`nodes` (`n`) with `stays`: not removed by any `kills` (`i` removes `n`, i before n) whose `i` stays.
+    """`nodes` (`n`) with `stays`: not removed by any `kills` (`i` removes `n`, both nodes, i before n) whose `i` stays.
 
     A node is settled once an earlier settled one removes it, or all that could are removed themselves.
     """
-    state = checkpoint(nodes.select("n", F.lit(None).cast("boolean").alias("stays")))
-    kills = checkpoint(kills.select("i", F.col("n").alias("k")).distinct())
-    while True:
-        by = kills.join(state.select(F.col("n").alias("i"), F.col("stays").alias("by")), "i")
-        open_ends = state.where("stays is null").select(F.col("n").alias("k"))
-        left = checkpoint(by.where("coalesce(by, true)").join(open_ends, "k", "left_semi"))
-        if left.count() <= FEW:
-            return _settled_at_once(state, left)
-        seen = by.groupBy("k").agg(F.max(F.coalesce("by", F.lit(False))).alias("killed"), F.max(F.col("by").isNull()).alias("open"))
+    state = nodes.select("n", F.lit(None).cast("boolean").alias("stays"))
+    left = checkpoint(kills.select("i", F.col("n").alias("k"), F.lit(None).cast("boolean").alias("by")))
+    while left.count() > FEW:
+        seen = left.groupBy("k").agg(F.max(F.coalesce("by", F.lit(False))).alias("killed"), F.max(F.col("by").isNull()).alias("open"))
         now = state.join(seen, state["n"] == seen["k"], "left")
         settled = F.when(F.col("stays").isNotNull(), F.col("stays")).when(F.coalesce("killed", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
         # The first open node is always settled, so this ends.
         state = checkpoint(now.select("n", settled.alias("stays")))
+        by = left.drop("by").join(state.select(F.col("n").alias("i"), F.col("stays").alias("by")), "i")
+        open_ends = state.where("stays is null").select(F.col("n").alias("k"))
+        left = checkpoint(by.where("coalesce(by, true)").join(open_ends, "k", "left_semi"))
+    return _settled_at_once(state, left)
 
 
 def _settled_at_once(state: DataFrame, left: DataFrame) -> DataFrame:
@@ -124,7 +127,7 @@ def place_of(rows: DataFrame) -> Column:
 
 def dedup_fuzzy(postings: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
     """`postings` without those that the pass removes; titles without tokens are never alike to others."""
-    placed = postings.withColumn("_place", place_of(postings))
+    placed = checkpoint(postings.withColumn("_place", place_of(postings)))
     rows = checkpoint(placed.select(F.col("_place").alias("place"), title_tokens("title").alias("tokens"), has_url().alias("url")))
     pairs = checkpoint(alike_pairs(rows, least))
     linked = pairs.select(F.col("i").alias("place")).union(pairs.select("j")).distinct()
