@@ -134,7 +134,7 @@ def minute(time: Column | str) -> Column:
     return F.coalesce(F.date_format(time, "yyyy.MM.dd HH:mm"), F.lit("-"))
 
 
-def bracketed_organization(title: Column | str, default: str, anywhere: bool = False) -> Column:
+def bracketed_organization(title: Column | str, default: Column | str, anywhere: bool = False) -> Column:
     """The text in the square brackets that a title begins with (or holds anywhere)."""
     return or_default(F.regexp_extract(_text(title), r"\[([^\]]+)\]" if anywhere else r"^\[([^\]]+)\]", 1), F.lit(default))
 

@@ -166,13 +166,13 @@ def rows_of(board: Board, page: str, url: str = "") -> list[dict]:
 
 # Columns of links
 
-def prefixed(link: Column | str, base: str) -> Column:
+def prefixed(link: Column | str, base: Column | str) -> Column:
     """The link behind a fixed beginning; null for none."""
     c = F.col(link) if isinstance(link, str) else link
     return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(base), c))
 
 
-def keep_absolute(link: Column | str, base: str, slash: bool = False) -> Column:
+def keep_absolute(link: Column | str, base: Column | str, slash: bool = False) -> Column:
     """Links that begin with `http` as they are, others behind `base` (and a slash that they may lack)."""
     c = F.col(link) if isinstance(link, str) else link
     gap = F.when(F.startswith(c, F.lit("/")), "").otherwise("/") if slash else F.lit("")
@@ -192,25 +192,27 @@ def strip_dot(link: Column | str) -> Column:
     return F.regexp_replace(link, r"^\./", "")
 
 
-def resolved(link: Column | str, base: str) -> Column:
+def resolved(link: Column | str, base: Column | str) -> Column:
     """The link as a browser resolves it on a page at `base`."""
 
     @F.arrow_udf("string")
-    def join(links: pa.Array) -> pa.Array:
-        return pa.array([urljoin(base, x) if x else None for x in links.to_pylist()], pa.string())
+    def join(links: pa.Array, bases: pa.Array) -> pa.Array:
+        return pa.array([urljoin(b, x) if x else None for x, b in zip(links.to_pylist(), bases.to_pylist(), strict=True)], pa.string())
 
-    return join(link)
+    return join(link, F.lit(base))
 
 
-def link_url(board: Board, link: str = "link") -> Column:
+def link_url(board: Board, link: str = "link", base: Column | None = None) -> Column:
+    """The address behind a board's link; `base` is a column that holds the board's own, if rows of many boards lie together."""
+    base = F.lit(board.base) if base is None else base
     if board.url == "none":
         return F.lit(None).cast("string")
     if board.url == "call":
-        return F.replace(F.lit(board.base), F.lit("{id}"), called_id(link, board.call))
+        return F.replace(base, F.lit("{id}"), called_id(link, board.call))
     kinds = {
-        "prefix": lambda: prefixed(link, board.base), "absolute": lambda: keep_absolute(link, board.base), "slash": lambda: keep_absolute(link, board.base, True),
-        "http": lambda: only_absolute(link), "cut": lambda: prefixed(cut_at(link, ";"), board.base),
-        "dot": lambda: F.when(F.col(link) != "", F.concat(F.lit(board.base), strip_dot(link))), "resolve": lambda: resolved(link, board.base),
+        "prefix": lambda: prefixed(link, base), "absolute": lambda: keep_absolute(link, base), "slash": lambda: keep_absolute(link, base, True),
+        "http": lambda: only_absolute(link), "cut": lambda: prefixed(cut_at(link, ";"), base),
+        "dot": lambda: F.when(F.col(link) != "", F.concat(base, strip_dot(link))), "resolve": lambda: resolved(link, base),
     }
     return kinds[board.url]()
 

@@ -37,6 +37,12 @@ def by_board(boards: dict[str, Board], made, fallback: Column) -> Column:
     return out
 
 
+def of_board(boards: dict[str, Board], value) -> Column:
+    """A board's own text as a column: null for none, and for sites without a board."""
+    pairs = [F.lit(x) for site, board in boards.items() for x in (site, value(board)) if value(board) is not None]
+    return F.element_at(F.create_map(*pairs).cast("map<string,string>"), F.col("site_id"))
+
+
 def read_pages(pages: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFrame:
     """`site_id`, `page`, `rows` (raw values) and `error` of `pages` (`site_id`, `page`, `url`, `html`, and `error` if there is one).
 
@@ -71,13 +77,15 @@ def page_postings(pages: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFr
 def postings_of(found: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFrame:
     """Postings of pages that are read."""
     rows = found.select("site_id", "page", F.posexplode("rows").alias("n", "r")).select("site_id", (F.col("page").cast("long") * PAGE_ROWS + F.col("n")).alias("post_ord"), "r.*")
-    default = or_default("org", by_board(boards, lambda b: F.lit(b.organization), F.lit("")))
-    org = by_board(boards, lambda b: bracketed_organization("title", b.organization, b.bracket_org == "anywhere") if b.bracket_org else F.lit(None).cast("string"), F.lit(None).cast("string"))
+    # Boards differ in these texts most; as values, not branches, they leave a few expressions for all boards.
+    own_name, base = F.coalesce(of_board(boards, lambda b: b.organization), F.lit("")), of_board(boards, lambda b: b.base)
+    default = or_default("org", own_name)
+    org = by_board(boards, lambda b: bracketed_organization("title", own_name, b.bracket_org == "anywhere") if b.bracket_org else F.lit(None).cast("string"), F.lit(None).cast("string"))
     out = rows.select(
         "site_id", "post_ord", by_board(boards, lambda b: trim("title") if b.raw_title else truncate("title"), truncate("title")).alias("title"), F.coalesce(org, default).alias("organization"),
         by_board(boards, lambda b: F.col("date") if b.raw_dates else normalize_date("date"), normalize_date("date")).alias("reg_date"),
         by_board(boards, lambda b: F.nullif("deadline", F.lit("")) if b.raw_dates else optional_date("deadline"), optional_date("deadline")).alias("deadline_date"),
-        by_board(boards, link_url, F.lit(None).cast("string")).alias("url"), F.nullif("status", F.lit("")).alias("status"),
+        by_board(boards, lambda b: link_url(b, base=base), F.lit(None).cast("string")).alias("url"), F.nullif("status", F.lit("")).alias("status"),
     )
     once = [s for s, b in boards.items() if b.distinct]
     own = Window.partitionBy("site_id", "title").orderBy("post_ord")
