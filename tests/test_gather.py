@@ -54,3 +54,12 @@ def test_a_broken_page_is_an_error_of_its_site(spark, monkeypatch):
     assert snapshot.count() == 0
     nested = {r["site"]["id"]: r["error"] for r in results(snapshot, found, site_table(spark), "t").collect()}
     assert nested["kaah"] == "ValueError: boom" and nested["gmuseum"] is None
+
+
+def test_boards_without_texts_of_their_own(spark):
+    from postmill.plans.gather import of_board
+
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "site_id string")
+    board = BOARDS["anseong"]
+    assert [r[0] for r in rows.select(of_board({}, lambda b: b.base)).collect()] == [None] * 3
+    assert [r[0] for r in rows.select(of_board({"a": board, "c": board}, lambda b: b.organization)).collect()] == [board.organization, None, None]
