@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from postmill.llm.common import table
 from postmill.llm.decontaminate import contamination
 from postmill.llm.fixity import page_audit
+from postmill.llm.infilling import infilling_report
 from postmill.llm.languages import languages
 from postmill.llm.licenses import license_report
 from postmill.llm.mixing import domain_column, mixing_rates
@@ -61,6 +62,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(table(spark, sf_dir, "documents"))
 
 
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op13_infilling": op13_infilling,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -86,10 +86,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM docs LEFT JOIN found USING (r)
 """
 
+_DRAWS = ", ".join(f"CAST(concat('0x', substr(h, {8 * k + 1}, 8)) AS BIGINT) AS h{k + 1}" for k in range(4))
+
+INFILLING_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS h FROM documents),
+drawn AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {_DRAWS} FROM docs),
+ranked AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM ranked)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
     "op2_licenses": LICENSES_SQL,
     "op3_fixity": PAGE_AUDIT_SQL,
     "op5_quality_rules": QUALITY_RULES_SQL,
     "op8_substrings": SUBSTRINGS_SQL,
+    "op13_infilling": INFILLING_SQL,
 }
