@@ -13,6 +13,7 @@ from postmill.llm.infilling import infilling_report
 from postmill.llm.languages import languages
 from postmill.llm.licenses import license_report
 from postmill.llm.mixing import domain_column, mixing_rates
+from postmill.llm.partenum import similar_texts
 from postmill.llm.quality_classifier import quality_scores
 from postmill.llm.quality_rules import quality_verdicts
 from postmill.llm.sharding import shard_table
@@ -62,6 +63,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts(table(spark, sf_dir, "documents"))
+
+
 def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling_report(table(spark, sf_dir, "documents"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
+    "op11_jaccard": op11_jaccard,
     "op13_infilling": op13_infilling,
 }
 

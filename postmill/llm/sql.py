@@ -100,11 +100,30 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
 FROM parts
 """
 
+_LOWER_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+#: Equal sets are compared once; a component is what a set reaches by links.
+JACCARD_SQL = f"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER_WORDS} AS w FROM documents),
+shingled AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM docs),
+sets AS (SELECT s, min(doc_id) AS m, row_number() OVER () AS g FROM shingled WHERE len(s) > 0 GROUP BY s),
+members AS (SELECT g, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (SELECT a.g AS a, b.g AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM members a JOIN members b ON a.x = b.x AND a.g < b.g GROUP BY 1, 2),
+linked AS (SELECT a, b FROM shared WHERE 100 * c >= 85 * (na + nb - c)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach(g, t) AS (SELECT g, g FROM sets UNION SELECT reach.g, e.b FROM reach JOIN edges e ON e.a = reach.t),
+named AS (SELECT reach.g, min(m) AS component_id FROM reach JOIN sets ON sets.g = reach.t GROUP BY reach.g)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM shingled LEFT JOIN sets USING (s) LEFT JOIN named ON named.g = sets.g
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
     "op2_licenses": LICENSES_SQL,
     "op3_fixity": PAGE_AUDIT_SQL,
     "op5_quality_rules": QUALITY_RULES_SQL,
     "op8_substrings": SUBSTRINGS_SQL,
+    "op11_jaccard": JACCARD_SQL,
     "op13_infilling": INFILLING_SQL,
 }
