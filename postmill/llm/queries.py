@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from postmill.llm.common import table
 from postmill.llm.decontaminate import contamination
 from postmill.llm.fixity import page_audit
+from postmill.llm.hard_negatives import mined_embeddings
 from postmill.llm.infilling import infilling_report
 from postmill.llm.languages import languages
 from postmill.llm.licenses import license_report
@@ -67,6 +68,10 @@ def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling_report(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
     "op11_jaccard": op11_jaccard,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_infilling": op13_infilling,
 }
 

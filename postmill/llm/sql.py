@@ -118,6 +118,21 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_
 FROM shingled LEFT JOIN sets USING (s) LEFT JOIN named ON named.g = sets.g
 """
 
+#: All scores of all anchors.
+HARD_NEGATIVES_SQL = """
+WITH vectors AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.id AS anchor_id, a.label AS own, b.id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM (SELECT DISTINCT * FROM vectors WHERE id % 50 = 0) a, vectors b WHERE a.id <> b.id),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM scored WHERE own = label QUALIFY place <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, place ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND own <> label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM ranked WHERE rank <= 3
+"""
+
 ORACLE_SQL = {
     "op1_decontaminate": DECONTAMINATE_SQL,
     "op2_licenses": LICENSES_SQL,
@@ -125,5 +140,6 @@ ORACLE_SQL = {
     "op5_quality_rules": QUALITY_RULES_SQL,
     "op8_substrings": SUBSTRINGS_SQL,
     "op11_jaccard": JACCARD_SQL,
+    "op12_hard_negatives": HARD_NEGATIVES_SQL,
     "op13_infilling": INFILLING_SQL,
 }
