@@ -8,7 +8,7 @@ that (cutting titles, dates, links) is columns.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from postmill.functions.text import bracketed_organization, called_id, normalize_date, optional_date, or_default, trim, truncate
 from postmill.operators import html as H
+from postmill.operators.html import WHITE
 
 # Fixed value: what marks a cell as a date.
 DATE_CELL = r"\d{4}[.-]\d{1,2}[.-]\d{1,2}"
 WHOLE_DATE = r"\d{4}-\d{2}-\d{2}"
-# Fixed value: whitespace of ECMAScript.
-WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 @dataclass(frozen=True)
@@ -50,7 +49,7 @@ class Pick:
     def node(self, row: H.Node, cells: list[H.Node]) -> H.Node | None:
         at: H.Node | None = row
         if self.date_cell:
-            at = next((c for c in cells if re.search(DATE_CELL, c.text())), None)
+            at = next((c for c in cells if re.search(DATE_CELL, c.text(), re.ASCII)), None)
         elif self.cell is not None:
             at = cells[self.cell] if -len(cells) <= self.cell < len(cells) else None
         if at is not None and self.css:
@@ -71,7 +70,7 @@ class Pick:
         else:
             text = (self.own and at.own_text()) or at.text(self.without)
         if self.found:
-            pieces = re.findall(self.found, text)
+            pieces = re.findall(self.found, text, re.ASCII)
             text = pieces[self.match] if self.match < len(pieces) else ""
         return text.strip(WHITE)
 
@@ -123,18 +122,23 @@ def rows_of(board: Board, page: str, url: str = "") -> list[dict]:
     """The raw values of a page's rows."""
     if board.error_path and board.error_path in url:
         return []
-    tree = H.parse(page)
+    return list(tree_rows(board, H.parse(page)))
+
+
+def tree_rows(board: Board, tree: H.Node, tick: Callable[[], None] = lambda: None) -> Iterator[dict]:
+    """The same of a parsed page, row by row; `tick` is called before each."""
     rows = H.select(tree, board.rows)
     if not rows and board.other:
-        return rows_of(board.other, page, url)
-    out = []
+        yield from tree_rows(board.other, tree, tick)
+        return
     for row in rows[1:] if board.drop_first else rows:
+        tick()
         cells = H.select(row, board.cells)
         if len(cells) < board.least or any(p.node(row, cells) is None for p in board.needs):
             continue
         if board.skip and cells and cells[0].text().strip(WHITE) in board.skip:
             continue
-        if not all(re.search(want, v) if part else v == want for p, want, part in board.only for v in [p.value(row, cells)]):
+        if not all(re.search(want, v, re.ASCII) if part else v == want for p, want, part in board.only for v in [p.value(row, cells)]):
             continue
         title = _first(board.title, row, cells)
         if board.title_mark:
@@ -154,14 +158,13 @@ def rows_of(board: Board, page: str, url: str = "") -> list[dict]:
         if board.children:
             parts = [c.text().strip(WHITE) for c in row.children if isinstance(c, H.Node) and c.name != "a"]
             kinds = [x for x in parts if x in board.children]
-            date = next((x for x in reversed(parts) if re.fullmatch(WHOLE_DATE, x)), "")
+            date = next((x for x in reversed(parts) if re.fullmatch(WHOLE_DATE, x, re.ASCII)), "")
             if not kinds or kinds[-1] != board.children[0]:
                 continue
-        out.append({
+        yield {
             "title": title, "date": date, "org": _first(board.org, row, cells), "deadline": _first(board.deadline, row, cells),
             "status": _first(board.status, row, cells), "link": _first(board.link, row, cells),
-        })
-    return out
+        }
 
 
 # Columns of links

@@ -1,10 +1,20 @@
-"""A small reader of board pages: a tree from `html.parser`, and the few selectors that boards need."""
+"""A small reader of board pages: a tree from `html.parser`, and the few selectors that boards need.
+
+A parsed page is indexed once: its elements are numbered in their order, and listed by name, class and id. A selector looks
+only at the elements that its last step names, within the numbers of the element it starts from.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Callable
 from functools import cache
 from html.parser import HTMLParser
+from operator import attrgetter
+
+# Fixed value: whitespace of ECMAScript.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Elements without content, and elements that end an open one of the same kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -13,20 +23,16 @@ HOLDS = {"li": {"ul", "ol"}, "tr": {"table", "tbody", "thead"}, "td": {"tr", "ta
 
 
 class Node:
-    """An element: its name, attributes, children (elements and texts), and the element around it."""
+    """An element: its name, attributes, classes, children (elements and texts), and the element around it.
 
-    __slots__ = ("attrs", "children", "name", "parent")
+    `order` is its number on the page, `end` the number behind all elements below it, `index` the page's lists.
+    """
+
+    __slots__ = ("attrs", "children", "classes", "end", "index", "name", "order", "parent")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
         self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
-
-    def elements(self):
-        """Elements below this one, in the order of the page."""
-        stack = [c for c in reversed(self.children) if isinstance(c, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        self.classes, self.order, self.end, self.index = frozenset(attrs["class"].split()) if "class" in attrs else frozenset(), -1, -1, None
 
     def text(self, without: str = "") -> str:
         """All text below, save that of elements which match `without`."""
@@ -40,7 +46,7 @@ class Node:
         return "".join(out)
 
     def own_text(self) -> str:
-        return "".join(c.strip() for c in self.children if isinstance(c, str))
+        return "".join(c.strip(WHITE) for c in self.children if isinstance(c, str))
 
 
 class _Builder(HTMLParser):
@@ -79,18 +85,49 @@ class _Builder(HTMLParser):
             self.at = node.parent
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        # One text however many pieces it comes in.
+        held = self.at.children
+        if held and isinstance(held[-1], str):
+            held[-1] += data
+        else:
+            held.append(data)
+
 
+#: Characters that are parsed between two looks at the time.
+STEP = 1 << 16
 
-def parse(html: str) -> Node:
-    """The page's tree; of a page that breaks off in broken markup, what stands before."""
+
+def parse(html: str, tick: Callable[[], None] = lambda: None) -> Node:
+    """The page's tree; of a page that breaks off in broken markup, what stands before. `tick` is called again and again."""
     builder = _Builder()
     try:
-        builder.feed(html)
+        for at in range(0, len(html), STEP):
+            tick()
+            builder.feed(html[at : at + STEP])
         builder.close()
     except AssertionError:
         pass
-    return builder.root
+    return _indexed(builder.root)
+
+
+def _indexed(root: Node) -> Node:
+    """`root`, its elements numbered and listed."""
+    index: dict[str, list[Node]] = {"": []}
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    count = 0
+    while stack:
+        node, left = stack.pop()
+        if left:
+            node.end = count
+            continue
+        node.order, node.index = count, index
+        count += 1
+        if node is not root:
+            for key in ("", node.name, *(f".{c}" for c in node.classes), *((f"#{node.attrs['id']}",) if "id" in node.attrs else ())):
+                index.setdefault(key, []).append(node)
+        stack.append((node, True))
+        stack.extend((c, False) for c in reversed(node.children) if isinstance(c, Node))
+    return root
 
 
 _SIMPLE = re.compile(r"(?P<name>[a-z][a-z0-9]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?P<op>[*^]?=)\"?(?P<val>[^\]\"]*)\"?\]|:not\((?P<no>[^)]*)\)", re.IGNORECASE)
@@ -117,7 +154,7 @@ def _is(node: Node, tests: tuple) -> bool:
         if kind == "name":
             ok = node.name == m["name"].lower()
         elif kind == "cls":
-            ok = m["cls"] in node.attrs.get("class", "").split()
+            ok = m["cls"] in node.classes
         elif kind == "id":
             ok = node.attrs.get("id") == m["id"]
         elif kind == "no":
@@ -149,9 +186,33 @@ def matches(node: Node, selector: str) -> bool:
     return any(_fits(node, chain) for chain in _chains(selector))
 
 
+@cache
+def _lists(selector: str) -> tuple[str, ...]:
+    """For each alternative, the list that holds all elements that can match it."""
+    out = []
+    for chain in _chains(selector):
+        named = {kind: m for kind, m in chain[0][1] if kind in ("id", "cls", "name")}
+        kind = next((k for k in ("id", "cls", "name") if k in named), "")
+        out.append({"id": "#", "cls": ".", "name": "", "": ""}[kind] + (named[kind][kind] if kind else ""))
+    return tuple(x.lower() if x[:1] not in ("#", ".") else x for x in out)
+
+
+_ORDER = attrgetter("order")
+
+
 def select(node: Node, selector: str) -> list[Node]:
-    return [e for e in node.elements() if matches(e, selector)]
+    """Elements below `node` that match, in the order of the page."""
+    found: dict[int, Node] = {}
+    for key, chain in zip(_lists(selector), _chains(selector), strict=True):
+        listed = node.index.get(key, [])
+        for at in range(bisect_left(listed, node.order + 1, key=_ORDER), len(listed)):
+            e = listed[at]
+            if e.order >= node.end:
+                break
+            if e.order not in found and _fits(e, chain):
+                found[e.order] = e
+    return [found[k] for k in sorted(found)]
 
 
 def first(node: Node | None, selector: str) -> Node | None:
-    return next((e for e in node.elements() if matches(e, selector)), None) if node else None
+    return next(iter(select(node, selector)), None) if node else None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postmill.functions.text import trim
 from postmill.functions.times import is_new, within_days, within_month_view
 from postmill.operators.dedup import dedup_view
-from postmill.operators.extract import WHITE
+from postmill.operators.html import WHITE
 from postmill.operators.snapshots import without_hidden
 from postmill.operators.tables import checkpoint
 

@@ -189,3 +189,27 @@ def test_stream_of_snapshots(spark, tmp_path):
         stream_new_postings(stream, seen, out, str(tmp_path / "check")).awaitTermination()
     got = sorted((r["batch"], r["title"]) for r in spark.read.parquet(out).collect())
     assert got == [(0, "x"), (0, "y"), (1, "z"), (2, "w")]
+
+
+def test_text_comes_in_pieces(monkeypatch):
+    from postmill.operators import html as H
+
+    page = CASES["hnart"][0] + '<p>a &lt; b &amp; 다</p><p class="x">c < d  e</p>'
+    whole = [n.text() for n in select(parse(page), "td, p")]
+    for step in (1, 2, 3, 7):
+        monkeypatch.setattr(H, "STEP", step)
+        assert [n.text() for n in select(parse(page), "td, p")] == whole
+        assert first(parse(page), ".x").own_text() == "c < d  e"
+
+
+def test_selectors_start_from_any_element():
+    t = parse('<div class="a"><p class="x">1<b id="k">2</b></p></div><div class="a b"><p>3</p><section><p class="x y">4</p></section></div><p class="x">5</p>')
+    second = select(t, "div.a")[1]
+    assert [n.text() for n in select(second, "p, .x")] == ["3", "4"] and [n.text() for n in select(second, "section > .y")] == ["4"]
+    assert [n.text() for n in select(t, "#k, b, .x")] == ["12", "2", "4", "5"] and select(second, "div") == [] and len(select(t, ":not(p)")) == 4
+
+
+def test_digits_are_ascii():
+    board = BOARDS["artic"]
+    page = f'<table class="boardCategory"><tbody>{tr("٢٠٢٦-٠٣-٠١", a("t"), "2026-03-02")}</tbody></table>'
+    assert [r["date"] for r in rows_of(board, page)] == ["2026-03-02"]
