@@ -9,8 +9,9 @@ the differences, so the sets agree on two of its three cells. Every pair of cell
 Sets that share signatures are compared in two ways, and each link that isn't implied by others is verified on the whole sets:
 
 1. Stars: in each bucket of a signature all sets are compared with the first one.
-2. In buckets that are still of several components all sets of different components are compared, first by a
-   lower bound of their distance (bits of parity), in tiles that different tasks take.
+2. In buckets that are still of several components sets of different components are compared, first by a
+   lower bound of their distance (bits of parity), in tiles that different tasks take: at first as many pairs as may join
+   the components, then, of what is still apart, all that the bound allows.
 """
 
 from __future__ import annotations
@@ -257,8 +258,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(_verified, "a long, b long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's rows of different components that sizes and parities allow; runs go on over batches."""
+def _across(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's rows of different components that sizes and parities allow; runs go on over batches.
+
+    Unless all of them are asked for (`whole`), only as many as would join the components if all were links: of a row's
+    pairs with a component the one that parities say is nearest.
+    """
     names = ("key", "fp", "comp", "size", "side", "parity")
 
     def out(rows: dict[str, list]) -> Iterator[pa.RecordBatch]:
@@ -268,14 +273,27 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for i in range(len(fp) - 1):
             one = np.frombuffer(rows["parity"][i], np.uint64)
+            near, far = [], []
             for at, table in tables:
                 ok = (at > i) & (comp[at] != comp[i]) & ((side[at] < 0) | (side[at] != side[i]))
-                if not ok.any():
-                    continue
-                allowed = most_distance(size[at[ok]], size[i])
-                ok[ok] = least_distances(one, table[ok]) <= allowed
-                b.append(fp[at[ok]])
-                a.append(np.full(len(b[-1]), fp[i]))
+                if ok.any():
+                    spare = most_distance(size[at[ok]], size[i]) - least_distances(one, table[ok])
+                    near.append(at[ok][spare >= 0])
+                    far.append(spare[spare >= 0])
+            if not near:
+                continue
+            found, spare = np.concatenate(near), np.concatenate(far)
+            if not whole:
+                chosen = []
+                while len(found):
+                    j = int(found[spare.argmax()])
+                    chosen.append(j)
+                    comp[comp == comp[j]] = comp[i]
+                    left = comp[found] != comp[i]
+                    found, spare = found[left], spare[left]
+                found = np.array(chosen, np.int64)
+            b.append(fp[found])
+            a.append(np.full(len(found), fp[i]))
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
@@ -310,16 +328,18 @@ def links(docs: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """Links (`a`, `b`) of `nodes` that join all sets of similarity LEAST or more; those that others imply may be left out."""
     keyed = signature_rows(docs).repartition("key").sortWithinPartitions("key", "fp")
     members = checkpoint(keyed.mapInArrow(_members, "bucket long, first long, fp long").distinct())
-    stars = members.where("first <> fp").select(F.least("first", "fp").alias("a"), F.greatest("first", "fp").alias("b")).distinct()
-    found = checkpoint(verified(stars, nodes, docs))
-    comps = connected_components(found).withColumnRenamed("node", "fp")
-    named = members.select("bucket", "fp").join(comps, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("comp"))
-    named = checkpoint(named)
-    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    left = _tiled(named.join(mixed, "bucket"), tile).join(nodes.select("fp", "size", "parity"), "fp")
-    dealt = left.repartition("key").sortWithinPartitions("key", "fp")
-    across = dealt.select("key", "fp", "comp", "size", "side", "parity").mapInArrow(_across, "a long, b long").distinct()
-    return found.union(verified(across.join(stars, ["a", "b"], "left_anti"), nodes, docs))
+    tried = members.where("first <> fp").select(F.least("first", "fp").alias("a"), F.greatest("first", "fp").alias("b")).distinct()
+    found = checkpoint(verified(tried, nodes, docs))
+    for whole in (False, True):
+        comps = connected_components(found).withColumnRenamed("node", "fp")
+        named = checkpoint(members.select("bucket", "fp").join(comps, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("comp")))
+        mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+        left = _tiled(named.join(mixed, "bucket"), tile).join(nodes.select("fp", "size", "parity"), "fp")
+        dealt = left.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "comp", "size", "side", "parity")
+        pairs = checkpoint(dealt.mapInArrow(lambda batches, whole=whole: _across(batches, whole), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        found = found.union(checkpoint(verified(pairs, nodes, docs)))
+        tried = tried.union(pairs)
+    return found
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:

@@ -111,3 +111,26 @@ def test_rows_without_words_ids_or_peers(spark):
 
 def test_shingle_hashes_count_distinct_shingles():
     assert len(shingles(b"a b c d a b c d a b c d", 4)) == 4
+
+
+def test_copies_of_one_text_that_are_not_near_each_other(spark):
+    """Most are near the base alone; all are joined through it, whichever comes first, and few pairs are told."""
+    import pyarrow as pa
+
+    from postmill.llm.partenum import _across, node
+
+    rng = random.Random(9)
+    base = prose(rng, 400, 50_000).split()
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(5, 395, 5), 8):
+            words[k] = f"new{i}.{k}"
+        texts.append(" ".join(words))
+    texts.insert(30, " ".join(base))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_texts(docs(spark, texts)).collect()}
+    assert got == brute(texts) and {c for _, c in got.values()} == {0}
+    sets = [shingles(t.encode(), 4) for t in texts]
+    fps = [node(x) for x in sets]
+    rows = pa.RecordBatch.from_pydict({"key": [1] * 61, "fp": fps, "comp": fps, "size": [len(x) for x in sets], "side": [-1] * 61, "parity": [parity(x) for x in sets]})
+    assert sum(b.num_rows for b in _across(iter([rows]), False)) <= 60 <= sum(b.num_rows for b in _across(iter([rows]), True))
