@@ -43,7 +43,7 @@ def audit(postings: DataFrame, pages: DataFrame) -> DataFrame:
     text = lambda c: c.cast("string")
     # What a verdict says.
     message = (
-        F.when(skipped, F.concat(F.lit("크롤링 에러: "), "crawl_error")).when(broken, F.concat(F.lit("검증 중 에러: "), "check_error"))
+        F.when(skipped, F.concat(F.lit("크롤링 에러로 스킵: "), "crawl_error")).when(broken, F.concat(F.lit("검증 중 에러: "), "check_error"))
         .when((n == 0) & (F.col("lines") == 0), "공고 없음 확인 (정상)").when(n == 0, F.concat(F.lit("크롤링 0건이나 페이지에 채용 키워드 "), text(F.col("lines")), F.lit("건 감지")))
         .when(m == n, F.concat(F.lit("전체 "), text(n), F.lit("건 제목 매칭 성공")))
         .when(m >= n * F.lit(PASS_SHARE), F.concat(text(n), F.lit("건 중 "), text(m), F.lit("건 매칭 ("), share, F.lit("%)")))

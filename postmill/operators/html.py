@@ -97,6 +97,26 @@ class _Builder(HTMLParser):
 STEP = 1 << 16
 
 
+# Elements whose text isn't shown, and those that stand on lines of their own.
+HIDDEN = frozenset("head script style noscript template title".split())
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody tfoot thead tr ul".split())
+
+
+def shown_text(root: Node) -> str:
+    """A page's text about as a reader sees it: blocks on lines of their own, a row's cells beside each other, blanks as one."""
+    out: list[str] = []
+    stack: list[Node | str] = [root]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c if c in ("\n", "\t") else re.sub("[ \t\n\r\f]+", " ", c))
+        elif c.name not in HIDDEN:
+            around = "\n" if c.name in BLOCKS else "\t" if c.name in ("td", "th") else ""
+            stack += [around] * bool(around) + list(reversed(c.children)) + [around] * (around == "\n")
+    lines = (line.strip(WHITE) for line in "".join(out).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
 def parse(html: str, tick: Callable[[], None] = lambda: None) -> Node:
     """The page's tree; of a page that breaks off in broken markup, what stands before. `tick` is called again and again."""
     builder = _Builder()

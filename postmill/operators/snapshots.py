@@ -50,11 +50,16 @@ def nested_results(postings: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def preview(postings: DataFrame, count: int = 3) -> DataFrame:
-    """The first titles of each site in order, and how many more there are."""
-    own = Window.partitionBy("site_id").orderBy("post_ord")
-    numbered = postings.withColumn("_nth", F.row_number().over(own))
-    first = F.array_sort(F.collect_list(F.when(F.col("_nth") <= count, F.struct("post_ord", "title"))))
-    return numbered.groupBy("site_id").agg(F.transform(first, lambda x: x["title"]).alias("titles"), F.greatest(F.count("*") - count, F.lit(0)).alias("more"))
+    """The first titles of each site in order, and how many more there are.
+
+    Each task keeps its first few of a site before they are dealt out (a window of `row_number` up to a bound), so no
+    site is sorted in one task.
+    """
+    nth = F.row_number().over(Window.partitionBy("site_id").orderBy("post_ord"))
+    few = postings.select("site_id", "post_ord", "title").withColumn("_nth", nth).where(F.col("_nth") <= count)
+    first = few.groupBy("site_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "title"))), lambda x: x["title"]).alias("titles"))
+    counts = postings.groupBy("site_id").agg(F.greatest(F.count("*") - count, F.lit(0)).alias("more"))
+    return counts.join(first.withColumnRenamed("site_id", "_s"), F.col("site_id").eqNullSafe(F.col("_s"))).select("site_id", "titles", "more")
 
 
 def run_summary(results: DataFrame) -> DataFrame:

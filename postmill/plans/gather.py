@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import bracketed_organization, normalize_date, optional_date, or_default, trim, truncate
+from postmill.operators.board_rows import spec_postings, spec_rows
 from postmill.operators.dedup import dedup_crawl
 from postmill.operators.extract import Board, json_postings, link_url, rows_of
 from postmill.operators.filters import relevant_postings
@@ -93,20 +94,28 @@ def postings_of(found: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFram
     return numbered.where(~F.col("site_id").isin(once) | (F.col("_nth") == 1)).drop("_nth")
 
 
-def gather(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None) -> DataFrame:
+def gather(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:
     """The snapshot of `run`."""
-    return run(pages, sites, keywords, as_of, answers)[0]
+    return run(pages, sites, keywords, as_of, answers, specs)[0]
 
 
-def run(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def run(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None, specs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The snapshot: postings of all boards, filtered and each once, with `site_ord` and `site_name`; and the pages as read.
 
-    `answers` (`page`, `body`) are those of the board that answers in JSON. A site with an error among its
+    `pages` that have `rows` already, as those of the page source, are not parsed again. With `specs` (`site_id`, `spec`) boards
+    are what these rows say, not the declared ones. `answers` (`page`, `body`) are those of the board that answers in JSON. A site with an error among its
     pages, given or met in reading, gives no postings, as a failed run of it would.
     """
-    read = checkpoint(read_pages(pages))
+    if specs is not None:
+        given = F.nullif("error", F.lit("")) if "error" in pages.columns else F.lit(None).cast("string")
+        rows = checkpoint(spec_rows(pages, specs))
+        read = checkpoint(pages.select("site_id", "page", given.alias("error")).unionByName(rows.where("error is not null").select("site_id", "page", "error")))
+    elif "rows" in pages.columns:
+        read = checkpoint(pages.select("site_id", F.coalesce("page", F.lit(1)).alias("page"), "rows", F.nullif("error", F.lit("")).alias("error")))
+    else:
+        read = checkpoint(read_pages(pages))
     failed = read.where("error is not null").select("site_id").distinct()
-    found = postings_of(read.join(failed, "site_id", "left_anti"))
+    found = spec_postings(rows.join(failed, "site_id", "left_anti"), PAGE_ROWS) if specs is not None else postings_of(read.join(failed, "site_id", "left_anti"))
     if answers is not None:
         site, organization, base = JSON_SITE
         more = json_postings(answers, organization, base).withColumns({"site_id": F.lit(site), "status": F.lit(None).cast("string")})

@@ -46,9 +46,9 @@ CATEGORIES = {"ncs": ("08", "01", "04", "01")}
 LEVELS = ("level1", "level2", "level3", "level4")
 ROW_FIELDS = ("title", "date", "org", "deadline", "status", "link")
 ROWS = f"array<struct<{','.join(f'{f}:string' for f in ROW_FIELDS)}>>"
-SCHEMA = f"site_id string, page int, url string, html string, rows {ROWS}, error string, attempts int, variant string, applied string, {', '.join(f'{x} string' for x in LEVELS)}"
+SCHEMA = f"site_id string, page int, url string, html string, text string, rows {ROWS}, error string, attempts int, variant string, applied string, {', '.join(f'{x} string' for x in LEVELS)}"
 _KIND = pa.schema([
-    ("site_id", pa.string()), ("page", pa.int32()), ("url", pa.string()), ("html", pa.string()), ("rows", pa.list_(pa.struct([(f, pa.string()) for f in ROW_FIELDS]))),
+    ("site_id", pa.string()), ("page", pa.int32()), ("url", pa.string()), ("html", pa.string()), ("text", pa.string()), ("rows", pa.list_(pa.struct([(f, pa.string()) for f in ROW_FIELDS]))),
     ("error", pa.string()), ("attempts", pa.int32()), ("variant", pa.string()), ("applied", pa.string()), *((x, pa.string()) for x in LEVELS),
 ])
 
@@ -131,7 +131,7 @@ class PageReader(DataSourceReader):
             raise ValueError("board_pages needs the folder of captured pages")
         self.seconds = float(options.get("sitesecs", options.get("siteSecs", SITE_SECONDS)))
         self.most = int(options.get("mostpages", options.get("mostPages", MOST_PAGES)))
-        self.with_html = str(options.get("html", "true")).lower() == "true"
+        self.with_html, self.with_text = (str(options.get(x, default)).lower() == "true" for x, default in (("html", "true"), ("text", "false")))
         self.asked = Asked(levels=dict(zip(LEVELS, filter(None, options.get("levels", "").split("/")), strict=False)))
         self.boards, self.clock = boards, clock
 
@@ -232,7 +232,7 @@ class PageReader(DataSourceReader):
                 for row in tree_rows(board, tree, budget.tick):
                     made.append(row)
             if wanted:
-                yield common | {"page": number, "url": url, "html": text if self.with_html else None, "rows": made, "attempts": attempts, "variant": variant}
+                yield common | {"page": number, "url": url, "html": text if self.with_html else None, "text": H.shown_text(tree) if self.with_text else None, "rows": made, "attempts": attempts, "variant": variant}
             if pager and H.first(tree, pager.replace("{next}", str(number + 1))) is None:
                 return
 
@@ -289,7 +289,7 @@ class PageWriter(DataSourceWriter):
 
 
 class BoardPages(DataSource):
-    """Options: `path`; `siteSecs`, the seconds a site may take; `mostPages` of a site with a pager; `levels` as `08/01`; `html`: false leaves the texts out."""
+    """Options: `path`; `siteSecs`, the seconds a site may take; `mostPages` of a site with a pager; `levels` as `08/01`; `html`: false leaves the pages themselves out; `text`: true gives what a reader sees of them."""
 
     @classmethod
     def name(cls) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql.utils import AnalysisException
 from postmill.functions.text import trim
 from postmill.operators.snapshots import toggle_hidden
 from postmill.operators.tables import checkpoint
+from postmill.sources.versions import Versions
 
 POSTING = "title: string, organization: string, regDate: string, deadlineDate: string, url: string, status: string"
 RESULTS = f"site struct<id: string, name: string, url: string, category: string>, postings array<struct<{POSTING}>>, crawledAt string, error string"
@@ -49,12 +50,10 @@ def read_new_postings(spark: SparkSession, path: str, required: bool = False) ->
     return p.withColumnsRenamed({"siteId": "site_id", "siteName": "site_name", "regDate": "reg_date", "deadlineDate": "deadline_date"})
 
 
-def flat_postings(results: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """A row for each posting of nested results with its place; `site_ord` is that of `sites`, or the site's in a single file."""
-    ordered = results if "site_ord" in results.columns else results.withColumn("site_ord", F.monotonically_increasing_id())
-    if sites is not None:
-        known = sites.select(F.col("site_id").alias("_id"), F.col("site_ord").cast("long").alias("_ord"))
-        ordered = ordered.join(known, F.col("site.id") == F.col("_id"), "left").withColumn("site_ord", F.coalesce("_ord", F.lit(1 << 22)))
+def flat_postings(results: DataFrame, sites: DataFrame) -> DataFrame:
+    """A row for each posting of nested results with its place: `site_ord` is that of `sites`, or behind them all for a site that isn't listed."""
+    known = sites.select(F.col("site_id").alias("_id"), F.col("site_ord").cast("long").alias("_ord"))
+    ordered = results.join(known, F.col("site.id") == F.col("_id"), "left").withColumn("site_ord", F.coalesce("_ord", F.lit(1 << 22)))
     rows = ordered.select("site_ord", F.col("site.id").alias("site_id"), F.col("site.name").alias("site_name"), "error", F.posexplode("postings").alias("post_ord", "p"))
     return rows.select(
         "site_ord", "post_ord", "site_id", "site_name", "error", "p.title", "p.organization", F.col("p.regDate").alias("reg_date"),
@@ -137,14 +136,19 @@ def write_verdicts(verdicts: DataFrame, sites: DataFrame, path: str) -> None:
 
 
 def read_hidden(spark: SparkSession, path: str) -> DataFrame:
-    """The stored hidden set; empty where there is none."""
-    return _read(spark, path, "site_id string, title string", False)
+    """The stored hidden set as it was last committed; empty where there is none."""
+    stored = Versions(spark, path)
+    last = stored.latest()
+    return _read(spark, stored.folder(last, "hidden"), "site_id string, title string", True) if last else spark.createDataFrame([], "site_id string, title string")
 
 
 def change_hidden(spark: SparkSession, path: str, changes: DataFrame | None) -> DataFrame:
-    """Stores the hidden set after `changes` (`site_id`, `title`, `hide`, `seq`), or an empty one for none, and gives it."""
+    """Stores the hidden set after `changes` (`site_id`, `title`, `hide`, `seq`), or an empty one for none, and gives it.
+
+    The new set is a version of its own: until it is committed, and if it never is, readers get the old one.
+    """
     old = read_hidden(spark, path)
-    # Read before the folder is written anew.
     now = checkpoint(toggle_hidden(old, changes) if changes is not None else old.limit(0))
-    now.write.mode("overwrite").json(path)
+    with Versions(spark, path).writing() as version:
+        now.write.mode("overwrite").json(version.folder("hidden"))
     return now

@@ -124,7 +124,7 @@ RESULT = [{"site": {"id": "A", "name": "n", "url": "u"}, "postings": [{"title":
 def test_results_files(spark, tmp_path):
     (tmp_path / "results.json").write_text(json.dumps(RESULT))
     results = read_results(spark, str(tmp_path / "results.json"))
-    flat = flat_postings(results)
+    flat = flat_postings(results, spark.createDataFrame([("A", 1)], "site_id string, site_ord int"))
     assert sorted((r["site_id"], r["post_ord"], r["title"]) for r in flat.collect()) == [("A", 0, "x"), ("A", 1, "y")]
     assert read_results(spark, str(tmp_path / "none.json"), required=False).count() == 0
     with pytest.raises(MissingSnapshot):
@@ -157,7 +157,7 @@ def test_verdict_file_and_hidden_set(spark, tmp_path):
     write_verdicts(audit(posts, pages), sites, str(tmp_path / "verify"))
     (written,) = Path(tmp_path / "verify").glob("part-*")
     assert json.loads(written.read_text()) == [
-        {"siteId": "B", "siteName": "b", "status": "skip", "crawledCount": 0, "actualCount": 0, "matchedTitles": 0, "unmatchedTitles": [], "message": "크롤링 에러: e"},
+        {"siteId": "B", "siteName": "b", "status": "skip", "crawledCount": 0, "actualCount": 0, "matchedTitles": 0, "unmatchedTitles": [], "message": "크롤링 에러로 스킵: e"},
         {"siteId": "A", "siteName": "a", "status": "warn", "crawledCount": 2, "actualCount": 1, "matchedTitles": 1, "unmatchedTitles": ["둘"], "message": "2건 중 1건만 매칭 (50%)"},
     ]
     path = str(tmp_path / "hidden")
