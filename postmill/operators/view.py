@@ -47,6 +47,12 @@ def site_counts(listing: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("n"), "_at").drop("_at")
 
 
+def site_order(listing: DataFrame) -> DataFrame:
+    """`site_counts` with `place`, from 1: one row for each site that has postings."""
+    counts = listing.groupBy("site_id").agg(F.count("*").alias("n"), F.min("rank_place").alias("_at"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "_at")).cast("long")).drop("_at")
+
+
 def figures(listing: DataFrame) -> DataFrame:
     return listing.agg(F.countDistinct("site_id").alias("sites"), F.count("*").alias("postings"))
 

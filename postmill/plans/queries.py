@@ -13,7 +13,7 @@ from postmill.functions import times
 from postmill.operators import audit as A
 from postmill.operators import dedup, filters, fuzzy, snapshots, view
 from postmill.operators.tables import checkpoint
-from postmill.plans import board_pages, gather
+from postmill.plans import board_pages, gather, source_queries
 from postmill.plans.derived import AS_OF, KEYWORDS, POSTINGS_SQL, RAW_DATES_SQL, SITES_SQL, WS, postings, raw_dates, sites, squeeze_sql, table, trim_sql
 from postmill.plans.gather import PAGE_ROWS
 from postmill.sources.boards import SITES, site_table
@@ -499,12 +499,10 @@ def gather_run(spark, sf):
 
 @query(f"WITH {_LISTED_SQL} SELECT row_number() OVER (ORDER BY count(*) DESC, min(first_at)) AS place, site_id, count(*) AS n FROM listing GROUP BY site_id")
 def site_order(spark, sf):
-    counts = view.site_counts(_listed(spark, sf)).select("site_id", "n")
-    rows = spark.createDataFrame([(k, *r) for k, r in enumerate(counts.collect(), 1)], "place long, site_id string, n long")  # a row for each board
-    return rows
+    return view.site_order(_listed(spark, sf)).select("place", "site_id", "n")
 
 
 # Boards
 
-QUERIES |= board_pages.QUERIES
-ORACLE_SQL |= board_pages.ORACLE_SQL
+QUERIES |= board_pages.QUERIES | source_queries.QUERIES
+ORACLE_SQL |= board_pages.ORACLE_SQL | source_queries.ORACLE_SQL

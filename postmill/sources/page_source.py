@@ -11,8 +11,11 @@ A folder holds a folder for each site. What was fetched of a page is in files na
 
 Each site is one partition, and its pages are read lazily in order: reading ends at the first page without a pager, at the
 most pages that a site gives, or when the site's time is up. A page is parsed once, for its pager and its rows. What goes
-wrong is a row with an error behind the rows that were read, never a failed task. Filters on site, page and the chosen levels reach the source:
-sites that aren't asked for are no partitions, pages behind the last one asked for are no rows and aren't opened.
+wrong is a row with an error behind the rows that were read, never a failed task.
+
+`asked_pages` lets filters on site, page and the chosen levels reach the source (format `asked_board_pages`): sites that
+aren't asked for are no partitions, pages that aren't asked for are no rows and aren't opened. Spark 4.1 keeps one set of pushed filters
+for each load, so one loaded table must not be filtered in two ways within a plan: `asked_pages` loads anew each time.
 
 Files are reached through Arrow's file systems (local, HDFS, S3, GCS).
 """
@@ -135,11 +138,6 @@ class PageReader(DataSourceReader):
         self.asked = Asked(levels=dict(zip(LEVELS, filter(None, options.get("levels", "").split("/")), strict=False)))
         self.boards, self.clock = boards, clock
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in sorted(filters, key=lambda f: isinstance(f, IsNotNull)):
-            if not self.asked.narrowed(f):
-                yield f
-
     def partitions(self) -> list[SitePages]:
         files, root = file_system(self.path)
         found = files.get_file_info(fs.FileSelector(root))  # an error if there is no such folder
@@ -248,6 +246,15 @@ class PageReader(DataSourceReader):
         return "" if "" in kinds else None
 
 
+class AskedPageReader(PageReader):
+    """The reader of a load that filters reach."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in sorted(filters, key=lambda f: isinstance(f, IsNotNull)):
+            if not self.asked.narrowed(f):
+                yield f
+
+
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or address, and the path in it."""
     if re.match(r"file:/(?!/)", path):
@@ -305,13 +312,31 @@ class BoardPages(DataSource):
         return PageWriter(self.options["path"])
 
 
+class AskedBoardPages(BoardPages):
+    """The same, reached by filters."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "asked_board_pages"
+
+    def reader(self, schema: StructType) -> PageReader:
+        return AskedPageReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
-    """Makes the source known to the session, and lets filters reach it."""
+    """Makes the sources known to the session, and lets filters reach the second."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BoardPages)
+    spark.dataSource.register(AskedBoardPages)
 
 
 def board_pages(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The pages captured in a folder."""
     register(spark)
-    return spark.read.format("board_pages").options(**options).load(path)
+    return spark.read.format(BoardPages.name()).options(**options).load(path)
+
+
+def asked_pages(spark: SparkSession, path: str, where: str, **options: str) -> DataFrame:
+    """The pages that a condition asks for, as far as it can be told to the source; of another condition make another call."""
+    register(spark)
+    return spark.read.format(AskedBoardPages.name()).options(**options).load(path).where(where)

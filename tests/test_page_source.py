@@ -8,7 +8,7 @@ from postmill.operators.extract import rows_of
 from postmill.plans.gather import postings_of
 from postmill.sources.boards import BOARDS, PAGERS
 from postmill.sources.captured import captured_pages, until_last_page
-from postmill.sources.page_source import PageReader, SitePages, board_pages, file_system, register
+from postmill.sources.page_source import PageReader, SitePages, asked_pages, board_pages, file_system, register
 from tests.test_extract import CASES, a, body, tr
 
 
@@ -51,7 +51,7 @@ def test_pages_equal_the_two_steps(spark, tmp_path):
 
 def test_filters_reach_the_source(spark, tmp_path, capfd):
     path = put(tmp_path, {f"{s}/{n}.html": CASES[s][0] for s in ("kaah", "seoul", "gcm") for n in range(1, 6)})
-    some = board_pages(spark, path).where("site_id in ('kaah', 'gcm') and page between 2 and 3").select("site_id", "page")
+    some = asked_pages(spark, path, "site_id in ('kaah', 'gcm') and page between 2 and 3").select("site_id", "page")
     capfd.readouterr()
     some.explain("formatted")
     plan = capfd.readouterr().out
@@ -63,18 +63,22 @@ def test_filters_reach_the_source(spark, tmp_path, capfd):
         os.chmod(f"{path}/kaah/{n}.html", 0)
         os.rename(f"{path}/kaah/{n}.html", f"{path}/kaah/{n}.html.gone")
         os.mkdir(f"{path}/kaah/{n}.html")
-    assert board_pages(spark, path).where("site_id = 'kaah' and page = 3").count() == 1
-    assert board_pages(spark, path).where("site_id = 'kaah' and page > 7").count() == 0
-    gone = board_pages(spark, path).where("site_id = 'nowhere'").select("site_id", "error").collect()
+    assert asked_pages(spark, path, "site_id = 'kaah' and page = 3").count() == 1
+    assert asked_pages(spark, path, "site_id = 'kaah' and page > 7").count() == 0
+    gone = asked_pages(spark, path, "site_id = 'nowhere'").select("site_id", "error").collect()
     assert [tuple(r) for r in gone] == [("nowhere", "no captured pages")]
 
 
 def test_spark_keeps_what_the_source_does_not_take(spark, tmp_path):
     path = put(tmp_path, {"kaah/1.html": CASES["kaah"][0], "kaah/1.url": "https://x", "kaah/2.html": CASES["kaah"][0]})
-    assert board_pages(spark, path).where("url like '%x' and page < 3 and site_id = 'kaah' and page >= 1").count() == 1
-    assert board_pages(spark, path).where("site_id = 'kaah' or page = 1").count() == 2
-    assert board_pages(spark, path).where("level1 is not null").count() == 0
-    assert board_pages(spark, path).where("page is not null and site_id is not null").count() == 2
+    assert asked_pages(spark, path, "url like '%x' and page < 3 and site_id = 'kaah' and page >= 1").count() == 1
+    assert asked_pages(spark, path, "site_id = 'kaah' or page = 1").count() == 2
+    assert asked_pages(spark, path, "level1 is not null").count() == 0
+    apart = asked_pages(spark, path, "site_id = 'kaah' and page = 1").unionByName(asked_pages(spark, path, "page = 2")).unionByName(asked_pages(spark, path, "site_id = 'gone'"))
+    assert sorted((r["site_id"], str(r["page"])) for r in apart.collect()) == [("gone", "None"), ("kaah", "1"), ("kaah", "2")]
+    plain = board_pages(spark, path)
+    assert plain.where("page = 1").unionByName(plain.where("page = 2")).unionByName(plain).count() == 4
+    assert asked_pages(spark, path, "page is not null and site_id is not null").count() == 2
 
 
 def test_levels_as_far_as_they_were_captured(spark, tmp_path):
@@ -83,7 +87,7 @@ def test_levels_as_far_as_they_were_captured(spark, tmp_path):
 
     def asked(**levels):
         where = " and ".join(["site_id = 'ncs'", *(f"{k} = '{v}'" for k, v in levels.items())])
-        return [(r["applied"], r["rows"][0]["title"], r["level1"], r["level4"]) for r in board_pages(spark, path).where(where).collect()]
+        return [(r["applied"], r["rows"][0]["title"], r["level1"], r["level4"]) for r in asked_pages(spark, path, where).collect()]
 
     assert asked() == [("", "all", None, None)]
     assert asked(level1="08", level2="01", level3="04", level4="01") == [("08/01/04/01", "fourth", "08", "01")]
