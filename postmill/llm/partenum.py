@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bounded, checkpoint, mix, over_texts, texts
-from postmill.llm.components import connected_components, named_components
+from postmill.llm.components import connected_components
 from postmill.llm.jaccard import node, shingles
 
 SHINGLE = 4
@@ -324,22 +324,47 @@ def _tiled(rows: DataFrame, tile: int) -> DataFrame:
     return own.select("fp", "comp", F.explode(others).alias("o")).select("fp", "comp", "o.key", "o.side")
 
 
-def links(docs: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links (`a`, `b`) of `nodes` that join all sets of similarity LEAST or more; those that others imply may be left out."""
+def _pairs_left(members: DataFrame, comps: DataFrame, nodes: DataFrame, tried: DataFrame, whole: bool, tile: int) -> DataFrame:
+    """Untried pairs (`a`, `b`) of sets that share a bucket and are of different components (`fp`, `comp`), as `_across` tells them."""
+    named = checkpoint(members.select("bucket", "fp").join(comps, "fp", "left").select("bucket", "fp", F.coalesce("comp", "fp").alias("comp")))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    left = _tiled(named.join(mixed, "bucket"), tile).join(nodes.select("fp", "size", "parity"), "fp")
+    dealt = left.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "comp", "size", "side", "parity")
+    return checkpoint(dealt.mapInArrow(lambda batches: _across(batches, whole), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+
+
+def _hops(found: DataFrame) -> DataFrame:
+    """`comp` of each linked `fp`: the least that two links lead to. Not always one for a component, which costs comparisons, but loses none."""
+    both = found.select(F.col("a").alias("fp"), F.col("b").alias("m")).union(found.select("b", "a"))
+    least = checkpoint(both.groupBy("fp").agg(F.least(F.min("m"), "fp").alias("comp")))
+    second = least.select(F.col("fp").alias("comp"), F.col("comp").alias("next"))
+    return least.join(second, "comp").select("fp", F.col("next").alias("comp"))
+
+
+def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """`fp` and `root` (the least of its component, by ids) of each node."""
+    named = nodes.select("fp", F.struct(F.col("first").isNull().alias("none"), "first", "fp").alias("node"))
+    ends = found.join(named.withColumnsRenamed({"fp": "a", "node": "x"}), "a").join(named.withColumnsRenamed({"fp": "b", "node": "y"}), "b")
+    roots = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "of")
+    return named.join(roots, F.col("node") == F.col("of"), "left").select("fp", F.coalesce("root", "node").alias("root"))
+
+
+def components(docs: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """`fp` and `component_id`, the smallest `first` of what is linked, of each of `nodes`, the distinct sets of `docs`."""
     keyed = signature_rows(docs).repartition("key").sortWithinPartitions("key", "fp")
     members = checkpoint(keyed.mapInArrow(_members, "bucket long, first long, fp long").distinct())
-    tried = members.where("first <> fp").select(F.least("first", "fp").alias("a"), F.greatest("first", "fp").alias("b")).distinct()
-    found = checkpoint(verified(tried, nodes, docs))
-    for whole in (False, True):
-        comps = connected_components(found).withColumnRenamed("node", "fp")
-        named = checkpoint(members.select("bucket", "fp").join(comps, "fp", "left").select("bucket", "fp", F.coalesce("root", "fp").alias("comp")))
-        mixed = named.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-        left = _tiled(named.join(mixed, "bucket"), tile).join(nodes.select("fp", "size", "parity"), "fp")
-        dealt = left.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "comp", "size", "side", "parity")
-        pairs = checkpoint(dealt.mapInArrow(lambda batches, whole=whole: _across(batches, whole), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
-        found = found.union(checkpoint(verified(pairs, nodes, docs)))
-        tried = tried.union(pairs)
-    return found
+    stars = members.where("first <> fp").select(F.least("first", "fp").alias("a"), F.greatest("first", "fp").alias("b")).distinct()
+    found = checkpoint(verified(stars, nodes, docs))
+    likely = _pairs_left(members, _hops(found), nodes, stars, False, tile)
+    rooted = checkpoint(_rooted(nodes, found.union(verified(likely, nodes, docs))))
+    rest = _pairs_left(members, rooted.select("fp", F.col("root.fp").alias("comp")), nodes, stars.union(likely), True, tile)
+    more = checkpoint(verified(rest, nodes, docs))
+    ends = more.join(rooted.withColumnsRenamed({"fp": "a", "root": "x"}), "a").join(rooted.withColumnsRenamed({"fp": "b", "root": "y"}), "b")
+    if more.isEmpty():
+        return rooted.select("fp", F.col("root.first").alias("component_id"))
+    # Components are joined, as nodes of their own.
+    joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnsRenamed({"node": "root", "root": "last"})
+    return rooted.join(joined, "root", "left").select("fp", F.coalesce("last", "root")["first"].alias("component_id"))
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
@@ -361,5 +386,5 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", tile: int = TILE) ->
     prints = checkpoint(over_texts(named, [id_col, "content"], "fp long, size long, parity binary", step))
     nodes = prints.where("size > 0").groupBy("fp").agg(F.min(id_col).alias("first"), F.min("content").alias("content"), F.max("size").alias("size"), F.max("parity").alias("parity"))
     nodes = checkpoint(nodes)
-    roots = named_components(nodes, links(docs, nodes, tile)).withColumnRenamed("component_id", "root")
+    roots = components(docs, nodes, tile).withColumnRenamed("component_id", "root")
     return prints.join(roots, "fp", "left").select(id_col, F.col("size").alias("n_shingles"), F.coalesce("root", id_col).alias("component_id"))

@@ -134,3 +134,12 @@ def test_copies_of_one_text_that_are_not_near_each_other(spark):
     fps = [node(x) for x in sets]
     rows = pa.RecordBatch.from_pydict({"key": [1] * 61, "fp": fps, "comp": fps, "size": [len(x) for x in sets], "side": [-1] * 61, "parity": [parity(x) for x in sets]})
     assert sum(b.num_rows for b in _across(iter([rows]), False)) <= 60 <= sum(b.num_rows for b in _across(iter([rows]), True))
+
+
+def test_links_of_the_last_comparison_join_components(spark, monkeypatch):
+    """As if no likely pair had been a link."""
+    left = partenum._pairs_left
+    monkeypatch.setattr(partenum, "_pairs_left", lambda *args: left(*args) if args[4] else left(*args).limit(0))
+    texts = corpus(3, 25)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_texts(docs(spark, texts)).collect()}
+    assert got == brute(texts)
