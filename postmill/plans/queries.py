@@ -471,29 +471,32 @@ def extract_title(spark, sf):
     return page_rows(table(spark, sf, "pages").select("page_id", "url", "html"), board).select("page_id", "title")
 
 
-_RUN_BOARDS = ("korea-kr", "seoul", "gmuseum", "nrich", "bcmuseum", "kaah")
+def _run_pages(spark, sf):
+    """Pages of all boards but the one that answers in JSON: one board failed, and one site is no board."""
+    pages = board_pages.pages_of_boards(spark, sf, tuple(board_pages.LAYOUTS))
+    failed = F.when((F.col("site_id") == "khs") & (F.col("page") == 3), "timeout")
+    nowhere = pages.where("site_id = 'kaah'").withColumn("site_id", F.lit("nowhere"))
+    return pages.unionByName(nowhere).withColumn("error", failed)
 
 
-def _run_pages(spark, sf):
-    """Pages of some boards, one that failed, and one without a board."""
-    pages = None
-    for site in (*_RUN_BOARDS, "khs", "nowhere"):
-        layout = board_pages.LAYOUTS[site if site != "nowhere" else "kaah"]
-        more = board_pages.board_pages(spark, sf, layout).select(F.lit(site).alias("site_id"), "page", "url", "html", F.when((F.lit(site) == "khs") & (F.col("page") == 3), "timeout").alias("error"))
-        pages = more if pages is None else pages.unionByName(more)
-    return pages
+def _found_sql(site: str) -> str:
+    once = "QUALIFY row_number() OVER (PARTITION BY title ORDER BY page, post_ord) = 1" if board_pages.LAYOUTS[site].distinct else ""
+    return f"SELECT '{site}' AS site_id, * FROM ({board_pages.board_sql(board_pages.LAYOUTS[site])}) {once}"
 
 
-_RUN_SQL = "found AS (" + " UNION ALL ".join(f"SELECT '{x}' AS site_id, * FROM ({board_pages.board_sql(board_pages.LAYOUTS[x])})" for x in _RUN_BOARDS) + f"""),
+_RUN_SQL = "found AS (" + " UNION ALL ".join(f"({_found_sql(x)})" for x in board_pages.LAYOUTS if x != "khs") + f"""),
+answered AS ({board_pages.JSON_SQL}),
 registry(site_id, site_ord) AS (VALUES {", ".join(f"('{x[0]}', {k})" for k, x in enumerate(SITES, 1))}),
-postings AS (SELECT site_id, site_ord, page * CAST({PAGE_ROWS} AS BIGINT) + post_ord AS post_ord, title, organization, reg_date, deadline_date, url, status FROM found JOIN registry USING (site_id)
+gathered AS (SELECT site_id, page * CAST({PAGE_ROWS} AS BIGINT) + post_ord AS post_ord, title, organization, reg_date, deadline_date, url, status FROM found
+  UNION ALL SELECT 'job-gg', post_ord, title, organization, reg_date, deadline_date, url, NULL FROM answered),
+postings AS (SELECT site_id, site_ord, post_ord, title, organization, reg_date, deadline_date, url, status FROM gathered JOIN registry USING (site_id)
   WHERE NOT {_NOISE('title')} AND NOT {_NOISE('organization')} AND {_MONTH})"""
 
 
 @query(_FUZZY_SQL.replace(POSTINGS_SQL, _RUN_SQL).replace("SELECT site_id, post_ord, title FROM crawled c", "SELECT site_id, post_ord, title, organization, reg_date, deadline_date, c.url, status FROM crawled c"))
 def gather_run(spark, sf):
-    """The whole run: pages of several boards read, filtered, made unique exactly and by likeness."""
-    found = gather.gather(_run_pages(spark, sf), site_table(spark), KEYWORDS, AS_OF)
+    """The whole run over all boards: pages and JSON answers read, filtered, made unique exactly and by likeness."""
+    found = gather.gather(_run_pages(spark, sf), site_table(spark), KEYWORDS, AS_OF, board_pages.json_answers(spark, sf))
     return found.select("site_id", "post_ord", "title", "organization", "reg_date", "deadline_date", "url", "status")
 
 
