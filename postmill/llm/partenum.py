@@ -363,7 +363,7 @@ def components(docs: DataFrame, nodes: DataFrame, tile: int = TILE) -> DataFrame
     if more.isEmpty():
         return rooted.select("fp", F.col("root.first").alias("component_id"))
     # Components are joined, as nodes of their own.
-    joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnsRenamed({"node": "root", "root": "last"})
+    joined = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("last"))
     return rooted.join(joined, "root", "left").select("fp", F.coalesce("last", "root")["first"].alias("component_id"))
 
 

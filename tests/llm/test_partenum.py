@@ -136,10 +136,18 @@ def test_copies_of_one_text_that_are_not_near_each_other(spark):
     assert sum(b.num_rows for b in _across(iter([rows]), False)) <= 60 <= sum(b.num_rows for b in _across(iter([rows]), True))
 
 
-def test_links_of_the_last_comparison_join_components(spark, monkeypatch):
-    """As if no likely pair had been a link."""
-    left = partenum._pairs_left
-    monkeypatch.setattr(partenum, "_pairs_left", lambda *args: left(*args) if args[4] else left(*args).limit(0))
+@pytest.mark.parametrize("off", [{1}, {1, 2}])
+def test_links_of_later_comparisons_are_enough(spark, monkeypatch, off):
+    """As if no pair of the first comparisons had been a link: what they try isn't counted as tried either."""
+    verified, left, calls = partenum.verified, partenum._pairs_left, []
+
+    def some(pairs, nodes, docs):
+        calls.append(1)
+        found = verified(pairs, nodes, docs)
+        return found.limit(0) if len(calls) in off else found
+
+    monkeypatch.setattr(partenum, "verified", some)
+    monkeypatch.setattr(partenum, "_pairs_left", lambda members, comps, nodes, tried, whole, tile: left(members, comps, nodes, tried.limit(0), whole, tile))
     texts = corpus(3, 25)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_texts(docs(spark, texts)).collect()}
-    assert got == brute(texts)
+    assert got == brute(texts) and len(calls) == 3
