@@ -3,17 +3,25 @@
 Two postings are alike if the tokens of the earlier one (repeats included) that the later one has
 come to ten characters or more. In order of place, a posting that is still there removes all alike
 later ones, except that one without URL yields to the first alike one with URL. That pass is a greedy
-choice, not a grouping, and is decided here in rounds over the table of alike pairs:
+choice, not a grouping, and is decided here in parts:
 
 1. Postings with URL: one stays unless an earlier one that stays is alike.
 2. One without URL yields to the first alike later posting with URL that no earlier kept one removes.
 3. One without URL is removed by an alike earlier one with URL that stays, or by one without URL that is
    not itself removed and does not yield before it.
+
+1 and 3 are greedy choices (`active`): postings are compared with those that stay, not with each other. The earlier half
+is decided first; what its active postings remove is gone from the later half before that is looked at. Few rows are decided by
+one task in order, and rows with few likely pairs in rounds over these pairs. Alike pairs are never written
+out for a group of alike titles: a group leaves one posting in the first half that has any of it, and that removes the rest.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +33,10 @@ from postmill.operators.tables import checkpoint
 ALIKE_LENGTH = 10
 #: Titles whose tokens are broadcast to their pairs (about 300 bytes each); more are joined by shuffles.
 BROADCAST_ROWS = 100_000
-#: Open pairs that are decided in one go on the driver; more are decided in rounds, as many as it takes.
-FEW = 2_000_000
+#: Rows that one task decides in order; pairs for each row up to which more rows are decided in rounds, all at once.
+LEAF, PAIRS = 4096, 32
+#: Postings with one token that meet in one place; those of a more common token are dealt by salt.
+SALT = 8192
 
 
 def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
@@ -37,43 +47,87 @@ def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
     """
     words = tokens.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * F.length("t")).alias("w"))
     words = checkpoint(words)
-    common = words.groupBy("t").count()
-    rare_first = Window.partitionBy("place").orderBy(F.col("count").desc(), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The weight of a token and of all that are more common than it.
-    known = words.join(common, "t").withColumn("rest", F.sum("w").over(rare_first))
-    leads = known.where(F.col("rest") >= least).select(F.col("place").alias("i"), "t")
+    leads = _known(words).where(F.col("rest") >= least).select(F.col("place").alias("i"), "t")
     met = leads.join(words.select(F.col("place").alias("j"), "t"), "t").where("i < j").select("i", "j")
     # Few bytes but much work for each pair: as many tasks as the session shuffles to, whatever the size.
     met = met.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", "j").distinct()
-    at = F.transform("tokens", lambda t, k: F.when(F.array_position("tokens", t) <= k, t))
-    first = tokens.select(F.col("place").alias("i"), F.array_distinct("tokens").alias("_i"), F.array_compact(at).alias("_again"))
+    first = tokens.select(F.col("place").alias("i"), F.col("tokens").alias("_i"))
     second = tokens.select(F.col("place").alias("j"), F.col("tokens").alias("_j"))
     if tokens.count() <= BROADCAST_ROWS:
         first, second = F.broadcast(first), F.broadcast(second)
-    length = lambda tokens: F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
-    again = F.when(F.size("_again") > 0, length(F.filter("_again", lambda t: F.array_contains("_j", t)))).otherwise(0)
-    overlap = (length(F.array_intersect("_i", "_j")) + again).cast("long").alias("overlap")
+    overlap = _overlap("_i", "_j").alias("overlap")
     return met.join(first, "i").join(second, "j").select("i", "j", overlap).where(F.col("overlap") >= least)
 
 
-def _in_order(i: np.ndarray, k: np.ndarray, kept: set[int]) -> list[int]:
-    """Places that stay, by going through the open ones in order; `i` may remove `k`, if it stays itself or is in `kept`."""
-    removed: set[int] = set()
-    for at in np.lexsort((k, i)).tolist():
-        x, y = int(i[at]), int(k[at])
-        if x in kept or x not in removed:
-            removed.add(y)
-    return sorted(removed)
-
+def _known(words: DataFrame) -> DataFrame:
+    """`words` (`place`, `t`, and `w`, its weight in the title) with the `count` of titles that have the token, and `rest`, the weight of it and of all that are more common."""
+    common = words.groupBy("t").count()
+    rare_first = Window.partitionBy("place").orderBy(F.col("count").desc(), "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return words.join(common, "t").withColumn("rest", F.sum("w").over(rare_first))
 
-def _settle(nodes: DataFrame, kills: DataFrame) -> DataFrame:
-    """`nodes` (`n`) with `stays`: not removed by any `kills` (`i` removes `n`, both nodes, i before n) whose `i` stays.
 
-    A node is settled once an earlier settled one removes it, or all that could are removed themselves.
-    """
+def _overlap(earlier: str, later: str) -> Column:
+    """Characters of the earlier one's tokens, repeats included, that the later one has."""
+    length = lambda tokens: F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
+    return length(F.filter(earlier, lambda t: F.array_contains(later, t))).cast("long")
+
+
+@dataclass(frozen=True)
+class Titles:
+    """Postings as they are compared: `leads` (`i`, `t`, `salt`: each salt of a token, `ti`: all tokens) are tokens by which an earlier posting is
+    found, `words` (`j`, `t`, `salt`, `tj`) all tokens of a later one; a pair that is alike meets in one of them."""
+
+    leads: DataFrame
+    words: DataFrame
+    least: int
+
+    @classmethod
+    def of(cls, rows: DataFrame, least: int) -> Titles:
+        """From `place` and `tokens`, each with tokens."""
+        words = rows.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * F.length("t")).alias("w"))
+        known = _known(words).withColumn("salts", F.ceil(F.col("count") / SALT).cast("int")).join(rows, "place")
+        known = checkpoint(known.select("place", "t", "salts", "rest", "tokens"))
+        leads = known.where(F.col("rest") >= least).select(F.col("place").alias("i"), "t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("tokens").alias("ti"))
+        held = known.select(F.col("place").alias("j"), "t", F.pmod(F.xxhash64("place"), "salts").cast("int").alias("salt"), F.col("tokens").alias("tj"))
+        return cls(leads, held, least)
+
+    def alike(self, earlier: DataFrame, later: DataFrame, where: str = "true") -> DataFrame:
+        """Alike pairs `i`, `j` of `earlier` (`i` and more) and `later` (`j` and more) with these columns; one may come twice. `where` is looked at before titles are."""
+        met = self.leads.join(earlier, "i").join(self.words.join(later, "j"), ["t", "salt"]).where("i < j").where(where)
+        return met.where(_overlap("ti", "tj") >= self.least).drop("t", "salt", "ti", "tj")
+
+    def likely(self, nodes: DataFrame) -> int:
+        """How many pairs of `nodes` (`n`) meet in tokens."""
+        first = self.leads.where("salt = 0").join(nodes.withColumnRenamed("n", "i"), "i").groupBy("t").count()
+        second = self.words.join(nodes.withColumnRenamed("n", "j"), "j").groupBy("t").agg(F.count("*").alias("more"))
+        return first.join(second, "t").agg(F.coalesce(F.sum(F.col("count") * F.col("more")), F.lit(0))).first()[0]
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Active ones of the rows (`n`, `to`, `tokens`, in order) of one task: one looks at the active ones before it that have a token of its own."""
+    having: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    limits: list[int | None] = []
+    active = []
+    for batch in batches:
+        for n, to, tokens in zip(*(batch.column(c).to_pylist() for c in ("n", "to", "tokens")), strict=True):
+            weights: dict[int, int] = defaultdict(int)
+            for t in set(tokens):
+                for k, w in having.get(t, ()):
+                    weights[k] += w
+            if any(w >= least and (limits[k] is None or n < limits[k]) for k, w in weights.items()):
+                continue
+            active.append(n)
+            for t in set(tokens):
+                having[t].append((len(limits), len(t) * tokens.count(t)))
+            limits.append(to)
+    yield pa.RecordBatch.from_pydict({"n": pa.array(active, pa.int64())})
+
+
+def _settled(nodes: DataFrame, kills: DataFrame) -> DataFrame:
+    """Those of `nodes` (`n`) that no pair of `kills` (`i` removes `j`, i before j) removes whose `i` isn't removed itself, in rounds."""
     state = nodes.select("n", F.lit(None).cast("boolean").alias("stays"))
-    left = checkpoint(kills.select("i", F.col("n").alias("k"), F.lit(None).cast("boolean").alias("by")))
-    while left.count() > FEW:
+    left = checkpoint(kills.select("i", F.col("j").alias("k"), F.lit(None).cast("boolean").alias("by")))
+    while not left.isEmpty():
         seen = left.groupBy("k").agg(F.max(F.coalesce("by", F.lit(False))).alias("killed"), F.max(F.col("by").isNull()).alias("open"))
         now = state.join(seen, state["n"] == seen["k"], "left")
         settled = F.when(F.col("stays").isNotNull(), F.col("stays")).when(F.coalesce("killed", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
@@ -82,40 +136,53 @@ def _settle(nodes: DataFrame, kills: DataFrame) -> DataFrame:
         by = left.drop("by").join(state.select(F.col("n").alias("i"), F.col("stays").alias("by")), "i")
         open_ends = state.where("stays is null").select(F.col("n").alias("k"))
         left = checkpoint(by.where("coalesce(by, true)").join(open_ends, "k", "left_semi"))
-    return _settled_at_once(state, left)
-
-
-def _settled_at_once(state: DataFrame, left: DataFrame) -> DataFrame:
-    """`state` with all nodes settled: at most FEW pairs (`i`, `k`, `by`: whether `i` is known to stay) decide the open ones."""
-    pairs = left.toArrow()
-    i, k = (np.asarray(pairs[c]) for c in ("i", "k"))
-    known = set(i[np.asarray(pairs["by"].fill_null(False))].tolist())
-    removed = state.sparkSession.createDataFrame(pa.table({"r": pa.array(_in_order(i, k, known), pa.int64())}))
-    joined = state.join(removed, state["n"] == removed["r"], "left")
-    return checkpoint(joined.select("n", F.coalesce("stays", F.col("r").isNull()).alias("stays")))
-
-
-def removed_places(pairs: DataFrame, places: DataFrame) -> DataFrame:
-    """Places (`n`) that the pass removes, from alike `pairs` (`i`, `j`) and `places` (`place`, `url`: has one)."""
-    url = places.select(F.col("place").alias("p"), F.col("url").alias("u"))
-    e = pairs.select("i", "j").join(url.withColumnsRenamed({"p": "i", "u": "ui"}), "i").join(url.withColumnsRenamed({"p": "j", "u": "uj"}), "j")
-    e = checkpoint(e)
-    with_url, without = (places.where(c).select(F.col("place").alias("n")) for c in ("url", "not url"))
-    staying = _settle(with_url, e.where("ui and uj").select("i", F.col("j").alias("n")))
-    kept = staying.where("stays").select("n")
-    # What an earlier kept posting with URL reaches is gone before anything else looks at it.
-    reached = e.where("ui").join(kept.withColumnRenamed("n", "i"), "i", "left_semi").select("i", "j")
-    # A later posting with URL that is still there when `n` looks: none kept before n has removed it.
-    first_killer = reached.groupBy("j").agg(F.min("i").alias("first"))
-    yields = e.where("not ui and uj").join(first_killer, "j", "left").where("first is null or first > i")
-    yields = checkpoint(yields.groupBy("i").agg(F.min("j").alias("to")))
-    killed_by_url = reached.select(F.col("j").alias("n")).distinct()
-    open_nodes = without.join(killed_by_url, "n", "left_anti")
-    among = e.where("not ui and not uj").join(yields, "i", "left").where("to is null or j < to")
-    among = among.join(open_nodes.withColumnRenamed("n", "i"), "i", "left_semi").select("i", F.col("j").alias("n")).join(open_nodes, "n", "left_semi")
-    active = _settle(open_nodes, among)
-    gone = active.where("not stays").select("n").union(active.where("stays").join(yields.select(F.col("i").alias("n")), "n", "left_semi").select("n"))
-    return staying.where("not stays").select("n").union(killed_by_url.join(without, "n", "left_semi")).union(gone).distinct()
+    return state.where("coalesce(stays, true)").select("n")
+
+
+def active(titles: Titles, nodes: DataFrame, tokens: DataFrame, leaf: int = LEAF, pairs: int = PAIRS) -> DataFrame:
+    """Those of `nodes` (`n`, `to`) that no earlier active one removes: an alike one whose `to` is null or behind.
+
+    `tokens` (`place`, `tokens`) are of all of them. The result is the same whatever `leaf` and `pairs` are.
+    """
+    nodes = checkpoint(nodes.select("n", "to"))
+    count, low, high, middle = nodes.agg(F.count("*"), F.min("n"), F.max("n"), F.percentile_approx("n", 0.5)).first()
+    if count <= max(leaf, 1):
+        rows = nodes.join(tokens.withColumnRenamed("place", "n"), "n").select("n", "to", "tokens")
+        return rows.repartition(1).sortWithinPartitions("n").mapInArrow(lambda batches, least=titles.least: _in_order(batches, least), "n long")
+    if titles.likely(nodes.select("n")) <= pairs * count:
+        kills = titles.alike(nodes.select(F.col("n").alias("i"), "to"), nodes.select(F.col("n").alias("j")), "to is null or j < to")
+        return _settled(nodes, kills.select("i", "j").distinct())
+    middle = middle if middle < high else low + (high - low) // 2
+    first = checkpoint(active(titles, nodes.where(F.col("n") <= middle), tokens, leaf, pairs))
+    later = nodes.where(F.col("n") > middle)
+    removers = nodes.join(first, "n").select(F.col("n").alias("i"), "to")
+    gone = titles.alike(removers, later.select(F.col("n").alias("j")), "to is null or j < to").select(F.col("j").alias("n")).distinct()
+    return first.union(active(titles, later.join(gone, "n", "left_anti"), tokens, leaf, pairs))
+
+
+def removed_places(rows: DataFrame, least: int = ALIKE_LENGTH, leaf: int = LEAF, pairs: int = PAIRS) -> DataFrame:
+    """Places (`n`) that the pass removes, from `place`, `tokens` and `url` (has one)."""
+    rows = rows.where(F.size("tokens") > 0)
+    tokens, titles = rows.select("place", "tokens"), Titles.of(rows.select("place", "tokens"), least)
+    with_url, without = (checkpoint(rows.where(c).select(F.col("place").alias("n"), F.lit(None).cast("long").alias("to"))) for c in ("url", "not url"))
+    kept = checkpoint(active(titles, with_url, tokens, leaf, pairs))
+    losers = with_url.select("n").join(kept, "n", "left_anti")
+    keepers = kept.select(F.col("n").alias("i"))
+    # Who of those kept removes a posting first: nothing that comes later looks at it.
+    reached = titles.alike(keepers, losers.union(without.select("n")).select(F.col("n").alias("j")))
+    reached = checkpoint(reached.groupBy("j").agg(F.min("i").alias("first")))
+    open_ = checkpoint(without.select("n").join(reached.select(F.col("j").alias("n")), "n", "left_anti"))
+    # One without URL yields to the first alike posting with URL that is still there when it looks: one that stays, or one
+    # before that which nothing before it has removed.
+    to_kept = titles.alike(open_.select(F.col("n").alias("i")), kept.select(F.col("n").alias("j"))).groupBy("i").agg(F.min("j").alias("to"))
+    to_kept = checkpoint(open_.select(F.col("n").alias("i")).join(to_kept, "i", "left"))
+    later = losers.withColumnRenamed("n", "j").join(reached, "j").select("j", "first")
+    to_other = titles.alike(to_kept.withColumnRenamed("to", "bound"), later, "first > i and (bound is null or j < bound)").groupBy("i").agg(F.min("j").alias("other"))
+    yields = checkpoint(to_kept.join(to_other, "i", "left").select(F.col("i").alias("n"), F.coalesce("other", "to").alias("to")))
+    staying = checkpoint(active(titles, yields, tokens, leaf, pairs))
+    gone = yields.join(staying, "n", "left_anti").select("n").union(yields.where("to is not null").join(staying, "n").select("n"))
+    lost = without.select("n").join(open_, "n", "left_anti")
+    return losers.union(lost).union(gone).distinct()
 
 
 def place_of(rows: DataFrame) -> Column:
@@ -125,11 +192,9 @@ def place_of(rows: DataFrame) -> Column:
     return F.shiftleft(F.col(ORDER[0]).cast("long"), 40) + bounded
 
 
-def dedup_fuzzy(postings: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
+def dedup_fuzzy(postings: DataFrame, least: int = ALIKE_LENGTH, leaf: int = LEAF, pairs: int = PAIRS) -> DataFrame:
     """`postings` without those that the pass removes; titles without tokens are never alike to others."""
     placed = checkpoint(postings.withColumn("_place", place_of(postings)))
     rows = checkpoint(placed.select(F.col("_place").alias("place"), title_tokens("title").alias("tokens"), has_url().alias("url")))
-    pairs = checkpoint(alike_pairs(rows, least))
-    linked = pairs.select(F.col("i").alias("place")).union(pairs.select("j")).distinct()
-    removed = removed_places(pairs, rows.select("place", "url").join(linked, "place", "left_semi"))
+    removed = removed_places(rows, least, leaf, pairs)
     return placed.join(removed.withColumnRenamed("n", "_place"), "_place", "left_anti").drop("_place")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.functions.text import title_tokens
+from postmill.operators import fuzzy
 from postmill.operators.fuzzy import alike_pairs, dedup_fuzzy
 
 
@@ -24,8 +25,8 @@ def literal_pass(rows, least=10):
     return gone
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_equals_the_pass(spark, seed):
+def postings(spark, seed):
+    """Postings whose titles share words in all ways, and the tokens and URL of each place."""
     rng = random.Random(seed)
     vocabulary = [c * n for c in "abcdefgh" for n in (2, 4, 6)] + ["정규직원", "박물관학예", "ab"]
     rows = []
@@ -33,9 +34,14 @@ def test_equals_the_pass(spark, seed):
         title = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 5)))
         rows.append((f"s{k // 9}", k // 9, k, title or None, "o", "", None if rng.random() < 0.5 else "u"))
     df = spark.createDataFrame(rows, "site_id string, site_ord int, post_ord long, title string, organization string, reg_date string, url string")
-    tokens = {(r["site_ord"] << 40) + r["post_ord"]: (r["t"], bool(r["url"])) for r in df.withColumn("t", title_tokens("title")).collect()}
+    return df, {(r["site_ord"] << 40) + r["post_ord"]: (r["t"], bool(r["url"])) for r in df.withColumn("t", title_tokens("title")).collect()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_equals_the_pass(spark, seed):
+    rows, tokens = postings(spark, seed)
     gone = literal_pass([(p, t, u) for p, (t, u) in tokens.items()])
-    kept = {(r["site_ord"] << 40) + r["post_ord"] for r in dedup_fuzzy(df).collect()}
+    kept = {(r["site_ord"] << 40) + r["post_ord"] for r in dedup_fuzzy(rows).collect()}
     assert kept == tokens.keys() - gone
     assert gone
 
@@ -75,13 +81,31 @@ def test_a_long_chain(spark):
     assert sorted(r["post_ord"] for r in dedup_fuzzy(df).collect()) == list(range(0, 3000, 2))
 
 
-@pytest.mark.parametrize("few", [0, 40])
-def test_rounds_equal_the_pass(spark, monkeypatch, few):
-    from postmill.operators import fuzzy
+@pytest.mark.parametrize("leaf,pairs,salt,seed", [(7, 0, 3, 5), (0, 10**9, 8192, 6), (4, 2, 2, 7)])
+def test_all_ways_equal_the_pass(spark, monkeypatch, leaf, pairs, salt, seed):
+    monkeypatch.setattr(fuzzy, "SALT", salt)
+    rows, tokens = postings(spark, seed)
+    kept = {(r["site_ord"] << 40) + r["post_ord"] for r in dedup_fuzzy(rows, leaf=leaf, pairs=pairs).collect()}
+    assert kept == tokens.keys() - literal_pass([(p, t, u) for p, (t, u) in tokens.items()])
+
+
+def test_a_group_of_alike_titles_makes_few_pairs(spark):
+    """4,000 alike postings: each is compared with the one that stays, not with each other."""
+    title = F.concat(F.lit("국립중앙박물관 학예연구사 "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    rows = spark.range(4000).select(F.col("id").alias("place"), F.split(title, " ").alias("tokens"), F.lit(True).alias("url"))
+    titles = fuzzy.Titles.of(rows.select("place", "tokens"), 10)
+    told = []
+    alike = fuzzy.Titles.alike
+
+    class Counted(fuzzy.Titles):
+        def alike(self, *args):
+            found = alike(self, *args)
+            told.append(found.count())
+            return found
 
-    monkeypatch.setattr(fuzzy, "FEW", few)
-    monkeypatch.setattr(fuzzy, "BROADCAST_ROWS", 0)
-    test_equals_the_pass(spark, 5)
+    nodes = rows.select(F.col("place").alias("n"), F.lit(None).cast("long").alias("to"))
+    kept = fuzzy.active(Counted(titles.leads, titles.words, 10), nodes, rows.select("place", "tokens"), leaf=100, pairs=32)
+    assert [r["n"] for r in kept.collect()] == [0] and sum(told) <= 4 * 4000
 
 
 def test_a_place_out_of_bounds_is_an_error(spark):
