@@ -2,7 +2,7 @@
 
 Whitespace is what ECMAScript calls so (it includes NBSP, U+3000 and U+FEFF), in every function
 here; Spark's own `trim` and `\\s` know ASCII only. A null counts as an empty text unless said
-otherwise.
+otherwise. Lengths are those of ECMAScript too: units of UTF-16, of which a character beyond the basic plane has two.
 """
 
 from __future__ import annotations
@@ -23,8 +23,11 @@ STOPWORDS = (
     "재공고 수정공고 변경공고 정정공고 취소공고 긴급공고 일반 특별 외부 내부 신입 경력 직원 직원채용 "
     "인재 인재채용 인원 선발 선발공고 계획 계획공고 20 21 22 23 24 25 26"
 ).split()
+# Units of a title, and of the beginning by which it is found.
 TITLE_LENGTH = 80
 CORE_LENGTH = 20
+# Fixed value: characters that are two units.
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
 def _text(c: Column | str) -> Column:
@@ -40,15 +43,28 @@ def squeeze(c: Column | str) -> Column:
     return trim(F.regexp_replace(_text(c), f"{WS}+", " "))
 
 
+def units(c: Column) -> Column:
+    """The length of a text in units of UTF-16."""
+    return F.length(c) + F.regexp_count(c, F.lit(ASTRAL))
+
+
+def first_units(c: Column, count: int) -> Column:
+    """The first units of a text; half a character that is left at the end becomes U+FFFD, as when it is written as UTF-8."""
+    coded = F.encode(c, "UTF-16BE")
+    split = F.hex(F.substring(coded, 2 * count - 1, 1)).between("D8", "DB")
+    piece = lambda n: F.decode(F.substring(coded, 1, 2 * n), "UTF-16BE")
+    return F.when(~c.rlike(ASTRAL), F.left(c, F.lit(count))).when(split, F.concat(piece(count - 1), F.lit("\ufffd"))).otherwise(piece(count))
+
+
 def truncate(c: Column | str, length: int = TITLE_LENGTH) -> Column:
-    """The squeezed text, cut with three dots if it is longer than `length` characters.
+    """The squeezed text, cut with three dots if it is longer than `length` units.
 
     Only the beginning with `length` + 1 characters other than whitespace is squeezed: what follows it in
     a long text can't show.
     """
     solid = WS.replace("[", "[^", 1)
     text = squeeze(F.regexp_extract(_text(c), f"^{WS}*((?:{solid}{WS}*){{0,{length + 1}}})", 1))
-    return F.when(F.length(text) > length, F.concat(F.left(text, F.lit(length)), F.lit("..."))).otherwise(text)
+    return F.when(units(text) > length, F.concat(first_units(text, length), F.lit("..."))).otherwise(text)
 
 
 def or_default(*choices: Column | str) -> Column:
@@ -112,17 +128,17 @@ def view_key(title: Column | str) -> Column:
 
 
 def title_tokens(title: Column | str) -> Column:
-    """Telling words of a title in order, repeats included: two characters or more, no dates or stop words."""
+    """Telling words of a title in order, repeats included: two units or more, no dates or stop words."""
     text = F.regexp_replace(_text(title), TOKEN_MARKS, " ")
     for cut in TOKEN_CUTS:
         text = F.regexp_replace(text, cut, " ")
     stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(F.split(squeeze(text), " "), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t))
+    return F.filter(F.split(squeeze(text), " "), lambda t: ((F.length(t) >= 2) | t.rlike(ASTRAL)) & ~F.array_contains(stop, t))
 
 
 def title_core(title: Column | str) -> Column:
     """The beginning of a title by which it is found in a page's text."""
-    return trim(F.left(F.regexp_replace(_text(title), r"\.\.\.\z", ""), F.lit(CORE_LENGTH)))
+    return trim(first_units(F.regexp_replace(_text(title), r"\.\.\.\z", ""), CORE_LENGTH))
 
 
 def dotted(date: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.text import title_core, trim
+from postmill.functions.text import title_core, trim, units
 from postmill.operators.filters import JOB_WORDS
 
 PASS_SHARE, WARN_SHARE = 0.7, 0.3
@@ -14,7 +14,7 @@ PASS_SHARE, WARN_SHARE = 0.7, 0.3
 def job_lines(text: str) -> F.Column:
     """Lines of a text that speak of jobs and have more than five characters."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    return F.size(F.filter(lines, lambda x: x.rlike("|".join(JOB_WORDS)) & (F.length(trim(x)) > 5)))
+    return F.size(F.filter(lines, lambda x: x.rlike("|".join(JOB_WORDS)) & (units(trim(x)) > 5)))
 
 
 def audit(postings: DataFrame, pages: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.text import title_tokens
+from postmill.functions.text import title_tokens, units
 from postmill.operators.dedup import ORDER, has_url
 from postmill.operators.tables import checkpoint
 
@@ -45,7 +45,7 @@ def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
     Joins on tokens, not on rows. A pair must meet in one of the earlier posting's rarest tokens: those
     before the rest comes to less than `least` characters. So very common words seldom make candidates.
     """
-    words = tokens.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * F.length("t")).alias("w"))
+    words = tokens.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * units(F.col("t"))).alias("w"))
     words = checkpoint(words)
     leads = _known(words).where(F.col("rest") >= least).select(F.col("place").alias("i"), "t")
     met = leads.join(words.select(F.col("place").alias("j"), "t"), "t").where("i < j").select("i", "j")
@@ -68,7 +68,7 @@ def _known(words: DataFrame) -> DataFrame:
 
 def _overlap(earlier: str, later: str) -> Column:
     """Characters of the earlier one's tokens, repeats included, that the later one has."""
-    length = lambda tokens: F.aggregate(tokens, F.lit(0), lambda n, t: n + F.length(t))
+    length = lambda tokens: F.aggregate(tokens, F.lit(0), lambda n, t: n + units(t))
     return length(F.filter(earlier, lambda t: F.array_contains(later, t))).cast("long")
 
 
@@ -84,7 +84,7 @@ class Titles:
     @classmethod
     def of(cls, rows: DataFrame, least: int) -> Titles:
         """From `place` and `tokens`, each with tokens."""
-        words = rows.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * F.length("t")).alias("w"))
+        words = rows.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * units(F.col("t"))).alias("w"))
         known = _known(words).withColumn("salts", F.ceil(F.col("count") / SALT).cast("int")).join(rows, "place")
         known = checkpoint(known.select("place", "t", "salts", "rest", "tokens"))
         leads = known.where(F.col("rest") >= least).select(F.col("place").alias("i"), "t", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("tokens").alias("ti"))
@@ -118,7 +118,7 @@ def _in_order(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
                 continue
             active.append(n)
             for t in set(tokens):
-                having[t].append((len(limits), len(t) * tokens.count(t)))
+                having[t].append((len(limits), len(t.encode("utf-16-le")) // 2 * tokens.count(t)))
             limits.append(to)
     yield pa.RecordBatch.from_pydict({"n": pa.array(active, pa.int64())})
 

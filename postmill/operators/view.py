@@ -31,14 +31,14 @@ class Choice:
         return Choice(None if site == self.site else site, self.only_new, self.period_days, self.search, self.show_hidden)
 
 
-def listed(postings: DataFrame, as_of: datetime, west: bool = False) -> DataFrame:
+def listed(postings: DataFrame, as_of: datetime, zone: str = "UTC") -> DataFrame:
     """Recent postings of sites that answered, once each, with `rank_place` to break ties of dates.
 
     `postings` may have `error`, the site's; rows with one are left out.
     """
     if "error" in postings.columns:
         postings = postings.where(F.coalesce("error", F.lit("")) == "")
-    return dedup_view(postings.where(within_month_view("reg_date", as_of, west)), "rank_place")
+    return dedup_view(postings.where(within_month_view("reg_date", as_of, zone)), "rank_place")
 
 
 def site_counts(listing: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def latest_crawl(times: DataFrame, column: str = "crawled_at") -> DataFrame:
     return times.agg(F.coalesce(F.max(read), F.lit("1970-01-01 00:00:00").cast("timestamp")).alias("crawled_at"))
 
 
-def chosen(listing: DataFrame, choice: Choice, as_of: datetime, hidden: DataFrame | None = None) -> DataFrame:
+def chosen(listing: DataFrame, choice: Choice, as_of: datetime, hidden: DataFrame | None = None, zone: str = "UTC") -> DataFrame:
     """Rows of a listing that the reader's choice leaves; literal, case-blind search in three columns."""
     rows = listing
     if hidden is not None and not choice.show_hidden:
@@ -71,9 +71,9 @@ def chosen(listing: DataFrame, choice: Choice, as_of: datetime, hidden: DataFram
     if choice.site:
         rows = rows.where(F.col("site_id") == choice.site)
     if choice.only_new:
-        rows = rows.where(is_new("reg_date", as_of))
+        rows = rows.where(is_new("reg_date", as_of, zone))
     if choice.period_days > 0:
-        rows = rows.where(within_days("reg_date", as_of, choice.period_days))
+        rows = rows.where(within_days("reg_date", as_of, choice.period_days, zone))
     query = F.lower(trim(F.lit(choice.search)))
     if choice.search.strip(WHITE):
         found = F.lit(False)
@@ -83,15 +83,23 @@ def chosen(listing: DataFrame, choice: Choice, as_of: datetime, hidden: DataFram
     return rows
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    """Latest dates first; equal dates by the place where a posting's key first stood."""
-    return rows.orderBy(F.coalesce("reg_date", F.lit("")).desc(), "rank_place")
+#: How the texts of dates are compared: as the locale of the listing's readers orders them, Hangul before Latin letters.
+COLLATION = "ko"
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """`rows` with `rank`, the place in `ordered`: ranges of the order are numbered side by side, then moved on by what is before."""
-    date = F.coalesce("reg_date", F.lit(""))
-    dealt = rows.withColumn("_d", date).repartitionByRange(F.desc("_d"), "rank_place").sortWithinPartitions(F.desc("_d"), "rank_place")
+def ordered(rows: DataFrame, collation: str = COLLATION) -> DataFrame:
+    """Latest dates first, as texts in a collation; equal dates by the place where a posting's key first stood."""
+    return rows.orderBy(F.collate(F.coalesce("reg_date", F.lit("")), collation).desc(), "rank_place")
+
+
+def ranked(rows: DataFrame, collation: str = COLLATION) -> DataFrame:
+    """`rows` with `rank`, the place in `ordered`: ranges of the order are numbered side by side, then moved on by what is before.
+
+    Ranges are of what ISO dates and other texts begin with; within them and at their ends the collation decides: dates that are
+    equal in it are together.
+    """
+    d = lambda: F.collate(F.coalesce("reg_date", F.lit("")), collation)
+    dealt = rows.withColumn("_d", d()).repartitionByRange(F.desc("_d"), "rank_place").sortWithinPartitions(F.desc("_d"), "rank_place")
     dealt = checkpoint(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % (1 << 33)))
     # One row for each partition.
     counts = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -69,6 +69,17 @@ def truncate_title(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.truncate("text").alias("title"))
 
 
+_ASTRAL_COUNT = r"len(regexp_extract_all({}, '[\x{{10000}}-\x{{10FFFF}}]'))"
+
+
+@query(f"""WITH marked AS (SELECT doc_id, {squeeze_sql("replace(text, 'e', chr(128512))")} AS s FROM documents),
+cut AS (SELECT doc_id, s, length(s) + {_ASTRAL_COUNT.format("s")} AS whole, list_max(list_filter(range(0, 81), lambda k: k + {_ASTRAL_COUNT.format("left(s, k)")} <= 80)) AS n FROM marked)
+SELECT doc_id, CASE WHEN whole <= 80 THEN s WHEN n + {_ASTRAL_COUNT.format("left(s, n)")} = 80 THEN left(s, n) || '...' ELSE left(s, n) || chr(65533) || '...' END AS title FROM cut""")
+def truncate_units(spark, sf):
+    """Titles with characters that are two units."""
+    return table(spark, sf, "documents").select("doc_id", T.truncate(F.replace("text", F.lit("e"), F.lit("\U0001f600"))).alias("title"))
+
+
 def _key_sql(marks: str, c: str = "title") -> str:
     return f"lower(regexp_replace(regexp_replace(coalesce({c}, ''), '{WS}', '', 'g'), '{marks}', '', 'g'))"
 
@@ -195,6 +206,38 @@ def is_new_3d(spark, sf):
     return postings(spark, sf).select("post_ord", times.is_new("reg_date", AS_OF).alias("is_new"))
 
 
+_ZONES = ("UTC", "Asia/Seoul", "America/New_York")
+_ZONED = datetime(2024, 1, 31, 20, 30)
+
+
+def _event_dates(spark, sf):
+    """Days of events as texts in four shapes, for each of three zones."""
+    d, k = F.col("ts"), F.col("event_id") % 4
+    text = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyy.M.d")).when(k == 2, F.date_format(d, "yyyy/MM/dd")).otherwise(F.concat(F.lit("상시 "), F.date_format(d, "dd")))
+    return table(spark, sf, "events").select("event_id", text.alias("reg_date"))
+
+
+_EVENT_DATES = f"""dated AS (SELECT event_id, event_id % 4 AS k, date_trunc('day', ts) AS day FROM events),
+zones(zone) AS (VALUES {", ".join(f"('{z}')" for z in _ZONES)}),
+now AS (SELECT zone, timezone(zone, TIMESTAMPTZ '2024-01-31 20:30:00+00') AS local FROM zones),
+begun AS (SELECT event_id, k, zone, local, CASE k WHEN 0 THEN timezone('UTC', day) WHEN 3 THEN NULL ELSE timezone(zone, day) END AS since FROM dated, now)"""
+
+
+@query(f"""WITH {_EVENT_DATES}
+SELECT event_id, zone, k = 3 OR since >= timezone(zone, date_trunc('month', local) - INTERVAL 1 MONTH + to_days(CAST(day(local) - 1 AS INTEGER))) AS kept FROM begun""")
+def month_view_zones(spark, sf):
+    """The listing's month by zone, over dates that begin at midnight UTC and at local midnight."""
+    dates = _event_dates(spark, sf)
+    return dates.select("event_id", F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), times.within_month_view("reg_date", _ZONED, z).alias("kept")) for z in _ZONES))).alias("o")).select("event_id", "o.*")
+
+
+@query(f"WITH {_EVENT_DATES} SELECT event_id, zone, coalesce(epoch(TIMESTAMPTZ '2024-01-31 20:30:00+00') - epoch(since) <= 3 * 86400, false) AS is_new FROM begun")
+def is_new_zones(spark, sf):
+    """The mark of new postings by zone, over dates in all shapes."""
+    dates = _event_dates(spark, sf)
+    return dates.select("event_id", F.explode(F.array(*(F.struct(F.lit(z).alias("zone"), times.is_new("reg_date", _ZONED, z).alias("is_new")) for z in _ZONES))).alias("o")).select("event_id", "o.*")
+
+
 # Removal of repeats
 
 _PLACE = "(CAST(site_ord AS BIGINT) * 1099511627776 + post_ord)"
@@ -340,6 +383,16 @@ def view_default(spark, sf):
     return view.ranked(_listed(spark, sf)).select(F.col("rank").cast("long").alias("rank"), "site_id", "post_ord", "title", "reg_date")
 
 
+_SHAPED = "CASE post_ord % 6 WHEN 0 THEN reg_date WHEN 1 THEN replace(reg_date, '-', '.') WHEN 2 THEN '상시' WHEN 3 THEN upper(organization) WHEN 4 THEN organization ELSE '~ ' || reg_date END"
+
+
+@query(f"WITH {POSTINGS_SQL} SELECT row_number() OVER (ORDER BY reg_date COLLATE ko DESC, post_ord) AS rank, post_ord, reg_date FROM (SELECT post_ord, coalesce({_SHAPED}, '') AS reg_date FROM postings)")
+def view_collated(spark, sf):
+    """Raw, Korean and ISO dates in the order of the readers' locale."""
+    shaped = postings(spark, sf).select("post_ord", F.expr(_SHAPED).alias("reg_date"), F.col("post_ord").alias("rank_place"))
+    return view.ranked(shaped).select(F.col("rank").cast("long").alias("rank"), "post_ord", F.coalesce("reg_date", F.lit("")).alias("reg_date"))
+
+
 def _view(name: str, choice: view.Choice, where: str, hide: bool = False):
     sql = f"WITH {_LISTED_SQL} SELECT site_id, post_ord, title, reg_date FROM listing l WHERE {where}"
 

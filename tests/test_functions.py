@@ -43,6 +43,20 @@ def test_keys_and_cuts(spark):
     assert each(spark, [f"{NBSP}a\u0085{WIDE}", "​a᠎"], T.trim) == ["a\u0085", "​a᠎"]
 
 
+def test_lengths_are_units_of_utf16(spark):
+    def cut(text, n):
+        b = text.encode("utf-16-le")[: 2 * n]
+        return b.decode("utf-16-le", "replace")
+
+    smile = "\U0001f600"
+    given = [smile * 40, smile * 41, "x" * 79 + smile, "x" * 78 + smile + "y", "x" * 80, "가" * 79 + smile * 3, smile * 39 + "ab", "a" + smile * 40]
+    want = [t if len(t.encode("utf-16-le")) <= 160 else cut(t, 80) + "..." for t in given]
+    assert want[2] == "x" * 79 + "\ufffd..." and each(spark, given, T.truncate) == want
+    assert each(spark, given, T.title_core) == [cut(t, 20) for t in given]
+    assert each(spark, [f"{smile} a bb 채", smile], T.title_tokens) == [[smile, "bb"], [smile]]
+    assert each(spark, [smile + "ab", ""], T.units) == [4, 0]
+
+
 def test_small_ones(spark):
     assert each(spark, ["", None, "x"], lambda c: T.or_default(c, F.lit("d"))) == ["d", "d", "x"]
     assert each(spark, ["", None, "26.1.2"], T.optional_date) == [None, None, "2026-01-02"]
@@ -62,7 +76,32 @@ def test_month_rules(spark):
     assert each(spark, given[:3], lambda c: times.within_month(c, MIDNIGHT)) == [False, True, True]
     assert each(spark, ["2026-02-28", "2026-03-01"], lambda c: times.within_month(c, NOON, strict=True)) == [False, True]
     assert each(spark, given, lambda c: times.within_month_view(c, NOON)) == [False, True, True, True, False, True, True, False]
-    assert each(spark, given[:3], lambda c: times.within_month_view(c, NOON, west=True)) == [False, False, True]
+    assert each(spark, given[:3], lambda c: times.within_month_view(c, NOON, zone="America/New_York")) == [False, False, True]
+
+
+def test_zones_move_the_bounds(spark):
+    """31 March 01:00 UTC: 10:00 of the day in Seoul, the evening before in New York."""
+    early = datetime(2026, 3, 31, 1)
+    given = ["2026-02-27", "2026-02-28", "2026-03-01", "2026-03-02", "2026-03-03", "2026-03-04", "2026.2.28", "2026.3.2", "2026/03/03"]
+    view = lambda zone: each(spark, given, lambda c: times.within_month_view(c, early, zone))
+    first = lambda zone: next(g for g, ok in zip(given, view(zone), strict=True) if ok)
+    assert [first(z) for z in ("UTC", "Asia/Seoul", "America/New_York")] == ["2026-03-03", "2026-03-03", "2026-03-03"]
+    assert view("America/New_York")[6:] == [False, True, True] and view("Asia/Seoul")[6:] == view("UTC")[6:] == [False, False, True]
+    crawl = lambda zone: each(spark, given[:6], lambda c: times.within_month(c, early, zone=zone)).index(True)
+    assert [given[crawl(z)] for z in ("UTC", "Asia/Seoul", "America/New_York")] == ["2026-03-04", "2026-03-04", "2026-03-03"]
+    noon = datetime(2026, 3, 31, 20)  # 1 April in Seoul
+    assert each(spark, ["2026-02-28", "2026-03-01"], lambda c: times.within_month_view(c, noon, "Asia/Seoul")) == [False, True]
+
+
+def test_days_of_dates_in_all_shapes(spark):
+    now = datetime(2026, 3, 31, 16)
+    given = ["2026-03-28", "2026-03-29", "2026.3.28", "2026/03/29", "2026-3-29", "2026.03.28.", "2026.13.1", "03.29"]
+    assert each(spark, given, lambda c: times.is_new(c, now)) == [False, True, False, True, True, False, False, False]
+    assert each(spark, given, lambda c: times.is_new(c, now, "Asia/Seoul"))[:4] == [False, True, False, False]  # 29 March began on the 28th at 15:00 UTC
+    assert each(spark, given, lambda c: times.is_new(c, now, "America/New_York"))[:4] == [False, True, False, True]
+    summer = datetime(2026, 3, 11, 5, 30)  # New York's clocks went forward on 8 March
+    assert each(spark, ["2026.3.8"], lambda c: times.is_new(c, summer, "America/New_York")) == [False]
+    assert each(spark, ["2026.3.9"], lambda c: times.within_days(c, datetime(2026, 3, 12, 4), 3, "America/New_York")) == [True]
 
 
 @pytest.mark.parametrize(("now", "want"), [(MIDNIGHT, True), (datetime(2026, 3, 31, 0, 0, 1), False)])
