@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.text import title_core, trim, units
+from postmill.functions.text import CORE_LENGTH, title_core, trim, units
 from postmill.operators.filters import JOB_WORDS
+from postmill.operators.tables import checkpoint
 
+# Shares of matched titles from which a site passes, or is warned of.
 PASS_SHARE, WARN_SHARE = 0.7, 0.3
 
 
@@ -17,21 +19,55 @@ def job_lines(text: str) -> F.Column:
     return F.size(F.filter(lines, lambda x: x.rlike("|".join(JOB_WORDS)) & (units(trim(x)) > 5)))
 
 
-def audit(postings: DataFrame, pages: DataFrame) -> DataFrame:
+#: Characters of a piece of a page's text, and of the window at each of its places: no core is longer.
+PIECE, CORE = 1024, 2 * CORE_LENGTH
+#: Lengths of the beginnings by which cores are looked up: of a core the longest that it has.
+LOOKUP = (8, 4, 2, 1)
+
+
+def shown_cores(cores: DataFrame, pages: DataFrame) -> DataFrame:
+    """Those of distinct `cores` (`site_id`, `core`) that stand in the text of their site's page (`site_id`, `page_text`).
+
+    A text is cut into pieces that overlap, and a piece into the windows at its places; a core is looked up by its beginning and compared
+    with the window. Texts are read once for all titles of a site, and neither is gathered anywhere.
+    """
+    length = lambda c: F.greatest(*(F.when(F.length(c) >= n, n).otherwise(0) for n in LOOKUP))
+    keyed = cores.select("site_id", "core", length("core").alias("n")).withColumn("key", F.left("core", F.col("n")))
+    pieces = F.regexp_extract_all(F.coalesce("page_text", F.lit("")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    rows = pages.select("site_id", pieces.alias("p")).select("site_id", "p", F.posexplode("p").alias("k", "piece"))
+    rows = rows.select("site_id", "piece", F.left(F.coalesce(F.get("p", F.col("k") + 1), F.lit("")), F.lit(CORE - 1)).alias("after"))
+    places = F.transform(F.sequence(F.lit(1), F.length("piece")), lambda i: F.substring(F.concat("piece", "after"), i, F.lit(CORE)))
+    windows = rows.select("site_id", F.explode(F.array_distinct(places)).alias("window"))
+    # Lengths that no core begins with aren't looked up.
+    used = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most as many as LOOKUP has
+    begun = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.left("window", F.lit(n)).alias("key")) for n in used))) if used else None
+    if begun is None:
+        return cores.limit(0)
+    looked = windows.select("site_id", "window", begun.alias("b")).select("site_id", "window", "b.n", "b.key")
+    return looked.join(keyed, ["site_id", "n", "key"]).where(F.startswith("window", F.col("core"))).select("site_id", "core").distinct()
+
+
+def judged(postings: DataFrame, pages: DataFrame) -> DataFrame:
+    """`site_id`, `post_ord`, `title` and `hit` of each posting: whether its title's core stands in the text of its site's page."""
+    items = postings.select("site_id", "post_ord", "title", title_core("title").alias("core"))
+    shown = shown_cores(items.where("core <> ''").select("site_id", "core").distinct(), pages).withColumn("_shown", F.lit(True))
+    return items.join(shown, ["site_id", "core"], "left").select("site_id", "post_ord", "title", F.coalesce("_shown", F.lit(False)).alias("hit"))
+
+
+def audit(postings: DataFrame, pages: DataFrame, titles: bool = True) -> DataFrame:
     """A verdict for each row of `pages` (`site_id`, `page_text`, `crawl_error`, `check_error`).
 
     Every site of `pages` is judged, without postings too. A title counts as matched if its core
-    stands in the page's text. Sites that failed to crawl are skipped, those that failed to be checked fail.
+    stands in the page's text. Sites that failed to crawl are skipped, those that failed to be checked fail. Without `titles`
+    there are only counts, and no list of unmatched titles is gathered.
     """
-    items = postings.select("site_id", "post_ord", "title").withColumn("_has", F.lit(True))
-    joined = pages.withColumn("_lines", job_lines("page_text")).join(items, "site_id", "left")
-    core = title_core("title")
-    hit = F.coalesce((core != "") & F.contains(F.coalesce("page_text", F.lit("")), core), F.lit(False))
-    missed = F.array_sort(F.collect_list(F.when(F.col("_has") & ~hit, F.struct("post_ord", "title"))))
-    sites = joined.groupBy("site_id").agg(
-        F.count("_has").cast("int").alias("n"), F.count_if(F.col("_has") & hit).cast("int").alias("m"), F.transform(missed, lambda x: x["title"]).alias("missed"),
-        F.max("_lines").alias("lines"), F.max("crawl_error").alias("crawl_error"), F.max("check_error").alias("check_error"),
-    )
+    items = checkpoint(judged(postings, pages))
+    counts = items.groupBy("site_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("m"))
+    sites = pages.select("site_id", job_lines("page_text").alias("lines"), "crawl_error", "check_error").join(counts, "site_id", "left")
+    sites = sites.withColumns({"n": F.coalesce("n", F.lit(0)).cast("int"), "m": F.coalesce("m", F.lit(0)).cast("int")})
+    if titles:
+        missed = items.where("not hit").groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("post_ord", "title"))).alias("missed"))
+        sites = sites.join(missed.withColumn("missed", F.transform("missed", lambda x: x["title"])), "site_id", "left").withColumn("missed", F.coalesce("missed", F.array().cast("array<string>")))
     n, m = F.col("n"), F.col("m")
     skipped, broken = F.coalesce("crawl_error", F.lit("")) != "", F.coalesce("check_error", F.lit("")) != ""
     status = (
@@ -51,9 +87,10 @@ def audit(postings: DataFrame, pages: DataFrame) -> DataFrame:
         .otherwise(F.concat(text(n), F.lit("건 중 "), text(m), F.lit("건만 매칭 - 크롤러 점검 필요")))
     )
     zero, none = F.lit(0), F.array().cast("array<string>")
+    unmatched = [F.when(off, none).otherwise(F.col("missed")).alias("unmatched")] if titles else []
     return sites.select(
         "site_id", status.alias("status"), F.when(skipped, zero).otherwise(n).alias("crawled"), F.when(off, zero).otherwise(F.col("lines")).alias("actual"),
-        F.when(off, zero).otherwise(m).alias("matched"), F.when(off, none).otherwise(F.col("missed")).alias("unmatched"),
+        F.when(off, zero).otherwise(m).alias("matched"), *unmatched,
         F.when(off | (n == 0), None).otherwise(F.floor(m / n * 100 + 0.5)).cast("int").alias("percent"), message.alias("message"),
     )
 
@@ -62,9 +99,10 @@ def audit_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("pass", "warn", "fail", "skip")))
 
 
-def shown_unmatched(verdicts: DataFrame) -> DataFrame:
-    """Unmatched titles of sites that have one to three of them, in order."""
-    few = verdicts.where(F.size("unmatched").between(1, 3))
-    return few.select("site_id", F.posexplode("unmatched").alias("nth", "title"))
-
-
+def shown_unmatched(postings: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
+    """Unmatched titles of judged sites that have one to `most` of them, in order: sites are chosen by their counts, and only their titles numbered."""
+    items = checkpoint(judged(postings, pages))
+    few = items.where("not hit").groupBy("site_id").count().where(F.col("count") <= most).select("site_id")
+    ok = pages.where("coalesce(crawl_error, '') = '' and coalesce(check_error, '') = ''").select("site_id")
+    nth = F.row_number().over(Window.partitionBy("site_id").orderBy("post_ord")) - 1
+    return items.where("not hit").join(few, "site_id").join(ok, "site_id").select("site_id", nth.alias("nth"), "title")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.times import within_month
+from postmill.operators.tables import checkpoint
 
+# What titles of jobs speak of.
 JOB_WORDS = ("채용", "모집", "공고")
 
 
@@ -36,12 +38,45 @@ def is_job_title(title: Column | str) -> Column:
     return mentions(title, list(JOB_WORDS))
 
 
-def relevant_postings(postings: DataFrame, keywords: list[str], as_of: datetime, spare_organizations: tuple[str, ...] = ()) -> DataFrame:
+#: Characters by which keywords of a table are looked up; shorter ones by all that they have.
+GRAM = 3
+
+
+def _grams(text: Column, length: Column) -> Column:
+    """Distinct runs of so many characters in a text; none if it is shorter."""
+    places = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - length + 1))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, length)))
+
+
+def without_keywords(rows: DataFrame, column: str, keywords: DataFrame) -> DataFrame:
+    """`rows` whose text in `column` contains no `word` of the table `keywords`, case and all; a null has none.
+
+    A keyword is looked up by the one of its grams that the fewest texts have, and then compared whole. Neither table is gathered; equal texts are looked at once.
+    """
+    words = keywords.select("word").where("coalesce(word, '') <> ''").distinct()
+    words = words.withColumn("n", F.least(F.length("word"), F.lit(GRAM)))
+    own = checkpoint(words.select("word", "n", F.explode(_grams(F.col("word"), F.col("n"))).alias("gram")))
+    texts = rows.select(F.col(column).alias("_text")).where("_text is not null").distinct()
+    lengths = F.array(*map(F.lit, range(1, GRAM + 1)))
+    found = texts.select("_text", F.explode(lengths).alias("n")).select("_text", F.explode(_grams(F.col("_text"), F.col("n"))).alias("gram"))
+    common = found.join(own.select("gram").distinct(), "gram").groupBy("gram").count()
+    rarest = own.join(common, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
+    noisy = found.join(rarest, "gram").where(F.contains("_text", F.col("word"))).select("_text").distinct()
+    return rows.join(noisy, rows[column] == noisy["_text"], "left_anti")
+
+
+def relevant_postings(postings: DataFrame, keywords: list[str] | DataFrame, as_of: datetime, spare_organizations: tuple[str, ...] = (), zone: str = "UTC") -> DataFrame:
     """`postings` with no noise keyword in `title` or `organization`, registered within a month.
 
-    Keywords also count inside the names of organizations; `spare_organizations` are exempt from that.
+    Keywords, a list or a table of `word`, also count inside the names of organizations; `spare_organizations` are exempt from that.
     """
+    recent = postings.where(within_month("reg_date", as_of, zone=zone))
+    if isinstance(keywords, DataFrame):
+        kept = without_keywords(recent, "title", keywords)
+        spared = F.coalesce(F.col("organization").isin(*spare_organizations), F.lit(False))
+        rest = without_keywords(kept.where(~spared), "organization", keywords)
+        return rest.unionByName(kept.where(spared)) if spare_organizations else rest
     noisy = mentions("organization", keywords)
     if spare_organizations:
         noisy = noisy & ~F.col("organization").isin(*spare_organizations)
-    return postings.where(~mentions("title", keywords) & ~noisy & within_month("reg_date", as_of))
+    return recent.where(~mentions("title", keywords) & ~noisy)

@@ -179,6 +179,22 @@ def filter_postings(spark, sf):
     return filters.relevant_postings(postings(spark, sf), KEYWORDS, AS_OF).select("site_id", "post_ord", "title", "reg_date")
 
 
+def _keyword_rows(spark, sf):
+    """Keywords of one to seven characters from the texts themselves."""
+    d = table(spark, sf, "documents").where("doc_id % 50 = 0")
+    return d.select(F.substring("text", F.lit(5), (1 + F.col("doc_id") % 7).cast("int")).alias("word"))
+
+
+_KEYWORD_ROWS = "keywords AS (SELECT DISTINCT substr(text, 5, 1 + doc_id % 7) AS word FROM documents WHERE doc_id % 50 = 0 AND length(substr(text, 5, 1 + doc_id % 7)) > 2)"
+
+
+@query(f"WITH {POSTINGS_SQL}, {_KEYWORD_ROWS} SELECT site_id, post_ord, title FROM postings p WHERE NOT EXISTS (SELECT 1 FROM keywords WHERE contains(p.title, word) OR contains(coalesce(p.organization, ''), word))")
+def noise_filter_table(spark, sf):
+    """Postings without keywords of a table, which are never gathered."""
+    words = _keyword_rows(spark, sf).where(F.length("word") > 2)
+    return filters.without_keywords(filters.without_keywords(postings(spark, sf), "title", words), "organization", words).select("site_id", "post_ord", "title")
+
+
 @query("WITH " + POSTINGS_SQL + " SELECT post_ord, contains(title, '채용') OR contains(title, '모집') OR contains(title, '공고') AS job FROM (SELECT post_ord, CASE WHEN post_ord % 4 = 0 THEN title || ' 채용' ELSE title END AS title FROM postings)")
 def job_title(spark, sf):
     t = F.when(F.col("post_ord") % 4 == 0, F.concat("title", F.lit(" 채용"))).otherwise(F.col("title"))
@@ -474,12 +490,12 @@ def audit_verdict(spark, sf):
 
 @query(f"WITH {_AUDIT_SQL} SELECT count(*) FILTER (status = 'pass') AS pass, count(*) FILTER (status = 'warn') AS warn, count(*) FILTER (status = 'fail') AS fail, count(*) FILTER (status = 'skip') AS skip FROM verdicts")
 def audit_summary(spark, sf):
-    return A.audit_summary(_verdicts(spark, sf))
+    return A.audit_summary(A.audit(postings(spark, sf), _audit_pages(spark, sf), titles=False))
 
 
 @query(f"WITH {_AUDIT_SQL} SELECT site_id, CAST(generate_subscripts(unmatched, 1) - 1 AS INTEGER) AS nth, unnest(unmatched) AS title FROM verdicts WHERE len(unmatched) BETWEEN 1 AND 3")
 def audit_unmatched(spark, sf):
-    return A.shown_unmatched(_verdicts(spark, sf))
+    return A.shown_unmatched(postings(spark, sf), _audit_pages(spark, sf))
 
 
 # The whole way

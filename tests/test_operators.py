@@ -117,4 +117,36 @@ def test_verdicts_of_errors(spark):
     got = {r["site_id"]: r for r in v.collect()}
     assert [got[s]["status"] for s in "ABC"] == ["skip", "fail", "fail"] and [got[s]["crawled"] for s in "ABC"] == [0, 1, 2]
     assert audit_summary(v).first().asDict() == {"pass": 0, "warn": 0, "fail": 2, "skip": 1}
-    assert [tuple(r) for r in shown_unmatched(v).orderBy("nth").collect()] == [("C", 0, ""), ("C", 1, "z")]
+    assert [tuple(r) for r in shown_unmatched(p, pages).orderBy("nth").collect()] == [("C", 0, ""), ("C", 1, "z")]
+
+
+def test_keywords_of_a_table_equal_those_of_a_list(spark):
+    import random
+
+    from postmill.operators.filters import mentions, without_keywords
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc가나 .(") for _ in range(rng.randrange(0, 14))) for _ in range(300)] + [None, "", "a", "ab"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, title string")
+    for words in (["ab", "abc", "가나", ".(", "a.c", "bca", "cab가"], ["c"], ["가나다라마바사"], [], ["", None, "aa", "aa"]):
+        table = spark.createDataFrame([(w,) for w in words], "word string")
+        want = {r["k"] for r in rows.where(~mentions("title", [w for w in words if w])).collect()}
+        assert {r["k"] for r in without_keywords(rows, "title", table).collect()} == want
+
+
+def test_titles_are_found_across_pieces(spark, monkeypatch):
+    import random
+
+    from postmill.operators import audit as A
+
+    monkeypatch.setattr(A, "PIECE", 48)
+    rng = random.Random(4)
+    text = "".join(rng.choice("가나다ab \n\U0001f600") for _ in range(400))
+    titles = [text[i : i + n] for i in range(0, 380, 7) for n in (1, 2, 3, 5, 9, 20, 40)] + ["없는 제목", "가" * 30, "", None, text[3:30] + "..."]
+    posts = spark.createDataFrame([("A", i, t) for i, t in enumerate(titles)] + [("B", 0, text[:20]), ("C", 0, "x")], "site_id string, post_ord int, title string")
+    pages = spark.createDataFrame([("A", text), ("B", "other"), ("C", None)], "site_id string, page_text string")
+    cores = {r["post_ord"]: r["c"] for r in posts.where("site_id = 'A'").select("post_ord", A.title_core("title").alias("c")).collect()}
+    got = {(r["site_id"], r["post_ord"]): r["hit"] for r in A.judged(posts, pages).collect()}
+    assert {k: got["A", k] for k in cores} == {k: c != "" and c in text for k, c in cores.items()}
+    assert not got["B", 0] and not got["C", 0] and len(got) == len(titles) + 2
+    assert A.judged(posts.limit(0), pages).count() == 0
