@@ -2,15 +2,17 @@
 
 One automaton holds all notice phrases and the identifier tag as words between spaces, and
 runs once over each text's words. Where it meets a tag, the expression after it is read from
-the raw text, turned into postfix order by a shunting-yard parser, and evaluated. Only whole identifiers
-of the SPDX list (and `LicenseRef-` names) are licenses; prose after a tag is none. A phrase shortly after a
+the raw text, over several lines where it goes on, turned into postfix order by a shunting-yard parser, and evaluated with
+three values. Only whole identifiers of the SPDX list (a parameter) and `LicenseRef-` names are licenses. Any other operand
+is unknown: what hangs on it is never allowed, and neither is an expression that breaks off. A phrase shortly after a
 word of denial counts as found, but as weak evidence.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
@@ -50,7 +52,8 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 
-# SPDX identifiers of licenses in lower case, without "-only", "-or-later" and "+", and of exceptions.
+# The more common SPDX identifiers of licenses in lower case, without "-only", "-or-later" and "+", and of exceptions.
+# The whole list, which grows with each release, is given as a parameter; what it lacks is unknown, and so not allowed.
 LICENSE_IDS = frozenset("""
 0bsd aal adsl afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-1.0 apsl-2.0
 artistic-1.0 artistic-1.0-perl artistic-2.0 beerware bittorrent-1.1 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent
@@ -77,13 +80,15 @@ ALLOWED = (
 )
 
 #: How sure a kind of evidence makes us that a text is under a license.
-WEIGHTS = {"tag": 0.95, "notice": 0.8, "base": 0.6, "denied": 0.1}
+WEIGHTS = {"tag": 0.95, "notice": 0.8, "base": 0.6, "unread": 0.3, "denied": 0.1}
 # Words that deny a phrase after them, at most so many words before it.
 DENIALS, NEAR = frozenset("no not never neither nor without isn aren wasn except".split()), 3
 
 _TAG = "spdx license identifier"
-_TAG_LINE = re.compile(rb"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.\-:+]*)")
+_TAG_MARK = re.compile(rb"SPDX-License-Identifier[ \t]*:", re.IGNORECASE)
+_TOKEN = re.compile(rb"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.\-:+]*)")
+#: From one line to the next: what begins a line of a comment is passed over.
+_NEXT_LINE = re.compile(rb"[ \t]*(?:\\[ \t]*)?\r?\n[ \t]*(?:(?:\*(?!/)|//+|#+|--+|;+|%+|\.\.|<!--|REM\b|dnl\b)[ \t]*)?")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -92,73 +97,127 @@ def base_id(term: str) -> str:
     return term.rstrip("+").removesuffix("-or-later").removesuffix("-only")
 
 
-def known(term: str, after: str) -> bool:
-    """Whether an operand names a license or, after `with`, an exception."""
-    if after == "with":
-        return term in EXCEPTION_IDS
-    return base_id(term) in LICENSE_IDS or term.startswith(("licenseref-", "documentref-"))
+@dataclass(frozen=True)
+class Identifiers:
+    """The identifiers of licenses and exceptions that are known, in lower case."""
 
+    licenses: frozenset[str] = LICENSE_IDS
+    exceptions: frozenset[str] = EXCEPTION_IDS
 
-def postfix(expression: str, operand: Callable[[str, str], bool] = lambda term, after: True) -> list[str] | None:
-    """Operands and operators of a license expression in postfix order; None if it is malformed.
+    def known(self, term: str, exception: bool = False) -> bool:
+        if exception:
+            return term in self.exceptions
+        return base_id(term) in self.licenses or term.startswith(("licenseref-", "documentref-"))
 
-    The longest well-formed beginning whose operands are all accepted by `operand` (told the operator before)
-    counts, as prose may follow on the line. WITH binds closest, then AND, then OR, all from the left.
+
+def tokens_of(text: bytes, at: int = 0) -> Iterator[str]:
+    """Tokens of the expression that begins at a place: to the end of the line, and beyond while it can't be at its end."""
+    depth, open_ = 0, False
+    while True:
+        m = _TOKEN.match(text, at)
+        if not m and (depth or open_) and (line := _NEXT_LINE.match(text, at)):
+            m = _TOKEN.match(text, line.end())
+        if not m:
+            return
+        token, at = m[1].decode(), m.end()
+        depth += (token == "(") - (token == ")")
+        open_ = token.lower() in _RANK
+        yield token
+
+
+#: Stands for an operand that isn't there.
+MISSING = "?"
+
+
+def postfix(tokens: Iterable[str] | str) -> list[str]:
+    """Operands and operators of a license expression in postfix order, in lower case; empty if there is none.
+
+    It ends where no operator follows an operand, or at a bracket that closes none, as prose may come then. What an operator or an
+    open bracket still waits for is the operand MISSING. WITH binds closest, then AND, then OR, all from the left.
     """
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] | None = None
-    at, operand_next, last = 0, True, ""
-    while m := _TOKEN.match(expression, at):
-        token, at = m[1], m.end()
+    operand_next = True
+    for token in tokens_of(tokens.encode()) if isinstance(tokens, str) else tokens:
         low = token.lower()
         if token == "(":
             if not operand_next:
                 break
             stack.append(token)
         elif token == ")":
-            if operand_next:
+            if "(" not in stack:
                 break
-            while stack and stack[-1] != "(":
+            if operand_next:
+                out.append(MISSING)
+                operand_next = False
+            while stack[-1] != "(":
                 out.append(stack.pop())
-            if not stack:
-                break
             stack.pop()
         elif low in _RANK:
             if operand_next:
-                break
+                out.append(MISSING)
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand_next, last = True, low
+            operand_next = True
         else:
-            if not operand_next or not operand(low.rstrip(".:"), last):
+            if not operand_next:
                 break
             out.append(low.rstrip(".:"))
-            operand_next, last = False, ""
-        if not operand_next and "(" not in stack:
-            best = out + stack[::-1]
-    return best
+            operand_next = False
+    if operand_next and (out or stack):
+        out.append(MISSING)
+    broken = False
+    while stack:
+        if (top := stack.pop()) == "(":
+            broken = True
+        else:
+            out.append(top)
+    return [*out, MISSING, "and"] if broken else out
+
+
+@dataclass(frozen=True)
+class Verdict:
+    """Licenses, exceptions and unknown operands of an expression, and whether it can be met with allowed licenses: None if that isn't known."""
 
+    names: frozenset[str]
+    exceptions: frozenset[str]
+    unknown: frozenset[str]
+    allowed: bool | None
 
-def evaluate(terms: list[str], allowed: tuple[str, ...] = ALLOWED) -> tuple[frozenset[str], bool]:
-    """Licenses named by a postfix expression, and whether it can be met with `allowed` ones.
 
-    OR is met by either side, AND by both. WITH adds an exception, which only loosens a license: both together are
-    allowed if the license is, or if `allowed` has them as one name.
+def evaluate(terms: list[str], allowed: tuple[str, ...] = ALLOWED, ids: Identifiers = Identifiers()) -> Verdict:
+    """The verdict on a postfix expression.
+
+    OR is met by either side, AND by both, as far as it is known. WITH adds an exception, which only loosens a license: both
+    together are allowed if the license is, or if `allowed` has them as one name. An exception that isn't known may be none, so
+    with it nothing is known.
     """
-    stack: list[tuple[frozenset[str], bool]] = []
-    for term in terms:
-        if term in _RANK:
-            (b, b_ok), (a, a_ok) = stack.pop(), stack.pop()
-            if term == "with":
-                stack.append((a, a_ok or any(f"{x} with {y}" in allowed for x in a for y in b)))
+    stack: list[tuple[Verdict, str]] = []
+    none: frozenset[str] = frozenset()
+    for nth, term in enumerate(terms):
+        if term not in _RANK:
+            exception = ids.known(term, True) and nth + 1 < len(terms) and terms[nth + 1] == "with"
+            if exception:
+                stack.append((Verdict(none, frozenset([term]), none, None), term))
+            elif ids.known(term):
+                stack.append((Verdict(frozenset([base_id(term)]), none, none, base_id(term) in allowed), term))
             else:
-                stack.append((a | b, a_ok and b_ok if term == "and" else a_ok or b_ok))
-        else:
-            name = base_id(term)
-            stack.append((frozenset([name]), name in allowed))
-    return stack[0]
+                stack.append((Verdict(none, none, frozenset([term]), None), term))
+            continue
+        (b, exception), (a, _) = stack.pop(), stack.pop()
+        if term == "with":
+            # A license's own name can't stand for an exception.
+            unknown = a.unknown | b.unknown | (frozenset([exception]) if b.names else none)
+            known = not b.unknown and not b.names
+            ok = (a.allowed or any(f"{x} with {exception}" in allowed for x in a.names)) if known and a.allowed is not None else None
+            stack.append((Verdict(a.names, a.exceptions | b.exceptions, unknown, ok), ""))
+            continue
+        sides = (a.allowed, b.allowed)
+        decides = term == "or"
+        ok = decides if decides in sides else None if None in sides else not decides
+        stack.append((Verdict(a.names | b.names, a.exceptions | b.exceptions, a.unknown | b.unknown, ok), ""))
+    return stack[0][0]
 
 
 @cache
@@ -171,12 +230,13 @@ def _automaton() -> ahocorasick.Automaton:
     return machine
 
 
-def scan(text: bytes | None, allowed: tuple[str, ...] = ALLOWED) -> dict:
+def scan(text: bytes | None, allowed: tuple[str, ...] = ALLOWED, ids: Identifiers = Identifiers()) -> dict:
     """What one text says of licenses: its words, the spans of phrases, expressions, labels, score."""
     words = item_words(text)
     line = b" ".join([b"", *words, b""]).decode(errors="replace")
     spans, kinds, verdicts, expressions, exceptions = [], set(), [], [], set()
     labels: set[str] = set()
+    unknown: set[str] = set()
     seen = counted = 0
     tagged = False
     for end, (kind, label, size, n) in _automaton().iter(line):
@@ -192,39 +252,40 @@ def scan(text: bytes | None, allowed: tuple[str, ...] = ALLOWED) -> dict:
         denied = any(w.decode(errors="replace") in DENIALS for w in words[max(0, start - NEAR) : start])
         kinds.add("denied" if denied else kind)
         verdicts.append(label in allowed)
-    for found in _TAG_LINE.findall(text) if tagged else ():
-        if terms := postfix(found.decode(errors="replace"), known):
-            names, ok = evaluate(terms, allowed)
-            labels |= names
-            exceptions |= EXCEPTION_IDS.intersection(terms)
-            verdicts.append(ok)
+    for mark in _TAG_MARK.finditer(text) if tagged else ():
+        if terms := postfix(tokens_of(text, mark.end())):
+            verdict = evaluate(terms, allowed, ids)
+            labels |= verdict.names
+            exceptions |= verdict.exceptions
+            unknown |= verdict.unknown
+            verdicts.append(verdict.allowed is True)
             expressions.append(" ".join(terms))
-            kinds.add("tag")
+            kinds.add("tag" if verdict.names else "unread")
     doubt = 1.0
     for kind in sorted(kinds):
         doubt *= 1 - WEIGHTS[kind]
     return {
         "n_words": len(words), "spans": [dict(zip(("start", "n", "label", "kind"), s, strict=True)) for s in sorted(spans)],
-        "expressions": expressions, "exceptions": sorted(exceptions), "names": sorted(labels), "allowed": all(verdicts) if verdicts else None, "score": 1 - doubt,
+        "expressions": expressions, "exceptions": sorted(exceptions), "unknown": sorted(unknown), "names": sorted(labels), "allowed": all(verdicts) if verdicts else None, "score": 1 - doubt,
     }
 
 
-_SCHEMA = "n_words long, spans array<struct<start:long,n:long,label:string,kind:string>>, expressions array<string>, exceptions array<string>, names array<string>, allowed boolean, score double"
+_SCHEMA = "n_words long, spans array<struct<start:long,n:long,label:string,kind:string>>, expressions array<string>, exceptions array<string>, unknown array<string>, names array<string>, allowed boolean, score double"
 _SPAN = pa.struct([("start", pa.int64()), ("n", pa.int64()), ("label", pa.string()), ("kind", pa.string())])
-_TYPES = {"n_words": pa.int64(), "spans": pa.list_(_SPAN), "expressions": pa.list_(pa.string()), "exceptions": pa.list_(pa.string()), "names": pa.list_(pa.string()), "allowed": pa.bool_(), "score": pa.float64()}
+_TYPES = {"n_words": pa.int64(), "spans": pa.list_(_SPAN), "expressions": pa.list_(pa.string()), "exceptions": pa.list_(pa.string()), "unknown": pa.list_(pa.string()), "names": pa.list_(pa.string()), "allowed": pa.bool_(), "score": pa.float64()}
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", allowed: tuple[str, ...] = ALLOWED, ids: Identifiers = Identifiers()) -> DataFrame:
     """For each row of `docs`: `id_col`, `n_words`, `spans` (start and length in words, label and kind
-    of each phrase), `expressions` (postfix), `exceptions` (named in them), `names` (labels), `allowed` (whether every
-    statement can be met with allowed licenses; null without any), `score` (0 to 1, by the kinds of evidence).
+    of each phrase), `expressions` (postfix), `exceptions` and `unknown` operands (named in them), `names` (labels), `allowed` (whether every
+    statement is known to be met with allowed licenses; null without any), `score` (0 to 1, by the kinds of evidence).
 
     Null and empty texts have no words, no spans, a null verdict and score 0. Repeated rows each give
     a row, an empty table none; other columns are ignored.
     """
 
     def step(batch: list[bytes | None]) -> dict:
-        rows = [scan(t, allowed) for t in batch]
+        rows = [scan(t, allowed, ids) for t in batch]
         return {c: pa.array([r[c] for r in rows], kind) for c, kind in _TYPES.items()}
 
     return over_texts(docs, [id_col], _SCHEMA, step)

@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from postmill.llm.licenses import ALLOWED, BASE, EXCEPTION_IDS, LICENSE_IDS, evaluate, known, license_report, license_scan, postfix, scan
+from postmill.llm.licenses import ALLOWED, BASE, EXCEPTION_IDS, LICENSE_IDS, Identifiers, evaluate, license_report, license_scan, postfix, scan
 from tests.llm.fixtures import awkward, docs
 
 
@@ -17,10 +17,17 @@ from tests.llm.fixtures import awkward, docs
         ("MIT and then prose", ["mit", "then", "and"]),
         ("MIT */ rest", ["mit"]),
         ("((MIT))", ["mit"]),
-        ("(MIT", None),
-        ("OR MIT", None),
-        ("", None),
-        ("()", None),
+        ("MIT) rest", ["mit"]),
+        ("(MIT", ["mit", "?", "and"]),
+        ("MIT AND", ["mit", "?", "and"]),
+        ("(MIT OR", ["mit", "?", "or", "?", "and"]),
+        ("OR MIT", ["?", "mit", "or"]),
+        ("(MIT OR\n * Apache-2.0)", ["mit", "apache-2.0", "or"]),
+        ("MIT OR\r\n# Apache-2.0 AND\n#\tISC", ["mit", "apache-2.0", "isc", "and", "or"]),
+        ("MIT\nOR Apache-2.0", ["mit"]),
+        ("(MIT\n*/ x", ["mit", "?", "and"]),
+        ("", []),
+        ("()", ["?"]),
     ],
 )
 def test_shunting_yard(text, want):
@@ -28,9 +35,11 @@ def test_shunting_yard(text, want):
 
 
 def test_evaluation():
-    verdict = lambda t: evaluate(postfix(t))[1]
-    assert verdict("MIT") and verdict("GPL-3.0 OR MIT") and not verdict("GPL-3.0 AND MIT") and not verdict("GPL-2.0 WITH MIT")
-    assert evaluate(postfix("GPL-2.0-or-later WITH x OR MIT+"))[0] == {"gpl-2.0", "mit"}
+    verdict = lambda t: evaluate(postfix(t)).allowed
+    assert verdict("MIT") and verdict("GPL-3.0 OR MIT") and verdict("GPL-3.0 AND MIT") is False and verdict("GPL-2.0 WITH MIT") is None
+    assert verdict("MIT OR x") and verdict("x OR MIT") and verdict("MIT AND x") is None and verdict("GPL-3.0 AND x") is False and verdict("GPL-3.0 OR x") is None
+    got = evaluate(postfix("GPL-2.0-or-later WITH x OR MIT+"))
+    assert got.names == {"gpl-2.0", "mit"} and got.unknown == {"x"} and got.allowed
 
 
 def brute(text):
@@ -55,7 +64,7 @@ def test_base_equals_brute_force(spark):
         r = got[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute(t)
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
-        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
+        assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"] or "SPDX" in (t or ""))
         assert r["labels"] == ",".join(sorted(set(r["labels"].split(","))))
 
 
@@ -63,28 +72,41 @@ def test_expressions_and_verdicts(spark):
     got = {r["doc_id"]: r for r in license_scan(docs(spark, TEXTS)).collect()}
     assert got[6]["expressions"] == ["mit apache-2.0 or"] and got[6]["allowed"] and got[6]["names"] == ["apache-2.0", "mit"]
     assert got[7]["allowed"] is False and got[8]["names"] == ["cc-by-nc-4.0"] and got[8]["allowed"] is False
-    assert got[9]["allowed"] is None and got[11]["expressions"] == []
+    assert got[9]["allowed"] is None and got[11]["expressions"] == ["? ? or ? or"] and got[11]["allowed"] is False
     assert license_report(docs(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize(
     ("line", "names", "allowed"),
     [
-        ("MITRE-CVE", [], None), ("see file for details", [], None), ("MIT see file", ["mit"], True), ("MIT-0", ["mit-0"], True), ("Apache-2.0+ OR GPL-2.0-or-later", ["apache-2.0", "gpl-2.0"], True),
+        ("MITRE-CVE", [], False), ("see file for details", [], False), ("MIT see file", ["mit"], True), ("MIT-0", ["mit-0"], True), ("Apache-2.0+ OR GPL-2.0-or-later", ["apache-2.0", "gpl-2.0"], True),
         ("LicenseRef-Own AND MIT", ["licenseref-own", "mit"], False), ("GPL-2.0-only WITH Classpath-exception-2.0", ["gpl-2.0"], False), ("Apache-2.0 WITH LLVM-exception", ["apache-2.0"], True),
-        ("LGPL-3.0-only WITH LGPL-3.0-linking-exception", ["lgpl-3.0"], True), ("GPL-2.0 WITH the rest", ["gpl-2.0"], False), ("(MIT AND see) file", [], None), ("mit AND (isc OR x)", ["mit"], True),
+        ("LGPL-3.0-only WITH LGPL-3.0-linking-exception", ["lgpl-3.0"], True), ("GPL-2.0 WITH the rest", ["gpl-2.0"], False), ("(MIT AND see) file", ["mit"], False), ("mit AND (isc OR x)", ["isc", "mit"], True),
+        # What can't be read whole is never allowed.
+        ("MIT AND Elastic-2.0", ["mit"], False), ("MIT AND NAIST-2003", ["mit"], False), ("MIT AND (GPL-2.0-only OR Elastic-2.0)", ["gpl-2.0", "mit"], False), ("MIT WITH foo-exception", ["mit"], False),
+        ("Elastic-2.0", [], False), ("MIT-CMU", [], False), ("BSD-2-Clause-Views", [], False), ("MIT OR Elastic-2.0", ["mit"], True), ("MIT AND", ["mit"], False), ("(MIT OR ISC", ["isc", "mit"], False),
+        ("(MIT OR\n * GPL-3.0-only)", ["gpl-3.0", "mit"], True), ("(MIT AND\n// GPL-3.0-only)", ["gpl-3.0", "mit"], False), ("MIT\n * AND more", ["mit"], True), ("", [], None),
     ],
 )
 def test_only_whole_identifiers_are_licenses(line, names, allowed):
     got = scan(f"/* SPDX-License-Identifier: {line} */\n".encode())
-    assert got["names"] == names and got["allowed"] is allowed and (got["score"] > 0) == bool(names)
+    assert got["names"] == names and got["allowed"] is allowed and (got["score"] > 0) == (allowed is not None)
+
+
+def test_the_list_of_identifiers_is_a_parameter(spark):
+    text = "SPDX-License-Identifier: MIT AND Elastic-2.0"
+    assert scan(text.encode())["unknown"] == ["elastic-2.0"]
+    ids = Identifiers(LICENSE_IDS | {"elastic-2.0"})
+    got = license_scan(docs(spark, [text]), allowed=(*ALLOWED, "elastic-2.0"), ids=ids).first()
+    assert got["names"] == ["elastic-2.0", "mit"] and got["unknown"] == [] and got["allowed"]
+    assert not license_scan(docs(spark, [text]), ids=ids).first()["allowed"]
 
 
 def test_exceptions_are_kept_and_denials_weigh_little():
     assert scan(b"SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0")["exceptions"] == ["classpath-exception-2.0"]
     denied, plain = scan(b"There is no MIT license here"), scan(b"under the MIT license")
     assert denied["names"] == plain["names"] == ["mit"] and denied["score"] < 0.2 < plain["score"]
-    assert all(x == x.lower() for x in LICENSE_IDS | EXCEPTION_IDS) and not LICENSE_IDS & EXCEPTION_IDS and known("bsd-2-clause", "or") and not known("mit", "with") and "mit" in ALLOWED
+    assert all(x == x.lower() for x in LICENSE_IDS | EXCEPTION_IDS) and not LICENSE_IDS & EXCEPTION_IDS and Identifiers().known("bsd-2-clause") and not Identifiers().known("mit", True) and "mit" in ALLOWED
 
 
 def test_phrases_equal_the_query_in_sql(spark, tmp_path):
