@@ -15,13 +15,19 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from postmill.llm.common import checkpoint
+from postmill.sources.page_source import file_system
 
 #: Bits of an offset that a leaf covers (16 KB), and that each level above adds (16 children).
 LEAF_BITS, LEVEL_BITS = 14, 4
@@ -78,69 +84,250 @@ def warc_index(pages: DataFrame, id_col: str = "page_id", file_pages: int = FILE
     return rows.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "record", id_col, nth.alias("nth"))
 
 
+class WarcWriter(DataSourceWriter):
+    """Writes rows (`file`, `body`), sorted by file in a partition, as `file=<number>/part-0.warc.gz`: a gzip member for each record.
+
+    A file is written under its final name by the one task that has its rows, so a task that is run again writes the same.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        files, root = file_system(self.path)
+        for number, records in groupby(rows, key=lambda r: r["file"]):
+            files.create_dir(f"{root}/file={number}", recursive=True)
+            with files.open_output_stream(f"{root}/file={number}/part-0.warc.gz", compression=None) as out:
+                for r in records:
+                    out.write(gzip.compress(r["body"].encode() + _END.encode(), mtime=0))
+        return WriterCommitMessage()
+
+
+class WarcFiles(DataSource):
+    """The sink of `write_warc`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_files"
+
+    def schema(self) -> str:
+        return "file long, body string"
+
+    def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
+        return WarcWriter(self.options["path"])
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", file_pages: int = FILE_PAGES) -> None:
-    """Writes `pages` as gzipped WARC files below `path`, one in each folder `file=<number>`, in the order of the index.
+    """Writes `pages` as WARC files below `path`, one in each folder `file=<number>`, in the order of the index.
 
-    Spark's text writer ends each record with two line ends, as the format wants. A file's rows meet in one task;
-    its size is bounded by `file_pages` as long as ids don't repeat often.
+    Each record is a gzip member of its own, as the format wants, so that damage stays in its record. A file's rows meet
+    in one task, which holds one record at a time.
     """
     rows = _filed(pages, id_col, file_pages, True).repartition("file").sortWithinPartitions("file", F.col(id_col).asc_nulls_first(), "record")
-    rows.select("file", "body").write.partitionBy("file").option("lineSep", _END).option("compression", "gzip").text(path)
+    pages.sparkSession.dataSource.register(WarcFiles)
+    rows.select("file", "body").write.format(WarcFiles.name()).mode("append").save(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*\r\n")
 _LENGTH, _ID = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.IGNORECASE), re.compile(rb"\r\nWARC-Record-ID: *<urn:page:(-?\d+)>\r\n", re.IGNORECASE)
+#: Bytes read at a time, most bytes of a record's header, and most packed bytes that are kept to look for the next member after damage.
+READ, MOST_HEADER, KEPT = 1 << 16, 1 << 16, 1 << 26
+#: Packed bytes of a step towards damage.
+STEP = 64
+#: A record may be declared this long at most; a longer one is a broken header.
+MOST_RECORD = 1 << 31
+
+Record = tuple[int, int, str, int | None]
 
 
-def records_of(data: bytes) -> Iterator[tuple[int, int, str, int | None]]:
-    """Offset, length, SHA-256 and page id of each record of a WARC file's bytes.
+def _id_of(head: bytes) -> int | None:
+    number = _ID.search(head)
+    return int(number[1]) if number else None
+
+
+class Records:
+    """Offset, length, SHA-256 and page id of the records of unpacked bytes that come in pieces; one record is held at a time.
 
     Bytes that are no record (a broken header, a payload cut short) are one record without id up to the next header.
     """
-    at = 0
-    while at < len(data):
-        head = _HEAD.match(data, at)
-        size = _LENGTH.search(head[0]) if head else None
-        end = head.end() + int(size[1]) + len(_END) if size else len(data) + 1
-        number = _ID.search(head[0]) if head else None
-        if end > len(data) or data[end - len(_END) : end] != _END.encode():
-            following = data.find(b"WARC/1.", at + 1)
-            end, number = following if following > 0 else len(data), None
-        yield at, end - at, hashlib.sha256(data[at:end]).hexdigest(), int(number[1]) if number else None
-        at = end
+
+    def __init__(self) -> None:
+        self.at, self.held, self.need = 0, bytearray(), 0
+
+    def _cut(self, size: int, number: int | None) -> Record:
+        made = (self.at, size, hashlib.sha256(self.held[:size]).hexdigest(), number)
+        del self.held[:size]
+        self.at, self.need = self.at + size, 0
+        return made
+
+    def fed(self, piece: bytes, last: bool = False) -> Iterator[Record]:
+        self.held += piece
+        while self.held and (last or len(self.held) >= self.need):
+            head = _HEAD.match(self.held)
+            if not head and not last and len(self.held) < MOST_HEADER and b"\r\n\r\n" not in self.held:
+                return
+            size = _LENGTH.search(head[0]) if head else None
+            end = head.end() + int(size[1]) + len(_END) if size else MOST_RECORD + 1
+            if end <= MOST_RECORD and len(self.held) < end and not last:
+                self.need = end
+                return
+            if end <= len(self.held) and self.held[end - len(_END) : end] == _END.encode():
+                yield self._cut(end, _id_of(head[0]))
+                continue
+            following = self.held.find(b"WARC/1.", 1)
+            if following < 0 and not last:
+                self.need = len(self.held) + READ
+                return
+            yield self._cut(following if following > 0 else len(self.held), None)
+
+    def damaged(self, packed: bytes, size: int, beginning: bytes) -> Record:
+        """What was held is the beginning of a record of a damaged member, whose unpacked rest is `size` bytes: it counts as its packed bytes."""
+        head = _HEAD.match(self.held or beginning)
+        made = (self.at, size, hashlib.sha256(packed).hexdigest(), _id_of(head[0]) if head else None)
+        self.at, self.held, self.need = self.at + size, bytearray(), 0
+        return made
+
+
+def records_of(data: bytes) -> Iterator[Record]:
+    """The records of a WARC file's unpacked bytes."""
+    return Records().fed(data, True)
+
+
+def _header_end(data: bytes) -> int | None:
+    """Where the header of a gzip member ends; None if there is none, or not all of it."""
+    if len(data) < 10 or data[:3] != b"\x1f\x8b\x08" or data[3] & 0xE0:
+        return None
+    at, flags = 10, data[3]
+    if flags & 4:
+        at += 2 + int.from_bytes(data[at : at + 2], "little")
+    for flag in (8, 16):
+        if flags & flag:
+            at = data.find(b"\0", at) + 1
+            if not at:
+                return None
+    at += 2 if flags & 2 else 0
+    return at if at < len(data) else None
+
+
+def _beginning(data: bytes, most: int = 7) -> bytes:
+    """The first bytes that a member unpacks to; none if it has no header, or is damaged before."""
+    try:
+        return zlib.decompressobj(-15).decompress(data[end : end + most + READ], most) if (end := _header_end(data)) else b""
+    except zlib.error:
+        return b""
+
+
+def _next_member(data: bytearray, start: int) -> int:
+    """Where a member begins that unpacks to the beginning of a record; -1 if none does."""
+    while (start := data.find(b"\x1f\x8b\x08", start)) >= 0:
+        if _beginning(bytes(data[start : start + MOST_HEADER])) == b"WARC/1.":
+            return start
+        start += 1
+    return -1
+
+
+def packed_records(read: Callable[[int], bytes]) -> Iterator[Record]:
+    """The records of a WARC file, packed or not, from a function that reads its next bytes.
+
+    A member that can't be unpacked, or whose sum is wrong, is one record: by its id, if its header could be read, with the length that it says it
+    had, and the hash of its packed bytes. What follows is found by its own beginning. Of a member of many records those before the
+    damage are as they are, and the rest of it is one; if it unpacks, but its sum is wrong, its last record is told as damaged too.
+    """
+    found, raw = Records(), bytearray(read(READ))
+    if b"WARC/1." in raw[:16]:  # not packed
+        while raw:
+            yield from found.fed(raw)
+            raw = read(READ)
+    while raw or (raw := bytearray(read(READ))):
+        raw = yield from _member(found, raw, read)
+    yield from found.fed(b"", True)
+
+
+def _member(found: Records, used: bytearray, read: Callable[[int], bytes]) -> Iterator[Record]:
+    """Records of the member that begins `used`; returns the bytes behind it."""
+    begun, whole, total = found.at, True, 0
+    waiting: Record | None = None  # the last one, until another begins behind it or the member's sum is right
+
+    def told(piece: bytes) -> Iterator[Record]:
+        nonlocal waiting
+        records = [*((waiting,) * bool(waiting)), *found.fed(piece)]
+        waiting = records.pop() if records and found.held[:7] != b"WARC/1." else None
+        yield from records
+
+    def more() -> bytes:
+        nonlocal used, whole
+        piece = read(READ)
+        whole = whole and len(used) < KEPT  # of a longer member only the last bytes are kept
+        if whole:
+            used += piece
+        elif piece:
+            used = bytearray(piece)
+        return piece
+
+    while _header_end(used) is None and len(used) < MOST_HEADER and more():
+        pass
+    if end := _header_end(used):
+        inflate, piece = zlib.decompressobj(-15), bytes(used[end:])
+        try:
+            while piece:
+                before = inflate.copy()
+                out = inflate.decompress(piece)
+                total = zlib.crc32(out, total)
+                if inflate.eof:
+                    tail = inflate.unused_data
+                    while len(tail) < 8 and (piece := more()):
+                        tail += piece
+                    if tail[:4] == total.to_bytes(4, "little"):
+                        yield from told(out)
+                        yield from (waiting,) * bool(waiting)
+                        return bytearray(tail[8:])
+                    yield from told(out)
+                    break
+                yield from told(out)
+                piece = more()
+        except zlib.error:
+            # What comes before the damage, in small steps.
+            with suppress(zlib.error):
+                for k in range(0, len(piece), STEP):
+                    yield from told(before.decompress(piece[k : k + STEP]))
+    number = None
+    if waiting and found.held[:7] == b"WARC/1.":
+        yield waiting
+    elif waiting:  # what follows is no record: the damage is in this one
+        found.at, number = found.at - waiting[1], waiting[3]
+    start = 1
+    while (at := _next_member(used, start)) < 0:
+        start = max(1, len(used) - MOST_HEADER)
+        if not more():
+            break
+    member = bytes(used if at < 0 else used[:at])
+    beginning = next((b for most in (MOST_HEADER, 4096, 512) if (b := _beginning(member, most))), b"") if found.at == begun and whole else b""
+    said = int.from_bytes(member[-4:], "little") - (found.at - begun)
+    size = said if len(member) > 18 and 0 < said <= 1032 * len(member) else len(found.held) + (waiting[1] if number is not None else 0)
+    if size or found.at == begun:
+        made = found.damaged(member, size, beginning)
+        yield (*made[:3], made[3] if number is None else number)
+    return used[at:] if at >= 0 else bytearray()
 
 
 def read_warc(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFrame:
-    """The index of WARC files that `write_warc` laid out, from their bytes; of a file that can't be unpacked, what can be read."""
+    """The index of WARC files that `write_warc` laid out, from their bytes, which are read in pieces; damage is told record by record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"file": pa.int64(), "offset": pa.int64(), "length": pa.int64(), "record": pa.string(), id_col: pa.int64()}
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                found = list(records_of(_unpacked(content.as_py())))
-                columns = list(zip(*found, strict=True)) or [[], [], [], []]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
-                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.int64()), *arrays], ["file", "offset", "length", "record", id_col])
+            for file, at in zip(batch.column("file").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                files, name = file_system(at)
+                with files.open_input_stream(name, compression=None) as f:
+                    records = packed_records(f.read)
+                    while some := list(islice(records, 4096)):
+                        yield pa.RecordBatch.from_arrays([pa.array([x] * len(some) if k == "file" else x, kind) for (k, kind), x in zip(kinds.items(), (file, *zip(*some, strict=True)), strict=True)], list(kinds))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    rows = files.select(F.col("file").cast("long").alias("file"), "content").mapInArrow(run, f"file long, offset long, length long, record string, `{id_col}` long")
+    rows = files.select(F.col("file").cast("long").alias("file"), "path").mapInArrow(run, f"file long, offset long, length long, record string, `{id_col}` long")
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("file", id_col).orderBy("record")))
 
 
-def _unpacked(data: bytes) -> bytes:
-    import zlib
-
-    if data[:2] != b"\x1f\x8b":
-        return data
-    try:
-        return gzip.decompress(data)
-    except (OSError, EOFError, zlib.error):
-        try:
-            return zlib.decompressobj(31).decompress(data)
-        except zlib.error:
-            return b""
-
-
 def _hash_of(parts: str, order: str) -> Column:
     """The hash of the group's hashes in order."""
     sorted_parts = F.array_sort(F.collect_list(F.struct(order, parts)))

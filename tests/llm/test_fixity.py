@@ -1,10 +1,15 @@
 import gzip
 import hashlib
+import io
 import random
+import tracemalloc
+import zlib
 from pathlib import Path
 
+import pytest
+
 from postmill.llm import fixity
-from postmill.llm.fixity import audit, damaged_pages, levels_for, merkle_levels, mismatching_leaves, page_audit, read_warc, records_of, warc_index, write_warc
+from postmill.llm.fixity import audit, damaged_pages, levels_for, merkle_levels, mismatching_leaves, packed_records, page_audit, read_warc, records_of, warc_index, write_warc
 from postmill.llm.sql import ORACLE_SQL
 from tests.oracle import same
 
@@ -45,8 +50,6 @@ def test_damaged_bytes_are_located(spark, tmp_path):
     for name in ("a", "b"):
         write_warc(table, str(tmp_path / name))
     paths = {int(p.parent.name[5:]): p for p in Path(tmp_path / "b").glob("file=*/part-*")}
-    for p in paths.values():  # else the local file system's own sums stop the reader
-        (p.parent / f".{p.name}.crc").unlink()
     data = bytearray(gzip.decompress(paths[1].read_bytes()))
     places = list(records_of(bytes(data)))
     at = places[40][0] + places[40][1] - 10
@@ -68,6 +71,104 @@ def test_damaged_bytes_are_located(spark, tmp_path):
     assert sum(r["file"] == 1 for r in leaves) == 1 and {r["file"] for r in leaves} == {1, 2}
 
 
+def reader(data):
+    return io.BytesIO(data).read
+
+
+def members(data):
+    """Where each member of a packed file begins and ends."""
+    at, out = 0, []
+    while at < len(data):
+        one = zlib.decompressobj(31)
+        one.decompress(data[at:])
+        out.append((at, len(data) - len(one.unused_data)))
+        at = out[-1][1]
+    return out
+
+
+def packed(spark, tmp_path, n=60):
+    write_warc(pages(spark, n), str(tmp_path / "one"))
+    (path,) = Path(tmp_path / "one").glob("file=0/part-*")
+    return path.read_bytes()
+
+
+def test_records_are_members_of_their_own(spark, tmp_path):
+    data = packed(spark, tmp_path)
+    intact = list(records_of(gzip.decompress(data)))
+    assert len(members(data)) == len(intact) == 62 and list(packed_records(reader(data))) == intact
+    assert list(packed_records(reader(gzip.decompress(data)))) == intact  # not packed
+    assert list(packed_records(reader(gzip.compress(gzip.decompress(data))))) == intact  # all in one member
+    assert list(packed_records(reader(b""))) == []
+
+
+@pytest.mark.parametrize("step", [1 << 16, 100])
+def test_a_flipped_byte_changes_one_record(spark, tmp_path, monkeypatch, step):
+    """Anywhere in a packed record: header, data, sum, length."""
+    monkeypatch.setattr(fixity, "READ", step)
+    data = packed(spark, tmp_path)
+    intact = list(packed_records(reader(data)))
+    rng = random.Random(2)
+    spans = members(data)
+    places = [(k, at) for k in (0, 17, 61) for b, e in [spans[k]] for at in [b, b + 2, b + 3, b + 8, b + 12, (b + e) // 2, e - 9, e - 8, e - 4, e - 1]] + [(k, rng.randrange(*spans[k])) for k in range(62)]
+    for k, at in places:
+        bad = bytearray(data)
+        bad[at] ^= 1 << rng.randrange(8)
+        got = list(packed_records(reader(bytes(bad))))
+        same_ = [a == b for a, b in zip(got, intact, strict=False)]
+        assert len(got) == 62 and all(x for j, x in enumerate(same_) if j != k), (k, at - spans[k][0])
+        assert got[k][:2] == intact[k][:2] and got[k][3] in (intact[k][3], None)
+
+
+def test_lost_and_strange_bytes(spark, tmp_path):
+    data = packed(spark, tmp_path)
+    intact, spans = list(packed_records(reader(data))), members(data)
+    cut = data[: spans[30][1] - 20] + data[spans[31][0] :]  # a member's end is lost
+    got = list(packed_records(reader(cut)))
+    assert len(got) == 62 and [r[2:] for r in got[31:]] == [r[2:] for r in intact[31:]] and got[:30] == intact[:30] and got[30][3] in (intact[30][3], None)
+    short = list(packed_records(reader(data[: spans[50][1] - 5])))
+    assert short[:50] == intact[:50] and len(short) == 51
+    noise = random.Random(3).randbytes(100_000)
+    got = list(packed_records(reader(data[: spans[9][1]] + noise + data[spans[10][0] :])))
+    assert got[:10] == intact[:10] and [r[2:] for r in got[11:]] == [r[2:] for r in intact[10:]]
+    one = bytearray(gzip.compress(gzip.decompress(data)))
+    one[len(one) * 3 // 4] ^= 4
+    got = list(packed_records(reader(bytes(one))))
+    assert len(got) > 20 and got[:20] == intact[:20] and got != intact and sum(r[1] for r in got) == sum(r[1] for r in intact)
+
+
+def test_packed_damage_is_located(spark, tmp_path):
+    table = pages(spark, 300)
+    for name in ("a", "b"):
+        write_warc(table, str(tmp_path / name))
+    (path,) = Path(tmp_path / "b").glob("file=0/part-*")
+    data = bytearray(path.read_bytes())
+    b, e = members(bytes(data))[100]
+    data[(b + e) // 2] ^= 1
+    path.write_bytes(data)
+    got = audit(read_warc(spark, str(tmp_path / "a")), read_warc(spark, str(tmp_path / "b"))).collect()
+    assert [(r["file"], r["status"]) for r in got if r["status"] != "same"] == [(0, "changed")]
+
+
+def test_a_large_file_is_read_in_bounded_memory():
+    """Half a gigabyte of records, made as they are read."""
+    body = b"WARC/1.1\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: 4000000\r\n\r\n" + b"x" * 4_000_000 + b"\r\n\r\n"
+    made = iter(gzip.compress(body % k, 1) for k in range(130))
+    buffer = bytearray()
+
+    def read(n):
+        while len(buffer) < n and (more := next(made, None)):
+            buffer.extend(more)
+        out = bytes(buffer[:n])
+        del buffer[:n]
+        return out
+
+    tracemalloc.start()
+    got = [(r[1], r[3]) for r in packed_records(read)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [k for _, k in got] == list(range(130)) and most < 64 << 20
+
+
 def test_audit_equals_plain_comparison(spark, monkeypatch, tmp_path):
     """The query in SQL over ids that are null, repeated, negative, lost, altered and doubled."""
     monkeypatch.setattr(fixity, "LEAF_BITS", 10)
