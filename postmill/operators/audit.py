@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.functions.text import CORE_LENGTH, title_core, trim, units
+from postmill.functions.text import title_core, trim, units
 from postmill.operators.filters import JOB_WORDS
 from postmill.operators.tables import checkpoint
 
@@ -19,32 +21,33 @@ def job_lines(text: str) -> F.Column:
     return F.size(F.filter(lines, lambda x: x.rlike("|".join(JOB_WORDS)) & (units(trim(x)) > 5)))
 
 
-#: Characters of a piece of a page's text, and of the window at each of its places: no core is longer.
-PIECE, CORE = 1024, 2 * CORE_LENGTH
-#: Lengths of the beginnings by which cores are looked up: of a core the longest that it has.
-LOOKUP = (8, 4, 2, 1)
+#: Distinct cores of one automaton; those of a site with more are dealt to several, each with the site's text.
+MOST_CORES = 100_000
+
+
+def _shown(cores: pa.Table, pages: pa.Table) -> pa.Table:
+    """Cores of a site that its texts hold, by one automaton of all of them."""
+    machine = ahocorasick.Automaton()
+    for core in cores["core"].to_pylist():
+        machine.add_word(core, core)
+    found: set[str] = set()
+    if len(machine):
+        machine.make_automaton()
+        for text in pages["page_text"].to_pylist():
+            found.update(core for _, core in machine.iter(text or ""))
+    site = cores["site_id"][:1].to_pylist() * len(found)
+    return pa.table({"site_id": pa.array(site, pa.string()), "core": pa.array(sorted(found), pa.string())})
 
 
 def shown_cores(cores: DataFrame, pages: DataFrame) -> DataFrame:
     """Those of distinct `cores` (`site_id`, `core`) that stand in the text of their site's page (`site_id`, `page_text`).
 
-    A text is cut into pieces that overlap, and a piece into the windows at its places; a core is looked up by its beginning and compared
-    with the window. Texts are read once for all titles of a site, and neither is gathered anywhere.
+    The cores of a site are one automaton, through which its text runs once; no text is copied for a title.
     """
-    length = lambda c: F.greatest(*(F.when(F.length(c) >= n, n).otherwise(0) for n in LOOKUP))
-    keyed = cores.select("site_id", "core", length("core").alias("n")).withColumn("key", F.left("core", F.col("n")))
-    pieces = F.regexp_extract_all(F.coalesce("page_text", F.lit("")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    rows = pages.select("site_id", pieces.alias("p")).select("site_id", "p", F.posexplode("p").alias("k", "piece"))
-    rows = rows.select("site_id", "piece", F.left(F.coalesce(F.get("p", F.col("k") + 1), F.lit("")), F.lit(CORE - 1)).alias("after"))
-    places = F.transform(F.sequence(F.lit(1), F.length("piece")), lambda i: F.substring(F.concat("piece", "after"), i, F.lit(CORE)))
-    windows = rows.select("site_id", F.explode(F.array_distinct(places)).alias("window"))
-    # Lengths that no core begins with aren't looked up.
-    used = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most as many as LOOKUP has
-    begun = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.left("window", F.lit(n)).alias("key")) for n in used))) if used else None
-    if begun is None:
-        return cores.limit(0)
-    looked = windows.select("site_id", "window", begun.alias("b")).select("site_id", "window", "b.n", "b.key")
-    return looked.join(keyed, ["site_id", "n", "key"]).where(F.startswith("window", F.col("core"))).select("site_id", "core").distinct()
+    salts = cores.groupBy("site_id").agg(F.ceil(F.count("*") / MOST_CORES).cast("int").alias("salts"))
+    dealt = cores.join(salts, "site_id").select("site_id", "core", F.pmod(F.xxhash64("core"), "salts").cast("int").alias("salt"))
+    texts = pages.select("site_id", "page_text").join(salts, "site_id").select("site_id", "page_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return dealt.groupBy("site_id", "salt").cogroup(texts.groupBy("site_id", "salt")).applyInArrow(_shown, "site_id string, core string")
 
 
 def judged(postings: DataFrame, pages: DataFrame) -> DataFrame:

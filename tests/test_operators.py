@@ -134,12 +134,12 @@ def test_keywords_of_a_table_equal_those_of_a_list(spark):
         assert {r["k"] for r in without_keywords(rows, "title", table).collect()} == want
 
 
-def test_titles_are_found_across_pieces(spark, monkeypatch):
+def test_titles_are_found_by_automata(spark, monkeypatch):
     import random
 
     from postmill.operators import audit as A
 
-    monkeypatch.setattr(A, "PIECE", 48)
+    monkeypatch.setattr(A, "MOST_CORES", 50)
     rng = random.Random(4)
     text = "".join(rng.choice("가나다ab \n\U0001f600") for _ in range(400))
     titles = [text[i : i + n] for i in range(0, 380, 7) for n in (1, 2, 3, 5, 9, 20, 40)] + ["없는 제목", "가" * 30, "", None, text[3:30] + "..."]
