@@ -305,3 +305,23 @@ def license_report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(labels, ",").alias("base_labels"), F.array_join("names", ",").alias("labels"), "score", "allowed",
     )
+
+
+# Tags as they are put behind texts to be scanned, what they name and what isn't known of it, and whether they can be met.
+TAGS = (
+    ("MIT", "mit", "", True), ("(MIT OR Apache-2.0)", "apache-2.0,mit", "", True), ("GPL-3.0-only AND MIT", "gpl-3.0,mit", "", False), ("MIT AND Elastic-2.0", "mit", "elastic-2.0", False),
+    ("Elastic-2.0 OR ISC", "isc", "elastic-2.0", True), ("MIT WITH foo-exception", "mit", "foo-exception", False), ("Apache-2.0 WITH LLVM-exception see NOTICE", "apache-2.0", "", True), ("(MIT AND", "mit", "?", False),
+    ("see the file COPYING", "", "see", False), ("GPL-2.0-or-later OR\n// (BSD-3-Clause AND\n// LicenseRef-own)", "bsd-3-clause,gpl-2.0,licenseref-own", "", False),
+)
+
+
+def tagged_scan(docs: DataFrame) -> DataFrame:
+    """The scan of texts that each have one of TAGS behind them, by their ids: `unknown`, `tag_names` (without labels of phrases) and `allowed`."""
+    tags = F.array(*(F.lit(f"\n// SPDX-License-Identifier: {t[0]}\n") for t in TAGS))
+    text = F.concat(F.coalesce("text", F.lit("")), F.element_at(tags, (F.col("doc_id") % len(TAGS) + 1).cast("int")))
+    said = license_scan(docs.select("doc_id", text.alias("text")))
+    # The operands of the last expression, which is the tag put there.
+    last = F.split(F.element_at("expressions", -1), " ")
+    named = F.filter(last, lambda x: ~x.isin(*_RANK, "?") & ~F.array_contains(said["unknown"], x) & ~F.array_contains("exceptions", x))
+    bare = F.transform(named, lambda x: F.regexp_replace(x, r"(\+|-only|-or-later)\z", ""))
+    return said.select("doc_id", F.array_join(said["unknown"], ",").alias("unknown"), F.array_join(F.array_sort(bare), ",").alias("tag_names"), "allowed")

@@ -12,7 +12,7 @@ from postmill.llm.fixity import page_audit
 from postmill.llm.hard_negatives import mined_embeddings
 from postmill.llm.infilling import infilling_report
 from postmill.llm.languages import languages
-from postmill.llm.licenses import license_report
+from postmill.llm.licenses import license_report, tagged_scan
 from postmill.llm.mixing import domain_column, mixing_rates
 from postmill.llm.partenum import similar_texts
 from postmill.llm.quality_classifier import quality_scores
@@ -76,6 +76,10 @@ def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling_report(table(spark, sf_dir, "documents"))
 
 
+def license_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_licenses": op2_licenses,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_jaccard": op11_jaccard,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_infilling": op13_infilling,
+    "license_tags": license_tags,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

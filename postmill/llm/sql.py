@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from postmill.llm.decontaminate import WINDOW as TEST_WINDOW
 from postmill.llm.fixity import PAGE_AUDIT_SQL
-from postmill.llm.licenses import ALLOWED, BASE, DENIALS, NEAR, NOTICES, WEIGHTS
+from postmill.llm.licenses import ALLOWED, BASE, DENIALS, NEAR, NOTICES, TAGS, WEIGHTS
 from postmill.llm.quality_rules import ALPHA, BANDS, DELTA, LEVELS, POWER, RULES, cutoffs
 from postmill.llm.substrings import WINDOW as REPEAT_WINDOW
 
@@ -86,6 +86,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM docs LEFT JOIN found USING (r)
 """
 
+#: The verdict on a text's phrases, and on the tag that is put behind it.
+LICENSE_TAGS_SQL = f"""
+WITH tags(k, names, unread, met) AS (VALUES {", ".join(f"({k}, '{t[1]}', '{t[2]}', {str(t[3]).lower()})" for k, t in enumerate(TAGS))}), scanned AS ({LICENSES_SQL})
+SELECT doc_id, unread AS unknown, names AS tag_names, met AND coalesce(allowed, true) AS allowed FROM scanned JOIN tags ON k = doc_id % {len(TAGS)}
+"""
+
 _DRAWS = ", ".join(f"CAST(concat('0x', substr(h, {8 * k + 1}, 8)) AS BIGINT) AS h{k + 1}" for k in range(4))
 
 INFILLING_SQL = f"""
@@ -141,5 +147,6 @@ ORACLE_SQL = {
     "op8_substrings": SUBSTRINGS_SQL,
     "op11_jaccard": JACCARD_SQL,
     "op12_hard_negatives": HARD_NEGATIVES_SQL,
+    "license_tags": LICENSE_TAGS_SQL,
     "op13_infilling": INFILLING_SQL,
 }

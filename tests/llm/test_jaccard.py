@@ -73,7 +73,7 @@ def test_stage_keeps_one_of_each_group(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.01"
-    table = spark.read.parquet(f"{sf}/documents.parquet").limit(400).localCheckpoint()
+    table = spark.read.parquet(f"{sf}/documents.parquet").limit(400).checkpoint()
     rows = sorted((r["doc_id"], r["text"]) for r in table.collect())
     want = {rows[root][0] for root in components([t for _, t in rows]).values()}
     assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, table, sf).collect()} == want
