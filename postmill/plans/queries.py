@@ -13,7 +13,7 @@ from postmill.functions import times
 from postmill.operators import audit as A
 from postmill.operators import dedup, filters, fuzzy, snapshots, view
 from postmill.operators.tables import checkpoint
-from postmill.plans import board_pages, gather, source_queries
+from postmill.plans import board_pages, gather, source_queries, stored_queries
 from postmill.plans.derived import AS_OF, KEYWORDS, POSTINGS_SQL, RAW_DATES_SQL, SITES_SQL, WS, postings, raw_dates, sites, squeeze_sql, table, trim_sql
 from postmill.plans.gather import PAGE_ROWS
 from postmill.sources.boards import SITES, site_table
@@ -576,5 +576,5 @@ def site_order(spark, sf):
 
 # Boards
 
-QUERIES |= board_pages.QUERIES | source_queries.QUERIES
-ORACLE_SQL |= board_pages.ORACLE_SQL | source_queries.ORACLE_SQL
+QUERIES |= board_pages.QUERIES | source_queries.QUERIES | stored_queries.QUERIES
+ORACLE_SQL |= board_pages.ORACLE_SQL | source_queries.ORACLE_SQL | stored_queries.ORACLE_SQL

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -53,9 +56,11 @@ def until_last_page(pages: DataFrame, pagers: dict[str, str], most: int = 10) ->
     The selector may hold `{next}` for the number of the next page. Other sites keep all pages.
     """
 
-    @F.udf("boolean")  # a row is a whole page
-    def leads_on(site: str, page: int | None, html: str | None) -> bool:
-        return site not in pagers or first(parse(html or ""), pagers[site].replace("{next}", str((page or 1) + 1))) is not None
+    @F.arrow_udf("boolean")
+    def leads_on(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in columns:
+            rows = zip(*(c.to_pylist() for c in batch), strict=True)
+            yield pa.array([s not in pagers or first(parse(h or ""), pagers[s].replace("{next}", str((p or 1) + 1))) is not None for s, p, h in rows], pa.bool_())
 
     on = leads_on("site_id", "page", "html")
     end = F.min(F.when(~F.col("_on"), F.coalesce("page", F.lit(1)))).over(Window.partitionBy("site_id"))

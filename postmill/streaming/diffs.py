@@ -26,6 +26,8 @@ def stream_new_postings(snapshots: DataFrame, seen_path: str, out_path: str, che
             seen = spark.createDataFrame([], keys)
         new = new_postings(rows, seen)
         new.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        rows.select("site_id", "title").distinct().write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
+        # Only keys that no batch before had: together they are each key once.
+        told = spark.read.schema(rows.schema).parquet(f"{out_path}/batch={number}")
+        told.select("site_id", "title").distinct().write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
 
     return snapshots.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start()
