@@ -93,13 +93,9 @@ def ordered(rows: DataFrame, collation: str = COLLATION) -> DataFrame:
 
 
 def ranked(rows: DataFrame, collation: str = COLLATION) -> DataFrame:
-    """`rows` with `rank`, the place in `ordered`: ranges of the order are numbered side by side, then moved on by what is before.
-
-    Ranges are of what ISO dates and other texts begin with; within them and at their ends the collation decides: dates that are
-    equal in it are together.
-    """
-    d = lambda: F.collate(F.coalesce("reg_date", F.lit("")), collation)
-    dealt = rows.withColumn("_d", d()).repartitionByRange(F.desc("_d"), "rank_place").sortWithinPartitions(F.desc("_d"), "rank_place")
+    """`rows` with `rank`, the place in `ordered`: ranges of the order are numbered side by side, then moved on by what is before."""
+    date = F.collate(F.coalesce("reg_date", F.lit("")), collation)
+    dealt = rows.withColumn("_d", date).repartitionByRange(F.desc("_d"), "rank_place").sortWithinPartitions(F.desc("_d"), "rank_place")
     dealt = checkpoint(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % (1 << 33)))
     # One row for each partition.
     counts = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
