@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -12,8 +13,8 @@ from postmill.functions import text as T
 from postmill.functions import times
 from postmill.operators import audit as A
 from postmill.operators import dedup, filters, fuzzy, snapshots, view
-from postmill.operators.tables import checkpoint
-from postmill.plans import board_pages, gather, source_queries, stored_queries
+from postmill.operators.tables import checkpoint, shared_folder
+from postmill.plans import board_pages, gather, source_queries, stored_queries, whole_run
 from postmill.plans.derived import AS_OF, KEYWORDS, POSTINGS_SQL, RAW_DATES_SQL, SITES_SQL, WS, postings, raw_dates, sites, squeeze_sql, table, trim_sql
 from postmill.plans.gather import PAGE_ROWS
 from postmill.sources.boards import SITES, site_table
@@ -553,22 +554,45 @@ def _found_sql(site: str) -> str:
     return f"SELECT '{site}' AS site_id, * FROM ({board_pages.board_sql(board_pages.LAYOUTS[site])}) {once}"
 
 
-_RUN_SQL = "found AS (" + " UNION ALL ".join(f"({_found_sql(x)})" for x in board_pages.LAYOUTS if x != "khs") + f"""),
-answered AS ({board_pages.JSON_SQL}),
-registry(site_id, site_ord) AS (VALUES {", ".join(f"('{x[0]}', {k})" for k, x in enumerate(SITES, 1))}),
-gathered AS (SELECT site_id, page * CAST({PAGE_ROWS} AS BIGINT) + post_ord AS post_ord, title, organization, reg_date, deadline_date, url, status FROM found
-  UNION ALL SELECT 'job-gg', post_ord, title, organization, reg_date, deadline_date, url, NULL FROM answered),
+_REGISTRY_SQL = f"""registry(site_id, site_ord) AS (VALUES {", ".join(f"('{x[0]}', {k})" for k, x in enumerate(SITES, 1))})"""
+
+
+def _run_sql(sites: tuple[str, ...], answered: bool, pages: str = "true") -> str:
+    """Postings that a run finds on pages of some boards and, if asked for, in the JSON answers."""
+    more = "UNION ALL SELECT 'job-gg', post_ord, title, organization, reg_date, deadline_date, url, NULL FROM answered" if answered else ""
+    return "found AS (" + " UNION ALL ".join(f"({_found_sql(x)})" for x in sites) + f"""),
+answered AS ({board_pages.JSON_SQL}), {_REGISTRY_SQL},
+gathered AS (SELECT site_id, page * CAST({PAGE_ROWS} AS BIGINT) + post_ord AS post_ord, title, organization, reg_date, deadline_date, url, status FROM found WHERE {pages} {more}),
 postings AS (SELECT site_id, site_ord, post_ord, title, organization, reg_date, deadline_date, url, status FROM gathered JOIN registry USING (site_id)
   WHERE NOT {_NOISE('title')} AND NOT {_NOISE('organization')} AND {_MONTH})"""
 
 
-@query(_FUZZY_SQL.replace(POSTINGS_SQL, _RUN_SQL).replace("SELECT site_id, post_ord, title FROM crawled c", "SELECT site_id, post_ord, title, organization, reg_date, deadline_date, c.url, status FROM crawled c"))
+def _run_result_sql(found: str) -> str:
+    columns = "SELECT site_id, post_ord, title, organization, reg_date, deadline_date, c.url, status FROM crawled c"
+    return _FUZZY_SQL.replace(POSTINGS_SQL, found).replace("SELECT site_id, post_ord, title FROM crawled c", columns)
+
+
+@query(_run_result_sql(_run_sql(tuple(x for x in board_pages.LAYOUTS if x != "khs"), True)))
 def gather_run(spark, sf):
     """The whole run over all boards: pages and JSON answers read, filtered, made unique exactly and by likeness."""
     found = gather.gather(_run_pages(spark, sf), site_table(spark), KEYWORDS, AS_OF, board_pages.json_answers(spark, sf))
     return found.select("site_id", "post_ord", "title", "organization", "reg_date", "deadline_date", "url", "status")
 
 
+_STORED_BOARDS = ("korea-kr", "seoul", "kaah")
+
+
+@query(f"""SELECT site_id, title, organization, reg_date, deadline_date, url, status FROM ({_run_result_sql(_run_sql(_STORED_BOARDS, False))}) c
+WHERE NOT EXISTS (SELECT 1 FROM ({_run_result_sql(_run_sql(_STORED_BOARDS, False, "page % 2 = 0"))}) p WHERE p.site_id = c.site_id AND p.title = c.title)""")
+def whole_run_news(spark, sf):
+    """Two runs from captured files to stored results, the first over every second page: what the second one finds new."""
+    out = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    pages = [source_queries.pages_of(spark, sf, s) for s in _STORED_BOARDS]
+    for some in ([p.where("page % 2 = 0") for p in pages], pages):
+        stored = whole_run.whole_run(spark, source_queries.captured(spark, *some), out, KEYWORDS, AS_OF)
+    return stored.new_postings(spark).select("site_id", "title", "organization", "reg_date", "deadline_date", "url", "status")
+
+
 @query(f"WITH {_LISTED_SQL} SELECT row_number() OVER (ORDER BY count(*) DESC, min(first_at)) AS place, site_id, count(*) AS n FROM listing GROUP BY site_id")
 def site_order(spark, sf):
     return view.site_order(_listed(spark, sf)).select("place", "site_id", "n")
