@@ -17,8 +17,7 @@ from pyspark.sql.types import IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from postmill.functions.text import normalize_date, optional_date, or_default, trim, truncate
-from postmill.operators import html as H
-from postmill.operators.extract import Board, Pick, keep_absolute, only_absolute, prefixed, resolved, strip_dot, tree_rows
+from postmill.operators.extract import Board, Pick, keep_absolute, only_absolute, prefixed, resolved, strip_dot, tree_of, tree_rows
 
 FIELDS = ("title", "date", "org", "deadline", "status", "link")
 _PICKS = ("title", "date", "needs", "org", "deadline", "status", "link")
@@ -83,7 +82,7 @@ class BoardRows:
             board = board_of(spec)
             if board.error_path and board.error_path in (url or ""):
                 return
-            for n, row in enumerate(tree_rows(board, H.parse(html))):
+            for n, row in enumerate(tree_rows(board, tree_of(board, html))):
                 yield (n, *(row[f] for f in wanted), None)
         except Exception as e:  # whatever a page or a spec leads to
             yield (None, *(None for _ in wanted), f"{type(e).__name__}: {e}")

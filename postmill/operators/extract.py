@@ -111,6 +111,7 @@ class Board:
     bracket_org: str = ""  # start or anywhere
     distinct: bool = False  # one posting for each title
     error_path: str = ""
+    closed_refs: bool = False  # only references that end in a semicolon are read; browsers read some that break off
     other: Board | None = field(default=None)
 
 
@@ -118,11 +119,20 @@ def _first(picks: tuple[Pick, ...], row: H.Node, cells: list[H.Node]) -> str:
     return next((v for p in picks if (v := p.value(row, cells))), "")
 
 
+#: An ampersand that begins no closed reference.
+_OPEN_REF = re.compile(r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)")
+
+
+def tree_of(board: Board, page: str, tick: Callable[[], None] = lambda: None) -> H.Node:
+    """A page's tree, its references read as its board says."""
+    return H.parse(_OPEN_REF.sub("&amp;", page) if board.closed_refs else page, tick)
+
+
 def rows_of(board: Board, page: str, url: str = "") -> list[dict]:
     """The raw values of a page's rows."""
     if board.error_path and board.error_path in url:
         return []
-    return list(tree_rows(board, H.parse(page)))
+    return list(tree_rows(board, tree_of(board, page)))
 
 
 def tree_rows(board: Board, tree: H.Node, tick: Callable[[], None] = lambda: None) -> Iterator[dict]:

@@ -213,3 +213,16 @@ def test_digits_are_ascii():
     board = BOARDS["artic"]
     page = f'<table class="boardCategory"><tbody>{tr("٢٠٢٦-٠٣-٠١", a("t"), "2026-03-02")}</tbody></table>'
     assert [r["date"] for r in rows_of(board, page)] == ["2026-03-02"]
+
+
+def test_references_that_break_off(spark, tmp_path):
+    """A title cut within a reference: `extract_title` and its SQL leave what isn't closed, a board reads it as browsers do."""
+    from postmill.operators.extract import Board, Pick
+    from postmill.plans.queries import ORACLE_SQL, QUERIES
+    from tests.oracle import same
+
+    page = "<head><title>a &lt;b&gt; &amp;&amp;amp c&amp</title></head>"
+    board = Board("head", (Pick(css="title"),), (), "page")
+    assert [r["title"] for r in rows_of(board, page)] == ["a <b> &&amp c&"]
+    spark.createDataFrame([(1, "u", page), (2, "u", "<head><title>&am</title></head>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert same(spark, QUERIES["extract_title"], ORACLE_SQL["extract_title"], str(tmp_path)) == 2
