@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bounded, checkpoint, lower_words, mix, over_texts, texts
+from postmill.llm.common import bounded, checkpoint, lower_words, mix, over_texts, texts, window_hashes
 from postmill.llm.components import named_components
 
 SHINGLE, SEED = 5, 42
@@ -38,8 +38,11 @@ def shingles(text: bytes | None, length: int = SHINGLE) -> np.ndarray:
     words = lower_words(text)
     if not words:
         return np.empty(0, np.uint64)
-    grams = [b" ".join(words)] if len(words) < length else map(b" ".join, zip(*(words[i:] for i in range(length)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+    if len(words) < length:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    # Words are hashed once each, and runs from the hashes of their words.
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return np.unique(window_hashes(hashed, length))
 
 
 def bands(found: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ Sets that share signatures are compared in two ways, and each link that isn't im
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ def band(size: int) -> tuple[int, int, int]:
         low, number = high + 1, number + 1
 
 
+@cache
 def tags(size: int) -> list[tuple[int, int]]:
     """Bands (number, greatest size) in which a set of `size` may meet linked ones."""
     if size < LEAST_SIZE:
@@ -67,7 +69,8 @@ def parts(high: int) -> int:
     return differences // 2 + 1 + SPARE
 
 
-_PAIRS = ((0, 1), (0, 2), (1, 2))
+#: The pairs of a part's cells, first ones and second ones.
+_ONE, _OTHER = [0, 0, 1], [1, 2, 2]
 
 
 def signatures(found: np.ndarray) -> np.ndarray:
@@ -87,9 +90,9 @@ def signatures(found: np.ndarray) -> np.ndarray:
         content = (sums[ends] - sums[ends - sizes]).reshape(n, 3)
         empty = (sizes == 0).reshape(n, 3)
         part = np.arange(n, dtype=np.uint64) * np.uint64(4) + np.uint64(number << 40)
-        none = np.stack([empty[:, a] & empty[:, b] for a, b in _PAIRS])
-        keys = np.stack([mix(mix(content[:, a], content[:, b]), part + np.uint64(k)) for k, (a, b) in enumerate(_PAIRS)])
-        out.append(keys[~none] if none.any(0).sum() <= SPARE else keys.ravel())
+        none = empty[:, _ONE] & empty[:, _OTHER]
+        keys = mix(mix(content[:, _ONE], content[:, _OTHER]), part[:, None] + np.arange(3, dtype=np.uint64))
+        out.append(keys[~none] if none.any(1).sum() <= SPARE else keys.ravel())
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 

@@ -151,3 +151,15 @@ def test_links_of_later_comparisons_are_enough(spark, monkeypatch, off):
     texts = corpus(3, 25)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_texts(docs(spark, texts)).collect()}
     assert got == brute(texts) and len(calls) == 3
+
+
+def test_words_are_hashed_once_each(monkeypatch):
+    """Runs of words are named by the hashes of their words: no run is joined and hashed as a text."""
+    from postmill.llm import jaccard
+
+    told = []
+    digest = jaccard.xxhash.xxh64_intdigest
+    monkeypatch.setattr(jaccard.xxhash, "xxh64_intdigest", lambda x, *seed: told.append(x) or digest(x, *seed))
+    found = shingles(b"A b c d e f a B", 4)
+    assert told == [b"a", b"b", b"c", b"d", b"e", b"f", b"a", b"b"] and len(found) == 5
+    assert set(found[np.isin(found, shingles(b"b c d e f", 4))]) == set(shingles(b"b c d e f", 4)) and len(shingles(b"b c d e f", 4)) == 2
