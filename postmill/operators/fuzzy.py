@@ -31,8 +31,6 @@ from postmill.operators.dedup import ORDER, has_url
 from postmill.operators.tables import checkpoint
 
 ALIKE_LENGTH = 10
-#: Titles whose tokens are broadcast to their pairs (about 300 bytes each); more are joined by shuffles.
-BROADCAST_ROWS = 100_000
 #: Rows that one task decides in order; pairs for each row up to which more rows are decided in rounds, all at once.
 LEAF, PAIRS = 4096, 32
 #: Postings with one token that meet in one place; those of a more common token are dealt by salt.
@@ -43,20 +41,17 @@ def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
     """Pairs `i`, `j` (places, i before j) and `overlap`, from `place` and `tokens`.
 
     Joins on tokens, not on rows. A pair must meet in one of the earlier posting's rarest tokens: those
-    before the rest comes to less than `least` characters. So very common words seldom make candidates.
+    before the rest comes to less than `least` characters. So very common words seldom make candidates. Of the tokens in which a pair
+    meets, the first one tells it, so that tokens are shuffled but no pairs.
     """
-    words = tokens.select("place", F.explode("tokens").alias("t")).groupBy("place", "t").agg((F.count("*") * units(F.col("t"))).alias("w"))
-    words = checkpoint(words)
-    leads = _known(words).where(F.col("rest") >= least).select(F.col("place").alias("i"), "t")
-    met = leads.join(words.select(F.col("place").alias("j"), "t"), "t").where("i < j").select("i", "j")
-    # Few bytes but much work for each pair: as many tasks as the session shuffles to, whatever the size.
-    met = met.repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i", "j").distinct()
-    first = tokens.select(F.col("place").alias("i"), F.col("tokens").alias("_i"))
-    second = tokens.select(F.col("place").alias("j"), F.col("tokens").alias("_j"))
-    if tokens.count() <= BROADCAST_ROWS:
-        first, second = F.broadcast(first), F.broadcast(second)
-    overlap = _overlap("_i", "_j").alias("overlap")
-    return met.join(first, "i").join(second, "j").select("i", "j", overlap).where(F.col("overlap") >= least)
+    titles = Titles.of(tokens, least)
+    own = titles.leads.where("salt = 0").groupBy("i").agg(F.array_sort(F.collect_list("t")).alias("own"))  # tokens of a title
+    # Few bytes but much work for each row: as many tasks as the session shuffles to, whatever the size.
+    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    earlier = titles.leads.join(own, "i").repartition(parts, "t", "salt")
+    met = earlier.join(titles.words.repartition(parts, "t", "salt"), ["t", "salt"]).where("i < j")
+    once = met.where(F.col("t") == F.get(F.filter("own", lambda t: F.array_contains("tj", t)), F.lit(0)))
+    return once.select("i", "j", _overlap("ti", "tj").alias("overlap")).where(F.col("overlap") >= least)
 
 
 def _known(words: DataFrame) -> DataFrame:

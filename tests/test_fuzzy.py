@@ -112,3 +112,21 @@ def test_a_place_out_of_bounds_is_an_error(spark):
     df = spark.range(1).selectExpr("'s' AS site_id", "1 AS site_ord", "1099511627776 AS post_ord", "'t' AS title", "'u' AS url")
     with pytest.raises(Exception, match="below"):
         dedup_fuzzy(df).collect()
+
+
+def test_no_pair_is_shuffled(spark, capfd, monkeypatch):
+    """Pairs are told where they first meet, salted or not: above the join on tokens nothing is dealt anew or made distinct."""
+    monkeypatch.setattr(fuzzy, "SALT", 3)
+    df = spark.createDataFrame([(k, ["abcdef", "ghijkl", "x" * (k % 3 + 2)]) for k in range(20)], "place long, tokens array<string>")
+    found = alike_pairs(df)
+    rows = [(r["i"], r["j"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) == 190
+    capfd.readouterr()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        alike_pairs(df).explain()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    plan = capfd.readouterr().out.splitlines()
+    above = plan[: next(k for k, line in enumerate(plan) if "Join" in line)]
+    assert not any("Exchange" in line or "Aggregate" in line for line in above)
