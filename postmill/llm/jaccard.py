@@ -158,11 +158,30 @@ def node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose whole sets are similar enough."""
+    for batch in batches:
+        sets = zip(*(batch.column(c).to_pylist() for c in ("x", "y")), strict=True)
+        close = [bool(forest([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])) for x, y in sets]
+        yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
+
+
+def _verified(likely: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (`a`, `b`) among `likely` pairs of texts (`x`, `y`, their `content`), by their exact sets."""
+    named = prints.select("content", "fp").distinct()
+    ends = likely.join(named.withColumnsRenamed({"content": "x", "fp": "p"}), "x").join(named.withColumnsRenamed({"content": "y", "fp": "q"}), "y").where("p <> q")
+    pairs = checkpoint(ends.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.min("x").alias("x"), F.min("y").alias("y")))
+    sets = checkpoint(_sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("content"))))
+    both = pairs.select("a", "b").join(sets.withColumnsRenamed({"fp": "a", "found": "x"}), "a").join(sets.withColumnsRenamed({"fp": "b", "found": "y"}), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", tile: int = TILE, likely: DataFrame | None = None) -> DataFrame:
     """`id_col` and `component_id` (the smallest `id_col` of what is linked, directly or through others) of each row.
 
     Texts without words are near copies of each other; repeated rows each give a row; a null id is
-    never the smallest unless alone.
+    never the smallest unless alone. `likely` are pairs of texts (`x`, `y`: `xxhash64` of each) found otherwise, whose
+    exact sets decide too.
     """
 
     def step(batch: list[bytes | None]) -> dict:
@@ -180,4 +199,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> Da
     sets = _sets(docs, meet.select("content"))
     dealt = tiled(meet.select("fp", "key"), tile).join(sets, "fp").repartition("key").sortWithinPartitions("key", "fp")
     links = checkpoint(dealt.select("fp", "key", "side", "found").mapInArrow(_links, "a long, b long").distinct())
+    if likely is not None:
+        links = checkpoint(links.union(_verified(likely, prints, docs)).distinct())
     return prints.select(id_col, "fp").join(named_components(nodes, links), "fp").select(id_col, "component_id")

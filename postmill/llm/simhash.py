@@ -157,17 +157,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return fps.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def likely_copies(docs: DataFrame) -> DataFrame:
+    """Pairs (`x`, `y`: `xxhash64` of two texts) that join all texts of linked fingerprints: a forest of links, and a star for each fingerprint."""
+    fps = checkpoint(fingerprints(docs.select(F.xxhash64("text").alias("content"), "text"), "content").distinct())
+    nodes = checkpoint(fps.groupBy("fp").agg(F.min("content").alias("first")))
+    first = lambda fp, to: nodes.select(F.col("fp").alias(fp), F.col("first").alias(to))
+    across = links(nodes.select("fp")).join(first("a", "x"), "a").join(first("b", "y"), "b").select("x", "y")
+    return across.union(fps.join(nodes, "fp").where("content <> first").select("first", "content"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One document of each group of near copies: the one of the smallest id; the same columns.
 
-    Near copies share 0.8 or more of their five-word shingles (`near_copies`), not the query's fingerprints. Texts
+    The query's blocks find texts whose fingerprints differ in at most 4 bits, and exact sets of five-word shingles decide
+    which of them are copies: those that share 0.8 or more. Copies whose fingerprints differ in more bits are added by `near_copies`. Texts
     without words are copies of each other. Rows without id come after all others; of rows with equal id and text
     one stays; an empty table gives an empty one. Texts move once, to meet the keys that stay.
     """
     key, content = (f"_{x}" + "_" * max(map(len, docs.columns), default=0) for x in ("key", "content"))
     text = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1))
     named = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text.alias("content")).alias("key"), "text")
-    kept = near_copies(named, "key").where("key = component_id").select(F.xxhash64("key.id").alias(key), F.col("key.content").alias(content)).distinct()
+    kept = near_copies(named, "key", likely=likely_copies(docs)).where("key = component_id").select(F.xxhash64("key.id").alias(key), F.col("key.content").alias(content)).distinct()
     found = docs.withColumn(key, F.xxhash64(id_col)).withColumn(content, text).join(kept, [key, content], "left_semi")
     once = Window.partitionBy(key, content).orderBy(content)
     nth = key + "_"

@@ -105,3 +105,20 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 200), (301, 300)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(101)} | {300: 300, 301: 300}
+
+
+def test_deduplicate_goes_by_fingerprints(spark, monkeypatch):
+    """Copies are found by SimHash blocks alone when no MinHash band finds any, and exact sets decide."""
+    import random
+
+    import numpy as np
+
+    from postmill.llm import jaccard
+    from postmill.llm.simhash import deduplicate
+    from tests.llm.fixtures import docs, prose
+
+    monkeypatch.setattr(jaccard, "bands", lambda found: np.empty(0, np.int64))
+    rng = random.Random(3)
+    one, other = prose(rng, 400), prose(rng, 400)
+    table = docs(spark, [one, one + " more", other, one.upper()], ids=[4, 3, 2, 1])
+    assert sorted(r["doc_id"] for r in deduplicate(table).collect()) == [1, 2]
