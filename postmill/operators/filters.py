@@ -40,6 +40,8 @@ def is_job_title(title: Column | str) -> Column:
 
 #: Characters by which keywords of a table are looked up; shorter ones by all that they have.
 GRAM = 3
+#: Bytes of keywords up to which they are sent to the tasks; beyond, grams of texts are shuffled.
+HELD = 8 << 20
 
 
 def _grams(text: Column, length: Column) -> Column:
@@ -48,20 +50,25 @@ def _grams(text: Column, length: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, length)))
 
 
-def without_keywords(rows: DataFrame, column: str, keywords: DataFrame) -> DataFrame:
+def without_keywords(rows: DataFrame, column: str, keywords: DataFrame, held: int = HELD) -> DataFrame:
     """`rows` whose text in `column` contains no `word` of the table `keywords`, case and all; a null has none.
 
-    A keyword is looked up by the one of its grams that the fewest texts have, and then compared whole. Neither table is gathered; equal texts are looked at once.
+    A keyword is looked up by the one of its grams that the fewest texts have, and then compared whole. Equal texts are looked at once.
+    Texts are never gathered, nor are more keywords than `held` bytes: grams are many times their texts, which estimates of size don't
+    know, so how the two meet is said here.
     """
     words = keywords.select("word").where("coalesce(word, '') <> ''").distinct()
     words = words.withColumn("n", F.least(F.length("word"), F.lit(GRAM)))
     own = checkpoint(words.select("word", "n", F.explode(_grams(F.col("word"), F.col("n"))).alias("gram")))
-    texts = rows.select(F.col(column).alias("_text")).where("_text is not null").distinct()
+    texts = checkpoint(rows.select(F.col(column).alias("_text")).where("_text is not null").distinct())
     lengths = F.array(*map(F.lit, range(1, GRAM + 1)))
     found = texts.select("_text", F.explode(lengths).alias("n")).select("_text", F.explode(_grams(F.col("_text"), F.col("n"))).alias("gram"))
-    common = found.join(own.select("gram").distinct(), "gram").groupBy("gram").count()
-    rarest = own.join(common, "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
-    noisy = found.join(rarest, "gram").where(F.contains("_text", F.col("word"))).select("_text").distinct()
+    common = found.groupBy("gram").count()
+    rarest = own.join(common.hint("merge"), "gram", "left").groupBy("word").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)), "gram")).alias("gram"))
+    rarest = checkpoint(rarest)
+    size = rarest.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("gram")), F.lit(0))).first()[0]
+    met = found.join(rarest.hint("broadcast" if size <= held else "merge"), "gram")
+    noisy = met.where(F.contains("_text", F.col("word"))).select("_text").distinct()
     return rows.join(noisy, rows[column] == noisy["_text"], "left_anti")
 
 

@@ -134,6 +134,24 @@ def test_keywords_of_a_table_equal_those_of_a_list(spark):
         assert {r["k"] for r in without_keywords(rows, "title", table).collect()} == want
 
 
+def test_grams_of_texts_are_never_broadcast(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from postmill.operators.filters import without_keywords
+
+    # Few texts in bytes, fewer than keywords, but of many grams.
+    rows = spark.range(200).select(F.col("id").alias("k"), F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 256), 8), F.lit("x")).alias("title"))
+    words = spark.range(5000).select(F.concat(F.lit("z"), F.sha2(F.col("id").cast("string"), 256)).alias("word")).union(rows.where("k = 7").select(F.left("title", F.lit(70))))
+    for more in ({}, {"held": 0}):
+        kept = without_keywords(rows, "title", words, **more)
+        assert {r["k"] for r in kept.collect()} == set(range(200)) - {7}
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        for sent in plan.split("BroadcastExchange")[1:]:
+            assert "Generate" not in re.split(r"ShuffleQueryStage|\bExchange\b", sent)[0]
+
+
 def test_titles_are_found_by_automata(spark, monkeypatch):
     import random
 
