@@ -7,6 +7,8 @@ otherwise. Lengths are those of ECMAScript too: units of UTF-16, of which a char
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def once(c: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once a row: a column written twice is computed twice, and its code doubles."""
+    return F.get(F.transform(F.array(c), made), F.lit(0))
+
+
 def trim(c: Column | str) -> Column:
     return F.regexp_replace(_text(c), rf"^{WS}+|{WS}+\z", "")
 
@@ -64,7 +71,7 @@ def truncate(c: Column | str, length: int = TITLE_LENGTH) -> Column:
     """
     solid = WS.replace("[", "[^", 1)
     text = squeeze(F.regexp_extract(_text(c), f"^{WS}*((?:{solid}{WS}*){{0,{length + 1}}})", 1))
-    return F.when(units(text) > length, F.concat(first_units(text, length), F.lit("..."))).otherwise(text)
+    return once(text, lambda t: F.when(units(t) > length, F.concat(first_units(t, length), F.lit("..."))).otherwise(t))
 
 
 def or_default(*choices: Column | str) -> Column:
@@ -79,15 +86,11 @@ def normalize_date(c: Column | str) -> Column:
     Two-digit years are of this century; months and days aren't checked. Other texts come back trimmed.
     Because blanks go first, an hour after a one-digit day joins the day (`2026.3.1 12:30` is the 11th).
     """
-    bare = F.regexp_replace(F.regexp_replace(_text(c), WS, ""), r"\.", "-")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"/\z", ""), r"-\z", "")
-    return _dated(bare, r"^(\d{4})-(\d{1,2})-(\d{1,2})", "", _dated(bare, r"^(\d{2})-(\d{1,2})-(\d{1,2})", "20", trim(c)))
-
-
-def _dated(bare: Column, pattern: str, century: str, other: Column) -> Column:
-    part = lambda i: F.regexp_extract(bare, pattern, i)
-    date = F.concat(F.lit(century), part(1), F.lit("-"), F.lpad(part(2), 2, "0"), F.lit("-"), F.lpad(part(3), 2, "0"))
-    return F.when(bare.rlike(pattern), date).otherwise(other)
+    bare = F.replace(F.regexp_replace(_text(c), WS, ""), F.lit("."), F.lit("-"))
+    parts = F.split(F.regexp_extract(bare, r"^(?:\d{4}|\d{2})-\d{1,2}-\d{1,2}", 0), "-")
+    year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    date = lambda p: F.concat(year(p[0]), F.lit("-"), F.lpad(p[1], 2, "0"), F.lit("-"), F.lpad(p[2], 2, "0"))
+    return once(parts, lambda p: F.when(F.size(p) == 3, date(p)).otherwise(trim(c)))
 
 
 def normalize_date_strict(c: Column | str) -> Column:

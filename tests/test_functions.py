@@ -112,3 +112,13 @@ def test_days_are_counted_to_the_second(spark, now, want):
 def test_month_back(spark):
     days = ["2026-03-31", "2026-03-28", "2024-03-31", "2026-01-15"]
     assert [str(d) for d in each(spark, days, lambda c: times.month_back(c.cast("date")))] == ["2026-03-03", "2026-02-28", "2024-03-02", "2025-12-15"]
+
+
+def test_a_text_is_read_once_for_all_that_is_made_of_it(spark):
+    # Written twice, a column is computed twice, and the code of a run's boards grew beyond what can be compiled.
+    assert str(T.truncate("raw")).count("regexp_extract") == 1
+    assert str(T.normalize_date("raw")).count("regexp_extract") == 1
+    texts = ["2026-3-1", "26.3.1.", " 2026. 3. 11. ", "26-3-1/", "2026-03-01-", "202-3-1", "226-3-1", "2026-3", "2026/3/1", "", " x ", None, "12345-1-1", "2026-123-1", "26-12-123"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, raw string")
+    got = [r["d"] for r in rows.select("i", T.normalize_date("raw").alias("d")).orderBy("i").collect()]
+    assert got == ["2026-03-01", "2026-03-01", "2026-03-11", "2026-03-01", "2026-03-01", "202-3-1", "226-3-1", "2026-3", "2026/3/1", "", "x", "", "12345-1-1", "2026-123-1", "2026-12-12"]
