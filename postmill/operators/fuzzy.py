@@ -187,9 +187,18 @@ def place_of(rows: DataFrame) -> Column:
     return F.shiftleft(F.col(ORDER[0]).cast("long"), 40) + bounded
 
 
-def dedup_fuzzy(postings: DataFrame, least: int = ALIKE_LENGTH, leaf: int = LEAF, pairs: int = PAIRS) -> DataFrame:
-    """`postings` without those that the pass removes; titles without tokens are never alike to others."""
-    placed = checkpoint(postings.withColumn("_place", place_of(postings)))
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `_place`: numbers that rise in their order, whatever their own numbers are. Ranges of the order are numbered side by side."""
+    known = F.col(ORDER[0]).isNotNull() & F.col(ORDER[1]).isNotNull()
+    return rows.orderBy(*ORDER).withColumn("_place", F.when(known, F.monotonically_increasing_id()))
+
+
+def dedup_fuzzy(postings: DataFrame, least: int = ALIKE_LENGTH, leaf: int = LEAF, pairs: int = PAIRS, bounded: bool = True) -> DataFrame:
+    """`postings` without those that the pass removes; titles without tokens are never alike to others.
+
+    Numbers of postings that are not `bounded`, as those of a run's pages, are put in their order first.
+    """
+    placed = checkpoint(postings.withColumn("_place", place_of(postings)) if bounded else numbered(postings))
     rows = checkpoint(placed.select(F.col("_place").alias("place"), title_tokens("title").alias("tokens"), has_url().alias("url")))
     removed = removed_places(rows, least, leaf, pairs)
     return placed.join(removed.withColumnRenamed("n", "_place"), "_place", "left_anti").drop("_place")

@@ -122,7 +122,8 @@ def run(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime
         found = found.unionByName(more.withColumn("post_ord", F.col("post_ord").cast("long")).select(POSTING_COLUMNS))
     kept = relevant_postings(found, keywords, as_of)
     placed = kept.join(sites.select("site_id", "site_ord", "site_name"), "site_id")
-    return dedup_fuzzy(dedup_crawl(placed)), read
+    # From page 4,096 on a page's numbers are beyond what one number of site and posting can hold.
+    return dedup_fuzzy(dedup_crawl(placed), bounded=False), read
 
 
 def results(snapshot: DataFrame, pages: DataFrame, sites: DataFrame, crawled_at: str) -> DataFrame:

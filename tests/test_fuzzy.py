@@ -114,6 +114,17 @@ def test_a_place_out_of_bounds_is_an_error(spark):
         dedup_fuzzy(df).collect()
 
 
+@pytest.mark.parametrize("seed", [8, 9])
+def test_numbers_without_bound_equal_the_pass(spark, seed):
+    """Numbers beyond 2**40, of which those of one site would reach into the next one's places."""
+    rows, tokens = postings(spark, seed)
+    gone = literal_pass([(p, t, u) for p, (t, u) in tokens.items()])
+    far = rows.withColumn("post_ord", F.lit((1 << 58) + (1 << 41)) - F.col("site_ord").cast("long") * (1 << 42) + F.col("post_ord"))
+    want = sorted(((p >> 40, t) for p, (t, _) in tokens.items() if p not in gone), key=str)
+    got = dedup_fuzzy(far.repartition(5), bounded=False).select("site_ord", title_tokens("title").alias("t")).collect()
+    assert sorted(((r["site_ord"], r["t"]) for r in got), key=str) == want and gone
+
+
 def test_no_pair_is_shuffled(spark, capfd, monkeypatch):
     """Pairs are told where they first meet, salted or not: above the join on tokens nothing is dealt anew or made distinct."""
     monkeypatch.setattr(fuzzy, "SALT", 3)

@@ -38,6 +38,16 @@ def test_a_run(spark):
     assert len(nested) == 42 and nested["hsmuseum"]["error"] == "timeout" and len(nested["baekje"]["postings"]) == 1 and nested["kaah"]["postings"] == []
 
 
+def test_pages_beyond_4096(spark):
+    """The first of alike postings stays by the order of sites and pages, however far a page's number is."""
+    page = lambda title: f"<table><tbody><tr><td>1</td><td><a href='/v'>{title}</a></td><td>x</td><td>2026-03-20</td><td>2026-03-20</td></tr></tbody></table>"
+    first, second = (r["site_id"] for r in site_table(spark).where("site_id in ('kaah', 'anseong')").orderBy("site_ord").collect())
+    pages = [(first, 2_000_000, "u", page("국립민속박물관 학예연구사 채용"), None), (first, 4096, "u", page("다른 자리 채용"), None), (second, 1, "u", page("국립민속박물관 학예연구사 모집"), None), (second, 9000, "u", page("새로운 공고"), None)]
+    snapshot = gather(spark.createDataFrame(pages, SCHEMA), site_table(spark), [], datetime(2026, 3, 31, 12))
+    want = [(first, "국립민속박물관 학예연구사 채용"), (first, "다른 자리 채용"), (second, "새로운 공고")]
+    assert sorted((r["site_id"], r["title"]) for r in snapshot.collect()) == sorted(want)
+
+
 def test_a_broken_page_is_an_error_of_its_site(spark, monkeypatch):
     from postmill.plans import gather as plan
 
