@@ -97,12 +97,17 @@ _SPEC = "organization string, url string, base string, call string, raw_dates bo
 
 
 def spec_rows(pages: DataFrame, specs: DataFrame) -> DataFrame:
-    """`site_id`, `page`, `spec` and the raw values of each row of `pages` (`site_id`, `page`, `url`, `html`), by the specs of their sites (`site_id`, `spec`)."""
+    """`site_id`, `page`, `spec` and the raw values of each row of `pages` (`site_id`, `page`, `url`, `html`), by the specs of their sites (`site_id`, `spec`).
+
+    Specs, a row for each board, are broadcast, and pages are dealt by their numbers: no site is read by one task.
+    """
     spark = pages.sparkSession
     register(spark)
+    # Few bytes but much work for each page: as many tasks as the session shuffles to, whatever the size.
+    dealt = pages.select("site_id", "page", "url", "html").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "site_id", "page")
     return spark.sql(
         "SELECT p.site_id, coalesce(p.page, 1) AS page, s.spec, r.* FROM {pages} p JOIN {specs} s ON p.site_id = s.site_id, LATERAL board_rows(p.html, p.url, s.spec) r",
-        pages=pages.select("site_id", "page", "url", "html"), specs=specs.select("site_id", "spec"),
+        pages=dealt, specs=F.broadcast(specs.select("site_id", "spec")),
     )
 
 
@@ -134,5 +139,6 @@ def spec_postings(rows: DataFrame, page_rows: int) -> DataFrame:
         F.when(flag("raw_dates"), F.nullif("deadline", F.lit(""))).otherwise(optional_date("deadline")).alias("deadline_date"),
         _link(F.coalesce("b.url", F.lit("none")), text("base"), text("call")).alias("url"), F.nullif("status", F.lit("")).alias("status"), flag("distinct").alias("_once"),
     )
-    nth = F.row_number().over(Window.partitionBy("site_id", "title").orderBy("post_ord"))
+    # Equal titles meet only where one of them stays.
+    nth = F.row_number().over(Window.partitionBy("site_id", "title", F.when(~F.col("_once"), F.col("post_ord"))).orderBy("post_ord"))
     return made.withColumn("_nth", nth).where("not _once or _nth = 1").drop("_nth", "_once")

@@ -126,11 +126,7 @@ _BY_SPEC = ("nmkpg", "gogung", "museum-or-kr", "museum-go-kr", "musenet", "histo
 def spec_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of boards that rows of a table describe, by the table function."""
     specs = spec_table(spark, {s: BOARDS[s] for s in _BY_SPEC})
-    pages = None
-    for site in _BY_SPEC:
-        some = pages_of(spark, sf_dir, site)
-        pages = some if pages is None else pages.unionByName(some)
-    return _postings(spec_postings(spec_rows(pages, specs), PAGE_ROWS))
+    return _postings(spec_postings(spec_rows(B.pages_of_boards(spark, sf_dir, _BY_SPEC), specs), PAGE_ROWS))
 
 
 SPEC_BOARDS_SQL = " UNION ALL ".join(_board(s) for s in _BY_SPEC)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from postmill.operators.board_rows import board_of, board_spec, register, spec_postings, spec_rows, spec_table
 from postmill.plans.gather import PAGE_ROWS, page_postings
@@ -54,3 +55,13 @@ def test_fields_decide_the_columns(spark):
     for bad in ("SELECT * FROM board_rows(:page, null, :spec, 'colour')", "SELECT * FROM board_rows(1, null, :spec)"):
         with pytest.raises(Exception, match="board_rows"):
             spark.sql(bad, args={"page": page, "spec": spec}).collect()
+
+
+def test_pages_of_a_site_are_read_by_many_tasks(spark):
+    """Pages of one site don't meet where specs are joined, but for boards that want equal titles once they do after reading."""
+    pages = spark.range(40).selectExpr("'kaah' AS site_id", "CAST(id AS INT) AS page", "'u' AS url", f"'{CASES['kaah'][0]}' AS html")
+    rows = spec_rows(pages, spec_table(spark, {"kaah": BOARDS["kaah"]}))
+    tasks = rows.withColumn("task", F.spark_partition_id())
+    assert tasks.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks.groupBy("page").agg(F.countDistinct("task").alias("n")).where("n > 1").isEmpty()
+    assert rows.count() == 40 * spec_rows(pages.limit(1), spec_table(spark, {"kaah": BOARDS["kaah"]})).count()
