@@ -10,19 +10,23 @@ choice, not a grouping, and is decided here in parts:
 3. One without URL is removed by an alike earlier one with URL that stays, or by one without URL that is
    not itself removed and does not yield before it.
 
-1 and 3 are greedy choices (`active`): postings are compared with those that stay, not with each other. The earlier half
-is decided first; what its active postings remove is gone from the later half before that is looked at. Few rows are decided by
-one task in order, and rows with few likely pairs in rounds over these pairs. Alike pairs are never written
-out for a group of alike titles: a group leaves one posting in the first half that has any of it, and that removes the rest.
+1 and 3 are greedy choices: postings are compared with those that stay, not with each other. Blocks in order are each decided by
+one task, and what stays of a block is broadcast and removes alike ones from all that is left (`first_removers`). If a block
+removes next to none, halves are decided instead (`active`): what stays of the earlier half removes alike ones from the later half
+by joins on tokens, before that is looked at; rows with few likely pairs are decided in rounds over these pairs. Alike pairs are never written
+out for a group of alike titles: a group leaves one posting in the first part that has any of it, and that removes the rest.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, reduce
+from itertools import islice
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +39,8 @@ ALIKE_LENGTH = 10
 LEAF, PAIRS = 4096, 32
 #: Postings with one token that meet in one place; those of a more common token are dealt by salt.
 SALT = 8192
+#: A block's rows, in leaves; the part by which each block has to lessen what is left; blocks of rows that yield at most; rows a task.
+BLOCK, SHARE, BLOCKS, ROWS = 2, 32, 16, 8192
 
 
 def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
@@ -98,24 +104,86 @@ class Titles:
         return first.join(second, "t").agg(F.coalesce(F.sum(F.col("count") * F.col("more")), F.lit(0))).first()[0]
 
 
-def _in_order(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Active ones of the rows (`n`, `to`, `tokens`, in order) of one task: one looks at the active ones before it that have a token of its own."""
-    having: dict[str, list[tuple[int, int]]] = defaultdict(list)
-    limits: list[int | None] = []
-    active = []
+class Earlier:
+    """Postings in order, by which alike later ones are found: `add` and `alike` need no others than those of one block."""
+
+    def __init__(self, least: int, titles: list[list[str]]):
+        self.least, self.common = least, Counter(t for tokens in titles for t in set(tokens))
+        self.places: list[int] = []
+        self.bounds: list[int | None] = []
+        self.weights: list[dict[str, int]] = []
+        self.leads: dict[str, list[int]] = defaultdict(list)
+
+    def add(self, n: int, to: int | None, tokens: list[str]) -> None:
+        weights = {t: len(t.encode("utf-16-le")) // 2 * times for t, times in Counter(tokens).items()}
+        rest = 0
+        for t in sorted(weights, key=lambda t: (-self.common[t], t)):
+            rest += weights[t]
+            if rest >= self.least:
+                self.leads[t].append(len(self.places))
+        self.places.append(n)
+        self.bounds.append(to)
+        self.weights.append(weights)
+
+    def alike(self, n: int, tokens: list[str], before: int, bounds: list[int | None]) -> Iterator[int]:
+        """Which ones whose place is less than `before` and whose bound is null or behind `n` are alike, in order."""
+        own = set(tokens)
+        for k in sorted(set().union(*(self.leads[t] for t in own if t in self.leads))):
+            if self.places[k] >= before:
+                return
+            if (bounds[k] is None or n < bounds[k]) and sum(self.weights[k][t] for t in self.weights[k].keys() & own) >= self.least:
+                yield k
+
+
+class Block:
+    """At most a block's rows (`n`, `to`, `tokens`, in order), as they are broadcast; each Python worker that uses them makes `earlier` once."""
+
+    def __init__(self, rows: list[tuple], least: int):
+        self.rows, self.least = rows, least
+
+    @cached_property
+    def earlier(self) -> Earlier:
+        found = Earlier(self.least, [tokens for _, _, tokens in self.rows])
+        for row in self.rows:
+            found.add(*row)
+        return found
+
+
+def _lists(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     for batch in batches:
-        for n, to, tokens in zip(*(batch.column(c).to_pylist() for c in ("n", "to", "tokens")), strict=True):
-            weights: dict[int, int] = defaultdict(int)
-            for t in set(tokens):
-                for k, w in having.get(t, ()):
-                    weights[k] += w
-            if any(w >= least and (limits[k] is None or n < limits[k]) for k, w in weights.items()):
-                continue
-            active.append(n)
-            for t in set(tokens):
-                having[t].append((len(limits), len(t.encode("utf-16-le")) // 2 * tokens.count(t)))
-            limits.append(to)
-    yield pa.RecordBatch.from_pydict({"n": pa.array(active, pa.int64())})
+        yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch], least: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Active ones of the first `size` rows (`n`, `to`, `tokens`, in order) of one task, and at last one without tokens: the last place looked at."""
+    rows = list(islice(_lists(batches, "n", "to", "tokens"), size))
+    found, active = Earlier(least, [tokens for _, _, tokens in rows]), []
+    for n, to, tokens in rows:
+        if next(found.alike(n, tokens, n, found.bounds), None) is None:
+            found.add(n, to, tokens)
+            active.append((n, to, tokens))
+    columns = zip(*active, (rows[-1][0], None, None), strict=True) if rows else ([], [], [])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], ["n", "to", "tokens"])
+
+
+def _firsts(batches: Iterator[pa.RecordBatch], block: Broadcast[Block]) -> Iterator[pa.RecordBatch]:
+    """Each row (`n`, `tokens` and more) with `first`: the place of the first one of the block that removes it."""
+    earlier = block.value.earlier
+    for batch in batches:
+        ks = (next(earlier.alike(n, tokens, n, earlier.bounds), None) for n, tokens in _lists([batch], "n", "tokens"))
+        first = pa.array([None if k is None else earlier.places[k] for k in ks], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, first], [*batch.schema.names, "first"])
+
+
+def _next(batches: Iterator[pa.RecordBatch], block: Broadcast[Block]) -> Iterator[pa.RecordBatch]:
+    """For those of the block, the first of a task's rows (`n`, `first`, `tokens`) that is alike, later, and not removed before by its `first`."""
+    earlier = block.value.earlier
+    to = list(earlier.bounds)
+    for n, first, tokens in _lists(batches, "n", "first", "tokens"):
+        for k in earlier.alike(n, tokens, n if first is None else first, to):
+            to[k] = n
+    told = [(i, j) for i, j in zip(earlier.places, to, strict=True) if j is not None]
+    yield pa.RecordBatch.from_pydict({"i": pa.array([i for i, _ in told], pa.int64()), "to": pa.array([j for _, j in told], pa.int64())})
 
 
 def _settled(nodes: DataFrame, kills: DataFrame) -> DataFrame:
@@ -134,6 +202,11 @@ def _settled(nodes: DataFrame, kills: DataFrame) -> DataFrame:
     return state.where("coalesce(stays, true)").select("n")
 
 
+def _decided(rows: DataFrame, least: int, size: int) -> DataFrame:
+    """Active ones of the first `size` rows (`n`, `to`, `tokens`), decided by one task in order, and a last row without tokens."""
+    return rows.repartition(1).sortWithinPartitions("n").mapInArrow(lambda batches: _in_order(batches, least, size), "n long, to long, tokens array<string>")
+
+
 def active(titles: Titles, nodes: DataFrame, tokens: DataFrame, leaf: int = LEAF, pairs: int = PAIRS) -> DataFrame:
     """Those of `nodes` (`n`, `to`) that no earlier active one removes: an alike one whose `to` is null or behind.
 
@@ -143,7 +216,7 @@ def active(titles: Titles, nodes: DataFrame, tokens: DataFrame, leaf: int = LEAF
     count, low, high, middle = nodes.agg(F.count("*"), F.min("n"), F.max("n"), F.percentile_approx("n", 0.5)).first()
     if count <= max(leaf, 1):
         rows = nodes.join(tokens.withColumnRenamed("place", "n"), "n").select("n", "to", "tokens")
-        return rows.repartition(1).sortWithinPartitions("n").mapInArrow(lambda batches, least=titles.least: _in_order(batches, least), "n long")
+        return _decided(rows, titles.least, count).where("tokens is not null").select("n")
     if titles.likely(nodes.select("n")) <= pairs * count:
         kills = titles.alike(nodes.select(F.col("n").alias("i"), "to"), nodes.select(F.col("n").alias("j")), "to is null or j < to")
         return _settled(nodes, kills.select("i", "j").distinct())
@@ -155,29 +228,73 @@ def active(titles: Titles, nodes: DataFrame, tokens: DataFrame, leaf: int = LEAF
     return first.union(active(titles, later.join(gone, "n", "left_anti"), tokens, leaf, pairs))
 
 
+def first_removers(nodes: DataFrame, least: int, leaf: int = LEAF, pairs: int = PAIRS) -> DataFrame:
+    """`nodes` (`n`, `to`, `tokens`, `own`) with `first`: the first active one that removes it. Of those that are `own` the ones without are `active`; others remove nothing.
+
+    Block by block: one task decides the first rows that are left, and its active ones are broadcast to all others, of which those that are
+    removed are gone before the next block. So most rows of a table of alike titles are looked at once and never shuffled. Blocks go on as
+    long as each leaves a `SHARE`-th less, so all together look at no more than `SHARE` times the rows; titles that few others are alike to are left to `active`.
+    """
+    context, left, done = nodes.sparkSession.sparkContext, nodes.select("n", "to", "tokens", "own"), []
+    rows, own = left.agg(F.count("*"), F.count_if("own")).first()
+    size = BLOCK * max(leaf, 1)
+    while own:
+        end = left.where("own").agg(F.percentile_approx("n", min(size / own, 1.0))).first()[0]
+        *found, last = _decided(left.where(F.col("own") & (F.col("n") <= end)).select("n", "to", "tokens"), least, size).collect()
+        block = context.broadcast(Block([tuple(row) for row in found], least))
+        seen = left.coalesce(rows // ROWS + 1).mapInArrow(lambda batches, block=block: _firsts(batches, block), "n long, to long, tokens array<string>, own boolean, first long")
+        seen = checkpoint(seen)
+        block.unpersist()
+        settled = F.col("first").isNotNull() | (F.col("n") <= last["n"])
+        done.append(seen.where(settled))
+        left, before = seen.where(~settled).drop("first"), rows
+        rows, own = left.agg(F.count("*"), F.count_if("own")).first()
+        if own and (before - rows) * SHARE < before:
+            titles = Titles.of(left.select(F.col("n").alias("place"), "tokens"), least)
+            kept = checkpoint(active(titles, left.where("own"), left.select(F.col("n").alias("place"), "tokens"), leaf, pairs))
+            removers = left.join(kept, "n").select(F.col("n").alias("i"), "to")
+            reached = titles.alike(removers, left.join(kept, "n", "left_anti").select(F.col("n").alias("j")), "to is null or j < to").groupBy("j").agg(F.min("i").alias("first"))
+            return reduce(DataFrame.union, done, checkpoint(left.join(reached, F.col("n") == F.col("j"), "left").drop("j")))
+    return reduce(DataFrame.union, done, left.withColumn("first", F.lit(None).cast("long")))
+
+
+def yields_to(rows: DataFrame, later: DataFrame, least: int, leaf: int = LEAF) -> DataFrame:
+    """For `rows` (`n`, `tokens`) the first alike one of `later` (`n`, `first`, `tokens`) behind it that is still there, as its `first` is none or behind it: `i`, `to`."""
+    context, size, count = rows.sparkSession.sparkContext, BLOCK * max(leaf, 1), rows.count()
+    if count > BLOCKS * size:
+        return _yields_by_tokens(rows, later, least)
+    ends = rows.agg(F.percentile_approx("n", [min(k * size / count, 1.0) for k in range(1, -(-count // size) + 1)])).first()[0] if count else []
+    found = rows.sparkSession.createDataFrame([], "i long, to long")
+    for low, high in zip([None, *ends], ends):
+        inside = F.col("n") <= high if low is None else F.col("n").between(low + 1, high)
+        block = sorted((row["n"], None, row["tokens"]) for row in rows.where(inside).select("n", "tokens").collect())
+        if block:
+            told = context.broadcast(Block(block, least))
+            open_ = later.where((F.col("n") > block[0][0]) & (F.col("first").isNull() | (F.col("first") > block[0][0]))).select("n", "first", "tokens")
+            found = found.union(open_.mapInArrow(lambda batches, told=told: _next(batches, told), "i long, to long"))
+    return found.groupBy("i").agg(F.min("to").alias("to"))
+
+
+def _yields_by_tokens(rows: DataFrame, later: DataFrame, least: int) -> DataFrame:
+    """The same by joins on tokens, for many rows: first one of `later` that stays, then one before that."""
+    titles = Titles.of(rows.union(later.select("n", "tokens")).withColumnRenamed("n", "place"), least)
+    to_kept = titles.alike(rows.select(F.col("n").alias("i")), later.where("first is null").select(F.col("n").alias("j"))).groupBy("i").agg(F.min("j").alias("bound"))
+    to_kept = checkpoint(rows.select(F.col("n").alias("i")).join(to_kept, "i", "left"))
+    losers = later.where("first is not null").select(F.col("n").alias("j"), "first")
+    to_other = titles.alike(to_kept, losers, "first > i and (bound is null or j < bound)").groupBy("i").agg(F.min("j").alias("other"))
+    return to_kept.join(to_other, "i", "left").select("i", F.coalesce("other", "bound").alias("to"))
+
+
 def removed_places(rows: DataFrame, least: int = ALIKE_LENGTH, leaf: int = LEAF, pairs: int = PAIRS) -> DataFrame:
     """Places (`n`) that the pass removes, from `place`, `tokens` and `url` (has one)."""
-    rows = rows.where(F.size("tokens") > 0)
-    tokens, titles = rows.select("place", "tokens"), Titles.of(rows.select("place", "tokens"), least)
-    with_url, without = (checkpoint(rows.where(c).select(F.col("place").alias("n"), F.lit(None).cast("long").alias("to"))) for c in ("url", "not url"))
-    kept = checkpoint(active(titles, with_url, tokens, leaf, pairs))
-    losers = with_url.select("n").join(kept, "n", "left_anti")
-    keepers = kept.select(F.col("n").alias("i"))
-    # Who of those kept removes a posting first: nothing that comes later looks at it.
-    reached = titles.alike(keepers, losers.union(without.select("n")).select(F.col("n").alias("j")))
-    reached = checkpoint(reached.groupBy("j").agg(F.min("i").alias("first")))
-    open_ = checkpoint(without.select("n").join(reached.select(F.col("j").alias("n")), "n", "left_anti"))
-    # One without URL yields to the first alike posting with URL that is still there when it looks: one that stays, or one
-    # before that which nothing before it has removed.
-    to_kept = titles.alike(open_.select(F.col("n").alias("i")), kept.select(F.col("n").alias("j"))).groupBy("i").agg(F.min("j").alias("to"))
-    to_kept = checkpoint(open_.select(F.col("n").alias("i")).join(to_kept, "i", "left"))
-    later = losers.withColumnRenamed("n", "j").join(reached, "j").select("j", "first")
-    to_other = titles.alike(to_kept.withColumnRenamed("to", "bound"), later, "first > i and (bound is null or j < bound)").groupBy("i").agg(F.min("j").alias("other"))
-    yields = checkpoint(to_kept.join(to_other, "i", "left").select(F.col("i").alias("n"), F.coalesce("other", "to").alias("to")))
-    staying = checkpoint(active(titles, yields, tokens, leaf, pairs))
-    gone = yields.join(staying, "n", "left_anti").select("n").union(yields.where("to is not null").join(staying, "n").select("n"))
-    lost = without.select("n").join(open_, "n", "left_anti")
-    return losers.union(lost).union(gone).distinct()
+    nodes = rows.where((F.size("tokens") > 0) & F.col("place").isNotNull()).select(F.col("place").alias("n"), F.lit(None).cast("long").alias("to"), "tokens", F.col("url").alias("own"))
+    known = first_removers(nodes, least, leaf, pairs)
+    # Those without URL that no kept one removes; nothing that comes later looks at one that is removed.
+    open_ = checkpoint(known.where("not own and first is null").select("n", "tokens"))
+    to = yields_to(open_, known.where("own").select("n", "first", "tokens"), least, leaf)
+    yields = checkpoint(open_.join(to.withColumnRenamed("i", "n"), "n", "left").withColumn("own", F.lit(True)))
+    staying = first_removers(yields, least, leaf, pairs)
+    return known.where("first is not null").select("n").union(staying.where("first is not null or to is not null").select("n"))
 
 
 def place_of(rows: DataFrame) -> Column:

@@ -141,3 +141,24 @@ def test_no_pair_is_shuffled(spark, capfd, monkeypatch):
     plan = capfd.readouterr().out.splitlines()
     above = plan[: next(k for k, line in enumerate(plan) if "Join" in line)]
     assert not any("Exchange" in line or "Aggregate" in line for line in above)
+
+
+@pytest.mark.parametrize("share,blocks,leaf,pairs,seed", [(1, 0, 5, 0, 10), (1, 16, 2, 10**9, 11), (10**6, 10**6, 1, 0, 12), (10**6, 0, 3, 0, 13)])
+def test_blocks_and_joins_equal_the_pass(spark, monkeypatch, share, blocks, leaf, pairs, seed):
+    """One block and then halves, or rounds, or block after block; yielding by joins or by blocks."""
+    monkeypatch.setattr(fuzzy, "SHARE", share)
+    monkeypatch.setattr(fuzzy, "BLOCKS", blocks)
+    rows, tokens = postings(spark, seed)
+    kept = {(r["site_ord"] << 40) + r["post_ord"] for r in dedup_fuzzy(rows, leaf=leaf, pairs=pairs).collect()}
+    assert kept == tokens.keys() - literal_pass([(p, t, u) for p, (t, u) in tokens.items()])
+
+
+def test_alike_titles_are_not_dealt_by_tokens(spark, monkeypatch):
+    """What the first block removes from 4,000 postings, with URL or without, comes into no join on tokens."""
+    title = F.concat(F.lit("국립중앙박물관 학예연구사 "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    rows = spark.range(4000).select(F.col("id").alias("place"), F.split(title, " ").alias("tokens"), (F.col("id") % 3 < 2).alias("url"))
+    joined = []
+    of = fuzzy.Titles.of
+    monkeypatch.setattr(fuzzy.Titles, "of", lambda rows, least: joined.append(rows.count()) or of(rows, least))
+    gone = fuzzy.removed_places(rows, leaf=100)
+    assert sorted(r["n"] for r in gone.collect()) == list(range(1, 4000)) and sum(joined) == 0
