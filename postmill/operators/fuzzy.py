@@ -24,7 +24,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 from itertools import islice
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -41,23 +43,67 @@ LEAF, PAIRS = 4096, 32
 SALT = 8192
 #: A block's rows, in leaves; the part by which each block has to lessen what is left; blocks of rows that yield at most; rows a task.
 BLOCK, SHARE, BLOCKS, ROWS = 2, 32, 16, 8192
+#: Titles of a block of `alike_pairs`; pairs that a task gives out at once, or a title's if it has more.
+TILE, GIVEN = 32768, 1 << 16
 
 
-def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH) -> DataFrame:
+def alike_pairs(tokens: DataFrame, least: int = ALIKE_LENGTH, tile: int = TILE) -> DataFrame:
     """Pairs `i`, `j` (places, i before j) and `overlap`, from `place` and `tokens`.
 
-    Joins on tokens, not on rows. A pair must meet in one of the earlier posting's rarest tokens: those
-    before the rest comes to less than `least` characters. So very common words seldom make candidates. Of the tokens in which a pair
-    meets, the first one tells it, so that tokens are shuffled but no pairs.
+    Titles are dealt into blocks of about `tile` by ranges of places, and each two blocks meet in one row of a join. A title is shuffled once
+    for each block and pairs never are; a task holds two blocks and a batch of pairs, however many are alike.
     """
-    titles = Titles.of(tokens, least)
-    own = titles.leads.where("salt = 0").groupBy("i").agg(F.array_sort(F.collect_list("t")).alias("own"))  # tokens of a title
-    # Few bytes but much work for each row: as many tasks as the session shuffles to, whatever the size.
-    parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    earlier = titles.leads.join(own, "i").repartition(parts, "t", "salt")
-    met = earlier.join(titles.words.repartition(parts, "t", "salt"), ["t", "salt"]).where("i < j")
-    once = met.where(F.col("t") == F.get(F.filter("own", lambda t: F.array_contains("tj", t)), F.lit(0)))
-    return once.select("i", "j", _overlap("ti", "tj").alias("overlap")).where(F.col("overlap") >= least)
+    known = checkpoint(tokens.where("place is not null and size(tokens) > 0").groupBy("place").agg(F.flatten(F.collect_list("tokens")).alias("tokens")))  # titles of one place
+    count, parts = known.count(), int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Few bytes but much work for each two blocks: at least as many as the session shuffles to, however few the titles.
+    ends = max(-(-count // tile), isqrt(2 * parts), 2)
+    bounds = sorted(set(known.agg(F.percentile_approx("place", [k / ends for k in range(1, ends)])).first()[0] or [0]))
+    own = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound < F.col("place")))
+    blocks = known.groupBy(own.alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("titles"))  # about `tile` of a group
+    blocks, tiles = checkpoint(blocks), max(parts, (len(bounds) + 1) * (len(bounds) + 2) // 2)
+    earlier = blocks.select(F.col("block").alias("a"), F.explode(F.sequence("block", F.lit(len(bounds)))).alias("b"), F.col("titles").alias("earlier"))
+    later = blocks.select(F.explode(F.sequence(F.lit(0), "block")).alias("a"), F.col("block").alias("b"), F.col("titles").alias("later"))
+    met = earlier.repartition(tiles, "a", "b").hint("merge").join(later.repartition(tiles, "a", "b"), ["a", "b"])
+    return met.select("earlier", "later", (F.col("a") == F.col("b")).alias("same")).mapInArrow(lambda batches: _pairs(batches, least), "i long, j long, overlap long")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Alike pairs of blocks (`earlier`, `later`: titles in order, `same`: one block twice)."""
+    for batch in batches:
+        for earlier, later, same in zip(*map(batch.column, ("earlier", "later", "same")), strict=True):
+            yield from _block_pairs(earlier.values, later.values, same.as_py(), least)
+
+
+def _block_pairs(earlier: pa.StructArray, later: pa.StructArray, same: bool, least: int) -> Iterator[pa.RecordBatch]:
+    """Alike pairs of two blocks of titles: for each earlier one, the lists of later ones that have its tokens are counted."""
+    sides = [earlier] if same else [earlier, later]
+    early, first = len(earlier), 0 if same else len(earlier)
+    places = np.concatenate([side.field("place").to_numpy() for side in sides])
+    sizes = np.concatenate([side.field("tokens").value_lengths().to_numpy() for side in sides])
+    words = pa.concat_arrays([side.field("tokens").flatten() for side in sides]).dictionary_encode()
+    length = np.array([len(t.encode("utf-16-le")) // 2 for t in words.dictionary.to_pylist()], np.int64)
+    held, times = np.unique(np.repeat(np.arange(len(places)), sizes) * len(length) + words.indices.to_numpy(), return_counts=True)
+    title, token = np.divmod(held, len(length))
+    weight = (times * length[token]).astype(np.float64)
+    # The later ones that have a token, in order; and each title's tokens.
+    by_token = np.argsort(token[title >= first], kind="stable")
+    lists = (title[title >= first] - first)[by_token]
+    start = np.searchsorted(token[title >= first][by_token], np.arange(len(length) + 1))
+    begin = np.searchsorted(title, np.arange(early + 1)).tolist()
+    found, count = [], 0
+    for k in range(early):
+        own = slice(begin[k], begin[k + 1])
+        low, high = start[token[own]], start[token[own] + 1]
+        met = np.concatenate([lists[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)])
+        overlap = np.bincount(met, np.repeat(weight[own], high - low), len(places) - first)
+        alike = np.flatnonzero(overlap >= max(least, 1))
+        if same:
+            alike = alike[alike > k]
+        found.append((np.full(len(alike), places[k]), places[first + alike], overlap[alike].astype(np.int64)))
+        count += len(alike)
+        if count >= GIVEN or k == early - 1:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], ["i", "j", "overlap"])
+            found, count = [], 0
 
 
 def _known(words: DataFrame) -> DataFrame:

@@ -143,6 +143,23 @@ def test_no_pair_is_shuffled(spark, capfd, monkeypatch):
     assert not any("Exchange" in line or "Aggregate" in line for line in above)
 
 
+@pytest.mark.parametrize("tile", [9, 50, 1000])
+def test_pairs_of_blocks_equal_brute_force(spark, monkeypatch, tile):
+    """Titles meet by blocks, however large, and in no join on tokens; places far apart, characters of two units, pairs in many batches, two titles of one place."""
+    monkeypatch.setattr(fuzzy, "GIVEN", 5)
+    monkeypatch.setattr(fuzzy.Titles, "of", lambda *_: pytest.fail("a join on tokens"))
+    rng = random.Random(tile)
+    words = ["\U0001f600" * 3, "abcde", "vw", "국립중앙박물관", "x" * 12, *(c * 4 for c in "abcdefghij")]
+    lists = {k * k * (1 << 35): [rng.choice(words) for _ in range(rng.randrange(0, 9))] for k in range(90)}
+    rows = [*lists.items(), (None, ["x" * 12]), (0, ["x" * 12])]
+    lists[0] = [*lists[0], "x" * 12]
+    units = lambda t: len(t.encode("utf-16-le")) // 2
+    want = sorted((i, j, n) for i, a in lists.items() for j, b in lists.items() if i < j and (n := sum(units(t) for t in a if t in b)) >= 10)
+    got = alike_pairs(spark.createDataFrame(rows, "place long, tokens array<string>"), tile=tile).collect()
+    assert sorted(map(tuple, got)) == want and len(want) > 100
+    assert alike_pairs(spark.createDataFrame([(None, ["a"]), (1, [])], "place long, tokens array<string>"), tile=tile).collect() == []
+
+
 @pytest.mark.parametrize("share,blocks,leaf,pairs,seed", [(1, 0, 5, 0, 10), (1, 16, 2, 10**9, 11), (10**6, 10**6, 1, 0, 12), (10**6, 0, 3, 0, 13)])
 def test_blocks_and_joins_equal_the_pass(spark, monkeypatch, share, blocks, leaf, pairs, seed):
     """One block and then halves, or rounds, or block after block; yielding by joins or by blocks."""
