@@ -47,7 +47,7 @@ def trim(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Runs of whitespace as one space, none at the ends."""
-    return trim(F.regexp_replace(_text(c), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(_text(c), f"{WS}+", " "))
 
 
 def units(c: Column) -> Column:
@@ -66,12 +66,13 @@ def first_units(c: Column, count: int) -> Column:
 def truncate(c: Column | str, length: int = TITLE_LENGTH) -> Column:
     """The squeezed text, cut with three dots if it is longer than `length` units.
 
-    Only the beginning with `length` + 1 characters other than whitespace is squeezed: what follows it in
-    a long text can't show.
+    Of a long text, only the beginning with `length` + 1 characters other than whitespace is squeezed: what follows it
+    can't show. A text has no more units than bytes, so short ones aren't looked at further.
     """
     solid = WS.replace("[", "[^", 1)
-    text = squeeze(F.regexp_extract(_text(c), f"^{WS}*((?:{solid}{WS}*){{0,{length + 1}}})", 1))
-    return once(text, lambda t: F.when(units(t) > length, F.concat(first_units(t, length), F.lit("..."))).otherwise(t))
+    begin = F.regexp_extract(_text(c), f"^{WS}*((?:{solid}{WS}*){{0,{length + 1}}})", 1)
+    text = squeeze(F.when(F.octet_length(_text(c)) > 8 * length, begin).otherwise(_text(c)))
+    return once(text, lambda t: F.when(F.octet_length(t) <= length, t).when(units(t) > length, F.concat(first_units(t, length), F.lit("..."))).otherwise(t))
 
 
 def or_default(*choices: Column | str) -> Column:

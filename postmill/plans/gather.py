@@ -88,10 +88,10 @@ def postings_of(found: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFram
         by_board(boards, lambda b: F.nullif("deadline", F.lit("")) if b.raw_dates else optional_date("deadline"), optional_date("deadline")).alias("deadline_date"),
         by_board(boards, lambda b: link_url(b, base=base), F.lit(None).cast("string")).alias("url"), F.nullif("status", F.lit("")).alias("status"),
     )
-    once = [s for s, b in boards.items() if b.distinct]
+    # Only rows of boards with one posting for each title are shuffled; filters reach the others before any shuffle.
+    once = F.coalesce(F.col("site_id").isin([s for s, b in boards.items() if b.distinct]), F.lit(False))
     own = Window.partitionBy("site_id", "title").orderBy("post_ord")
-    numbered = out.withColumn("_nth", F.row_number().over(own))
-    return numbered.where(~F.col("site_id").isin(once) | (F.col("_nth") == 1)).drop("_nth")
+    return out.where(~once).unionByName(out.where(once).withColumn("_nth", F.row_number().over(own)).where("_nth = 1").drop("_nth"))
 
 
 def gather(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:
