@@ -88,10 +88,20 @@ def postings_of(found: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFram
         by_board(boards, lambda b: F.nullif("deadline", F.lit("")) if b.raw_dates else optional_date("deadline"), optional_date("deadline")).alias("deadline_date"),
         by_board(boards, lambda b: link_url(b, base=base), F.lit(None).cast("string")).alias("url"), F.nullif("status", F.lit("")).alias("status"),
     )
-    # Only rows of boards with one posting for each title are shuffled; filters reach the others before any shuffle.
-    once = F.coalesce(F.col("site_id").isin([s for s, b in boards.items() if b.distinct]), F.lit(False))
+    once = [s for s, b in boards.items() if b.distinct]
+    if not once:
+        return out
     own = Window.partitionBy("site_id", "title").orderBy("post_ord")
-    return out.where(~once).unionByName(out.where(once).withColumn("_nth", F.row_number().over(own)).where("_nth = 1").drop("_nth"))
+    numbered = out.withColumn("_nth", F.row_number().over(own))
+    return numbered.where(~F.col("site_id").isin(once) | (F.col("_nth") == 1)).drop("_nth")
+
+
+def stored_postings(read: DataFrame, boards: dict[str, Board] = BOARDS) -> DataFrame:
+    """`postings_of` pages that are stored, so that they can be read twice: only rows of boards with one posting for each title are shuffled, filters reach all others."""
+    once = {s: b for s, b in boards.items() if b.distinct}
+    single = F.coalesce(F.col("site_id").isin(list(once)), F.lit(False))
+    others = {s: b for s, b in boards.items() if not b.distinct}
+    return postings_of(read.where(~single), others).unionByName(postings_of(read.where(single), once))
 
 
 def gather(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime, answers: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:
@@ -115,7 +125,7 @@ def run(pages: DataFrame, sites: DataFrame, keywords: list[str], as_of: datetime
     else:
         read = checkpoint(read_pages(pages))
     failed = read.where("error is not null").select("site_id").distinct()
-    found = spec_postings(rows.join(failed, "site_id", "left_anti"), PAGE_ROWS) if specs is not None else postings_of(read.join(failed, "site_id", "left_anti"))
+    found = spec_postings(rows.join(failed, "site_id", "left_anti"), PAGE_ROWS) if specs is not None else stored_postings(read.join(failed, "site_id", "left_anti"))
     if answers is not None:
         site, organization, base = JSON_SITE
         more = json_postings(answers, organization, base).withColumns({"site_id": F.lit(site), "status": F.lit(None).cast("string")})

@@ -226,3 +226,30 @@ def test_references_that_break_off(spark, tmp_path):
     assert [r["title"] for r in rows_of(board, page)] == ["a <b> &&amp c&"]
     spark.createDataFrame([(1, "u", page), (2, "u", "<head><title>&am</title></head>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert same(spark, QUERIES["extract_title"], ORACLE_SQL["extract_title"], str(tmp_path)) == 2
+
+
+def test_plain_pages_need_no_parser_and_give_the_same_tree():
+    import random
+
+    from postmill.operators import html as H
+
+    def parsed(page):
+        tree = H._Tree()
+        builder = H._Builder(tree)
+        builder.feed(page)
+        builder.close()
+        return tree.indexed()
+
+    def told(node):
+        return node.name, node.attrs, node.order, node.end, [c if isinstance(c, str) else told(c) for c in node.children]
+
+    chance = random.Random(1)
+    pieces = "<table> <tbody> <tr> <td> <th> </td> </tr> </table> <ul> <li> </li> </ul> <p> </p> <br> <h3> </b> &amp; &copy &#65; x > <b>".split() + [' <a href="/v?a=1&amp;b=&quot;2" class="x y">', '<div id="k" class="x" class="z">', " ", "\r\n가"]
+    pages = [c[0] for c in CASES.values()] + ["".join(chance.choices(pieces, k=25)) for _ in range(300)]
+    plain = [(p, t) for p in pages if (t := H._plain(p)) is not None]
+    assert len(plain) > 300
+    for page, tree in plain:
+        tree = tree.indexed()
+        assert told(tree) == told(parsed(page)) and {k: [n.order for n in v] for k, v in tree.index.items()} == {k: [n.order for n in v] for k, v in parsed(page).index.items()}
+    for page in ("<P>", "<a href=x>", "<a  b='c'>", "<br/>", "<!--x-->", "a < b", "<title>a<b></title>", "<p", '<a href="?a=1&b=2">', "</p >"):
+        assert H._plain(page) is None

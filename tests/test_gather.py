@@ -73,3 +73,17 @@ def test_boards_without_texts_of_their_own(spark):
     board = BOARDS["anseong"]
     assert [r[0] for r in rows.select(of_board({}, lambda b: b.base)).collect()] == [None] * 3
     assert [r[0] for r in rows.select(of_board({"a": board, "c": board}, lambda b: b.organization)).collect()] == [board.organization, None, None]
+
+
+def test_only_boards_with_one_posting_a_title_are_shuffled(spark):
+    from postmill.plans.gather import postings_of, read_pages, stored_postings
+
+    pages = [(s, n, "https://b/list", c[0], None) for s, c in CASES.items() for n in (1, 2)] + [("unknown", 1, "u", "<table>", None)]
+    read = read_pages(spark.createDataFrame(pages, SCHEMA)).localCheckpoint()
+    rows = lambda found: sorted(map(str, found.collect()))
+    got = stored_postings(read)
+    assert rows(got) == rows(postings_of(read)) and got.where("site_id = 'gojobs'").count() == len(CASES["gojobs"][1])
+    most = stored_postings(read, {s: b for s, b in BOARDS.items() if not b.distinct}).where("reg_date > '2026'")
+    assert "Exchange" not in most._jdf.queryExecution().executedPlan().toString()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and plan.index("Window ") > plan.index("Generate")
